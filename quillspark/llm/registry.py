@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import url_filter
+from quillspark.llm import pii, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.op2_pii,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
