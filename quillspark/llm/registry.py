@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import pii, url_filter
+from quillspark.llm import pii, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.op2_pii,
+        "op9_simhash": simhash.op9_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
