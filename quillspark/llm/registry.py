@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import pii, simhash, url_filter
+from quillspark.llm import near_dup, pii, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.op2_pii,
+        "op5_near_dedup": near_dup.op5_near_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
     }
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_near_dedup": near_dup.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }
