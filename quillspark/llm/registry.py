@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_dup, pii, simhash, url_filter
+from quillspark.llm import near_dup, packing, pii, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.op2_pii,
+        "op4_packing": packing.op4_packing,
         "op5_near_dedup": near_dup.op5_near_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
