@@ -53,6 +53,12 @@ class Encoder:
                 self.sizes[i] = len(self.fast.decode_single_token_bytes(i))
             for t, i in self.fast._special_tokens.items():
                 self.sizes[i] = len(t.encode())
+        self.names = None
+        if self.tokenizer.decoder is None:  # tokens are then joined by a space
+            vocab = self.tokenizer.get_vocab()
+            self.names = [""] * (max(vocab.values()) + 1)
+            for t, i in vocab.items():
+                self.names[i] = t
         self.words: dict[str, bytes] = {}
 
     def _slow(self, text: str) -> np.ndarray:
@@ -86,4 +92,6 @@ class Encoder:
         return np.stack([character[np.concatenate([[0], ends[:-1]])] - 1, character[ends - 1]], 1)
 
     def decode(self, ids: np.ndarray) -> str:
+        if self.names:
+            return " ".join([self.names[i] for i in ids.tolist()])
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)

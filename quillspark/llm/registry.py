@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_dup, packing, pii, simhash, url_filter
+from quillspark.llm import bpe, near_dup, packing, pii, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.op2_pii,
+        "op3_quality": quality.op3_quality,
         "op4_packing": packing.op4_packing,
         "op5_near_dedup": near_dup.op5_near_dedup,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
     }
