@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, near_dup, packing, pii, quality, simhash, token_counts, url_filter
+from quillspark.llm import bpe, knn, near_dup, packing, pii, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_knn": knn.op1_knn,
         "op2_pii": pii.op2_pii,
         "op3_quality": quality.op3_quality,
         "op4_packing": packing.op4_packing,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_knn": knn.ORACLE_SQL,
         "op5_near_dedup": near_dup.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }
