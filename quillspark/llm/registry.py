@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, knn, near_dup, packing, pii, quality, simhash, token_counts, url_filter
+import corpus_pipeline
+from quillspark.llm import bpe, knn, lm_score, near_dup, packing, pii, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -14,8 +15,10 @@ def queries() -> dict:
         "op5_near_dedup": near_dup.op5_near_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -23,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_knn": knn.ORACLE_SQL,
         "op5_near_dedup": near_dup.ORACLE_SQL,
+        "op8_lm_score": lm_score.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }
