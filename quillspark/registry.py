@@ -20,3 +20,11 @@ def register(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from quillspark.plans import relational_queries  # noqa: F401
+
+
+load()
