@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the labelled ones, rejects go."""
     stats = quality.add_statistics(docs.select("doc_id", "text")).drop("text")
     model = quality.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("quality_score", model.score_column("text")).where(F.col("quality_score") >= quality.KEEP).drop("quality_score")
+    return docs.withColumn("__score", model.score_column("text")).where(F.col("__score") >= quality.KEEP).drop("__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by their kind; n_chars follows where the text changed."""
-    changed = pii.redact(docs.withColumn("text_before", F.col("text")))
+    changed = pii.redact(docs.withColumn("__before", F.col("text")))
     if "n_chars" in docs.columns:
-        same = F.col("text").eqNullSafe(F.col("text_before"))
+        same = F.col("text").eqNullSafe(F.col("__before"))
         changed = changed.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(docs.columns)
 

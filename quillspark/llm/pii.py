@@ -62,49 +62,49 @@ def _quoted(text: str) -> str:
 
 
 def _spans(kind: Kind, no: int) -> Column:
-    """Valid spans of one kind, in order; m_<kind> and p_<kind> hold the matches and the pieces around them."""
+    """Valid spans of one kind, in order; __m_<kind> and __p_<kind> hold the matches and the pieces around them."""
     words = kind.words if kind.words.startswith("(?i)") else f"(?i){kind.words}"
     score = f"least(1.0D, {kind.prior}D + if(right(t.c, {CONTEXT_CHARS}) rlike {_quoted(words)}, 0.4D, 0.0D))"
     keep = f"({kind.valid})" + ("" if kind.base else f" and {score} >= {MIN_SCORE}D")
     # s: the place reached and the spans so far; t: the next match, the piece before it and its place
     step = f"""transform(
-      array(struct(element_at(m_{kind.name}, i) as m, element_at(p_{kind.name}, i) as c, s.at + length(element_at(p_{kind.name}, i)) as start)),
+      array(struct(element_at(__m_{kind.name}, i) as m, element_at(__p_{kind.name}, i) as c, s.at + length(element_at(__p_{kind.name}, i)) as start)),
       t -> struct(t.start + length(t.m) as at,
         if({keep}, array_append(s.spans, struct({no} as kind, t.start as start, t.start + length(t.m) as end, {score} as score)), s.spans) as spans))[0]"""
     none = "cast(array() as array<struct<kind:int,start:int,end:int,score:double>>)"
     return F.expr(
-        f"if(size(m_{kind.name}) > 0, aggregate(sequence(1, size(m_{kind.name})), struct(0 as at, {none} as spans), (s, i) -> {step}, s -> s.spans), {none})"
+        f"if(size(__m_{kind.name}) > 0, aggregate(sequence(1, size(__m_{kind.name})), struct(0 as at, {none} as spans), (s, i) -> {step}, s -> s.spans), {none})"
     )
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `pii`: array<struct<kind int, start int, end int, score double>>, ordered by kind and start.
+def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
+    """Adds `out`: array<struct<kind int, start int, end int, score double>>, ordered by kind and start.
 
     kind indexes KINDS; start and end count code points, end exclusive.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.drop("pii")
+    found = docs.drop(out)
     for k in KINDS:
         has = text.contains(k.needs) if k.needs == "@" else text.rlike(k.needs)
         empty = F.array().cast("array<string>")
-        found = found.withColumn(f"m_{k.name}", F.when(has, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(empty))
+        found = found.withColumn(f"__m_{k.name}", F.when(has, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(empty))
     for k in KINDS:
-        found = found.withColumn(f"p_{k.name}", F.when(F.size(f"m_{k.name}") > 0, F.split(text, k.pattern, -1)))
-    found = found.withColumn("pii", F.concat(*[_spans(k, i) for i, k in enumerate(KINDS)]))
-    return found.drop(*[f"{c}_{k.name}" for k in KINDS for c in "mp"])
+        found = found.withColumn(f"__p_{k.name}", F.when(F.size(f"__m_{k.name}") > 0, F.split(text, k.pattern, -1)))
+    found = found.withColumn(out, F.concat(*[_spans(k, i) for i, k in enumerate(KINDS)]))
+    return found.drop(*[f"__{c}_{k.name}" for k in KINDS for c in "mp"])
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Replaces every found span by its kind in brackets; overlapping spans become one, named after the first."""
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
-    found = find_pii(docs, text_col).withColumn("pii_names", names)
-    merged = """aggregate(array_sort(transform(pii, x -> struct(x.start as start, x.end as end, x.kind as kind))),
-      struct(0 as at, '' as out, -1 as kind),
+    found = find_pii(docs, text_col, "__pii").withColumn("__names", names)
+    merged = """aggregate(array_sort(transform(__pii, x -> struct(x.start as start, x.end as end, x.kind as kind))),
+      struct(0 as at, '' as out),
       (s, x) -> if(x.start >= s.at,
-        struct(x.end as at, concat(s.out, substring({t}, s.at + 1, x.start - s.at), pii_names[x.kind]) as out, x.kind as kind),
-        struct(greatest(s.at, x.end) as at, s.out as out, s.kind as kind)),
+        struct(x.end as at, concat(s.out, substring({t}, s.at + 1, x.start - s.at), __names[x.kind]) as out),
+        struct(greatest(s.at, x.end) as at, s.out as out)),
       s -> concat(s.out, substring({t}, s.at + 1)))""".replace("{t}", f"`{text_col}`")
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, F.expr(merged)).otherwise(F.col(text_col))).drop("pii", "pii_names")
+    return found.withColumn(text_col, F.when(F.size("__pii") > 0, F.expr(merged)).otherwise(F.col(text_col))).drop("__pii", "__names")
 
 
 def _joined(spans: str) -> str:
