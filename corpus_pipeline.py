@@ -17,6 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the labelled ones, rejects go."""
     stats = quality.add_statistics(docs.select("doc_id", "text")).drop("text")
     model = quality.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not len(model.weights):  # nothing to learn from, so nothing to reject
+        return docs
     return docs.withColumn("__score", model.score_column("text")).where(F.col("__score") >= quality.KEEP).drop("__score")
 
 

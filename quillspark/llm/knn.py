@@ -144,7 +144,8 @@ def knn_join(embeddings: DataFrame, is_query: Column, k: int, scale: float = 64.
             for block, bits in zip(b["block"], b["needed"], strict=True):
                 x = np.frombuffer(bits, np.uint8)
                 found[block] = found[block] | x if block in found else x
-        yield pd.DataFrame({"block": list(found), "needed": [x.tobytes() for x in found.values()]})
+        if found:
+            yield pd.DataFrame({"block": list(found), "needed": [x.tobytes() for x in found.values()]})
 
     wanted = np.zeros((blocks, -(-len(pivots) // 8)), np.uint8)
     partial = asked.select("block", "needed").coalesce(32).mapInPandas(merged, "block int, needed binary")
