@@ -122,3 +122,39 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.expr(_joined(f"filter(pii, x -> x.kind < {base})")), 256).alias("base_sha256"),
         F.expr(_joined("pii")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """The query in DuckDB's SQL: its patterns are linear, so they need no look-behind; neighbours are looked at in the pieces."""
+    digits = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+    luhn = f"""length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN substr({digits}, length({digits}) - j + 1, 1)::INT
+      ELSE (2 * substr({digits}, length({digits}) - j + 1, 1)::INT) // 10 + (2 * substr({digits}, length({digits}) - j + 1, 1)::INT) % 10 END)) % 10 = 0"""
+    bare = "replace(x.m, ' ', '')"
+    mod97 = f"""length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr({bare}, 5) || left({bare}, 4), ''),
+      lambda c: CASE WHEN c >= '0' AND c <= '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INT), lambda a, b: (a * 10 + b) % 97) = 1"""
+    apart = lambda cls: f"NOT regexp_matches(right(x.c, 1), '{cls}') AND NOT regexp_matches(left(x.n, 1), '{cls}')"
+    secret = r"regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[A-Za-z]') AND regexp_matches(right(x.c, 32), '(?i)(?:token|secret|password|passwd|api.?key)\W{0,6}$')"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0"),
+        ("card", r"[0-9](?:[ -]?[0-9])+", luhn),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", f"{apart('[A-Za-z0-9]')} AND {mod97}"),
+        ("secret", r"[A-Za-z0-9+/_-]{20,}", secret),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{apart('[0-9-]')} AND left(x.m, 3) NOT IN ('000', '666') AND regexp_matches(right(x.c, 32), '(?i)ssn|social.security')"),
+    ]
+    found = []
+    for name, pattern, valid in kinds:
+        found.append(f"""(SELECT list_transform(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'m': m[i], 'c': p[i], 'n': coalesce(p[i + 1], ''),
+          's': list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)}}), lambda x: {valid}),
+          lambda x: '{name}:' || x.s::BIGINT || ':' || (x.s + length(x.m))::BIGINT)
+          FROM (SELECT regexp_extract_all(t.text, '{pattern}') AS m, regexp_split_to_array(t.text, '{pattern}') AS p)) AS k_{name}""")
+    base, added = ["email", "ip", "card", "phone"], ["iban", "secret", "ssn"]
+    joined = lambda ks: " || ".join(f"k_{k}" for k in ks)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS (SELECT doc_id, {', '.join(found)} FROM t)
+    SELECT doc_id, {', '.join(f'len(k_{k})::BIGINT AS n_{k}' for k in base)}, sha256(array_to_string({joined(base)}, ',')) AS base_sha256,
+    array_to_string({joined(base + added)}, ',') AS spans FROM f"""
+
+
+ORACLE_SQL = _oracle()

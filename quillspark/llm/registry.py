@@ -25,6 +25,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_knn": knn.ORACLE_SQL,
+        "op2_pii": pii.ORACLE_SQL,
         "op5_near_dedup": near_dup.ORACLE_SQL,
         "op8_lm_score": lm_score.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
