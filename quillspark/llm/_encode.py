@@ -7,12 +7,13 @@ text, so the encodings of words are kept, in a bounded cache.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
 import numpy as np
 
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 
 
 def _ranked(spec: dict):
@@ -76,10 +77,10 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        new = list({w for words in split for w in words if w not in self.words})
+        new = list(set().union(*split).difference(self.words))
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([self.words[w] for w in words]), "<u4") for words in split]
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
 
     def spans(self, text: str) -> np.ndarray:
         """(n, 2) begin and end of each token in characters; a token that holds a part of a character covers it."""
@@ -93,5 +94,11 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         if self.names:
-            return " ".join([self.names[i] for i in ids.tolist()])
+            return " ".join(map(self.names.__getitem__, ids.tolist()))
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._encode import Encoder
+from quillspark.llm._encode import Encoder, encoder_of
 
 LONG = 50_000
 PIECE = 25_000
@@ -82,7 +82,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, long: int = LONG, piece: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in batches:
             for k in range(0, len(b), 500):
                 c = b.iloc[k : k + 500]
@@ -90,13 +90,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, long: int = LONG, piece: int
                 yield pd.DataFrame({"doc_id": c["doc_id"].astype("Int64"), "ids": [x.tobytes() for x in ids], "decoded": [encoder.decode(x) for x in ids]})
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        joiner = Joiner(Encoder(tokenizer))
+        joiner = Joiner(encoder_of(tokenizer))
         for b in batches:
             found = [joiner.encode(t) for t in b["text"]]
             yield b.assign(doc_id=b["doc_id"].astype("Int64"), **{c: [getattr(p, c).tobytes() for p in found] for c in ("ids", "begins", "ends")})
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
-        group, encoder = group.sort_values("no"), Encoder(tokenizer)
+        group, encoder = group.sort_values("no"), encoder_of(tokenizer)
         parts = [
             Part(r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.begins, np.int64), np.frombuffer(r.ends, np.int64))
             for r in group.itertuples()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._encode import Encoder
+from quillspark.llm._encode import encoder_of
 from quillspark.session import materialize
 
 SIZE = 2048
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -
     """(doc_id, piece, start, length, ids_crc32) of each document's ids with end_id behind; the first piece takes the rest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):

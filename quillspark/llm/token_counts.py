@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._encode import Encoder
+from quillspark.llm._encode import Encoder, encoder_of
 
 RULES = ("first", "last", "most")
 
@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("te
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in batches:
             for k in range(0, len(b), 1000):
                 yield _counted(b.iloc[k : k + 1000], encoder, fields, lines, rule)
