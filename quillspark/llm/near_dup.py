@@ -2,14 +2,15 @@
 
 1. Each text's set of word shingles is hashed once; its SKETCH least hashes are its sketch.
    Documents with equal sets form one class, so copies are never paired.
-2. Inverted lists of the sketch values generate candidates. Where a value is held by at most
-   COLD classes, all of them meet. A longer list meets only its leaders: for each band of set
-   sizes the classes whose sketches hold the most common values, that is those nearest to what
-   the members share. Two members that agree with each other but with no leader differ from the
-   shared part in the same places, and so share a rarer value whose own list, or whose own
-   leaders, bring them together. Work is linear in the lists, and no list is cut.
+2. Inverted lists of the sketch values generate candidates. A pair at the threshold shares so many
+   values that one of them is among the rarest of both sketches; only those are listed. Where a
+   value is held by at most COLD classes, all of them meet. A longer list first meets its
+   leaders: for each band of set sizes LEADERS different classes with common values.
 3. The sketch of the union estimates the similarity; pairs far below the threshold go.
 4. The remaining pairs are confirmed on the full sets, and components of the links are taken.
+5. Members of long lists that the leaders left in different components meet all the others, block
+   by block, on the full sets; this finds every further link. Its work grows with the number of
+   members outside the large components times the members of their lists.
 
 Defined results: a text without words (or null) has an empty set and links with nothing; a text
 with fewer than `words` words is one shingle; rows with equal doc_id are handled each on its own;
@@ -18,11 +19,12 @@ rows without doc_id take no part; an empty table gives an empty one; other colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._shingles import Powers, mix, shingle_sets
@@ -34,6 +36,10 @@ COLD = 32
 LEADERS = 8
 #: How far an estimate from SKETCH values may lie under the threshold: five standard deviations.
 MARGIN = 0.25
+#: Up to so many pairs of two longs are united on the driver.
+DRIVER_EDGES = 100_000
+#: Members of a long list that meet in one task.
+BLOCK = 256
 #: Up to so many ids (8 bytes each) go to every task; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -55,32 +61,46 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key long, sketch array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes (rep, n, sketch) that meet in an inverted list, a < b or a a leader."""
+def _band(percent: int) -> Column:
+    """Sizes that can reach the similarity are in the same or in adjacent bands."""
+    return F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
+
+
+def prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """(value, rep, n, df, common, band): the rarest sketch values of each class (rep, n, sketch), where another class has them too.
+
+    A pair at the threshold shares `need` values of either sketch at least, so of each sketch sorted by
+    rarity all but need - 1 values are enough for the two to meet.
+    """
     lists = classes.select("rep", "n", F.explode("sketch").alias("value"))
-    held = lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    lists = lists.join(held, "value")
-    marks = lists.groupBy("rep").agg(F.sum(F.log("df")).alias("common"), F.count_if(F.col("df") <= COLD).alias("cold"))
-    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    lists = materialize(lists.join(marks, "rep").select("value", "rep", "n", "df", "cold", F.round("common", 3).alias("common"), band.alias("band")))
+    held = lists.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
+    shared = lists.join(held, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("values"))
+    # up to this size a set and all that are near it are whole in their sketches
+    whole = F.ceil(F.col("n") * percent / 100)
+    need = F.when(F.col("n") * 100 <= percent * SKETCH, whole).otherwise(F.ceil(F.least("n", F.lit(SKETCH)) * (percent / 100 - MARGIN)))
+    # values of one class come first in the order and can meet nothing
+    places = (F.greatest(F.lit(1), F.least("n", F.lit(SKETCH)) - need + 1) - (F.least("n", F.lit(SKETCH)) - F.size("values"))).cast("int")
+    first = shared.withColumns({"places": places, "common": F.round(F.expr("aggregate(values, 0D, (s, x) -> s + ln(x.held))"), 3)}).where("places > 0")
+    first = first.select("rep", "n", "common", _band(percent).alias("band"), F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v"))
+    first = materialize(first.select("v.value", "rep", "n", "common", "band"))
+    return materialize(first.join(first.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value"))
+
 
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: classes that meet in a list of at most COLD, and those of longer lists with the leaders."""
     few = lists.where(F.col("df") <= COLD)
-    a = few.select("value", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("cold").alias("cold_a"))
-    b = few.select("value", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("cold").alias("cold_b"))
-    sized = "10 * least(n_a, n_b) >= 7 * greatest(n_a, n_b)"
-    met = a.join(b, "value").where("a < b").where(sized).groupBy("a", "b", "n_a", "n_b", "cold_a", "cold_b").agg(F.count("*").alias("common"))
-    # a pair at the threshold shares more than half of either sketch; only common lists can hide shared values
-    enough = [F.col(f"cold_{x}") - F.least(F.col(f"n_{x}"), F.lit(SKETCH)) / 2 for x in "ab"]
-    rare = met.where(F.col("common") >= F.greatest(*enough)).select("a", "b")
+    a, b = (few.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    rare = a.join(b, "value").where("a < b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
 
     many = lists.where(F.col("df") > COLD)
-    order = [F.struct("common", F.xxhash64("value", "rep", F.lit(i)).alias("h"), "rep", "n") for i in range(LEADERS)]
-    leaders = many.groupBy("value", "band").agg(*[F.max(o).alias(f"l{i}") for i, o in enumerate(order)])
-    tops = F.array_distinct(F.array(*[F.struct(f"l{i}.rep", f"l{i}.n") for i in range(LEADERS)]))
+    part = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
+    # one leader of each part, so that no two are the same
+    leaders = many.groupBy("value", "band").agg(*[F.max(F.when(part == i, F.struct("common", "rep", "n"))).alias(f"l{i}") for i in range(LEADERS)])
+    tops = F.array_compact(F.array(*[F.when(F.col(f"l{i}").isNotNull(), F.struct(f"l{i}.rep", f"l{i}.n")) for i in range(LEADERS)]))
     # a value has as many entries as there are bands of sizes, whatever its list
     heads = leaders.select("value", "band", tops.alias("tops")).groupBy("value").agg(F.collect_list(F.struct("band", "tops")).alias("heads"))
-    fits = """filter(flatten(transform(filter(heads, h -> abs(h.band - band) <= 1), h -> h.tops)),
-      t -> t.rep != rep and 10 * least(t.n, n) >= 7 * greatest(t.n, n))"""
+    fits = f"""filter(flatten(transform(filter(heads, h -> abs(h.band - band) <= 1), h -> h.tops)),
+      t -> t.rep != rep and 100 * least(t.n, n) >= {percent} * greatest(t.n, n))"""
     # a class meets the same few leaders in most of its lists, so they are united for each class before they are paired
     led = many.join(heads, "value").select("rep", F.expr(fits).alias("found")).where(F.size("found") > 0)
     led = led.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
@@ -88,14 +108,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     return rare.unionByName(led).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): candidate classes (rep, n, key, sketch) whose full sets reach the similarity."""
-    pairs = candidates(classes)
-    own = {x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab"}
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
-    share = F.size(F.array_intersect(F.array_intersect(union, F.col("s_a")), F.col("s_b"))) / F.size(union)
-    near = materialize(pairs.join(own["a"], "a").join(own["b"], "b").where(share >= percent / 100 - MARGIN).select("a", "b", "key_a", "key_b"))
-    ends = near.select(F.explode(F.expr("array(struct(a as doc_id, key_a as key), struct(b as doc_id, key_b as key))")).alias("e")).select("e.*").distinct()
+def full_sets(docs: DataFrame, ends: DataFrame, words: int) -> DataFrame:
+    """(rep, full): the whole sets, as bytes, of the classes in ends (doc_id, key)."""
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ends) if few else ends, "doc_id")
@@ -108,7 +122,18 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
             if any(same):
                 yield pd.DataFrame({"rep": b["doc_id"][same], "full": [s.tobytes() for s, x in zip(found, same, strict=True) if x]})
 
-    full = wanted.mapInPandas(sets, "rep long, full binary")
+    return wanted.mapInPandas(sets, "rep long, full binary")
+
+
+def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): candidate classes (rep, n, key, sketch) whose full sets reach the similarity."""
+    pairs = candidates(lists, percent)
+    own = {x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab"}
+    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
+    share = F.size(F.array_intersect(F.array_intersect(union, F.col("s_a")), F.col("s_b"))) / F.size(union)
+    near = materialize(pairs.join(own["a"], "a").join(own["b"], "b").where(share >= percent / 100 - MARGIN).select("a", "b", "key_a", "key_b"))
+    ends = near.select(F.explode(F.expr("array(struct(a as doc_id, key_a as key), struct(b as doc_id, key_b as key))")).alias("e")).select("e.*").distinct()
+    full = full_sets(docs, ends, words)
     full_a, full_b = (full.select(F.col("rep").alias(x), F.col("full").alias(f"full_{x}")) for x in "ab")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,13 +148,94 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     return near.select("a", "b").join(full_a, "a").join(full_b, "b").mapInPandas(confirm, "a long, b long")
 
 
+def merged(edges: DataFrame) -> DataFrame:
+    """(node, component) as of connected_components; up to DRIVER_EDGES distinct edges are united on the driver, without its rounds."""
+    edges = materialize(edges.where("a != b").distinct())
+    few = edges.limit(DRIVER_EDGES + 1).collect()
+    if len(few) > DRIVER_EDGES:
+        return connected_components(edges)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in few:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return edges.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], "node long, component long")
+
+
+def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): components of found (node, component) with a link between members of long lists; a class in none is its own.
+
+    Long lists that share members are one cluster. Its members meet in blocks of about BLOCK, each pair of
+    blocks in a task; members of one component, and bands of sizes too far apart, do not meet.
+    """
+    many = lists.where(F.col("df") > COLD).select("value", "rep")
+    least = many.groupBy("rep").agg(F.min("value").alias("least"), F.first("value").alias("value"))
+    united = merged(many.join(least.select("rep", "least"), "rep").select(F.col("value").alias("a"), F.col("least").alias("b")))
+    cluster = least.join(united, least["value"] == united["node"], "left").select(F.col("rep").alias("node"), F.coalesce("component", "value").alias("cluster"))
+    hot = cluster.join(classes.select(F.col("rep").alias("node"), "n", "key", _band(percent).alias("band")), "node")
+    hot = materialize(hot.join(found, "node", "left").select("cluster", F.col("node").alias("rep"), "key", "band", F.coalesce("component", "node").alias("component")))
+    # a component that fills blocks gets its own, and those need not meet one another
+    large = hot.groupBy("cluster", "component").agg(F.count("*").alias("members")).where(F.col("members") >= BLOCK).select("cluster", "component", F.col("component").alias("own"))
+    hot = hot.join(large, ["cluster", "component"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    sizes = hot.groupBy("cluster", "own", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    keys = ["cluster", "own", "band"]
+    hot = hot.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    blocks = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"))
+    side = {x: blocks.select("cluster", F.struct("own", "band", "salt").alias(x)) for x in "ij"}
+    meet = side["i"].join(side["j"], "cluster").where("i <= j and abs(i.band - j.band) <= 1 and (i.own != j.own or i.own = -1)")
+    meet = materialize(meet.select("cluster", "i", "j"))
+    places = meet.select("cluster", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side"))
+    places = places.unionByName(meet.where("i != j").select("cluster", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
+    wanted = materialize(hot.select("cluster", F.struct("own", "band", "salt").alias("at"), "rep", "key", "component").join(places.select("cluster", "at").distinct(), ["cluster", "at"]))
+    full = full_sets(docs, wanted.select(F.col("rep").alias("doc_id"), "key").distinct(), words)
+    rows = wanted.join(full, "rep").join(places, ["cluster", "at"]).select("cluster", "i", "j", "side", "component", "full")
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        left = p[p["side"] == 0]
+        right = p[p["side"] == 1] if (p["i"].iloc[0] != p["j"].iloc[0]) else left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        held = [np.frombuffer(x, np.uint64) for x in right["full"]]
+        n = np.array([len(x) for x in held])
+        values, owner = np.concatenate(held), np.repeat(np.arange(len(held)), n)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        parts = right["component"].to_numpy()
+        out = []
+        for component, x in zip(left["component"], left["full"], strict=True):
+            s = np.frombuffer(x, np.uint64)
+            low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            count = high - low
+            at = np.repeat(high - np.cumsum(count), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(held))
+            ok = np.flatnonzero((100 * both >= percent * (len(s) + n - both)) & (parts != component))
+            # one link to each component is enough
+            out += [(component, other) for other in np.unique(parts[ok])]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(solve, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id long, text)."""
     marked = materialize(sketches(docs, words))
     classes = materialize(
         marked.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
     )
-    found = connected_components(links(docs, classes, words, percent))
+    lists = prefix_lists(classes, percent)
+    linked = materialize(links(docs, classes, lists, words, percent))
+    found = connected_components(linked)
+    if lists.where(F.col("df") > COLD).limit(1).count():
+        found = materialize(found)
+        more = merged(rest_links(docs, classes, lists, found, words, percent))
+        again = more.select(F.col("node").alias("component"), F.col("component").alias("united"))
+        alone = more.join(found, "node", "left_anti")  # in no link before
+        found = found.join(again, "component", "left").select("node", F.coalesce("united", "component").alias("component")).unionByName(alone.select("node", "component"))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("n", "key", F.coalesce("component", "rep").alias("component_id"))
     filled = marked.where("n > 0").select("doc_id", "n", "key").join(named, ["n", "key"])
     empty = marked.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))

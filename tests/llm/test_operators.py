@@ -224,6 +224,24 @@ def test_near_duplicates_match_brute_force(spark):
 # 6
 
 
+@pytest.mark.parametrize("case", ["footer", "chains"])
+def test_long_lists_match_brute_force(spark, case):
+    base, footer = " ".join(f"b{i}" for i in range(47)), " ".join(f"f{i}" for i in range(11))
+    pages = [f"{base} own{i}" for i in range(60)] + [f"{base} {footer}", " ".join(f"o{i}" for i in range(30)) + f" {footer}"]
+    texts = pages if case == "footer" else near_copies(3, 160, [1, 2, 3, 4])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(docs(spark, texts), 4, 80).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_members_their_leader_refuses_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LEADERS", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 20)
+    base, footer = " ".join(f"b{i}" for i in range(47)), " ".join(f"f{i}" for i in range(11))
+    texts = [f"{base} own{i}" for i in range(60)] + [f"{base} {footer}", " ".join(f"o{i}" for i in range(30)) + f" {footer}"] + near_copies(3, 160, [1, 2, 3, 4])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(docs(spark, texts), 4, 80).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_bpe_round_trip(spark):
     w = Encoder(WORD).tokenizer
     texts = TEXTS + ["日本語" * 300, "can't 's ''s" * 200, " " * 100 + "x"]
