@@ -43,16 +43,19 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     return known
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, max_levels: int = 50) -> DataFrame:
-    """GRAPH-18: (node, level): the longest path from a source; nodes on or behind cycles stop at the last level reached."""
+def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GRAPH-18: (node, level): the longest path from a source; a cycle is an error, as no level of it is the last."""
     level = materialize(nodes.select("node", F.lit(0).alias("level")))
-    for _ in range(max_levels):
+    rounds = level.count()  # no path without a cycle has as many edges
+    for _ in range(rounds):
         pushed = edges.join(level, edges.src == level.node).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
         new = materialize(level.join(pushed, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         level = new.drop("moved")
         if not moved:
-            break
+            return level
+    if rounds:
+        raise ValueError("the graph has a cycle")
     return level
 
 

@@ -1,5 +1,6 @@
 """Behavioural cases with hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import kernels as k
@@ -25,6 +26,14 @@ def test_candidate_graph_drops_pairs_of_one_paper(spark):
     assert [tuple(r) for r in g.candidate_graph(similar, none, none, papers).collect()] == [("a", "b", 0.91)]
 
 
+def test_levels_of_long_paths_and_cycles(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(53)], "src long, dst long")
+    levels = g.topological_levels(edges, spark.range(54).toDF("node"))
+    assert {x.node: x.level for x in levels.collect()} == {i: i for i in range(54)}
+    with pytest.raises(ValueError, match="cycle"):
+        g.topological_levels(spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"), spark.range(2).toDF("node"))
+
+
 def test_overlapping_communities(spark):
     edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.88)], "source string, target string, weight double")
     assert g.pair_communities(edges).where("node_id = 'a'").count() == 2
