@@ -1,7 +1,8 @@
 """Exact tokenization of whole texts, as tokenizers does it with add_special_tokens=False.
 
 A byte-level vocabulary whose ids are its merge ranks goes to tiktoken, which gives the same ids
-several times as fast. A tokenizer that drops white space encodes each word as it does inside the
+several times as fast; texts that its matcher refuses (about a million blanks in a row) go to
+tokenizers. A tokenizer that drops white space encodes each word as it does inside the
 text, so the encodings of words are kept, in a bounded cache.
 """
 
@@ -69,9 +70,15 @@ class Encoder:
         """Little-endian unsigned 32-bit ids."""
         return self.ids_of([text])[0]
 
+    def _ranked_ids(self, text: str) -> np.ndarray:
+        try:
+            return np.array(self.fast.encode(text, allowed_special="all"), "<u4")
+        except ValueError:  # the stack of its matcher ended
+            return self._slow(text)
+
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast:
-            return [np.array(self.fast.encode(t, allowed_special="all"), "<u4") for t in texts]
+            return [self._ranked_ids(t) for t in texts]
         if not self.drops_space:
             return [self._slow(t) for t in texts]
         split = [t.replace("\n", " ").split(" ") for t in texts]
