@@ -5,7 +5,8 @@ them whatever the corpus. The plan is made on that histogram: going down from th
 that a piece leaves is filled exactly by one, two or three further lengths whose sum it is, as
 often as their counts allow; what is left is packed best-fit, longest first. Each step uses up
 a length, so the plan has few patterns. Pieces find their place by their rank among
-those of their length; ranks come from salted groups, so that no length meets in one task.
+those of their length; ranks come from salted groups of about PER_SALT pieces, as many for a
+length as it has pieces for, so that no length meets in one task.
 
 Defined results: a null text is empty (one end-of-document id); rows are packed each on its
 own, ids null or repeated or not; an empty table packs into nothing; other columns are ignored.
@@ -26,7 +27,8 @@ from quillspark.llm._encode import encoder_of
 from quillspark.session import materialize
 
 SIZE = 2048
-SALTS = 64
+#: Pieces of one length that are ranked in one group; the driver holds a count for each group.
+PER_SALT = 50_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
@@ -128,21 +130,29 @@ def make_plan(counts: np.ndarray, size: int = SIZE) -> Plan:
     return Plan(key, sequence, offsets, first)
 
 
-def pack(found: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
+def pack(found: DataFrame, size: int = SIZE, per_salt: int = PER_SALT) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     found = materialize(found)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    table = np.zeros((size + 1, salts), np.int64)
-    for length, salt, n in salted.groupBy("length", "salt").agg(F.count("*")).collect():  # size x salts rows at most
-        table[length, salt] = n
-    plan = make_plan(table.sum(1), size)
-    before = np.cumsum(table, 1) - table
+    counts = np.zeros(size + 1, np.int64)
+    for length, n in found.groupBy("length").agg(F.count("*")).collect():  # size rows at most
+        counts[length] = n
+    salts = np.maximum(1, -(-counts // per_salt))
+    of = F.element_at(F.lit(salts.tolist()), (F.col("length") + 1).cast("int"))
+    # rows of the checkpoint have fixed numbers, so that even equal rows spread
+    salted = found.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), of).cast("int"))
+    first = np.concatenate([[0], np.cumsum(salts)])  # place of each length's salts in one list
+    held = np.zeros(first[-1], np.int64)
+    for length, salt, n in salted.groupBy("length", "salt").agg(F.count("*")).collect():  # size rows, and one for every per_salt pieces
+        held[first[length] + salt] = n
+    plan = make_plan(counts, size)
+    before = np.cumsum(held) - held
+    before -= np.repeat(before[first[:-1]], salts)
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             length = b["length"].to_numpy()
-            rank = before[length, b["salt"].to_numpy()] + b["rank"].to_numpy() - 1
+            rank = before[first[length] + b["salt"].to_numpy()] + b["rank"].to_numpy() - 1
             key = length << 44 | rank
             at = np.searchsorted(plan.key, key, "right") - 1
             b["sequence_id"] = plan.sequence[at] + key - plan.key[at]
