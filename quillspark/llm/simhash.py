@@ -17,8 +17,6 @@ an empty one; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +24,8 @@ from quillspark.session import materialize
 
 MAX_WEIGHT = 15
 RADIUS = 3
+#: Ranges of ids in which documents meet their successors; the driver holds their bounds.
+RANGES = 16_384
 _PAIR = 0x0000000100000001
 
 
@@ -95,22 +95,28 @@ def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     return classes.join(others, ["hi", "lo"], "left").select("hi", "lo", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
 
 
+def _place(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts x reaches, by halving."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*map(F.lit, cuts)) if len(cuts) < 3 else F.lit(cuts)
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(bounds, at + step) <= x), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, rows_per_range: int = 2048) -> DataFrame:
     """(part, place, doc_id, text, next_text, last): every document, in ranges of the id, with the text of the next one.
 
     Each range ends with a copy of the first document of the range after it (last = true; the
-    first of all after the last), so a row's successor is always in its own range. Ranges are of
-    equal width in the id, so none needs a global sort.
+    first of all after the last), so a row's successor is always in its own range. Ranges end at
+    quantiles of the ids, so that they hold like numbers of rows whatever the ids; there are RANGES at most.
     """
     docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
-        low, high = 0, 0
-    ranges = max(256, n // rows_per_range)
-    part = F.least(F.floor((F.col("doc_id") - F.lit(low)).cast("double") * (ranges / (high - low + 1))), F.lit(ranges - 1)).cast("int")
-    docs = docs.withColumn("part", part)
+    ranges = min(RANGES, max(256, docs.count() // rows_per_range))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 8 * ranges)).first()[0] or []
+    docs = docs.withColumn("part", _place(F.col("doc_id"), sorted(set(cuts))))
     firsts = docs.groupBy("part").agg(F.min("doc_id").alias("first"))
-    order = Window.orderBy("part")  # as many rows as there are ranges
+    order = Window.orderBy("part")  # RANGES rows at most
     follows = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("first"))
     heads = docs.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("head")).select("head.*")
     copies = follows.join(heads, follows["first"] == heads["doc_id"]).select("doc_id", "text", "part", F.lit(True).alias("last"))
