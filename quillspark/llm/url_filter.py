@@ -5,9 +5,10 @@ universe that level 0 lets through, level 2 the listed keys that level 1 lets th
 on until a level lets nothing wrong through. A lookup stops at the first level that rejects
 the key; the level's parity is the answer, which is exact for every key of the universe.
 Only DataFrame functions are used. A filter reaches the tasks as one array through an
-uncorrelated scalar subquery, so no rows are joined.
+uncorrelated scalar subquery, so no rows are joined. A list whose first level would take more
+than MAX_BITS is too large to send to every task: its keys are joined by a shuffle, with the same answers.
 
-Defined results: a null url, or one without "://", has an empty host and path; a null key is
+Defined results: a null url, or one without "://", has an empty host and path; a null or empty key is
 never listed; repeated rows are judged each on its own; an empty list or universe lists nothing;
 columns of the input stay, except those named like an output, which are replaced.
 """
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
+#: A level's bits, 32 MB, go to every task.
+MAX_BITS = 1 << 28
+
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path): host from the first "://" to "/", "?", "#" or the end, A-Z lower-cased; path from there to "?" or "#"."""
@@ -80,8 +84,8 @@ class Cascade:
         return F.when(key.isNull(), F.lit(False)).otherwise(answer)
 
 
-def build_cascade(universe: DataFrame, first_bits: int = 8, further_bits: int = 4, max_bits: int = 1 << 28) -> Cascade:
-    """universe: (key string, listed boolean), every key once. A level larger than max_bits raises: filter with a left semi join then.
+def build_cascade(universe: DataFrame, first_bits: int = 8, further_bits: int = 4, max_bits: int = MAX_BITS) -> Cascade | None:
+    """universe: (key string, listed boolean), every key once. None where a level would be larger than max_bits.
 
     Each level is one pass over the keys that are still undecided, which shrink geometrically.
     """
@@ -95,7 +99,7 @@ def build_cascade(universe: DataFrame, first_bits: int = 8, further_bits: int =
             break
         bits = -(-max(64, encoded * (first_bits if k == 0 else further_bits)) // 64) * 64
         if bits > max_bits:
-            raise ValueError(f"level {k} takes {bits} bits, more than max_bits={max_bits}; use a left semi join")
+            return None
         level = Level(undecided, bits, 5 if k == 0 else 3, k)
         spots = undecided.where(inside).select(F.explode(F.array(*_positions(F.col("key"), level))).alias("at"))
         words = spots.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(
@@ -114,16 +118,21 @@ def build_cascade(universe: DataFrame, first_bits: int = 8, further_bits: int =
     return Cascade(levels)
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: Column, url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: Column, url_col: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
     """Adds host, path, rule and verdict. Where no rule fits, hosts for which the aggregate `listed`
     (over the columns of pages with host and path) holds are blocked, through a cascade over all hosts of pages."""
     host, path = url_parts(F.col(url_col))
     parsed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    universe = parsed.groupBy(F.col("host").alias("key")).agg(F.coalesce(listed, F.lit(False)).alias("listed"))
-    cascade = build_cascade(universe)
+    universe = parsed.where("host != ''").groupBy(F.col("host").alias("key")).agg(F.coalesce(listed, F.lit(False)).alias("listed"))
+    cascade = build_cascade(universe, max_bits=max_bits)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    by_list = F.when(cascade.holds(F.col("host")), "block").otherwise("allow")
-    return parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)})
+    if cascade:
+        held = (F.col("host") != "") & cascade.holds(F.col("host"))
+    else:  # a hot host's pages can be split between tasks
+        keys = materialize(universe.where("listed").select(F.col("key").alias("__key")))
+        parsed = parsed.join(keys, F.col("host") == F.col("__key"), "left")
+        held = F.col("__key").isNotNull()
+    return parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(held, "block").otherwise("allow"))}).drop("__key")
 
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -147,7 +156,7 @@ parts AS (
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
   FROM rest),
 hosts AS (
-  SELECT host, coalesce(bool_or(contains(url, 'utm_source=') OR contains(host, 'spam-farm')), false) AS listed
+  SELECT host, host <> '' AND coalesce(bool_or(contains(url, 'utm_source=') OR contains(host, 'spam-farm')), false) AS listed
   FROM parts GROUP BY host),
 ruled AS (
   SELECT p.page_id, p.host, p.path, h.listed,
