@@ -5,12 +5,14 @@ only raises their score. Added kinds (iban, secret, ssn) count from MIN_SCORE on
 mod-97 remainder, a secret or social security number by words shortly before it.
 
 Only SQL functions run. A pattern's matches and the pieces between them give every position by a
-running sum of lengths, so the cost is linear in the text. Patterns are possessive, so that no
+running sum of lengths. It is taken in blocks of as many matches as there are blocks, since every
+step of a running sum copies what was found before: m matches cost m to the power of 1.5. Patterns are possessive, so that no
 text, however long, recurses in the matcher; a look-behind keeps a run of characters from being
 tried again from each of its positions. \\G lets a match start right behind the one before.
 
 Defined results: a null text is empty and has no spans; repeated rows are each judged; an empty
-table gives an empty one; other columns of the input stay, except those named like an output.
+table gives an empty one; other columns of the input stay, except those named like an output or
+beginning with __m_, __p_ or __b_ and a kind, which are dropped.
 """
 
 from __future__ import annotations
@@ -61,20 +63,33 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _blocks(kind: Kind) -> Column:
+    """Where each block of matches of one kind begins in the text: the sums of what lies before it."""
+    m, p = f"__m_{kind.name}", f"__p_{kind.name}"
+    length = f"aggregate(sequence(k * {_WIDTH.format(m)} + 1, least(size({m}), (k + 1) * {_WIDTH.format(m)})), 0, (a, i) -> a + length({p}[i - 1]) + length({m}[i - 1]))"
+    lengths = f"transform(sequence(0, cast(ceil(size({m}) / {_WIDTH.format(m)}) as int) - 1), k -> {length})"
+    return F.expr(f"if(size({m}) > 0, aggregate({lengths}, array(0), (a, x) -> array_append(a, element_at(a, -1) + x)), array())")
+
+
+#: Matches in a block.
+_WIDTH = "cast(ceil(sqrt(size({}))) as int)"
+
+
 def _spans(kind: Kind, no: int) -> Column:
-    """Valid spans of one kind, in order; __m_<kind> and __p_<kind> hold the matches and the pieces around them."""
+    """Valid spans of one kind, in order; __m_<kind>, __p_<kind> and __b_<kind> hold the matches, the pieces around them and the blocks."""
+    m, p, b = (f"__{c}_{kind.name}" for c in "mpb")
     words = kind.words if kind.words.startswith("(?i)") else f"(?i){kind.words}"
     score = f"least(1.0D, {kind.prior}D + if(right(t.c, {CONTEXT_CHARS}) rlike {_quoted(words)}, 0.4D, 0.0D))"
     keep = f"({kind.valid})" + ("" if kind.base else f" and {score} >= {MIN_SCORE}D")
     # s: the place reached and the spans so far; t: the next match, the piece before it and its place
     step = f"""transform(
-      array(struct(element_at(__m_{kind.name}, i) as m, element_at(__p_{kind.name}, i) as c, s.at + length(element_at(__p_{kind.name}, i)) as start)),
+      array(struct(element_at({m}, i) as m, element_at({p}, i) as c, s.at + length(element_at({p}, i)) as start)),
       t -> struct(t.start + length(t.m) as at,
         if({keep}, array_append(s.spans, struct({no} as kind, t.start as start, t.start + length(t.m) as end, {score} as score)), s.spans) as spans))[0]"""
     none = "cast(array() as array<struct<kind:int,start:int,end:int,score:double>>)"
-    return F.expr(
-        f"if(size(__m_{kind.name}) > 0, aggregate(sequence(1, size(__m_{kind.name})), struct(0 as at, {none} as spans), (s, i) -> {step}, s -> s.spans), {none})"
-    )
+    block = f"""aggregate(sequence(k * {_WIDTH.format(m)} + 1, least(size({m}), (k + 1) * {_WIDTH.format(m)})),
+      struct({b}[k] as at, {none} as spans), (s, i) -> {step}, s -> s.spans)"""
+    return F.expr(f"if(size({m}) > 0, flatten(transform(sequence(0, size({b}) - 2), k -> {block})), {none})")
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
@@ -90,8 +105,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
         found = found.withColumn(f"__m_{k.name}", F.when(has, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(empty))
     for k in KINDS:
         found = found.withColumn(f"__p_{k.name}", F.when(F.size(f"__m_{k.name}") > 0, F.split(text, k.pattern, -1)))
+    found = found.withColumns({f"__b_{k.name}": _blocks(k) for k in KINDS})
     found = found.withColumn(out, F.concat(*[_spans(k, i) for i, k in enumerate(KINDS)]))
-    return found.drop(*[f"__{c}_{k.name}" for k in KINDS for c in "mp"])
+    return found.drop(*[f"__{c}_{k.name}" for k in KINDS for c in "mpb"])
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
