@@ -7,8 +7,9 @@
    pivots' own scores and the shells' lower bounds give a score that the k-th best cannot miss;
    cells whose upper bound stays below it hold nothing for q.
 3. Queries are grouped by neighbouring cells into blocks of bounded size; a row is replicated to
-   exactly the blocks one of whose queries may need its cell. A block's rows come in splits of bounded size, so a
-   hot cell, or a vector held by a third of all rows, spreads over many tasks.
+   exactly the blocks one of whose queries may need its cell. Rows lie in splits of bounded size: a
+   few neighbouring cells, or a part of a larger cell, so a hot cell, or a vector held by a third of
+   all rows, spreads over many tasks. A query goes to those splits only that hold a cell it needs.
 4. Each (block, split) is solved locally; the best k of every query are merged.
 
 Vectors are compared as integers floor(scale * x). Null ids, null vectors, and vectors with a null
@@ -31,7 +32,7 @@ from quillspark.session import materialize
 
 PIVOTS = 128
 SHELLS = 32
-QUERIES_PER_BLOCK = 4096
+QUERIES_PER_BLOCK = 16_384
 MIN_BLOCKS = 8
 ROWS_PER_SPLIT = 50_000
 MIN_SPLITS = 16
@@ -69,6 +70,21 @@ def _chain(pivots: np.ndarray) -> list[int]:
     return order
 
 
+def _splits(cell_rows: np.ndarray, order: list[int], most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first split and number of splits of each cell, number of all): cells follow each other in splits of `most` rows, larger ones have several."""
+    begin, parts, n, room = np.zeros(len(cell_rows), np.int64), np.ones(len(cell_rows), np.int64), 0, 0
+    for c in order:
+        rows = int(cell_rows[c])
+        if rows > most:
+            parts[c] = -(-rows // most)
+            begin[c], n, room = n, n + int(parts[c]), 0
+        else:
+            if rows > room:
+                n, room = n + 1, most
+            begin[c], room = max(0, n - 1), room - rows
+    return begin, parts, max(1, n)
+
+
 def knn_join(embeddings: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows by inner product for each row for which is_query (over vec_id) holds."""
     schema = "query_id long, rank int, vec_id long, score long"
@@ -109,11 +125,16 @@ def knn_join(embeddings: DataFrame, is_query: Column, k: int, scale: float = 64.
     if not n_queries:
         return spark.createDataFrame([], schema)
     blocks = max(MIN_BLOCKS, -(-n_queries // QUERIES_PER_BLOCK))
-    splits = max(MIN_SPLITS, -(-total // ROWS_PER_SPLIT))
     first_place = dict(zip(order := _chain(pivots), np.cumsum([0, *[sizes.get(c, 0) for c in order[:-1]]]).tolist(), strict=True))
 
+    cell_rows = np.bincount(s_cell, s_count, len(pivots)).astype(np.int64)
+    begin, parts, n_splits = _splits(cell_rows, order, min(ROWS_PER_SPLIT, -(-total // MIN_SPLITS)))
+    held_by = np.zeros((len(pivots), n_splits), bool)
+    for c in np.flatnonzero(cell_rows):
+        held_by[c, begin[c] : begin[c] + parts[c]] = True
+
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The block of each query, a score that its k-th best reaches, and the cells it needs."""
+        """The block of each query, a score that its k-th best reaches, and the splits it needs."""
         for b in batches:
             q = _matrix(b["v"], dim)
             inner, norm = q @ pivots.T, np.sqrt((q**2).sum(1))[:, None]
@@ -134,32 +155,27 @@ def knn_join(embeddings: DataFrame, is_query: Column, k: int, scale: float = 64.
             size = np.array([sizes[c] for c in b["cell"]])
             place = np.array([first_place[c] for c in b["cell"]]) + spread * size
             block = np.minimum(place * blocks // n_queries, blocks - 1).astype(np.int32)
-            yield pd.DataFrame({"block": block, "vec_id": b["vec_id"], "v": b["v"], "sure": sure, "needed": [np.packbits(x).tobytes() for x in needed]})
+            cells = [np.packbits(x, bitorder="little").view(np.int64) for x in np.pad(needed, ((0, 0), (0, -len(pivots) % 64)))]
+            splits = [np.flatnonzero(held_by[x].any(0)).astype(np.int32) for x in needed]
+            yield pd.DataFrame({"block": block, "vec_id": b["vec_id"], "v": b["v"], "sure": sure, "cells": cells, "splits": splits})
 
-    asked = materialize(asked.mapInPandas(bounded, "block int, vec_id long, v binary, sure double, needed binary"))
+    asked = materialize(asked.mapInPandas(bounded, "block int, vec_id long, v binary, sure double, cells array<long>, splits array<int>"))
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, bits in zip(b["block"], b["needed"], strict=True):
-                x = np.frombuffer(bits, np.uint8)
-                found[block] = found[block] | x if block in found else x
-        if found:
-            yield pd.DataFrame({"block": list(found), "needed": [x.tobytes() for x in found.values()]})
-
-    wanted = np.zeros((blocks, -(-len(pivots) // 8)), np.uint8)
-    partial = asked.select("block", "needed").coalesce(32).mapInPandas(merged, "block int, needed binary")
-    for r in partial.collect():  # PIVOTS bits for each block of queries from each of 32 tasks
-        wanted[r.block] |= np.frombuffer(r.needed, np.uint8)
-    cell_blocks = [np.flatnonzero(c).astype(np.int32).tolist() for c in np.unpackbits(wanted, 1)[:, : len(pivots)].T]
+    wanted = asked.groupBy("block").agg(F.array(*[F.bit_or(F.col("cells")[i]) for i in range(-(-len(pivots) // 64))]).alias("cells"))
+    cell_blocks: list[list[int]] = [[] for _ in pivots]
+    for r in wanted.collect():  # PIVOTS bits for each block of queries
+        for c in np.flatnonzero(np.unpackbits(np.array(r.cells, np.int64).view(np.uint8), bitorder="little")).tolist():
+            cell_blocks[c].append(r.block)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "blocks": [cell_blocks[c] for c in b["cell"]]})
+            cell, spread = b["cell"].to_numpy(), b["spread"].to_numpy()
+            split = begin[cell] + spread % parts[cell]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "split": split.astype(np.int32), "blocks": [cell_blocks[c] for c in cell]})
 
-    split = F.pmod(F.xxhash64("vec_id", "v"), F.lit(splits)).cast("int")
-    data = placed.mapInPandas(replicate, "vec_id long, v binary, blocks array<int>").select(F.explode("blocks").alias("block"), split.alias("split"), "vec_id", "v")
-    queries = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "vec_id", "v", "sure")
+    spread = placed.select("vec_id", "cell", "v", F.shiftrightunsigned(F.xxhash64("vec_id", "v"), 1).alias("spread"))
+    data = spread.mapInPandas(replicate, "vec_id long, v binary, split int, blocks array<int>").select(F.explode("blocks").alias("block"), "split", "vec_id", "v")
+    queries = asked.select("block", F.explode("splits").alias("split"), "vec_id", "v", "sure")
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = [(np.empty(0, np.int64),) * 3]
