@@ -1,9 +1,9 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Statistics describe a text only (never its labels, language, source or id). Standardised, they
-pass through FEATURES random cosines, which approximate a Gaussian kernel. Each of at most SUMS
-tasks adds its rows into one set of normal equations (FEATURES + 1 squared, whatever the corpus);
-their sum is solved for the ridge scores. Rows with crc32(doc_id) mod 4 = 2 are held out of
+pass through FEATURES random cosines, which approximate a Gaussian kernel. Each partition adds its
+rows into one set of normal equations (FEATURES + 1 squared, whatever the corpus); these are added
+up SUMS at a time, and their sum is solved for the ridge scores. Rows with crc32(doc_id) mod 4 = 2 are held out of
 everything; those with remainder 3 calibrate the scores that the others fitted, through counts in
 BINS score bins and pooling of adjacent violators.
 
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ RIDGE = 1e-3
 SUMS = 64
 BINS = 2000
 KEEP = 0.7
+#: Where a model is fitted apart from scoring, so many labelled rows are enough.
+SAMPLE = 100_000
 
 _CLASS = np.zeros(256, np.int8)  # 0 other
 for k, chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\v\f", b".,;:?'\"()-", b"!", b"|", b"#$%&*@^~<>{}[]\\_+=/`"), 1):
@@ -121,6 +124,12 @@ def isotonic(bins: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.nda
     return np.array([p[0] / p[1] for p in pools]), np.array([(p[2] + 0.5) / (p[1] + 1) for p in pools])
 
 
+def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Rows of docs to fit on: all where there are at most `most` labels, else about as many, chosen by a hash of doc_id."""
+    n = labels.select("doc_id").distinct().count()
+    return docs if n <= most else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """stats: (doc_id, stats); labels: (doc_id, quality). Held-out rows are not read."""
     known = labels.groupBy("doc_id").agg(F.max("quality").alias("y")).where("y in (0, 1)")
@@ -140,10 +149,17 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             z = model.lift(_stack(b["stats"]))
             left += z.T @ z
             right += z.T @ b["y"].to_numpy()
-        yield pd.DataFrame({"sums": [np.concatenate([left.ravel(), right]).tobytes()]})
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"part": [part], "sums": [np.concatenate([left.ravel(), right]).tobytes()]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        sums = np.sum([np.frombuffer(x) for x in group.sort_values("part")["sums"]], 0)
+        return pd.DataFrame({"part": [group["part"].iloc[0] // SUMS], "sums": [sums.tobytes()]})
 
-    parts = rows.where("not calibrates").coalesce(SUMS).mapInPandas(equations, "sums binary").collect()  # SUMS rows at most
-    total = np.sum([np.frombuffer(p.sums) for p in parts], 0)
+    sums = materialize(rows.where("not calibrates").mapInPandas(equations, "part long, sums binary"))
+    while sums.count() > SUMS:
+        sums = materialize(sums.groupBy(F.floor(F.col("part") / SUMS)).applyInPandas(added, "part long, sums binary"))
+    total = np.sum([np.frombuffer(r.sums) for r in sums.orderBy("part").collect()], 0)  # SUMS rows at most
     left, right = total[: size * size].reshape(size, size), total[size * size :]
     n = left[-1, -1]
     penalty = np.eye(size) * RIDGE * max(n, 1)
