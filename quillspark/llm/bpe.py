@@ -1,10 +1,12 @@
 """BPE encoding and decoding of whole texts; long ones by tree concatenation.
 
 A text longer than LONG characters is cut into pieces that are encoded in parallel. Neighbours
-are joined pairwise, in a tree: a window around the join is encoded again, and grows until on
-either side it agrees with the piece's own encoding on a place where a word ends; the tokens left
-of the one place, those of the window between and those right of the other are the encoding of
-both. Encoding starts afresh behind a word, so the result is exact; at worst the window is the text.
+are joined in a tree, FAN of them in a task, until one is left: a window around each join is
+encoded again and grows, on the side that needs it, until on either side one whole token of the
+window is a token of the piece, at the same place. What lies left of the one, the window's tokens
+between and what lies right of the other are then the encoding of both: a list of tokens is the
+encoding of its text if each two neighbours are that of theirs, and every two neighbours here are
+neighbours in one of the three encodings. At worst, as in a run of one character, the window is the text.
 
 Defined results: a null text is empty and has no tokens; every row is encoded on its own, ids
 null or repeated or not; an empty table gives an empty one; other columns are ignored.
@@ -12,6 +14,7 @@ null or repeated or not; an empty table gives an empty one; other columns are ig
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +28,7 @@ from quillspark.llm._encode import Encoder, encoder_of
 LONG = 50_000
 PIECE = 25_000
 WINDOW = 128
+FAN = 16
 
 
 @dataclass
@@ -35,40 +39,61 @@ class Part:
     ends: np.ndarray
 
 
+def _stands(text: str, at: int) -> bool:
+    """Whether normalizing leaves what lies before this place apart from what follows."""
+    return at >= len(text) or (unicodedata.category(text[at])[0] != "M" and not "\u1100" <= text[at] <= "\u11ff")
+
+
+def _agreed(
+    text: str, p: Part, shift: int, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, lo: int, hi: int, first: bool = False
+) -> tuple[int, int] | None:
+    """Places in p and in the window behind the last token within lo and hi that both hold, or before the first such token."""
+    a, b = np.searchsorted(p.begins + shift, [lo, hi])
+    held = {(int(p.begins[i]) + shift, int(p.ends[i]) + shift, int(p.ids[i])): i for i in range(a, b)}
+    for k in range(len(ids)) if first else reversed(range(len(ids))):
+        i = held.get((int(begins[k]), int(ends[k]), int(ids[k]))) if lo <= begins[k] and ends[k] <= hi else None
+        if i is None or not _stands(text, int(begins[k] if first else ends[k])):
+            continue
+        # no other token reaches over the place: characters may be normalized into several tokens
+        if first and (k == 0 or ends[k - 1] <= begins[k]) and (i == 0 or p.ends[i - 1] <= p.begins[i]):
+            return i, k
+        if not first and (k + 1 == len(ids) or begins[k + 1] >= ends[k]) and (i + 1 == len(p.ids) or p.begins[i + 1] >= p.ends[i]):
+            return i + 1, k + 1
+    return None
+
+
 class Joiner:
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
-        vocab = encoder.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        for t, i in vocab.items():
-            self.closes[i] = t.endswith("</w>")
+        self.encoded = 0  # characters that joins encoded again
+        # a special token over a join is whole in its window
+        self.least = 2 * max((len(t.content) for t in encoder.tokenizer.get_added_tokens_decoder().values()), default=0)
 
     def encode(self, text: str) -> Part:
         e = self.encoder.tokenizer.encode(text, add_special_tokens=False)
         spans = np.array(e.offsets, np.int64).reshape(-1, 2)
         return Part(text, np.array(e.ids, "<u4"), spans[:, 0], spans[:, 1])
 
-    def _word_ends(self, p: Part) -> dict[int, int]:
-        """Place in the text at which a word ends -> number of tokens up to it."""
-        hits = np.flatnonzero(self.closes[p.ids])
-        return dict(zip(p.ends[hits].tolist(), (hits + 1).tolist(), strict=True))
-
     def join(self, a: Part, b: Part, window: int = WINDOW) -> Part:
         text, at = a.text + b.text, len(a.text)
-        ends_a, ends_b = self._word_ends(a), self._word_ends(b)
+        window = max(window, self.least)
+        lo, hi = max(0, at - window), min(len(text), at + window)
         while True:
-            lo, hi = max(0, at - window), min(len(text), at + window)
             mid = self.encode(text[lo:hi])
-            ends = self._word_ends(mid)
-            left = (0, 0) if lo == 0 else max(((ends_a[lo + p], k) for p, k in ends.items() if lo + p < at and lo + p in ends_a), default=None)
-            right = (len(b.ids), len(mid.ids)) if hi == len(text) else min(
-                ((ends_b[lo + p - at], k) for p, k in ends.items() if lo + p > at and lo + p - at in ends_b), default=None
-            )
+            self.encoded += hi - lo
+            begins, ends = mid.begins + lo, mid.ends + lo
+            left = (0, 0) if lo == 0 else _agreed(text, a, 0, mid.ids, begins, ends, lo, at)
+            right = (len(b.ids), len(mid.ids)) if hi == len(text) else _agreed(text, b, at, mid.ids, begins, ends, at, hi, first=True)
             if left and right:
-                i, k, j, m = left[0], left[1], right[0], right[1]
-                shifted = [np.concatenate([x[:i], y[k:m] + lo, z[j:] + at]) for x, y, z in ((a.begins, mid.begins, b.begins), (a.ends, mid.ends, b.ends))]
-                return Part(text, np.concatenate([a.ids[:i], mid.ids[k:m], b.ids[j:]]), *shifted)
-            window *= 4
+                (i, k), (j, m) = left, right
+                return Part(
+                    text, np.concatenate([a.ids[:i], mid.ids[k:m], b.ids[j:]]),
+                    np.concatenate([a.begins[:i], begins[k:m], b.begins[j:] + at]), np.concatenate([a.ends[:i], ends[k:m], b.ends[j:] + at]),
+                )
+            if not left:
+                lo = max(0, at - 4 * (at - lo))
+            if not right:
+                hi = min(len(text), at + 4 * (hi - at))
 
     def tree(self, parts: list[Part]) -> Part:
         while len(parts) > 1:
@@ -92,24 +117,45 @@ def encode_decode(docs: DataFrame, tokenizer: str, long: int = LONG, piece: int
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         joiner = Joiner(encoder_of(tokenizer))
         for b in batches:
-            found = [joiner.encode(t) for t in b["text"]]
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), **{c: [getattr(p, c).tobytes() for p in found] for c in ("ids", "begins", "ends")})
+            yield _row(b[["row", "doc_id", "no"]], [joiner.encode(t) for t in b["text"]])
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                parts = [r.text[i : i + piece] for i in range(0, len(r.text), piece)]
+                doc = pd.array([r.doc_id] * len(parts), "Int64") if pd.notna(r.doc_id) else pd.array([None] * len(parts), "Int64")
+                yield pd.DataFrame({"row": r.row, "doc_id": doc, "no": range(len(parts)), "text": parts})
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
-        group, encoder = group.sort_values("no"), encoder_of(tokenizer)
+        group = group.sort_values("no")
         parts = [
             Part(r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.begins, np.int64), np.frombuffer(r.ends, np.int64))
             for r in group.itertuples()
         ]
-        ids = Joiner(encoder).tree(parts).ids
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].astype("Int64"), "ids": [ids.tobytes()], "decoded": [encoder.decode(ids)]})
+        out = group[["row", "doc_id", "no"]].iloc[:1]
+        return _row(out.assign(no=out["no"] // FAN), [Joiner(encoder_of(tokenizer)).tree(parts)])
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_of(tokenizer)
+        for b in batches:
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), decoded=[encoder.decode(np.frombuffer(x, "<u4")) for x in b["ids"]])
 
     small = rows.where(F.length("text") <= long).mapInPandas(short, schema)
     cut = rows.where(F.length("text") > long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    cut = cut.select("row", "doc_id", "text", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) / {piece} as int))")).alias("no"))
-    cut = cut.select("row", "doc_id", "no", F.substring("text", F.col("no") * piece + 1, F.lit(piece)).alias("text"))
-    cut = cut.repartition("row", "no").mapInPandas(leaves, "row long, doc_id long, no int, text string, ids binary, begins binary, ends binary")
-    return small.unionByName(cut.groupBy("row").applyInPandas(together, schema))
+    most = rows.agg(F.max(F.length("text"))).first()[0] or 0
+    part = "row long, doc_id long, no int, text string, ids binary, begins binary, ends binary"
+    cut = cut.mapInPandas(pieces, "row long, doc_id long, no int, text string")
+    cut = cut.repartition("row", "no").mapInPandas(leaves, part)
+    count = -(-most // piece)
+    while count > 1:  # as many rounds as the tree of the longest text has levels
+        cut = cut.groupBy("row", F.floor(F.col("no") / FAN)).applyInPandas(together, part)
+        count = -(-count // FAN)
+    return small.unionByName(cut.select("doc_id", "ids").mapInPandas(decoded, schema))
+
+
+def _row(keys: pd.DataFrame, parts: list[Part]) -> pd.DataFrame:
+    values = {c: [getattr(p, c).tobytes() for p in parts] for c in ("ids", "begins", "ends")}
+    return keys.assign(doc_id=keys["doc_id"].astype("Int64"), text=[p.text for p in parts], **values)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
