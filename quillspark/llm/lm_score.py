@@ -83,7 +83,7 @@ def gram_rows(keyed: DataFrame, buckets: int, order: int) -> DataFrame:
         words = _Words(group["text"].tolist())
         h, n = np.unique(np.concatenate([words.grams(k)[1] for k in range(1, order + 1)]), return_counts=True)
         bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
+        by = np.lexsort((n, bucket))  # equal counts side by side take no room in the shuffle
         kinds, cuts = np.unique(bucket[by], return_index=True)
         cut = lambda x: pd.Series(np.split(x[by], cuts[1:]) if len(kinds) else [], dtype=object)
         return pd.DataFrame({"bucket": kinds, "slice": int(group["slice"].iloc[0]), "h": cut(h), "n": cut(n.astype(np.int32))})
@@ -101,6 +101,7 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
         c = np.bincount(of, n).astype(np.int64)[of]
         ends = np.cumsum(sizes)
         many = [np.flatnonzero(c[a:b] > 1) + a for a, b in zip(ends - sizes, ends, strict=True)]
+        many = [x[np.argsort(c[x], kind="stable")] for x in many]
         back = pd.DataFrame({"slice": group["slice"].to_numpy(), "h": pd.Series([h[x] for x in many], dtype=object), "c": pd.Series([c[x] for x in many], dtype=object)})
         return back[[len(x) > 0 for x in many]]
 
