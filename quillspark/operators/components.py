@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
+EDGES_PER_PARTITION = 500_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v). Large: larger neighbours of u go to the least of u and its neighbours. Small: the smaller ones and u itself do."""
@@ -26,12 +28,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component): the least node reachable, for each node of at least one edge between different nodes.
 
     The edge list only ever shrinks towards one star for each component; every round is cut off by
-    a checkpoint. Null ends and loops are ignored.
+    a checkpoint, in as many partitions as the edges fill. Null ends and loops are ignored.
     """
     edges = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct())
+    parts = max(1, -(-edges.count() // EDGES_PER_PARTITION))
     mark = None
     for _ in range(max_rounds):
-        edges = materialize(_star(_star(edges, True), False))
+        edges = materialize(_star(materialize(_star(edges, True).coalesce(parts)), False).coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
