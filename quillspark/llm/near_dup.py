@@ -12,6 +12,8 @@
    by block, on the full sets; this finds every further link. Its work grows with the number of
    members outside the large components times the members of their lists.
 
+A class is known by its key, the hash of its set, and its component by the least key in it.
+
 Defined results: a text without words (or null) has an empty set and links with nothing; a text
 with fewer than `words` words is one shingle; rows with equal doc_id are handled each on its own;
 rows without doc_id take no part; an empty table gives an empty one; other columns are ignored.
@@ -36,8 +38,6 @@ COLD = 32
 LEADERS = 8
 #: How far an estimate from SKETCH values may lie under the threshold: five standard deviations.
 MARGIN = 0.25
-#: Up to so many pairs of two longs are united on the driver.
-DRIVER_EDGES = 100_000
 #: Members of a long list that meet in one task.
 BLOCK = 256
 #: Up to so many ids (8 bytes each) go to every task; beyond that they are joined by a shuffle.
@@ -49,16 +49,17 @@ def _set_key(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, key, sketch array<long>) of each row; equal sets have equal n and key."""
+    """(doc_id, text_hash, n, key, sketch array<long>) of each row; equal sets have equal n and key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for b in batches:
             sets = shingle_sets(b["text"].tolist(), words, powers)
             rows = [(len(s), _set_key(s), s[:SKETCH].view(np.int64)) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [r[0] for r in rows], "key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": [r[0] for r in rows], "key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key long, sketch array<long>")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, n long, key long, sketch array<long>")
 
 
 def _band(percent: int) -> Column:
@@ -109,7 +110,7 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ends: DataFrame, words: int) -> DataFrame:
-    """(rep, full): the whole sets, as bytes, of the classes in ends (doc_id, key)."""
+    """(rep, full): the whole sets, as bytes, of the classes in ends (doc_id, rep)."""
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ends) if few else ends, "doc_id")
@@ -118,21 +119,22 @@ def full_sets(docs: DataFrame, ends: DataFrame, words: int) -> DataFrame:
         powers = Powers()
         for b in batches:
             found = list(shingle_sets(b["text"].tolist(), words, powers))
-            same = [_set_key(s) == k for s, k in zip(found, b["key"], strict=True)]
+            same = [_set_key(s) == k for s, k in zip(found, b["rep"], strict=True)]
             if any(same):
-                yield pd.DataFrame({"rep": b["doc_id"][same], "full": [s.tobytes() for s, x in zip(found, same, strict=True) if x]})
+                yield pd.DataFrame({"rep": b["rep"][same], "full": [s.tobytes() for s, x in zip(found, same, strict=True) if x]})
 
-    return wanted.mapInPandas(sets, "rep long, full binary")
+    # where rows repeat, their set is held once
+    return wanted.mapInPandas(sets, "rep long, full binary").groupBy("rep").agg(F.first("full").alias("full"))
 
 
 def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): candidate classes (rep, n, key, sketch) whose full sets reach the similarity."""
+    """(a, b): candidate classes (rep, first, n, sketch) whose full sets reach the similarity."""
     pairs = candidates(lists, percent)
-    own = {x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab"}
+    own = {x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab"}
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
     share = F.size(F.array_intersect(F.array_intersect(union, F.col("s_a")), F.col("s_b"))) / F.size(union)
-    near = materialize(pairs.join(own["a"], "a").join(own["b"], "b").where(share >= percent / 100 - MARGIN).select("a", "b", "key_a", "key_b"))
-    ends = near.select(F.explode(F.expr("array(struct(a as doc_id, key_a as key), struct(b as doc_id, key_b as key))")).alias("e")).select("e.*").distinct()
+    near = materialize(pairs.join(own["a"], "a").join(own["b"], "b").where(share >= percent / 100 - MARGIN).select("a", "b", "first_a", "first_b"))
+    ends = near.select(F.explode(F.expr("array(struct(first_a as doc_id, a as rep), struct(first_b as doc_id, b as rep))")).alias("e")).select("e.*").distinct()
     full = full_sets(docs, ends, words)
     full_a, full_b = (full.select(F.col("rep").alias(x), F.col("full").alias(f"full_{x}")) for x in "ab")
 
@@ -148,25 +150,6 @@ def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, words: int, per
     return near.select("a", "b").join(full_a, "a").join(full_b, "b").mapInPandas(confirm, "a long, b long")
 
 
-def merged(edges: DataFrame) -> DataFrame:
-    """(node, component) as of connected_components; up to DRIVER_EDGES distinct edges are united on the driver, without its rounds."""
-    edges = materialize(edges.where("a != b").distinct())
-    few = edges.limit(DRIVER_EDGES + 1).collect()
-    if len(few) > DRIVER_EDGES:
-        return connected_components(edges)
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for a, b in few:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    return edges.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], "node long, component long")
-
-
 def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): components of found (node, component) with a link between members of long lists; a class in none is its own.
 
@@ -175,10 +158,10 @@ def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: Dat
     """
     many = lists.where(F.col("df") > COLD).select("value", "rep")
     least = many.groupBy("rep").agg(F.min("value").alias("least"), F.first("value").alias("value"))
-    united = merged(many.join(least.select("rep", "least"), "rep").select(F.col("value").alias("a"), F.col("least").alias("b")))
+    united = connected_components(many.join(least.select("rep", "least"), "rep").select(F.col("value").alias("a"), F.col("least").alias("b")))
     cluster = least.join(united, least["value"] == united["node"], "left").select(F.col("rep").alias("node"), F.coalesce("component", "value").alias("cluster"))
-    hot = cluster.join(classes.select(F.col("rep").alias("node"), "n", "key", _band(percent).alias("band")), "node")
-    hot = materialize(hot.join(found, "node", "left").select("cluster", F.col("node").alias("rep"), "key", "band", F.coalesce("component", "node").alias("component")))
+    hot = cluster.join(classes.select(F.col("rep").alias("node"), "n", "first", _band(percent).alias("band")), "node")
+    hot = materialize(hot.join(found, "node", "left").select("cluster", F.col("node").alias("rep"), "first", "band", F.coalesce("component", "node").alias("component")))
     # a component that fills blocks gets its own, and those need not meet one another
     large = hot.groupBy("cluster", "component").agg(F.count("*").alias("members")).where(F.col("members") >= BLOCK).select("cluster", "component", F.col("component").alias("own"))
     hot = hot.join(large, ["cluster", "component"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
@@ -191,8 +174,8 @@ def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: Dat
     meet = materialize(meet.select("cluster", "i", "j"))
     places = meet.select("cluster", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side"))
     places = places.unionByName(meet.where("i != j").select("cluster", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
-    wanted = materialize(hot.select("cluster", F.struct("own", "band", "salt").alias("at"), "rep", "key", "component").join(places.select("cluster", "at").distinct(), ["cluster", "at"]))
-    full = full_sets(docs, wanted.select(F.col("rep").alias("doc_id"), "key").distinct(), words)
+    wanted = materialize(hot.select("cluster", F.struct("own", "band", "salt").alias("at"), "rep", "first", "component").join(places.select("cluster", "at").distinct(), ["cluster", "at"]))
+    full = full_sets(docs, wanted.select(F.col("first").alias("doc_id"), "rep").distinct(), words)
     rows = wanted.join(full, "rep").join(places, ["cluster", "at"]).select("cluster", "i", "j", "side", "component", "full")
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
@@ -222,29 +205,36 @@ def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id long, text)."""
+    """(doc_id, n_shingles, component_id, kept, component, text_hash) for every row of docs (doc_id long, text).
+
+    component is that of the row's class (null for an empty set), text_hash the xxhash64 of the row's text.
+    """
     marked = materialize(sketches(docs, words))
     classes = materialize(
-        marked.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
+        marked.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("first"), F.min_by("sketch", "doc_id").alias("sketch")).withColumnRenamed("key", "rep")
     )
     lists = prefix_lists(classes, percent)
     linked = materialize(links(docs, classes, lists, words, percent))
     found = connected_components(linked)
     if lists.where(F.col("df") > COLD).limit(1).count():
         found = materialize(found)
-        more = merged(rest_links(docs, classes, lists, found, words, percent))
+        more = materialize(connected_components(rest_links(docs, classes, lists, found, words, percent)))
         again = more.select(F.col("node").alias("component"), F.col("component").alias("united"))
         alone = more.join(found, "node", "left_anti")  # in no link before
         found = found.join(again, "component", "left").select("node", F.coalesce("united", "component").alias("component")).unionByName(alone.select("node", "component"))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("n", "key", F.coalesce("component", "rep").alias("component_id"))
-    filled = marked.where("n > 0").select("doc_id", "n", "key").join(named, ["n", "key"])
-    empty = marked.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = filled.select("doc_id", "n", "component_id").unionByName(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    named = classes.select("n", "rep", "first").join(found, F.col("rep") == F.col("node"), "left").select("n", "rep", "first", F.coalesce("component", "rep").alias("component"))
+    named = materialize(named)
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("n", F.col("rep").alias("key"), "component", "component_id")
+    filled = marked.where("n > 0").select("doc_id", "text_hash", "n", "key").join(named, ["n", "key"]).drop("key")
+    empty = marked.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    out = filled.unionByName(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "component", "text_hash")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
+    return found.drop("component", "text_hash")
 
 
 ORACLE_SQL = r"""
