@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, knn, lm_score, near_dup, packing, pii, quality, simhash, token_counts, url_filter
@@ -158,6 +159,58 @@ def test_quality_learns_and_holds_out(spark):
     assert {x.s for x in df.select(none.score_column("text").alias("s")).collect()} == {0.5}
 
 
+def brute_scores(rows, labels):
+    """Scores by one set of normal equations over all rows and the max-min form of isotonic regression."""
+    y = {}
+    for i, q in labels:
+        if q is not None:
+            y[i] = max(q, y.get(i, q))
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in rows}
+    stats = np.array([quality.statistics(t) for _, t in rows])
+    known = [k for k, (i, _) in enumerate(rows) if i in y and part[i] != 2]
+    fits, calibrates = [k for k in known if part[rows[k][0]] != 3], [k for k in known if part[rows[k][0]] == 3]
+    mean, spread = stats[known].mean(0), stats[known].std(0)
+    x = np.clip((stats - mean) / np.where(spread > 1e-9, spread, 1), -6, 6)
+    rng = np.random.default_rng(7)
+    w, b = rng.normal(0, 1 / quality.WIDTH, (quality.N_STATS, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.cos(x @ w + b) * np.sqrt(2 / quality.FEATURES), np.ones((len(x), 1))])
+    target = np.array([y.get(i, 0) for i, _ in rows], float)
+    ridge = np.diag([quality.RIDGE * len(fits)] * quality.FEATURES + [1e-9])
+    raw = z @ np.linalg.solve(z[fits].T @ z[fits] + ridge, z[fits].T @ target[fits])
+    bins = defaultdict(lambda: [0, 0.0])
+    for k in calibrates:
+        at = bins[int(min(max((raw[k] + 0.5) / 2 * quality.BINS, 0), quality.BINS - 1))]
+        at[0], at[1] = at[0] + 1, at[1] + target[k]
+    keys = sorted(bins)
+    mean_of = lambda a, c: sum(bins[k][1] for k in keys[a : c + 1]) / sum(bins[k][0] for k in keys[a : c + 1])
+    level = [max(min(mean_of(a, c) for c in range(i, len(keys))) for a in range(i + 1)) for i in range(len(keys))]
+    knots, levels = [], []
+    for v in sorted(set(round(v, 9) for v in level)):
+        mine = [k for k, u in zip(keys, level, strict=True) if round(u, 9) == v]
+        n, t = sum(bins[k][0] for k in mine), sum(bins[k][1] for k in mine)
+        knots.append(sum(((k + 0.5) / quality.BINS * 2 - 0.5) * bins[k][0] for k in mine) / n)
+        levels.append((t + 0.5) / (n + 1))
+    return np.clip(0.999 * np.interp(raw, knots, levels) + 0.001 * np.clip(raw / 3 + 1 / 3, 0, 1), 0, 1)
+
+
+def test_quality_matches_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "SUMS", 2)  # sums of sums
+    r = random.Random(3)
+    word = lambda junk: r.choice(["x###", "1234", "y$$"]) if r.random() < junk else r.choice(["alpha", "beta", "of", "the", "Gamma."])
+    rows = [(i, " ".join(word(r.choice([0.1, 0.4]) if i % 2 else r.choice([0.3, 0.7])) for _ in range(r.randrange(5, 60)))) for i in range(400)]
+    rows += [(400, None), (401, ""), (402, LONG), (7, rows[7][1]), (403, "a")]
+    labels = [(i, i % 2) for i in range(0, 380)] + [(9, 0), (10, 1), (11, None), (5000, 1), (401, 0)]
+    spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, stats string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op3_quality(spark, str(tmp_path)).toPandas().sort_values(["doc_id", "score"])
+    want = sorted(zip([i for i, _ in rows], brute_scores(rows, labels), strict=True))
+    assert len(got) == len(rows) and np.allclose(got.score, [s for _, s in want], atol=1e-6)
+    assert (got.predicted == (got.score >= 0.7)).all() and (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in want]).all()
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/e/labels.parquet")
+    assert quality.op3_quality(spark, f"{tmp_path}/e").count() == 0
+
+
 def test_isotonic_never_falls():
     knots, levels = quality.isotonic(np.arange(6.0), np.array([5, 5, 5, 5, 5, 5.0]), np.array([0, 3, 1, 4, 2, 5.0]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all()
@@ -243,6 +296,22 @@ def test_near_duplicates_match_brute_force(spark):
 # 6
 
 
+def test_overlapping_excerpts_match_brute_force(spark):
+    """Windows over one text form a chain: every shingle is in a long list, and few pairs of its holders link."""
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words[2 * i : 2 * i + 100]) for i in range(250)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(docs(spark, texts), 4, 80).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_near_duplicates_with_equal_or_no_ids(spark):
+    a, b = near_copies(21, 2, [0, 1]), near_copies(22, 2, [0, 1])
+    rows = [(5, a[0]), (5, b[0]), (5, a[0]), (6, a[1]), (4, b[1]), (None, a[0]), (7, None), (7, ""), (8, "x y z w")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    of = {i: {x.component_id for x in got if x.doc_id == i} for i in (4, 5, 6, 7, 8)}
+    assert len(got) == 8 and of == {4: {4}, 5: {4, 5}, 6: {5}, 7: {7}, 8: {8}}
+
+
 @pytest.mark.parametrize("case", ["footer", "chains"])
 def test_long_lists_match_brute_force(spark, case):
     base, footer = " ".join(f"b{i}" for i in range(47)), " ".join(f"f{i}" for i in range(11))
@@ -406,6 +475,39 @@ def test_lm_rows_with_equal_or_no_id(spark):
 # 9
 
 
+def brute_fingerprint(text):
+    w = re.split(r"[ \t\n\v\f\r]+", text)
+    total, votes = 0, [0] * 128
+    for term in [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)] or w:
+        weight = max(1, min(15, len(term)))
+        low = xxhash.xxh64(term.encode(), seed=42).intdigest()
+        high = xxhash.xxh64((1).to_bytes(4, "little"), seed=low).intdigest()
+        total += weight
+        for j in range(64):
+            votes[64 + j] += weight * (low >> j & 1)
+            votes[j] += weight * (high >> j & 1)
+    return sum(1 << j for j in range(128) if 2 * votes[j] > total)
+
+
+def test_next_documents_of_sparse_and_repeated_ids(spark, tmp_path):
+    ids = [-(2**63), -5, -5, 0, 3, 2**40, 2**62, 2**63 - 1, None]
+    rows = [(i, f"text {k} " * (k + 3)) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id, x.edited_sha256) for x in simhash.op9_simhash(spark, str(tmp_path)).collect())
+    plain = sorted(x for x in rows if x[0] is not None)
+    want = []
+    for k, (i, t) in enumerate(plain):
+        q = len(t) // 4
+        want.append((i, hashlib.sha256((t[: len(t) - q] + plain[(k + 1) % len(plain)][1][:q]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_ranges_by_halving(spark):
+    cuts = [3, 5, 9, 10, 40]
+    got = [x.p for x in spark.range(50).select(simhash._place(F.col("id"), cuts).alias("p")).collect()]
+    assert got == [sum(c <= i for c in cuts) for i in range(50)]
+
+
 def test_fingerprints(spark, tmp_path):
     texts = TEXTS + near_copies(3, 4, [1])
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
@@ -415,6 +517,8 @@ def test_fingerprints(spark, tmp_path):
         q = len(t) // 4
         edited = t[: len(t) - q] + plain[(i + 1) % len(plain)][:q]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert int(got[i].fingerprint, 16) == brute_fingerprint(t)
+        assert int(got[i].edited_fingerprint, 16) == brute_fingerprint(edited)
     assert len({got[i].fingerprint for i, t in enumerate(plain) if t == ""}) == 1
     assert got[6].fingerprint == got[7].fingerprint
     marks = [int(got[i].fingerprint, 16) for i in range(len(plain))]

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tests.llm.test_operators import brute_components, near_copies, shingles  # noqa: F401
+from tests.llm.test_operators import BYTE, base_spans, brute_scores, near_copies
 
 
 @pytest.fixture
@@ -54,3 +54,52 @@ def test_awkward_rows(spark, tmp_path):
     assert p.drop_near_copies(spark, docs, str(tmp_path)).count() == 4
     assert p.redact_pii(spark, docs, str(tmp_path)).columns == docs.columns
     assert p.pack(spark, docs, str(tmp_path)).count() == 4
+
+
+def five(t):
+    w = t.lower().split()
+    return set(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_pipeline_matches_brute_force(spark, corpus):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    path, texts = corpus
+    labels = [(i, int(not 60 <= i < 100)) for i in range(len(texts)) if i % 10 < 8]
+    kept = [(i, t) for (i, t), s in zip(enumerate(texts), brute_scores(list(enumerate(texts)), labels), strict=True) if s >= 0.7]
+    sets, root = {i: five(t) for i, t in kept}, {i: i for i, _ in kept}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) > 0:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    single = [(i, t) for i, t in kept if find(i) == i]
+    assert 60 <= len(single) < len(kept) < len(texts)
+    tokenizer, want = Tokenizer.from_file(BYTE), {}
+    for i, t in single:
+        for kind, a, b in sorted(base_spans(t), key=lambda s: -s[1]):
+            t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+        want[i] = len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    got = p.run(spark, path).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and (g.offset == g.length.cumsum() - g.length).all()
+
+
+def test_near_copies_with_equal_or_no_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    a, b = near_copies(21, 2, [0, 1]), near_copies(22, 2, [0, 1])
+    rows = [(5, a[0]), (5, b[0]), (5, a[0]), (6, a[1]), (4, b[1]), (None, a[0]), (7, None), (7, ""), (7, ""), (8, "x y")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, hash int")
+    left = p.drop_near_copies(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == sorted([(0, a[0]), (4, b[1]), (5, a[0]), (7, ""), (7, ""), (7, ""), (8, "x y")])
+    none = docs.where("false")
+    assert p.drop_near_copies(spark, none, "").count() == 0 and p.redact_pii(spark, none, "").columns == docs.columns
