@@ -126,19 +126,20 @@ def encode_decode(docs: DataFrame, tokenizer: str, long: int = LONG, piece: int
                 doc = pd.array([r.doc_id] * len(parts), "Int64") if pd.notna(r.doc_id) else pd.array([None] * len(parts), "Int64")
                 yield pd.DataFrame({"row": r.row, "doc_id": doc, "no": range(len(parts)), "text": parts})
 
-    def together(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("no")
+    def joined(group: pd.DataFrame) -> Part:
         parts = [
             Part(r.text, np.frombuffer(r.ids, "<u4"), np.frombuffer(r.begins, np.int64), np.frombuffer(r.ends, np.int64))
-            for r in group.itertuples()
+            for r in group.sort_values("no").itertuples()
         ]
+        return Joiner(encoder_of(tokenizer)).tree(parts)
+
+    def together(group: pd.DataFrame) -> pd.DataFrame:
         out = group[["row", "doc_id", "no"]].iloc[:1]
-        return _row(out.assign(no=out["no"] // FAN), [Joiner(encoder_of(tokenizer)).tree(parts)])
+        return _row(out.assign(no=out["no"] // FAN), [joined(group)])
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer)
-        for b in batches:
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), decoded=[encoder.decode(np.frombuffer(x, "<u4")) for x in b["ids"]])
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        ids = joined(group).ids
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].astype("Int64"), "ids": [ids.tobytes()], "decoded": [encoder_of(tokenizer).decode(ids)]})
 
     small = rows.where(F.length("text") <= long).mapInPandas(short, schema)
     cut = rows.where(F.length("text") > long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -147,10 +148,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, long: int = LONG, piece: int
     cut = cut.mapInPandas(pieces, "row long, doc_id long, no int, text string")
     cut = cut.repartition("row", "no").mapInPandas(leaves, part)
     count = -(-most // piece)
-    while count > 1:  # as many rounds as the tree of the longest text has levels
+    while count > FAN:  # as many rounds as the tree of the longest text has levels
         cut = cut.groupBy("row", F.floor(F.col("no") / FAN)).applyInPandas(together, part)
         count = -(-count // FAN)
-    return small.unionByName(cut.select("doc_id", "ids").mapInPandas(decoded, schema))
+    return small.unionByName(cut.groupBy("row").applyInPandas(whole, schema))
 
 
 def _row(keys: pd.DataFrame, parts: list[Part]) -> pd.DataFrame:
