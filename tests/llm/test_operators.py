@@ -333,6 +333,7 @@ def test_members_their_leader_refuses_meet_all_others(spark, monkeypatch):
 def test_bpe_round_trip(spark):
     w = Encoder(WORD).tokenizer
     texts = TEXTS + ["日本語" * 300, "can't 's ''s" * 200, " " * 100 + "x"]
+    texts += ["".join(chr(97 + i * i % 26) for i in range(60_000))]  # more pieces than a task joins
     got = bpe.encode_decode(docs(spark, texts), WORD, long=500, piece=171).collect()
     assert len(got) == len(texts)
     for x in got:
