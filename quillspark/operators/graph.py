@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,46 +105,40 @@ def communities(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5) -
     )
 
 
-def louvain_local(edges: DataFrame, by: str, passes: int = 24) -> DataFrame:
-    """GRAPH-05: one level of sequential modularity moves within each group, ids in order; (by, node, community).
+def local_moving(edges: DataFrame, by: str, rounds: int = 24, tolerance: float = 1e-9) -> DataFrame:
+    """GRAPH-05: one level of modularity moves in rounds of joins, each graph (by) on its own; (by, node, community), largest community first.
 
-    The result depends on the order of moves, so a group is one task: meant for bounded ego graphs, each its own group.
+    In each round half of the nodes, chosen anew by a hash, may move to the neighbouring community that
+    gains most: the weight to it less what its degrees let expect. It ends when both halves rest, or
+    after `rounds`. Nodes that move together see the communities as they were before, so results may
+    differ from those of moves one by one; groups of any size are spread over the tasks.
     """
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for s, t, wt in zip(pdf["source"], pdf["target"], pdf["weight"], strict=True):
-            if s != t and wt > 0:
-                near.setdefault(s, {})[t] = near.setdefault(s, {}).get(t, 0.0) + wt
-                near.setdefault(t, {})[s] = near.setdefault(t, {}).get(s, 0.0) + wt
-        degree = {n: sum(x.values()) for n, x in near.items()}
-        home, total, m2 = {n: n for n in near}, dict(degree), sum(degree.values())
-        for _ in range(passes):
-            moved = False
-            for n in sorted(near):
-                pull: dict = {}
-                for o, wt in near[n].items():
-                    pull[home[o]] = pull.get(home[o], 0.0) + wt
-                old = home[n]
-                total[old] -= degree[n]
-                best, gain = old, 0.0
-                for c in sorted(pull):
-                    g = pull[c] - total[c] * degree[n] / m2
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                home[n] = best
-                total[best] += degree[n]
-                moved |= best != old
-            if not moved:
-                break
-        groups: dict = {}
-        for n, c in home.items():
-            groups.setdefault(c, []).append(n)
-        order = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
-        rows = [(key[0], n, i) for i, g in enumerate(order) for n in sorted(g)]
-        return pd.DataFrame(rows, columns=[by, "node", "community"])
-
-    return edges.groupBy(by).applyInPandas(one, f"{by} long, node long, community int")
+    both = edges.where("source != target and weight > 0")
+    both = both.select(by, F.col("source").alias("u"), F.col("target").alias("v"), "weight").unionByName(both.select(by, F.col("target").alias("u"), F.col("source").alias("v"), "weight"))
+    both = materialize(both.groupBy(by, "u", "v").agg(F.sum("weight").alias("weight")))
+    home = both.groupBy(by, "u").agg(F.sum("weight").alias("degree")).withColumn("community", F.col("u"))
+    whole = both.groupBy(by).agg(F.sum("weight").alias("whole"))
+    home, still = materialize(home.withColumn("moved", F.lit(False))), 0
+    for r in range(rounds):
+        around = both.join(home.select(by, F.col("u").alias("v"), "community"), [by, "v"]).groupBy(by, "u", "community").agg(F.sum("weight").alias("pull"))
+        held = home.groupBy(by, "community").agg(F.sum("degree").alias("held"))
+        seen = around.join(held, [by, "community"]).join(home.select(by, "u", "degree", F.col("community").alias("own")), [by, "u"]).join(whole, by)
+        others = F.col("held") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
+        seen = seen.withColumn("gain", F.col("pull") - others * F.col("degree") / F.col("whole"))
+        best = seen.groupBy(by, "u").agg(
+            F.max_by("community", F.struct(F.round("gain", 9), -F.col("community"))).alias("to"), F.max("gain").alias("gain"),
+            F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))), F.lit(0.0)).alias("stay"),
+        )
+        turn = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
+        goes = turn & (F.col("gain") > F.greatest("stay", F.lit(0.0)) + tolerance)
+        home = home.drop("moved").join(best, [by, "u"]).select(by, "u", "degree", F.when(goes, F.col("to")).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
+        home = materialize(home)
+        still = 0 if home.where("moved").limit(1).count() else still + 1
+        if still == 2:
+            break
+    sizes = home.groupBy(by, "community").agg(F.count("*").alias("size"), F.min("u").alias("least"))
+    order = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("size"), "least")) - 1
+    return home.join(sizes.select(by, "community", order.alias("no")), [by, "community"]).select(by, F.col("u").alias("node"), F.col("no").alias("community"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:

@@ -129,10 +129,10 @@ def fusion_communities(spark, d):
 
 @register("louvain_local")
 def louvain_local(spark, d):
-    """GRAPH-05, GRAPH-06: exact local moving within each nation's trade graph."""
+    """GRAPH-05, GRAPH-06: local moving in rounds within each of 25 trade graphs."""
     li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     e = li.groupBy((F.col("l_suppkey") % 25).cast("long").alias("grp"), F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 30 + 100000).alias("target")).agg(F.count("*").cast("double").alias("weight"))
-    return g.louvain_local(e, "grp")
+    return g.local_moving(e, "grp")
 
 
 @register("label_propagation")
