@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of definitions and comparisons in claims.
-DEFINITION = r"(?i)\b(?:is defined as|refers to|is called|denotes|means)\b"
-COMPARATIVE = r"(?i)\b(?:than|compared with|compared to|versus|outperform\w*|higher|lower|better|worse)\b"
-COPULA = r"(?i)\b(?:is|are|was|were|be)\b"
+#: Shapes of definitions, those that need no further sign, comparisons and causes, copulas.
+DEFINITIONS = (r"\bis\s+a\s+", r"\bis\s+the\s+", r"\brefers?\s+to\s+", r"\bis\s+defined\s+as\s+", r"\brepresents?\s+")
+STRONG = r"(?i)\brefers?\s+to\s+|\bis\s+defined\s+as\s+"
+COMPARATIVE = r"(?i)\b(?:better|worse|more|less|higher|lower|outperform\w*|improv\w+|increas\w+|decreas\w+|caus\w+|leads?|leading|led|result\w*)\b"
+COPULA = r"(?i)\b(?:is|are|was|were)\b"
+DENSITY = 0.08
 
 
-def is_pure_definition(text: Column, following: Column | None = None) -> Column:
-    """FIL-09: no comparison; a strong marker, or copulas over 0.08 of the words unless the next claim compares.
+def is_pure_definition(text: Column, following: Column | None = None, exempt: list[str] | None = None) -> Column:
+    """FIL-09: neither exempt by a domain term nor a comparison; a strong marker, or two shapes of
+    definitions, or one and copulas over DENSITY of the words, unless the next claim compares.
 
     The strong markers are looked at before the next claim, so those claims are never rescued by it.
     """
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    dense = F.regexp_count(text, F.lit(COPULA)) / words > 0.08
+    shapes = sum((F.coalesce(text.rlike(f"(?i){p}"), F.lit(False)).cast("int") for p in DEFINITIONS), F.lit(0))
+    dense = F.regexp_count(text, F.lit(COPULA)) / F.regexp_count(text, F.lit(r"\S+")) > DENSITY
     rescued = F.coalesce(following.rlike(COMPARATIVE), F.lit(False)) if following is not None else F.lit(False)
-    return F.when(text.rlike(COMPARATIVE), False).when(text.rlike(DEFINITION), True).otherwise(dense & ~rescued)
+    free = text.isNull() | (F.trim(text) == "") | text.rlike(COMPARATIVE)
+    for term in exempt or []:
+        free = free | text.rlike(rf"(?i)(?<!\w){re.escape(term)}(?!\w)")
+    return F.when(free, False).when(text.rlike(STRONG), True).otherwise(((shapes >= 2) | ((shapes >= 1) & dense)) & ~rescued)
 
 
 def filter_claims(claims: DataFrame, caption: Column, by: str, order: str) -> tuple[DataFrame, DataFrame]:

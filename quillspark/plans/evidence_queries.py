@@ -13,12 +13,14 @@ from quillspark.registry import register
 from quillspark.session import table
 from quillspark.sources import documents as s
 
-_DEF = r"(?i)\b(?:is defined as|refers to|is called|denotes|means)\b"
-_COMP = r"(?i)\b(?:than|compared with|compared to|versus|outperform\w*|higher|lower|better|worse)\b"
+_COMP = r"(?i)\b(?:better|worse|more|less|higher|lower|outperform\w*|improv\w+|increas\w+|decreas\w+|caus\w+|leads?|leading|led|result\w*)\b"
+_SHAPES = " + ".join(rf"regexp_matches(text, '(?i)\b{p}\s+')::INT" for p in (r"is\s+a", r"is\s+the", r"refers?\s+to", r"is\s+defined\s+as", "represents?"))
 _NOISE = rf"""z AS (SELECT claim_id, paper_id, pos, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM claim),
-n AS (SELECT *, lead(text) OVER (PARTITION BY paper_id ORDER BY pos) AS nxt FROM z),
-f AS (SELECT *, CASE WHEN regexp_matches(text, '{_COMP}') THEN false WHEN regexp_matches(text, '{_DEF}') THEN true
-  ELSE len(regexp_extract_all(text, '(?i)\b(?:is|are|was|were|be)\b')) / len(regexp_split_to_array(trim(text), '\s+'))::DOUBLE > 0.08 AND NOT coalesce(regexp_matches(nxt, '{_COMP}'), false) END AS d FROM n)"""
+n AS (SELECT *, lead(text) OVER (PARTITION BY paper_id ORDER BY pos) AS nxt, {_SHAPES} AS shapes,
+  len(regexp_extract_all(text, '(?i)\b(?:is|are|was|were)\b')) / len(regexp_extract_all(text, '\S+'))::DOUBLE > 0.08 AS dense FROM z),
+f AS (SELECT *, CASE WHEN coalesce(trim(text), '') = '' OR regexp_matches(text, '{_COMP}') THEN false
+  WHEN regexp_matches(text, '(?i)\brefers?\s+to\s+|\bis\s+defined\s+as\s+') THEN true
+  ELSE (shapes >= 2 OR shapes >= 1 AND dense) AND NOT coalesce(regexp_matches(nxt, '{_COMP}'), false) END AS d FROM n)"""
 
 
 @register("noise_filter_stats", fx.sql("claim") + f", {_NOISE} SELECT count(*) AS seen, 0::BIGINT AS captions, count(*) FILTER (d) AS definitions, count(*) FILTER (NOT d) AS kept, 1 - count(*) FILTER (NOT d) / count(*)::DOUBLE AS rate FROM f")
