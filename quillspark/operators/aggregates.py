@@ -132,11 +132,13 @@ def ngram_label(texts: DataFrame, group: str, generic: list[str]) -> DataFrame:
     """AGG-13: the label of each group: its most frequent 3- or 2-gram of words not all generic; ties by length, then text."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
     rows = texts.select(group, words.alias("w")).where(F.size("w") >= 2)
-    grams = [
-        rows.where(F.size("w") >= n).select(group, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice(F.col("w"), i, n))).alias("g"))  # noqa: B023
-        for n in (3, 2)
-    ]
-    counted = grams[0].unionByName(grams[1]).where(F.exists("g", lambda t: ~t.isin(generic))).groupBy(group, F.array_join("g", " ").alias("phrase")).agg(F.count("*").alias("n"))
+
+    def phrases(n: int) -> Column:
+        phrase = lambda i: F.when(F.exists(F.slice("w", i, n), lambda t: ~t.isin(generic)), F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), phrase)).otherwise(F.array().cast("array<string>"))
+
+    both = rows.select(group, F.explode(F.concat(phrases(3), phrases(2))).alias("phrase")).where("phrase is not null")
+    counted = both.groupBy(group, "phrase").agg(F.count("*").alias("n"))
     best = counted.groupBy(group).agg(F.max(F.struct("n", F.length("phrase").alias("l"), "phrase")).alias("b"))
     return best.select(group, F.col("b.phrase").alias("title"), F.col("b.n").alias("n"))
 

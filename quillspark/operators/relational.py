@@ -100,11 +100,14 @@ def cross_pairs_top(pairs: DataFrame, group: str, per_source: int, least: float)
 
 
 def shared_entity_edges(explains: DataFrame) -> DataFrame:
-    """JOIN-04: steps of different papers that share an entity: half the mean of summed scores, plus 0.05 for each entity."""
+    """JOIN-04: steps of different papers that share an entity: half the mean of summed scores, plus 0.05 for each entity.
+
+    explains has one row for each entity and step, so a pair's rows are its entities, and sums combine before they move.
+    """
     a = explains.select("entity_id", F.col("step_id").alias("a"), F.col("paper_id").alias("pa"), F.col("score").alias("sa"))
     b = explains.select("entity_id", F.col("step_id").alias("b"), F.col("paper_id").alias("pb"), F.col("score").alias("sb"))
     both = a.join(b, "entity_id").where("a < b and pa != pb")
-    return both.groupBy("a", "b").agg((F.avg(F.col("sa") + F.col("sb")) / 2 + 0.05 * F.count_distinct("entity_id")).alias("score"))
+    return both.groupBy("a", "b").agg((F.avg(F.col("sa") + F.col("sb")) / 2 + 0.05 * F.count("*")).alias("score"))
 
 
 def citation_pairs(edges: DataFrame, papers: DataFrame) -> DataFrame:
