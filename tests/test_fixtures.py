@@ -7,6 +7,7 @@ from quillspark.functions import kernels as k
 from quillspark.functions import text as tx
 from quillspark.operators import aggregates as a
 from quillspark.operators import citations as c
+from quillspark.operators import evidence as e
 from quillspark.operators import graph as g
 from quillspark.operators import hypergraph as h
 from quillspark.operators import vectors as v
@@ -71,7 +72,7 @@ def test_components_and_louvain(spark):
     assert {r.node: r.component for r in connected_components(edges).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
     assert connected_components(edges.limit(0)).count() == 0
     two = [(0, a_, b_, 1.0) for x in ((1, 2, 3), (7, 8, 9)) for a_ in x for b_ in x if a_ < b_] + [(0, 3, 7, 0.1)]
-    got = g.louvain_local(spark.createDataFrame(two, "grp long, source long, target long, weight double"), "grp").collect()
+    got = g.local_moving(spark.createDataFrame(two, "grp long, source long, target long, weight double"), "grp").collect()
     assert {frozenset(r.node for r in got if r.community == i) for i in (0, 1)} == {frozenset({1, 2, 3}), frozenset({7, 8, 9})}
 
 
@@ -123,3 +124,37 @@ def test_sections_and_chapters(spark):
     got = s.paragraphs(rows, "doc_id").orderBy("start_line").collect()
     assert [(r.section, r.text) for r in got][0] == ("Intro", "body a") and got[-1].section == "Method"
     assert s.chapters(rows, "doc_id").count() == 2
+
+
+def test_definitions_and_comparisons(spark):
+    method = "Machine learning is a method of data analysis"
+    cases = [
+        (method, None, True), ("Deep learning is a subset of machine learning", None, True), ("This term refers to the process of optimization", None, True),
+        ("Accuracy is defined as the ratio of correct predictions", None, True), ("This metric represents what is measured in the study", None, True),
+        ("The model achieves better performance and reduces errors significantly", None, False), ("This approach outperforms previous methods", None, False),
+        ("Increasing temperature causes faster reactions", None, False), ("The model improves performance significantly", None, False),
+        ("This method is leading to better results", None, False), ("Moreover, entropy is a measure of uncertainty", None, True),
+        ("Leadership is a quality of effective management", None, True), (None, None, False), ("", None, False), ("The samples were dry", None, False),
+        (method, "This approach outperforms previous methods", False), (method, "Deep learning is a subset of machine learning", True),
+        ("It refers to the same", "This approach outperforms previous methods", True),
+    ]
+    df = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(cases)], "i int, t string, n string").select("i", e.is_pure_definition(F.col("t"), F.col("n")).alias("d"))
+    assert [r.d for r in df.orderBy("i").collect()] == [d for *_, d in cases]
+    dem = spark.createDataFrame([("DEM is a numerical method for computing",), ("C++ is a language",), ("ODEM is a numerical method",)], "t string")
+    assert [r.d for r in dem.select(e.is_pure_definition(F.col("t"), exempt=["DEM", "C++"]).alias("d")).collect()] == [False, False, True]
+
+
+def test_mojibake_is_read_again(spark):
+    right = "引言，方法：摘要。结果，讨论。"
+    wrong = right.encode().decode("gb18030", "ignore")
+    texts = [wrong if wrong.encode("gb18030", "ignore").decode("utf-8", "ignore") == right else None, right, "plain", None, "", "锛 one sign", "锛锛锛 no bytes of UTF-8"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(k.recover_mojibake("t").alias("t")).collect()]
+    assert got[1:] == texts[1:] and got[0] in (right, texts[0])
+
+
+def test_local_moving_keeps_graphs_apart(spark):
+    clique = lambda g, ids: [(g, a_, b_, 1.0) for a_ in ids for b_ in ids if a_ < b_]
+    rows = clique(0, range(1, 6)) + clique(0, range(11, 15)) + [(0, 1, 11, 0.2), (0, 3, 3, 9.0), (0, 1, 14, -1.0)] + clique(1, range(1, 4))
+    got = g.local_moving(spark.createDataFrame(rows, "grp long, source long, target long, weight double"), "grp").collect()
+    of = lambda grp, no: {r.node for r in got if r.grp == grp and r.community == no}
+    assert of(0, 0) == {1, 2, 3, 4, 5} and of(0, 1) == {11, 12, 13, 14} and of(1, 0) == {1, 2, 3} and len(got) == 12
