@@ -29,6 +29,8 @@ from quillspark.session import materialize
 SIZE = 2048
 #: Pieces of one length that are ranked in one group; the driver holds a count for each group.
 PER_SALT = 50_000
+#: A length of fewer pieces has up to so many groups, too.
+SALTS = 64
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
@@ -136,7 +138,7 @@ def pack(found: DataFrame, size: int = SIZE, per_salt: int = PER_SALT) -> DataFr
     counts = np.zeros(size + 1, np.int64)
     for length, n in found.groupBy("length").agg(F.count("*")).collect():  # size rows at most
         counts[length] = n
-    salts = np.maximum(1, -(-counts // per_salt))
+    salts = np.maximum(np.clip(-(-counts // 256), 1, SALTS), -(-counts // per_salt))
     of = F.element_at(F.lit(salts.tolist()), (F.col("length") + 1).cast("int"))
     # rows of the checkpoint have fixed numbers, so that even equal rows spread
     salted = found.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), of).cast("int"))
