@@ -105,7 +105,7 @@ def communities(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5) -
     )
 
 
-def local_moving(edges: DataFrame, by: str, rounds: int = 24, tolerance: float = 1e-9) -> DataFrame:
+def local_moving(edges: DataFrame, by: str, rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
     """GRAPH-05: one level of modularity moves in rounds of joins, each graph (by) on its own; (by, node, community), largest community first.
 
     In each round half of the nodes, chosen anew by a hash, may move to the neighbouring community that

@@ -274,3 +274,14 @@ def resolved_merge(spark, d):
         F.count("*").alias("total_mentions"), F.array(F.lit("1")).alias("ref_nums"), F.array_sort(F.collect_set(F.concat(F.lit("e"), F.col("l_orderkey") % m))).alias("evidence")
     )
     return c.merge_resolved(part(1, 5), part(2, 9)).select("src", "dst", "total_mentions", F.array_join("evidence", ";").alias("evidence"))
+
+
+@register(
+    "purpose_backfill",
+    """SELECT item_id, CASE WHEN item_id % 3 < 2 THEN 'Background' ELSE 'MethodUse' END AS label, CASE WHEN item_id % 3 < 2 THEN 0.2 ELSE 0.9 END::DOUBLE AS score FROM benchmark""",
+)
+def purpose_backfill(spark, d):
+    """SINK-06: citations without purposes (none, or an empty list) become Background with 0.2."""
+    known = lambda value, kind: F.when(F.col("item_id") % 3 == 2, F.array(F.lit(value))).when(F.col("item_id") % 3 == 1, F.array().cast(f"array<{kind}>"))
+    cites = table(spark, d, "benchmark").select("item_id", known("MethodUse", "string").alias("labels"), known(0.9, "double").alias("scores"))
+    return c.backfill_purposes(cites).select("item_id", F.col("labels")[0].alias("label"), F.col("scores")[0].alias("score"))

@@ -201,6 +201,19 @@ def shared_entity_edges(spark, d):
     return r.shared_entity_edges(_explains(spark, d)).withColumn("score", F.round("score", 6))
 
 
+@register(
+    "cross_paper_top",
+    """WITH p AS (SELECT l_suppkey AS src, l_partkey AS dst, max(l_discount) AS score FROM lineitem GROUP BY 1, 2),
+    q AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst)::INT AS rank FROM p WHERE score >= 0.05 AND src % 5 <> dst % 5)
+    SELECT src, dst, score, rank FROM q WHERE rank <= 3""",
+)
+def cross_paper_top(spark, d):
+    """JOIN-03: the three best targets in other papers for each source."""
+    pairs = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max("l_discount").alias("score"))
+    pairs = pairs.withColumns({"paper_a": F.col("src") % 5, "paper_b": F.col("dst") % 5})
+    return r.cross_pairs_top(pairs, "paper", 3, 0.05).select("src", "dst", "score", "rank")
+
+
 @register(
     "citation_boost",
     """WITH s AS (SELECT l_orderkey AS edge, l_suppkey % 50 AS paper_a, l_partkey % 50 AS paper_b FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50),
