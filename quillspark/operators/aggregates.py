@@ -77,11 +77,11 @@ def polarity(text: Column, positive: str = POSITIVE, negative: str = NEGATIVE) -
     return F.when(p > n, 1).when(n > p, -1).otherwise(0)
 
 
-def conflict_stats(pairs: DataFrame, polarities: DataFrame) -> DataFrame:
-    """AGG-04: of pairs (a, b) with polarities that are not neutral, those with opposite ones; counts and rate."""
+def conflict_stats(pairs: DataFrame, polarities: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """AGG-04: of pairs (a, b) with polarities that are not neutral, those with opposite ones; counts and rate, of all or for each group of pairs."""
     p = polarities.where("polarity != 0")
     both = pairs.join(p.select(F.col("claim_id").alias("a"), F.col("polarity").alias("pa")), "a").join(p.select(F.col("claim_id").alias("b"), F.col("polarity").alias("pb")), "b")
-    return both.agg(F.count("*").alias("comparable"), F.count_if(F.col("pa") != F.col("pb")).alias("conflicts")).withColumn(
+    return both.groupBy(*(by or [])).agg(F.count("*").alias("comparable"), F.count_if(F.col("pa") != F.col("pb")).alias("conflicts")).withColumn(
         "rate", F.when(F.col("comparable") > 0, F.col("conflicts") / F.col("comparable")).otherwise(0.0)
     )
 

@@ -96,10 +96,14 @@ def gap_scores(gaps: DataFrame, weights: dict[str, float]) -> DataFrame:
     return gaps.groupBy("gap", "role").agg(F.count_distinct("node").alias("nodes")).withColumn("score", F.col("nodes") * weight)
 
 
+#: Rows of a range of the seeded order, in which predictions are permuted.
+ROWS_PER_RANGE = 10_000
+
+
 def permuted_accuracy(rows: DataFrame, seed: int) -> DataFrame:
     """AGG-22: share of right labels, as they are and with the predictions permuted within ranges of a seeded order."""
     order = F.xxhash64(F.col("id"), F.lit(seed))
-    bucket = F.pmod(order, F.lit(64))
+    bucket = F.pmod(order, F.lit(max(1, rows.count() // ROWS_PER_RANGE)))
     w = Window.partitionBy("bucket").orderBy("h", "id")
     shifted = rows.withColumns({"h": order, "bucket": bucket}).withColumn("other", F.coalesce(F.lead("predicted").over(w), F.first("predicted").over(w)))
     right = lambda c: F.avg((F.col("label") == F.col(c)).cast("double"))

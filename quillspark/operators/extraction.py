@@ -40,6 +40,44 @@ def tiered_extraction(rows: DataFrame, key: str, call: Callable[[pd.DataFrame],
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
+def multi_model(rows: DataFrame, calls: dict[str, Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch: int = 16) -> DataFrame:
+    """EXT-13: the atoms of several injected models with the column model; a model's batch that raises gives none."""
+    return reduce(lambda a, b: a.unionByName(b), [call_model(rows, call, schema, batch).withColumn("model", F.lit(name)) for name, call in calls.items()])
+
+
+def evidence_quotes(quotes: DataFrame, chunks: DataFrame, by: str, key: str) -> DataFrame:
+    """EXT-04: quotes (by, key, quote) with the first chunk (by, chunk_id, pos, text) of their document that holds them, white space aside.
+
+    Steps without a quote are gone; a quote that stands nowhere has a null chunk.
+    """
+    from quillspark.functions.text import compact_whitespace
+
+    asked = quotes.where(F.trim("quote") != "").select(by, key, compact_whitespace(F.col("quote")).alias("quote"))
+    held = chunks.select(by, "chunk_id", "pos", compact_whitespace(F.col("text")).alias("text"))
+    hits = asked.join(held, by).where(F.contains("text", "quote")).groupBy(by, key).agg(F.min_by("chunk_id", "pos").alias("chunk_id"))
+    return asked.join(hits, [by, key], "left")
+
+
+def recheck(atoms: DataFrame, verdicts: DataFrame, texts: DataFrame, key: str, by: str, least: float = 0.4, raised: float = 0.6) -> DataFrame:
+    """EXT-11: flagged atoms (key, by, values, grounded, confidence) after a second look; (key, grounded, confidence, unsupported).
+
+    Flagged are those ungrounded or under `least`. A confirmed verdict (key, verdict, span) counts only if the span stands in the
+    text (by, text), white space aside, and supports the values again; then confidence is `raised` at least. If not, the atom is
+    ungrounded. Atoms without a verdict stay as they are.
+    """
+    from quillspark.functions.text import compact_whitespace, supports
+
+    flagged = ~F.coalesce("grounded", F.lit(False)) | (F.coalesce("confidence", F.lit(0.0)) < least)
+    asked = atoms.where(flagged).join(verdicts.where("verdict = 'confirmed'").select(key, "span"), key).join(texts.select(by, "text"), by)
+    stands = (F.trim("span") != "") & F.contains(compact_whitespace(F.col("text")), compact_whitespace(F.col("span"))) & supports(F.col("values"), F.col("span"))
+    passed = asked.select(key, F.coalesce(stands, F.lit(False)).alias("passed"))
+    out = atoms.join(passed, key, "left").join(verdicts.select(key, "verdict"), key, "left")
+    confidence = F.when(F.col("passed"), F.greatest("confidence", F.lit(raised))).otherwise(F.col("confidence"))
+    return out.select(
+        key, F.coalesce("passed", "grounded").alias("grounded"), confidence.alias("confidence"), (flagged & (F.coalesce("verdict", F.lit("")) == "unsupported")).alias("unsupported")
+    )
+
+
 def section_map(sections: DataFrame, n_blocks: Column) -> DataFrame:
     """EXT-09: sections (section_id, start, end) with their ranges clamped to the blocks; empty ones go."""
     start, end = F.greatest(F.lit(0), F.col("start")), F.least(n_blocks, F.col("end"))

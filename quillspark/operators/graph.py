@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.aggregates import keyword_top, materialize_communities
 from quillspark.operators.components import connected_components
 from quillspark.session import materialize
 
@@ -84,6 +85,20 @@ def pair_communities(edges: DataFrame, per_node: int = 2) -> DataFrame:
     return kept.join(whole, "community_id", "left_semi")
 
 
+def rebuilt_communities(nodes: DataFrame, similar: DataFrame, shared: DataFrame, cited: DataFrame, words: int = 3) -> tuple[DataFrame, DataFrame]:
+    """GRAPH-10: (members, communities) anew from three edge sources; nodes: (node, paper_id, text).
+
+    Members: (community_id, member_id, paper_id, weight, core), core where the pair is the node's heaviest. Communities:
+    counts of members, papers and core members, and a label, the most frequent words of the members' texts.
+    """
+    pairs = pair_communities(candidate_graph(similar, shared, cited, nodes.select("node", "paper_id")))
+    members = pairs.join(nodes, pairs["node_id"] == nodes["node"]).select("community_id", F.col("node_id").alias("member_id"), "paper_id", "weight", (F.col("rank") == 1).alias("core"), "text")
+    tokens = members.select("community_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
+    top = keyword_top(tokens, "community_id", words).groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("xs"))
+    label = top.select("community_id", F.array_join(F.transform("xs", lambda x: x.token), " ").alias("label"))
+    return members.drop("text"), materialize_communities(members).join(label, "community_id", "left").na.fill("", ["label"])
+
+
 def communities(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5) -> DataFrame:
     """GRAPH-07: components of the edges from a weight on, with size, mean weight and representative (degree, text length, id).
 
@@ -98,7 +113,8 @@ def communities(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5) -
     best = ranked.groupBy("component").agg(
         F.count("*").alias("size"),
         F.max_by("node", F.struct("degree", F.length("text"), -F.col("node"))).alias("representative"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), "|"), 256).alias("h"),
+        # members in any order give one hash, without a list of them
+        F.sha2(F.concat_ws("|", F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))), F.count("*")), 256).alias("h"),
     )
     return best.join(inner, "component", "left").select(
         F.concat(F.lit("fc:"), F.substring("h", 1, 12)).alias("community_id"), "component", "size", "representative", F.round(F.coalesce("confidence", F.lit(0.5)), 6).alias("confidence")

@@ -28,31 +28,47 @@ def normalized(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def cross_group_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+#: Queries, and numbers of the vectors, that one task of a block join holds.
+QUERIES_PER_BLOCK = 4096
+VALUES_PER_BLOCK = 1 << 20
+
+
+def cross_group_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """VEC-02, WIN-01: the k nearest rows of other groups by inner product, for each query row.
 
-    vectors and queries: (node_id, paper_id, vec). The stated queries meet all rows block by block, in numpy; each
-    (query block, row block) is one task of bounded size, and only k rows of each query leave it.
+    vectors and queries: (node_id, paper_id, vec). The stated queries meet all rows block by block, in
+    numpy. The numbers of blocks follow the row counts, and rows are dealt by id and vector together,
+    so a task is of one size whatever the tables; only k rows of each query leave it. Ids of queries are distinct.
     """
     import numpy as np
     import pandas as pd
 
+    rows, width = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    row_blocks = max(1, -(-rows * max(1, width or 1) // VALUES_PER_BLOCK))
+    query_blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(d):
-            score = np.stack(q["vec"].to_numpy()).astype(float) @ np.stack(d["vec"].to_numpy()).astype(float).T
-            score = np.round(score, 6)
+            data = np.stack(d["vec"].to_numpy()).astype(float).T
             ids, groups = d["node_id"].to_numpy(), d["paper_id"].to_numpy()
-            for i, (node, group) in enumerate(zip(q["node_id"], q["paper_id"], strict=True)):
-                ok = np.flatnonzero(groups != group)
-                best = ok[np.lexsort((ids[ok], -score[i, ok]))[:k]]
-                out += [(node, ids[j], score[i, j]) for j in best]
+            for begin in range(0, len(q), 128):
+                part = q.iloc[begin : begin + 128]
+                score = np.round(np.stack(part["vec"].to_numpy()).astype(float) @ data, 6)
+                for i, (node, group) in enumerate(zip(part["node_id"], part["paper_id"], strict=True)):
+                    ok = np.flatnonzero(groups != group)
+                    if len(ok) > k:  # all rows from the k-th score on, ties included
+                        ok = ok[score[i, ok] >= -np.partition(-score[i, ok], k - 1)[k - 1]]
+                    best = ok[np.lexsort((ids[ok], -score[i, ok]))[:k]]
+                    out += [(node, ids[j], score[i, j]) for j in best]
         return pd.DataFrame(out, columns=["src", "dst", "score"]).astype({"src": "int64", "dst": "int64", "score": "float64"})
 
-    side = lambda df, own, other: df.select(
-        F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(other), "node_id", "paper_id", "vec"
-    )
-    local = side(queries, "qb", "db").groupBy("qb", "db").cogroup(side(vectors, "db", "qb").groupBy("qb", "db")).applyInPandas(solve, "src long, dst long, score double")
+    def side(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("node_id", "vec"), F.lit(blocks)).cast("int")
+        return df.select(block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "node_id", "paper_id", "vec").groupBy("qb", "db")
+
+    asked, held = side(queries, "qb", query_blocks, "db", row_blocks), side(vectors, "db", row_blocks, "qb", query_blocks)
+    local = asked.cogroup(held).applyInPandas(solve, "src long, dst long, score double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -82,10 +98,33 @@ def basics_rank(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("final", final).orderBy(F.desc("final"), F.desc("score"), "name").limit(k)
 
 
-def channel_limits(want: int, boosted: list[str]) -> dict[str, int]:
-    """VEC-10: rows to fetch from each channel; boosted ones more."""
-    base = max(2, want + 1)
-    return {c: max(base + 1, 2 * want) if c in boosted else base for c in ("claim", "logic_step", "community", "textbook")}
+#: The channels that a plan asks for twice the rows, and those that it asks for two more.
+PLAN_CHANNELS = {
+    "paper_first_then_textbook": (["logic_step", "claim"], []),
+    "textbook_first_then_paper": (["community", "textbook"], []),
+    "claim_first": (["claim"], ["logic_step"]),
+    "community_first": (["community"], ["textbook"]),
+    "hybrid_parallel": ([], ["logic_step", "claim", "community", "textbook"]),
+}
+
+
+def channel_limits(plans: DataFrame, want: Column) -> DataFrame:
+    """VEC-10: rows (plan, ...) with the number of rows to fetch from each channel; an unknown plan favours none."""
+    base = F.greatest(F.lit(2), want + 1)
+
+    def limit(channel: str) -> Column:
+        twice = [p for p, (most, _) in PLAN_CHANNELS.items() if channel in most]
+        more = [p for p, (_, some) in PLAN_CHANNELS.items() if channel in some]
+        plan = F.col("plan")
+        return F.when(plan.isin(twice), F.greatest(base + 1, 2 * want)).when(plan.isin(more), F.greatest(base, want + 2)).otherwise(base)
+
+    return plans.withColumns({c: limit(c) for c in ("logic_step", "claim", "community", "textbook")})
+
+
+def retrieval_route(enabled: Column, available: Column) -> Column:
+    """VEC-14: (mode, reason) of a question: the page index where it is on and there; available is null where the probe failed."""
+    reason = F.when(~enabled, "disabled").when(available.isNull(), "adapter_error").when(~available, "adapter_unavailable").otherwise("adapter_ready")
+    return F.struct(F.when(reason == "adapter_ready", "pageindex").otherwise("fallback").alias("mode"), reason.alias("reason"))
 
 
 def include_minority(atoms: DataFrame, least_models: int = 2, least: float = 0.5) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import materialize
+
 
 def top_per(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """WIN-01/03: the first k rows of each group."""
@@ -40,14 +43,27 @@ def round_robin(df: DataFrame, bucket: str, order: list[Column], key: str, limit
 def char_budget_batches(df: DataFrame, by: str, order: str, chars: int, count: int) -> DataFrame:
     """WIN-11: rows of a group in order, filled greedily into batches of at most `chars` characters and `count` rows.
 
-    A group's lengths are folded as one array, so a group is a document and its chunks.
+    Sorted partitions are read once with the open batch as the only state, so a group may be of any length. Null texts are empty.
     """
-    lists = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length("text").alias("n")))).alias("xs"))
-    fold = f"""aggregate(xs, named_struct('b', 0, 'c', 0, 'k', 0, 'out', cast(array() as array<struct<o:int,b:int>>)),
-      (s, x) -> if(s.k > 0 and (s.c + x.n > {chars} or s.k >= {count}),
-        named_struct('b', s.b + 1, 'c', x.n, 'k', 1, 'out', array_append(s.out, named_struct('o', x.o, 'b', s.b + 1))),
-        named_struct('b', s.b, 'c', s.c + x.n, 'k', s.k + 1, 'out', array_append(s.out, named_struct('o', x.o, 'b', s.b)))), s -> s.out)"""
-    return lists.select(by, F.explode(F.expr(fold)).alias("p")).select(by, F.col("p.o").alias(order), F.col("p.b").alias("batch"))
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, batch, held, rows = object(), 0, 0, 0
+        for f in frames:
+            out = []
+            for g, n in zip(f["_group"], f["_n"], strict=True):
+                if g != group:
+                    group, batch, held, rows = g, 0, 0, 0
+                elif held + n > chars or rows >= count:
+                    batch, held, rows = batch + 1, 0, 0
+                held, rows = held + n, rows + 1
+                out.append(batch)
+            yield f.drop(columns=["_group", "_n"]).assign(batch=out)
+
+    # the group as text, so that a null is one group, too
+    rows = df.select(by, order, F.coalesce(F.col(by).cast("string"), F.lit("")).alias("_group"), F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
+    rows = rows.repartition("_group").sortWithinPartitions("_group", by, order)
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, batch int"
+    return rows.mapInPandas(fill, schema)
 
 
 def backbone(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
@@ -67,28 +83,36 @@ def backbone(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
 
 def retention(tasks: DataFrame, keep: int) -> DataFrame:
     """WIN-14: all active tasks, and the newest finished ones."""
-    rank = F.row_number().over(Window.partitionBy(F.col("status") == "finished").orderBy(F.desc("updated"), "task_id"))
-    return tasks.withColumn("_n", rank).where((F.col("status") != "finished") | (F.col("_n") <= keep)).drop("_n")
+    finished = tasks.where("status = 'finished'").orderBy(F.desc("updated"), "task_id").limit(keep)
+    return tasks.where("status != 'finished'").unionByName(finished)
 
 
-def degree_capped(edges: DataFrame, by: str, cap: int) -> DataFrame:
-    """WIN-08: edges (by, source, target, weight) taken by falling weight while both ends have fewer than cap.
+def degree_capped(edges: DataFrame, cap: int, max_rounds: int = 500) -> DataFrame:
+    """WIN-08: distinct edges (source, target, weight) taken by falling weight while both ends have fewer than cap; ties by source, target.
 
-    Exact and order-dependent, hence one task for each group; a group is a bounded component.
+    Gives what taking the edges one by one gives, in rounds of joins: an edge that is among the heaviest
+    open ones at both its ends, as many as each end has room for, is taken; at a full end the open ones go.
+    The heaviest open edge is always taken, so rounds end. Loops are left out.
     """
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        degree: dict = {}
-        keep = []
-        for x in pdf.sort_values(["weight", "source", "target"], ascending=[False, True, True]).itertuples():
-            ok = degree.get(x.source, 0) < cap and degree.get(x.target, 0) < cap
-            keep.append(x.Index) if ok else None
-            if ok:
-                degree[x.source] = degree.get(x.source, 0) + 1
-                degree[x.target] = degree.get(x.target, 0) + 1
-        return pdf.loc[keep]
-
-    return edges.groupBy(by).applyInPandas(greedy, edges.schema)
+    open_, taken, room = materialize(edges.where("source != target").select("source", "target", "weight")), [], None
+    for _ in range(max_rounds):
+        ends = open_.withColumn("end", F.explode(F.array("source", "target")))
+        place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("weight"), "source", "target"))
+        best = ends.withColumn("place", place).where(F.col("place") <= cap)
+        if room is not None:
+            best = best.join(room, "end", "left").where(F.col("place") <= F.coalesce("room", F.lit(cap)))
+        now = materialize(best.groupBy("source", "target").agg(F.first("weight").alias("weight"), F.count("*").alias("ends")).where("ends = 2").drop("ends"))
+        if not now.limit(1).count():
+            return reduce(lambda a, b: a.unionByName(b), [*taken, now])
+        taken.append(now)
+        used = reduce(lambda a, b: a.unionByName(b), taken).select(F.explode(F.array("source", "target")).alias("end")).groupBy("end")
+        room = materialize(used.agg((F.lit(cap) - F.count("*")).alias("room")))
+        full = room.where("room <= 0").select("end")
+        left = open_.join(now, ["source", "target"], "left_anti")
+        for side in ("source", "target"):
+            left = left.join(full.withColumnRenamed("end", side), side, "left_anti")
+        open_ = materialize(left.select("source", "target", "weight"))
+    raise RuntimeError(f"edges were still open after {max_rounds} rounds")
 
 
 def mutual_top(edges: DataFrame, cap: int) -> DataFrame:

@@ -22,10 +22,62 @@ def _length_model(rows: pd.DataFrame) -> pd.DataFrame:
 
 @register("tiered_extraction", "SELECT item_id, length(text)::BIGINT AS n FROM benchmark")
 def tiered_extraction(spark, d):
-    """EXT-03, EXT-04, EXT-06, EXT-08, EXT-11, EXT-13, EXT-14: an injected callable with smaller batches for what failed."""
+    """EXT-03, EXT-06, EXT-08, EXT-14: an injected callable with smaller batches for what failed."""
     return x.tiered_extraction(table(spark, d, "benchmark").select("item_id", "text"), "item_id", _length_model, "item_id long, n long").drop("tier")
 
 
+def _first_words(n: int):
+    """Stands in for a model that finds the first n words of a text."""
+
+    def call(rows: pd.DataFrame) -> pd.DataFrame:
+        words = rows["text"].str.split().str[:n]
+        return pd.DataFrame({"item_id": rows["item_id"].repeat(words.str.len()).to_numpy(), "atom": [w.lower() for ws in words for w in ws]})
+
+    return call
+
+
+@register(
+    "multi_model_atoms",
+    r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[\s]+'), lambda x: x <> '') AS w FROM benchmark), a AS (SELECT item_id, unnest([lower(x) for x in w[1:4]]) AS atom, 'wide' AS model FROM w UNION ALL SELECT item_id, unnest([lower(x) for x in w[1:2]]), 'narrow' FROM w)
+    SELECT item_id, atom, count(DISTINCT model) AS models, count(*) AS found FROM a GROUP BY 1, 2""",
+)
+def multi_model_atoms(spark, d):
+    """EXT-13: the atoms of two injected models, and how many models found each."""
+    atoms = x.multi_model(table(spark, d, "benchmark").select("item_id", "text"), {"wide": _first_words(4), "narrow": _first_words(2)}, "item_id long, atom string")
+    return atoms.groupBy("item_id", "atom").agg(F.count_distinct("model").alias("models"), F.count("*").alias("found"))
+
+
+@register(
+    "evidence_quotes",
+    fx.sql("step", "chunk") + r""", q AS (SELECT paper_id, logic_step_id, trim(regexp_replace(substr(summary, 6, 40), '\s+', ' ', 'g')) AS quote FROM step WHERE trim(substr(summary, 6, 40)) <> ''),
+    h AS (SELECT q.paper_id, logic_step_id, arg_min(chunk_id, pos) AS chunk_id FROM q JOIN chunk USING (paper_id) WHERE contains(trim(regexp_replace(text, '\s+', ' ', 'g')), quote) GROUP BY 1, 2)
+    SELECT paper_id, logic_step_id, quote, chunk_id FROM q LEFT JOIN h USING (paper_id, logic_step_id)""",
+)
+def evidence_quotes(spark, d):
+    """EXT-04: a passage of each step's text as its quote, with the first chunk that holds it."""
+    quotes = fx.logic_steps(spark, d).select("paper_id", "logic_step_id", F.substring("summary", 6, 40).alias("quote"))
+    return x.evidence_quotes(quotes, fx.chunks(spark, d), "paper_id", "logic_step_id")
+
+
+@register(
+    "atom_recheck",
+    """WITH a AS (SELECT item_id, item_id % 3 > 0 AS grounded, (item_id % 10) / 10.0::DOUBLE AS confidence, (['confirmed','unsupported','none'])[item_id % 5 % 3 + 1] AS verdict,
+      text, CASE WHEN item_id % 4 = 0 THEN 'not in it' ELSE substr(text, 1, 60) END AS span FROM benchmark),
+    f AS (SELECT *, NOT grounded OR confidence < 0.4 AS flagged, item_id % 4 > 0 AND trim(span) <> '' AND (item_id % 2 = 0 OR list_contains(regexp_extract_all(lower(span), '[a-z0-9]+'), 'the')) AS ok FROM a)
+    SELECT item_id, CASE WHEN flagged AND verdict = 'confirmed' THEN ok ELSE grounded END AS grounded, CASE WHEN flagged AND verdict = 'confirmed' AND ok THEN greatest(confidence, 0.6) ELSE confidence END AS confidence,
+    flagged AND verdict = 'unsupported' AS unsupported FROM f""",
+)
+def atom_recheck(spark, d):
+    """EXT-11: flagged atoms after a second look, whose spans must stand in the text and support the values."""
+    i, b = F.col("item_id"), table(spark, d, "benchmark")
+    span = F.substring("text", 1, 60)
+    values = F.when(i % 2 == 0, F.array(F.element_at(F.regexp_extract_all(F.lower(span), F.lit("[a-z0-9]+"), F.lit(0)), 1))).otherwise(F.array(F.lit("the")))
+    atoms = b.select("item_id", F.col("item_id").alias("doc"), values.alias("values"), (i % 3 > 0).alias("grounded"), (i % 10 / 10).alias("confidence"))
+    verdict = F.array(F.lit("confirmed"), F.lit("unsupported"), F.lit("none"))[(i % 5 % 3).cast("int")]
+    verdicts = b.select("item_id", verdict.alias("verdict"), F.when(i % 4 == 0, "not in it").otherwise(span).alias("span"))
+    return x.recheck(atoms, verdicts, b.select(F.col("item_id").alias("doc"), "text"), "item_id", "doc")
+
+
 @register("section_map", "SELECT doc_id::VARCHAR AS section_id, greatest(0, doc_id % 9 - 3) AS start, least(len(string_split(text, chr(10))), doc_id % 9) AS \"end\" FROM documents WHERE greatest(0, doc_id % 9 - 3) < least(len(string_split(text, chr(10))), doc_id % 9)")
 def section_map(spark, d):
     """EXT-09"""

@@ -83,9 +83,8 @@ u AS (SELECT source, target, score FROM s UNION ALL SELECT source, target, coale
 cand AS (SELECT least(source, target) AS source, greatest(source, target) AS target, round(sum(score), 6) AS weight FROM u WHERE source <> target GROUP BY 1, 2)"""
 
 
-@register("candidate_graph", f"WITH {_CAND} SELECT * FROM cand WHERE weight > 0 AND source % 4 <> target % 4")
-def candidate_graph(spark, d):
-    """GRAPH-08"""
+def _sources(spark, d):
+    """Similar, shared and cited edges, and their nodes with paper_id."""
     li = table(spark, d, "lineitem")
     null = F.lit(None).cast("double").alias("score")
     p = (F.col("l_partkey") % 100).alias("p")
@@ -93,7 +92,30 @@ def candidate_graph(spark, d):
     h = li.where("l_linenumber = 2").select(p.alias("source"), F.col("l_suppkey").alias("target"), null)
     c = li.where("l_linenumber = 3").select(F.col("l_suppkey").alias("source"), (F.col("l_suppkey") + 1).alias("target"), null)
     nodes = s.select(F.explode(F.array("source", "target")).alias("node")).unionByName(h.select(F.explode(F.array("source", "target")).alias("node"))).unionByName(c.select(F.explode(F.array("source", "target")).alias("node"))).distinct()
-    return g.candidate_graph(s, h, c, nodes.withColumn("paper_id", F.col("node") % 4))
+    return s, h, c, nodes.withColumn("paper_id", F.col("node") % 4)
+
+
+@register("candidate_graph", f"WITH {_CAND} SELECT * FROM cand WHERE weight > 0 AND source % 4 <> target % 4")
+def candidate_graph(spark, d):
+    """GRAPH-08"""
+    s, h, c, nodes = _sources(spark, d)
+    return g.candidate_graph(s, h, c, nodes)
+
+
+@register(
+    "community_rebuild",
+    f"""WITH {_CAND}, e AS (SELECT * FROM cand WHERE weight > 0 AND source % 4 <> target % 4), n AS (SELECT source || '|' || target AS community_id, weight, unnest([source, target]) AS node FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, community_id) AS rank FROM n), k AS (SELECT *, count(*) OVER (PARTITION BY community_id) AS n FROM r WHERE rank <= 2),
+    m AS (SELECT community_id, node, node % 4 AS paper_id, rank = 1 AS core, coalesce(p_name, '') AS text FROM k LEFT JOIN part ON p_partkey = node WHERE n = 2),
+    t AS (SELECT community_id, token, count(*) AS n FROM (SELECT community_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS token FROM m) GROUP BY 1, 2),
+    q AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, token) AS rank FROM t), l AS (SELECT community_id, string_agg(token, ' ' ORDER BY rank) AS label FROM q WHERE rank <= 3 GROUP BY 1)
+    SELECT community_id, count(*) AS member_count, count(DISTINCT paper_id) AS paper_count, count(*) FILTER (core) AS core_member_count, coalesce(any_value(label), '') AS label FROM m LEFT JOIN l USING (community_id) GROUP BY 1""",
+)
+def community_rebuild(spark, d):
+    """GRAPH-10: communities from three edge sources, with members counted and labels."""
+    s, h, c, nodes = _sources(spark, d)
+    named = nodes.join(table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("text")), "node", "left").na.fill("", ["text"])
+    return g.rebuilt_communities(named, s, h, c)[1]
 
 
 @register(

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.operators import aggregates as a
 from quillspark.operators import evidence as e
-from quillspark.operators import graph as g
 from quillspark.operators import hypergraph as h
 from quillspark.operators import vectors as v
-from quillspark.operators.relational import is_caption
+from quillspark.operators.relational import is_caption, pairs_in_group
 from quillspark.plans import fixtures as fx
+from quillspark.plans.aggregate_queries import _MERGED
+from quillspark.plans.evidence_queries import _NOISE
 from quillspark.registry import register
-from quillspark.session import table
+from quillspark.session import materialize, table
 
 
 def _occ(col: str, t: str) -> str:
@@ -45,29 +46,40 @@ def ask_evidence(spark, d):
     return out.select("chunk_id", "score", "paper_source", "year", F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
 
 
-@register("extraction_report")
+@register(
+    "extraction_report",
+    fx.sql("claim") + f", {_NOISE}, kept AS (SELECT * FROM claim WHERE claim_id IN (SELECT claim_id FROM f WHERE NOT d)), " + _MERGED.replace("FROM claim", "FROM kept") + r""",
+    per AS (SELECT paper_id, avg((confidence >= 0.3)::INT) AS supported, count(DISTINCT step) / 6.0::DOUBLE AS step FROM merged GROUP BY 1),
+    logic AS (SELECT paper_id, count(DISTINCT step_type) / 6.0::DOUBLE AS logic FROM claim GROUP BY 1),
+    want AS (SELECT * FROM (VALUES ('Background','Method'),('Result','Result'),('Problem','Gap')) t(step_type, kind)), have AS (SELECT DISTINCT paper_id, step_type, unnest(kinds) AS kind FROM kept),
+    slots AS (SELECT paper_id, count(have.kind) / 3.0::DOUBLE AS slot FROM (SELECT doc_id AS paper_id, want.* FROM documents CROSS JOIN want) LEFT JOIN have USING (paper_id, step_type, kind) GROUP BY 1),
+    w AS (SELECT paper_id, step, key, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS token FROM merged),
+    pr AS (SELECT a.paper_id, a.key AS ka, b.key AS kb FROM w a JOIN w b ON a.paper_id = b.paper_id AND a.step = b.step AND a.token = b.token AND a.key < b.key GROUP BY a.paper_id, a.step, a.key, b.key HAVING count(*) >= 2),
+    pol AS (SELECT paper_id, key, sign(len(regexp_extract_all(lower(text), '\b(?:the|thing)\w*')) - len(regexp_extract_all(lower(text), '\b(?:that|and)\w*'))) AS p FROM merged),
+    con AS (SELECT pr.paper_id, count(*) AS comparable, count(*) FILTER (x.p <> y.p) AS conflicts FROM pr JOIN pol x ON x.paper_id = pr.paper_id AND x.key = ka JOIN pol y ON y.paper_id = pr.paper_id AND y.key = kb WHERE x.p <> 0 AND y.p <> 0 GROUP BY 1),
+    t AS (SELECT paper_id, supported, step, slot, logic, coalesce(comparable, 0) AS comparable, coalesce(conflicts, 0) AS conflicts FROM per JOIN slots USING (paper_id) JOIN logic USING (paper_id) LEFT JOIN con USING (paper_id)),
+    g AS (SELECT *, list_filter([CASE WHEN supported < 0.72 THEN 'supported_low' END, CASE WHEN step < 0.55 THEN 'step_low' END, CASE WHEN slot < 0.65 THEN 'slot_low' END, CASE WHEN logic < 0.9 THEN 'logic_low' END,
+      CASE WHEN comparable >= 3 AND conflicts >= 1 AND conflicts / comparable::DOUBLE > 0.2 THEN 'conflict_high' END], lambda x: x IS NOT NULL) AS r FROM t)
+    SELECT paper_id, round(supported, 6) AS supported, step, slot, logic, comparable, conflicts, CASE len(r) WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS tier, array_to_string(r, ';') AS reasons FROM g""",
+)
 def extraction_report(spark, d):
-    """AGG-08: noise filter, merge, slot coverage and gates, one row for each paper."""
-    kept, _ = e.filter_claims(fx.claims(spark, d), is_caption(F.col("text")), "paper_id", "pos")
-    merged = a.merge_claims(kept, fx.STEPS)
-    per = merged.groupBy("paper_id").agg(
-        F.avg((F.col("confidence") >= 0.3).cast("double")).alias("supported"), (F.count_distinct("step") / len(fx.STEPS)).alias("step"), F.count("*").alias("comparable")
-    )
+    """AGG-08: noise filter, merge, slot coverage, conflicts within each paper and gates; one row for each paper with claims.
+
+    The logic ratio is that of the steps found before the filter; conflicts are counted among merged claims of a step.
+    """
+    claims = fx.claims(spark, d)
+    kept, _ = e.filter_claims(claims, is_caption(F.col("text")), "paper_id", "pos")
+    merged = materialize(a.merge_claims(kept, fx.STEPS).withColumn("claim_id", F.concat_ws("|", "paper_id", "key")))
+    steps = len(fx.STEPS)
+    per = merged.groupBy("paper_id").agg(F.avg((F.col("confidence") >= 0.3).cast("double")).alias("supported"), (F.count_distinct("step") / steps).alias("step"))
+    logic = claims.groupBy("paper_id").agg((F.count_distinct("step_type") / steps).alias("logic"))
     slots = a.slot_completeness(kept, [("Background", "Method"), ("Result", "Result"), ("Problem", "Gap")], fx.papers(spark, d)).select("paper_id", F.col("coverage").alias("slot"))
-    reports = per.join(slots, "paper_id").withColumns({"conflict": F.lit(0.0), "conflicts": F.lit(0), "logic": F.col("step")})
-    return a.quality_gates(reports, "recall").select("paper_id", "supported", "step", "slot", "tier", F.array_join("reasons", ";").alias("reasons"))
-
-
-@register("community_rebuild")
-def community_rebuild(spark, d):
-    """GRAPH-10: candidate edges, pair communities, members and labels."""
-    claims = fx.logic_steps(spark, d)
-    words = claims.select(F.col("logic_step_id").alias("node"), "paper_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("w"))
-    x, y = words.select("w", F.col("node").alias("source")), words.select("w", F.col("node").alias("target"))
-    shared = x.join(y, "w").where("source < target").groupBy("source", "target").agg((F.count("*") / 10).alias("score")).where("score >= 0.3")
-    none = shared.limit(0)
-    edges = g.candidate_graph(shared, none, none, claims.select(F.col("logic_step_id").alias("node"), "paper_id"))
-    return a.materialize_communities(g.pair_communities(edges).join(claims, F.col("node_id") == F.col("logic_step_id")).select("community_id", F.col("node_id").alias("member_id"), "paper_id", (F.col("rank") == 1).alias("core")))
+    pairs = pairs_in_group(merged, ["paper_id", "step"], 2, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    polarity = merged.select("claim_id", a.polarity(F.col("text"), r"\b(?:the|thing)\w*", r"\b(?:that|and)\w*").alias("polarity"))
+    conflicts = a.conflict_stats(pairs, polarity, ["paper_id"]).withColumnRenamed("rate", "conflict")
+    reports = per.join(slots, "paper_id").join(logic, "paper_id").join(conflicts, "paper_id", "left").na.fill(0, ["comparable", "conflicts", "conflict"])
+    gated = a.quality_gates(reports, "strict")
+    return gated.select("paper_id", F.round("supported", 6).alias("supported"), "step", "slot", "logic", "comparable", "conflicts", "tier", F.array_join("reasons", ";").alias("reasons"))
 
 
 @register("latex_tokens", r"SELECT item_id, len(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower('\alpha ' || text || ' \frac{x}{yy}'), '\\[a-z]+', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' +'), lambda t: length(t) > 1 OR t = 'i')) AS n FROM benchmark")

@@ -28,14 +28,14 @@ def knn_cross_label(spark, d):
 
 @register(
     "duplicate_observation",
-    """WITH g AS (SELECT vec_id AS node_id, vec_id % 97 AS grp, embedding AS vec FROM embeddings), n AS (SELECT grp FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200),
+    """WITH g AS (SELECT vec_id AS node_id, vec_id // 100 AS grp, embedding AS vec FROM embeddings), n AS (SELECT grp FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200),
     s AS (SELECT grp, a.node_id AS a, b.node_id AS b, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
       / (sqrt(list_sum(list_transform(a.vec, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.vec, lambda x: x::DOUBLE * x::DOUBLE)))) AS score FROM g a JOIN g b USING (grp) SEMI JOIN n USING (grp) WHERE a.node_id < b.node_id)
     SELECT grp, a, b, round(score, 5) AS score FROM s WHERE score >= 0.2""",
 )
 def duplicate_observation(spark, d):
-    """VEC-05, VEC-06"""
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 97).alias("grp"), F.col("embedding").alias("vec"))
+    """VEC-05, VEC-06: groups of neighbouring ids, which hold like numbers of rows in any table."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.expr("vec_id div 100").alias("grp"), F.col("embedding").alias("vec"))
     return v.duplicates_in_group(rows, "grp", 0.2).withColumn("score", F.round("score", 5))
 
 
@@ -166,7 +166,12 @@ def task_retention(spark, d):
     return w.retention(t, 10).select("task_id", "status")
 
 
-@register("char_budget_batches")
+@register(
+    "char_budget_batches",
+    fx.sql("chunk").replace("WITH ", "WITH RECURSIVE ", 1) + """, x AS MATERIALIZED (SELECT paper_id, pos, length(text) AS n FROM chunk), r(paper_id, pos, batch, held, k) AS (SELECT paper_id, pos, 0, n, 1 FROM x WHERE pos = 0
+      UNION ALL SELECT x.paper_id, x.pos, CASE WHEN held + n > 1500 OR k >= 4 THEN batch + 1 ELSE batch END, CASE WHEN held + n > 1500 OR k >= 4 THEN n ELSE held + n END, CASE WHEN held + n > 1500 OR k >= 4 THEN 1 ELSE k + 1 END
+      FROM r JOIN x ON x.paper_id = r.paper_id AND x.pos = r.pos + 1) SELECT paper_id, pos, batch FROM r""",
+)
 def char_budget_batches(spark, d):
     """WIN-11"""
     return w.char_budget_batches(fx.chunks(spark, d), "paper_id", "pos", 1500, 4)
@@ -174,9 +179,38 @@ def char_budget_batches(spark, d):
 
 @register("degree_capped_graph")
 def degree_capped_graph(spark, d):
-    """WIN-08, GRAPH-08: exact greedy selection within each bounded group."""
-    e = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 25).alias("grp"), (F.col("l_partkey") % 60).alias("source"), (F.col("l_orderkey") % 60 + 100).alias("target")).agg(F.round(F.sum("l_discount"), 6).alias("weight"))
-    return w.degree_capped(e, "grp", 8)
+    """WIN-08, GRAPH-08: exact greedy selection over the whole graph of suppliers and parts, in rounds of joins."""
+    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 10_000_000_000).alias("target")).agg(F.round(F.sum("l_discount"), 6).alias("weight"))
+    return w.degree_capped(e, 8)
+
+
+_PLANS = ["paper_first_then_textbook", "textbook_first_then_paper", "claim_first", "community_first", "hybrid_parallel", "other"]
+
+
+@register(
+    "channel_limits",
+    f"""WITH p AS (SELECT o_orderkey, ({_PLANS})[o_custkey % 6 + 1] AS plan, o_orderkey % 9 AS want FROM orders), b AS (SELECT *, greatest(2, want + 1) AS base FROM p)
+    SELECT o_orderkey, plan, CASE plan WHEN 'paper_first_then_textbook' THEN greatest(base + 1, 2 * want) WHEN 'claim_first' THEN greatest(base, want + 2) WHEN 'hybrid_parallel' THEN greatest(base, want + 2) ELSE base END AS logic_step,
+    CASE WHEN plan IN ('paper_first_then_textbook', 'claim_first') THEN greatest(base + 1, 2 * want) WHEN plan = 'hybrid_parallel' THEN greatest(base, want + 2) ELSE base END AS claim,
+    CASE WHEN plan IN ('textbook_first_then_paper', 'community_first') THEN greatest(base + 1, 2 * want) WHEN plan = 'hybrid_parallel' THEN greatest(base, want + 2) ELSE base END AS community,
+    CASE WHEN plan = 'textbook_first_then_paper' THEN greatest(base + 1, 2 * want) WHEN plan IN ('community_first', 'hybrid_parallel') THEN greatest(base, want + 2) ELSE base END AS textbook FROM b""",
+)
+def channel_limits(spark, d):
+    """VEC-10: how many rows each channel gives a question, by its plan."""
+    plan = F.array(*map(F.lit, _PLANS))[(F.col("o_custkey") % 6).cast("int")]
+    plans = table(spark, d, "orders").select("o_orderkey", plan.alias("plan"), (F.col("o_orderkey") % 9).alias("want"))
+    return v.channel_limits(plans, F.col("want")).drop("want")
+
+
+@register(
+    "retrieval_route",
+    "SELECT item_id, CASE WHEN item_id % 2 = 1 AND item_id % 3 = 0 THEN 'pageindex' ELSE 'fallback' END AS mode, CASE WHEN item_id % 2 = 0 THEN 'disabled' ELSE (['adapter_ready','adapter_unavailable','adapter_error'])[item_id % 3 + 1] END AS reason FROM benchmark",
+)
+def retrieval_route(spark, d):
+    """VEC-14: where a question goes, by what is on and there."""
+    i = F.col("item_id")
+    route = v.retrieval_route(i % 2 == 1, F.when(i % 3 == 0, True).when(i % 3 == 1, False))
+    return table(spark, d, "benchmark").select("item_id", route.alias("r")).select("item_id", "r.*")
 
 
 @register(

@@ -170,3 +170,22 @@ def priority_chunks(spark, d):
     """EXT-01, EXT-02: evidence chunks first, then the rest, forty of each paper."""
     first = F.desc(F.col("text").contains("the").cast("int"))
     return fx.chunks(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(first, "pos"))).where("rank <= 40").select("chunk_id", "rank")
+
+
+@register(
+    "chapter_numbers",
+    """WITH n AS (SELECT p_partkey, p_partkey % 4 AS form, CASE p_partkey % 4 WHEN 2 THEN p_partkey % 999 + 1 ELSE p_partkey % 400 END AS n FROM part)
+    SELECT p_partkey, form, CASE WHEN form < 3 THEN n END::INT AS number FROM n""",
+)
+def chapter_numbers(spark, d):
+    """SRC-07: English, Arabic and Chinese headings, and ones without a number."""
+    k = F.col("p_partkey")
+    n = k % 999 + 1
+    digit = lambda c: F.when(c == 0, "").otherwise(F.substr(F.lit("一二三四五六七八九"), c.cast("int"), F.lit(1)))
+    ones, tens, hundreds = n % 10, F.floor(n / 10) % 10, F.floor(n / 100)
+    ten = F.when(tens > 0, F.concat(F.when((tens == 1) & (hundreds == 0), "").otherwise(digit(tens)), F.lit("十"))).otherwise(F.when((hundreds > 0) & (ones > 0), "零").otherwise(""))
+    chinese = F.concat(F.when(hundreds > 0, F.concat(digit(hundreds), F.lit("百"))).otherwise(""), ten, digit(ones))
+    arabic = (k % 400).cast("string")
+    title = F.when(k % 4 == 0, F.concat(F.lit("Chapter "), arabic, F.lit(": flows"))).when(k % 4 == 1, F.concat(F.lit("第 $"), arabic, F.lit("$ 章")))
+    title = title.when(k % 4 == 2, F.concat(F.lit("第"), chinese, F.lit("章 流"))).otherwise(F.lit("Appendix 3"))
+    return table(spark, d, "part").select("p_partkey", (k % 4).alias("form"), s.chapter_number(title).alias("number"))

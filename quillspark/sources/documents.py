@@ -10,11 +10,13 @@ EXCLUDED_DIRS = [".git", ".venv", "__pycache__", "build", "cache", "dist", "node
 
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-01: (path, text) of Markdown files under a root, without excluded directories and READMEs."""
+    """SRC-01: (path, text) of Markdown files under a root, without READMEs and excluded directories below the root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     bad = "/(" + "|".join(d.replace(".", r"\.") for d in EXCLUDED_DIRS) + ")/"
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    return files.where(~F.col("path").rlike(bad) & (name != "readme.md")).select("path", F.col("content").cast("string").alias("text")).dropDuplicates(["path"])
+    at = F.instr("path", root.rstrip("/"))
+    below = F.when(at > 0, F.substr("path", at + len(root.rstrip("/")))).otherwise(F.col("path"))
+    return files.where(~below.rlike(bad) & (name != "readme.md")).select("path", F.col("content").cast("string").alias("text")).dropDuplicates(["path"])
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -65,15 +67,25 @@ def chapters(sectioned: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: How a Chinese chapter heading begins.
+_CHAPTER = r"^第\s*(\$?\s*[0-9]+\s*\$?|[一二三四五六七八九十百零〇]+)\s*章"
+#: Hundreds, tens and ones of a Chinese number; a mark without a digit before it counts once.
+_CHINESE = "^(?:([一二三四五六七八九])?百)?[零〇]?(?:([一二三四五六七八九])?十)?([一二三四五六七八九])?$"
+
+
 def chapter_number(title: Column) -> Column:
-    """SRC-07: the Arabic or Chinese number of a chapter heading, up to ninety-nine; null without one."""
-    arabic = F.regexp_extract(title, r"(?i)(?:chapter|第)\s*\$?\s*([0-9]{1,3})", 1)
-    cjk = F.regexp_extract(title, "第\\s*([一二三四五六七八九十百]+)\\s*章", 1)
-    digit = lambda c: F.instr(F.lit("一二三四五六七八九"), c)
-    tens = F.when(F.left(cjk, F.lit(1)) == "十", 1).otherwise(digit(F.left(cjk, F.lit(1))))
-    ones = F.when(F.right(cjk, F.lit(1)) == "十", 0).otherwise(digit(F.right(cjk, F.lit(1))))
-    value = F.when(cjk == "百", 100).when(cjk.contains("十"), tens * 10 + ones).otherwise(digit(cjk))
-    return F.when(arabic != "", arabic.cast("int")).when(cjk != "", value)
+    """SRC-07: the Arabic or Chinese number of a chapter heading, below a thousand in Chinese; null without one or with a malformed one.
+
+    After the English word any digits count.
+    """
+    line = F.trim(title)
+    inner = F.regexp_replace(F.regexp_extract(line, _CHAPTER, 1), r"[$\s]", "")
+    arabic = F.when(F.lower(line).startswith("chapter "), F.regexp_extract(line, "([0-9]+)", 1)).when(inner.rlike("^[0-9]+$"), inner)
+    part = lambda g: F.regexp_extract(inner, _CHINESE, g)
+    digit = lambda g: F.when(part(g) == "", 0).otherwise(F.instr(F.lit("一二三四五六七八九"), part(g)))
+    times = lambda g, mark: F.when(inner.contains(mark), F.greatest(F.lit(1), digit(g))).otherwise(0)
+    chinese = F.when(inner.rlike(_CHINESE), 100 * times(1, "百") + 10 * times(2, "十") + digit(3))
+    return F.coalesce(arabic.try_cast("int"), F.nullif(chinese, F.lit(0)))
 
 
 def block_offsets(blocks: DataFrame, key: str) -> DataFrame:

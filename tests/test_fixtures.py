@@ -1,5 +1,8 @@
 """Behavioural cases with hand-made rows."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from quillspark.functions import text as tx
 from quillspark.operators import aggregates as a
 from quillspark.operators import citations as c
 from quillspark.operators import evidence as e
+from quillspark.operators import extraction as x
 from quillspark.operators import graph as g
 from quillspark.operators import hypergraph as h
 from quillspark.operators import vectors as v
@@ -158,3 +162,64 @@ def test_local_moving_keeps_graphs_apart(spark):
     got = g.local_moving(spark.createDataFrame(rows, "grp long, source long, target long, weight double"), "grp").collect()
     of = lambda grp, no: {r.node for r in got if r.grp == grp and r.community == no}
     assert of(0, 0) == {1, 2, 3, 4, 5} and of(0, 1) == {11, 12, 13, 14} and of(1, 0) == {1, 2, 3} and len(got) == 12
+
+
+def test_degree_cap_equals_greedy(spark):
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(30), 100 + rng.randrange(30)) for _ in range(400)})
+    edges = [(a, b, rng.randrange(6) / 4) for a, b in pairs]
+    degree, want = {}, set()
+    for a, b, weight in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if degree.get(a, 0) < 3 and degree.get(b, 0) < 3:
+            want.add((a, b, weight))
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    df = spark.createDataFrame([*edges, (7, 7, 99.0)], "source long, target long, weight double")
+    assert {tuple(r) for r in w.degree_capped(df, 3).collect()} == want
+    assert w.degree_capped(df.limit(0), 3).count() == 0
+
+
+def test_char_budget_batches_carry_over(spark):
+    rows = [("a", i, "x" * (i % 7)) for i in range(20_000)] + [(None, 0, None), (None, 1, "y" * 50), ("b", 0, "z")]
+    got = w.char_budget_batches(spark.createDataFrame(rows, "g string, pos int, text string"), "g", "pos", 12, 5).collect()
+    batch, held, n, want = 0, 0, 0, {}
+    for _, i, t in rows[:20_000]:
+        if n and (held + len(t) > 12 or n >= 5):
+            batch, held, n = batch + 1, 0, 0
+        held, n = held + len(t), n + 1
+        want["a", i] = batch
+    want |= {(None, 0): 0, (None, 1): 1, ("b", 0): 0}
+    assert {(r.g, r.pos): r.batch for r in got} == want and len(got) == len(rows)
+
+
+def test_topk_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(i, i % 5, vec.tolist()) for i, vec in enumerate(data)], "node_id long, paper_id long, vec array<double>")
+    monkeypatch.setattr(v, "VALUES_PER_BLOCK", 256)
+    monkeypatch.setattr(v, "QUERIES_PER_BLOCK", 10)
+    got = {(r.src, r["rank"]): (r.dst, r.score) for r in v.cross_group_topk(rows, rows.where("node_id % 7 = 0"), 4).collect()}
+    for q in range(0, 300, 7):
+        best = sorted((-data[q] @ data[j], j) for j in range(300) if j % 5 != q % 5)[:4]
+        assert [got[q, i + 1] for i in range(4)] == [(j, -score) for score, j in best]
+
+
+def test_chapter_numbers(spark):
+    titles = {"第 十 二 章": None, "第十二章 流": 12, "第一百零三章": 103, "第二十章": 20, "第百章": 100, "第$ 7 $章": 7, "chapter x 9 of 10": 9, "Chapter one": None, "第章": None, "": None}
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert {r.t: r.n for r in df.select("t", s.chapter_number(F.col("t")).alias("n")).collect()} == titles
+
+
+def test_markdown_files(spark, tmp_path):
+    for name in ("a/full.md", "a/README.md", "node_modules/x.md", "b/c/d.md", "b/e.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("# " + name)
+    got = {(r.path.split(str(tmp_path) + "/")[1], r.text) for r in s.markdown_files(spark, str(tmp_path)).collect()}
+    assert got == {("a/full.md", "# a/full.md"), ("b/c/d.md", "# b/c/d.md")}
+
+
+def test_recheck_and_quotes(spark):
+    atoms = spark.createDataFrame([(1, 1, ["red cat"], False, 0.2), (2, 1, ["dog"], False, 0.9), (3, 1, ["red"], True, 0.3), (4, 1, ["red"], True, 0.9)], "id long, doc long, values array<string>, grounded boolean, confidence double")
+    verdicts = spark.createDataFrame([(1, "confirmed", "a  red cat"), (2, "confirmed", "a red"), (3, "unsupported", ""), (4, "confirmed", "nowhere")], "id long, verdict string, span string")
+    texts = spark.createDataFrame([(1, "There is a red\ncat here.")], "doc long, text string")
+    got = {r.id: (r.grounded, r.confidence, r.unsupported) for r in x.recheck(atoms, verdicts, texts, "id", "doc").collect()}
+    assert got == {1: (True, 0.6, False), 2: (False, 0.9, False), 3: (True, 0.3, True), 4: (True, 0.9, False)}
