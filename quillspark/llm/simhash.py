@@ -4,10 +4,10 @@ Terms are pairs of adjacent words (a single word where there is only one), each
 length up to 15, so that pairs of function words count for less. Two long counters share one
 64-bit sum, so 64 sums hold the votes for 128 bits; a document may have 2^32 / 15 words.
 
-Near fingerprints are found through permuted block tables: two fingerprints within RADIUS = 3
-bits agree on one of four 32-bit blocks, and of the 96 bits outside that block on one of four
-24-bit parts. Each of the sixteen (block, part) tables is keyed by those 56 equal bits, so only
-close fingerprints meet in it. Equal fingerprints form one class before that.
+Near fingerprints are found through permuted block tables: two fingerprints within RADIUS = r bits
+agree on one of r + 1 blocks, and of the bits outside that block on one of r + 1 parts. Each of the
+(r + 1)^2 tables is keyed by those equal bits (39 of them for r = 5), so only close fingerprints meet
+in it. Equal fingerprints form one class before that.
 
 Only DataFrame functions run. Defined results: a null text is empty; the empty text's fingerprint
 is that of the one term ''; a row without id takes no part; rows with equal ids are ordered by
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillspark.session import materialize
 
 MAX_WEIGHT = 15
-RADIUS = 3
+RADIUS = 5
 #: Ranges of ids in which documents meet their successors; the driver holds their bounds.
 RANGES = 16_384
 _PAIR = 0x0000000100000001
@@ -68,30 +68,47 @@ def likeness(a: str, b: str) -> Column:
     return 1 - F.expr(f"bit_count({a}.hi ^ {b}.hi) + bit_count({a}.lo ^ {b}.lo)") / 128.0
 
 
+def _bits(hi: str, lo: str, places: list[int]) -> str:
+    """The bits of the fingerprint at the given places, 0 the highest of hi, as one number."""
+    out, at = [], 0
+    while at < len(places):
+        end = at + 1
+        while end < len(places) and places[end] == places[end - 1] + 1 and places[end] != 64:
+            end += 1
+        word, low = (hi, 63 - places[end - 1]) if places[at] < 64 else (lo, 127 - places[end - 1])
+        out.append(f"shiftleft(shiftrightunsigned({word}, {low}) & {(1 << (end - at)) - 1}L, {len(places) - end})")
+        at = end
+    return "(" + " | ".join(out) + ")"
+
+
+def _cut(places: list[int], parts: int) -> list[list[int]]:
+    ends = [len(places) * i // parts for i in range(parts + 1)]
+    return [places[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def block_tables(radius: int) -> list[tuple[list[int], list[int]]]:
+    """(block, part): the places of the bits that key each table."""
+    blocks = _cut(list(range(128)), radius + 1)
+    return [(block, part) for block in blocks for part in _cut([p for p in range(128) if p not in block], radius + 1)]
+
+
 def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(hi, lo, n_near): for each distinct fingerprint of marks the number of other rows of marks within the radius, 3 at most.
+    """(hi, lo, n_near): for each distinct fingerprint of marks the number of other rows of marks within the radius, 3 to 7.
 
     Equal rows are counted by class and never paired.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("four blocks find fingerprints within 3 bits")
+    if not 3 <= radius <= 7:
+        raise ValueError("keys of tables hold the bits for a radius of 3 to 7")
     classes = materialize(marks.groupBy("hi", "lo").agg(F.count("*").alias("n")))
-    parts = [F.expr(f"{w} & 4294967295L") if not up else F.expr(f"shiftrightunsigned({w}, 32)") for w in ("hi", "lo") for up in (1, 0)]
-    blocks = classes.withColumn("block", F.array(*parts))
-    tables = blocks.select(
-        "hi", "lo", "n", F.posexplode("block").alias("at", "held"), F.col("block").alias("b")
-    ).withColumn("rest", F.expr("transform(filter(sequence(0, 3), k -> k != at), k -> b[k])"))
-    part = """array(shiftrightunsigned(rest[0], 8),
-      ((rest[0] & 255L) << 16) | shiftrightunsigned(rest[1], 16),
-      ((rest[1] & 65535L) << 8) | shiftrightunsigned(rest[2], 24),
-      rest[2] & 16777215L)"""
-    keyed = tables.select("hi", "lo", "n", "at", "held", F.posexplode(F.expr(part)).alias("sub", "part"))
-    key = ["at", "held", "sub", "part"]
-    a, b = keyed.select(*key, F.struct("hi", "lo").alias("a"), F.col("n").alias("n_a")), keyed.select(*key, F.struct("hi", "lo").alias("b"), F.col("n").alias("n_b"))
-    near = a.join(b, key).where("a < b").where(F.expr("bit_count(a.hi ^ b.hi) + bit_count(a.lo ^ b.lo)") <= radius)
-    pairs = near.select("a", "b", "n_a", "n_b").distinct()
-    ends = pairs.select(F.explode(F.array(F.struct("a", F.col("n_b").alias("n")), F.struct(F.col("b").alias("a"), F.col("n_a").alias("n")))).alias("e"))
-    others = ends.groupBy(F.col("e.a.hi").alias("hi"), F.col("e.a.lo").alias("lo")).agg(F.sum("e.n").alias("others"))
+    tables, shift = block_tables(radius), max(len(b) + len(p) for b, p in block_tables(radius))
+    keys = F.array(*[F.expr(f"{t << shift}L | {_bits('hi', 'lo', block + part)}") for t, (block, part) in enumerate(tables)])
+    keyed = classes.select("hi", "lo", F.explode(keys).alias("key"))
+    a, b = (keyed.select("key", F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo")) for x in "ab")
+    near = a.join(b, "key").where(F.expr("bit_count(a_hi ^ b_hi) + bit_count(a_lo ^ b_lo)") <= radius).where("a_hi < b_hi or a_hi = b_hi and a_lo < b_lo")
+    pairs = near.drop("key").distinct()
+    ends = pairs.select(F.explode(F.expr("array(struct(a_hi as hi, a_lo as lo, b_hi, b_lo), struct(b_hi as hi, b_lo as lo, a_hi as b_hi, a_lo as b_lo))")).alias("e")).select("e.*")
+    sizes = classes.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "n")
+    others = ends.join(sizes, ["b_hi", "b_lo"]).groupBy("hi", "lo").agg(F.sum("n").alias("others"))
     return classes.join(others, ["hi", "lo"], "left").select("hi", "lo", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
 
 

@@ -524,7 +524,7 @@ def test_fingerprints(spark, tmp_path):
     assert got[6].fingerprint == got[7].fingerprint
     marks = [int(got[i].fingerprint, 16) for i in range(len(plain))]
     for i, m in enumerate(marks):
-        assert got[i].n_near == sum(bin(m ^ o).count("1") <= 3 for j, o in enumerate(marks) if j != i)
+        assert got[i].n_near == sum(bin(m ^ o).count("1") <= simhash.RADIUS for j, o in enumerate(marks) if j != i)
         assert got[i].near_next == 1 - bin(m ^ marks[(i + 1) % len(marks)]).count("1") / 128
     empty(spark).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert simhash.op9_simhash(spark, f"{tmp_path}/e").count() == 0
@@ -533,12 +533,13 @@ def test_fingerprints(spark, tmp_path):
 def test_block_tables_find_all_within_radius(spark):
     r = random.Random(6)
     base = [r.getrandbits(128) for _ in range(6)]
-    marks = [b ^ sum(1 << x for x in r.sample(range(128), r.randrange(5))) for b in base for _ in range(12)]
+    marks = [b ^ sum(1 << x for x in r.sample(range(128), r.randrange(7))) for b in base for _ in range(12)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(m >> 64), signed(m & (2**64 - 1))) for m in marks], "hi long, lo long")
-    got = {(x.hi, x.lo): x.n_near for x in simhash.near_counts(df).collect()}
-    for m in set(marks):
-        assert got[(signed(m >> 64), signed(m & (2**64 - 1)))] == sum(bin(m ^ o).count("1") <= 3 for o in marks) - 1
+    for radius in (3, 5, 7):
+        got = {(x.hi, x.lo): x.n_near for x in simhash.near_counts(df, radius).collect()}
+        for m in set(marks):
+            assert got[(signed(m >> 64), signed(m & (2**64 - 1)))] == sum(bin(m ^ o).count("1") <= radius for o in marks) - 1
 
 
 # 10
