@@ -26,6 +26,8 @@ MAX_WEIGHT = 15
 RADIUS = 5
 #: Ranges of ids in which documents meet their successors; the driver holds their bounds.
 RANGES = 16_384
+#: Parts in which the rows of one fingerprint are joined with its count.
+PARTS = 1024
 _PAIR = 0x0000000100000001
 
 
@@ -161,7 +163,10 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     )
     marks = marks.withColumn("next", F.lead("own").over(Window.partitionBy("part").orderBy("place")))
     marks = materialize(marks.where(~F.col("last")).select("doc_id", "n_chars", "edited_sha256", "own", "changed", "next", "own.hi", "own.lo"))
-    counted = marks.join(near_counts(marks), ["hi", "lo"], "left")
+    # a class meets its count once for each part of its rows, so that no task gets all rows of a large one
+    marks = marks.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    counts = marks.groupBy("hi", "lo", "part").agg(F.count("*").alias("n")).drop("n").join(near_counts(marks), ["hi", "lo"])
+    counted = marks.join(counts, ["hi", "lo", "part"], "left")
     text = lambda c: F.lower(F.concat(*[F.lpad(F.hex(f"{c}.{x}"), 16, "0") for x in ("hi", "lo")]))
     return counted.select(
         "doc_id",
