@@ -48,6 +48,19 @@ def clean_purposes(labels: Column, scores: Column, most: int = 3) -> Column:
     return F.when(F.size(best) > 0, best).otherwise(F.array(F.struct(F.lit(0.0).alias("score"), F.lit("Unknown").alias("label"))))
 
 
+def single_purpose(labels: Column, scores: Column, most: int = 3) -> Column:
+    """EXT-08: known labels of one citation with their scores in 0..1, best first; 0.4 each where a score is missing or the lists do not fit.
+
+    Background with 0.4 where no label is left.
+    """
+    score = lambda i: F.when(F.size(labels) == F.size(scores), F.try_element_at(scores, i + 1))
+    inside = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(s.try_cast("double"), F.lit(0.4))))
+    pairs = F.transform(labels, lambda x, i: F.struct((-inside(score(i))).alias("order"), i.alias("place"), x.alias("label")))
+    best = F.slice(F.array_sort(F.filter(pairs, lambda p: p["label"].isin(PURPOSES))), 1, most)
+    named = F.transform(best, lambda p: F.struct((-p["order"]).alias("score"), p["label"].alias("label")))
+    return F.when(F.size(named) > 0, named).otherwise(F.array(F.struct(F.lit(0.4).alias("score"), F.lit("Background").alias("label"))))
+
+
 def judge_label(score: Column, contradicted: Column, supported: float = 0.75, weak: float = 0.55) -> Column:
     """CIT-08"""
     return F.when(contradicted, "unsupported").when(score >= supported, "supported").when(score >= weak, "weak").otherwise("unsupported")

@@ -30,7 +30,7 @@ def call_model(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], sc
 
 
 def tiered_extraction(rows: DataFrame, key: str, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batches: tuple[int, ...] = (16, 8, 1)) -> DataFrame:
-    """EXT-03/04/06/08/11/13: batch, half batch, single row; each tier takes the rows that the one before left without a result."""
+    """EXT-03: batch, half batch, single row; each tier takes the rows that the one before left without a result."""
     done: list[DataFrame] = []
     left = rows
     for i, batch in enumerate(batches):
@@ -150,9 +150,90 @@ def float_list(values: Column) -> Column:
     return F.filter(F.transform(values, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
 
 
-def clamped(config: dict[str, float], bounds: dict[str, tuple[float, float, float]]) -> dict[str, float]:
-    """HG-15, EXT-27: settings inside their bounds (low, high, default)."""
-    return {k: max(lo, min(hi, float(config.get(k, default)))) for k, (lo, hi, default) in bounds.items()}
+def layered_settings(layers: DataFrame, by: str, bounds: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """EXT-27: one row for each profile (by), with each setting from the highest layer that gives a number, kept inside its bounds.
+
+    layers: (by, layer, key, value string); bounds: setting -> (default, low, high). Unknown settings are ignored.
+    """
+    number = F.col("value").try_cast("double")
+    known = layers.withColumn("number", F.when(F.isnan(number), None).otherwise(number))
+    given = {k: F.max_by("number", F.when((F.col("key") == k) & F.col("number").isNotNull(), F.col("layer"))) for k in bounds}
+    return known.groupBy(by).agg(*[F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.coalesce(given[k], F.lit(float(default))))).alias(k) for k, (default, low, high) in bounds.items()])
+
+
+def paper_workers(limit: Column, per_paper: Column, slots: Column, fallback: Column, low: int, high: int) -> Column:
+    """EXT-27: papers at a time, from the calls allowed at once and the slots of the routable workers, or a fallback where there are none."""
+    papers = F.greatest(F.lit(1), F.floor(limit / per_paper))
+    return F.greatest(F.lit(low), F.least(F.lit(high), papers, F.when(slots > 0, slots).otherwise(fallback))).cast("int")
+
+
+#: Paper types of a schema, and the rules with their least and greatest values; a pair is a rule's minimum and maximum.
+PAPER_TYPES = ["research", "theoretical", "review", "software", "case_study"]
+RULE_PAIRS = {"claims_per_paper": (1, None), "machine_evidence": (0, 6), "logic_evidence": (0, 8)}
+RULES = {"citation_context_sentence_window": (0, 3), "targets_per_claim_max": (0, 5), "phase1_claim_worker_count": (1, 16)}
+
+
+def schema_faults(schemas: DataFrame, types: list[str] = PAPER_TYPES) -> DataFrame:
+    """HG-15: schemas (schema_id, paper_type, steps, claim_kinds, rules) with the names of what is wrong in each, in a fixed order.
+
+    steps and claim_kinds are lists of ids, which must be there, well formed and distinct; rules maps names to whole numbers,
+    and a rule that is absent is not checked unless it is one of a pair, which counts as 0.
+    """
+    ids = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9_]*$")) & (F.size(F.array_distinct(c)) == F.size(c)), F.lit(False))
+    rule = lambda name: F.try_element_at("rules", F.lit(name))
+    checks = {"paper_type": F.coalesce(F.col("paper_type").isin(types), F.lit(False)), "steps": ids("steps"), "claim_kinds": ids("claim_kinds")}
+    for name, (low, high) in RULE_PAIRS.items():
+        least, most = (F.coalesce(rule(f"{name}_{end}"), F.lit(0)) for end in ("min", "max"))
+        checks[name] = (least >= low) & (most >= least) & ((most <= high) if high is not None else F.lit(True))
+    for name, (low, high) in RULES.items():
+        checks[name] = F.coalesce(rule(name).between(low, high), F.lit(True))
+    return schemas.select("schema_id", F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()])).alias("faults"))
+
+
+#: The six steps of a summary.
+SUMMARY_STEPS = ["Background", "Problem", "Method", "Experiment", "Result", "Conclusion"]
+
+
+def summary_steps(papers: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """EXT-06: all six steps of each paper (key), with what a model found (key, step_type, summary, confidence); confidence 0.5 where it gave none."""
+    every = papers.select(key, F.explode(F.array(*map(F.lit, SUMMARY_STEPS))).alias("step_type"))
+    sure = F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))
+    return every.join(found, [key, "step_type"], "left").select(key, "step_type", F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), sure.alias("confidence"))
+
+
+def keyed_claims(claims: DataFrame) -> DataFrame:
+    """EXT-06: claims (path, doi, text, confidence) with an id within their file and a key that equal claims of one DOI share; blank ones go."""
+    from quillspark.functions.text import norm_text
+
+    text = F.trim("text")
+    ident = lambda a, b: F.substring(F.sha2(F.concat(a, F.lit("\0"), b), 256), 1, 24)
+    doi = F.lower(F.trim(F.coalesce("doi", F.lit(""))))
+    return claims.where(text != "").select(
+        ident(F.col("path"), text).alias("claim_id"), ident(doi, norm_text(text)).alias("claim_key"), text.alias("text"), F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5)).alias("confidence")
+    )
+
+
+def rename_triggers(patterns: DataFrame, known: list[str], longest: int = 45) -> DataFrame:
+    """EXT-14: concrete patterns (pattern_id, abstract) whose id is all upper case, or long and stitched from three words or more; known ones stay."""
+    name = F.col("pattern_id")
+    shout = (F.upper(name) == name) & (F.lower(name) != name) & (F.length(name) > 4)
+    stitched = (F.length(name) >= longest) & (F.size(F.split(name, "_")) > 2)
+    reason = F.when(shout, "upper").when(stitched, "long_stitched")
+    return patterns.where(~F.col("abstract") & ~name.isin(known)).select("pattern_id", reason.alias("reason"), F.length(name).alias("len")).where("reason is not null")
+
+
+def split_groups(edges: DataFrame, groups: DataFrame, least: int = 3) -> DataFrame:
+    """EXT-14: the groups that a model made of each pattern's edges, as a partition: (pattern, edge, grp, fires).
+
+    edges: (pattern, edge); groups: (pattern, grp, edge). An edge in several groups is the first one's, edges in none form the
+    last group, and edges that the pattern lacks go. A pattern splits (fires) only if two groups hold `least` edges each.
+    """
+    first = groups.groupBy("pattern", "edge").agg(F.min("grp").alias("grp"))
+    rest = groups.groupBy("pattern").agg((F.max("grp") + 1).alias("rest"))
+    placed = edges.distinct().join(first, ["pattern", "edge"], "left").join(rest, "pattern", "left")
+    placed = placed.select("pattern", "edge", F.coalesce("grp", "rest", F.lit(0)).cast("int").alias("grp"))
+    large = placed.groupBy("pattern", "grp").agg(F.count("*").alias("n")).groupBy("pattern").agg((F.count_if(F.col("n") >= least) >= 2).alias("fires"))
+    return placed.join(large, "pattern")
 
 
 def recovery_due(references: Column, chars: Column, existing: int = 12, least: int = 18, per_thousand: float = 0.45) -> Column:

@@ -200,12 +200,18 @@ def chapters(spark, d):
 
 @register(
     "figures",
-    """WITH l AS (SELECT doc_id, [ 'Figure ' || doc_id || ' shows', '![x](images/' || doc_id || '.png)', '', 'after one', 'after two' ] AS ls FROM documents) SELECT doc_id, 1 AS img_line, 'images/' || doc_id || '.png' AS rel_path, 'Figure ' || doc_id || ' shows' AS caption, substr(sha256(doc_id || '|images/' || doc_id || '.png'), 1, 16) AS figure_id FROM l""",
+    """WITH ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c0, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+    m AS (SELECT doc_id, line, CASE WHEN line % 9 = 4 THEN '![x](images/' || line || '.png) ' || c0 WHEN line % 18 = 3 THEN 'Figure ' || line || ' ' || c0 ELSE c0 END AS c FROM ls),
+    w AS (SELECT *, trim(lag(c) OVER q) AS before, [trim(lead(c, 1) OVER q), trim(lead(c, 2) OVER q), trim(lead(c, 3) OVER q), trim(lead(c, 4) OVER q), trim(lead(c, 5) OVER q), trim(lead(c, 6) OVER q), trim(lead(c, 7) OVER q)] AS near FROM m WINDOW q AS (PARTITION BY doc_id ORDER BY line))
+    SELECT doc_id, line::INT AS img_line, 'images/' || line || '.png' AS rel_path, CASE WHEN line % 18 = 4 THEN before ELSE nullif(array_to_string(list_filter(near, lambda x: x IS NOT NULL AND x <> '')[1:3], ' '), '') END AS caption,
+    substr(sha256(doc_id || '|images/' || line || '.png'), 1, 16) AS figure_id FROM w WHERE line % 9 = 4""",
 )
 def figures(spark, d):
-    """SRC-05"""
-    text = F.format_string("Figure %d shows\n![x](images/%d.png)\n\nafter one\nafter two", "doc_id", "doc_id")
-    return s.figures(s.lines(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id"), "doc_id")
+    """SRC-05: lines of each text; some play an image, some the caption before it, others are read after it."""
+    line = F.col("line")
+    image, caption = F.concat(F.lit("![x](images/"), line, F.lit(".png) "), "content"), F.concat(F.lit("Figure "), line, F.lit(" "), "content")
+    rows = s.lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return s.figures(rows.withColumn("content", F.when(line % 9 == 4, image).when(line % 18 == 3, caption).otherwise(F.col("content"))), "doc_id")
 
 
 @register("seeded_sample")

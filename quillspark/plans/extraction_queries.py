@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import citations as c
 from quillspark.operators import extraction as x
 from quillspark.operators import graph as g
 from quillspark.plans import fixtures as fx
 from quillspark.registry import register
-from quillspark.session import table
+from quillspark.session import shared_folder, table
 
 
 def _length_model(rows: pd.DataFrame) -> pd.DataFrame:
@@ -22,7 +23,7 @@ def _length_model(rows: pd.DataFrame) -> pd.DataFrame:
 
 @register("tiered_extraction", "SELECT item_id, length(text)::BIGINT AS n FROM benchmark")
 def tiered_extraction(spark, d):
-    """EXT-03, EXT-06, EXT-08, EXT-14: an injected callable with smaller batches for what failed."""
+    """EXT-03: an injected callable with smaller batches for what failed."""
     return x.tiered_extraction(table(spark, d, "benchmark").select("item_id", "text"), "item_id", _length_model, "item_id long, n long").drop("tier")
 
 
@@ -87,13 +88,12 @@ def section_map(spark, d):
 
 @register(
     "chained_contexts",
-    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 40 AS src, p_partkey % 40 + p_size % 7 + 1 AS dst FROM part), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON r.node = e.src),
+    f"""WITH RECURSIVE {fx.LAYERS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON r.node = e.src),
     l AS (SELECT node, max(level)::INT AS level FROM r GROUP BY 1) SELECT node, level, coalesce((SELECT string_agg('s' || src, chr(10) ORDER BY src) FROM e WHERE dst = node), '') AS context FROM l""",
 )
 def chained_contexts(spark, d):
     """EXT-10, GRAPH-18"""
-    k = F.col("p_partkey") % 40
-    e = table(spark, d, "part").select(k.alias("src"), (k + F.col("p_size") % 7 + 1).alias("dst")).distinct()
+    e = fx.layers(spark, d)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return x.chained_levels(g.topological_levels(e, nodes), e, nodes.select("node", F.concat(F.lit("s"), "node").alias("summary")))
 
@@ -186,3 +186,130 @@ def rendered_prompts(spark, d):
     """STR-22"""
     values = {"id": F.col("item_id"), "text": tx.compact_whitespace(F.col("text"))}
     return table(spark, d, "benchmark").select("item_id", tx.render_template("Item {{id}} {{other}}: {{text}}", values).alias("prompt"))
+
+
+def _purpose_model(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a model that labels citations: now and then with unknown labels, lists of other lengths, or nothing."""
+    labels = {0: ["MethodUse", "Nonsense", "Theory"], 1: ["Survey"], 2: [], 3: ["Nonsense"], 4: ["DataTool", "Theory"]}
+    scores = {0: ["0.3", "0.9", "high"], 1: ["7"], 2: ["0.5"], 3: ["0.5"], 4: ["0.9"]}
+    form = rows["o_orderkey"] % 5
+    return pd.DataFrame({"o_orderkey": rows["o_orderkey"], "labels": form.map(labels), "scores": form.map(scores)})
+
+
+@register(
+    "single_purposes",
+    """SELECT o_orderkey, (['Theory:0.4;MethodUse:0.3','Survey:1.0','Background:0.4','Background:0.4','DataTool:0.4;Theory:0.4'])[o_orderkey % 5 + 1] AS purposes FROM orders""",
+)
+def single_purposes(spark, d):
+    """EXT-08: an injected model's labels of each citation, made sound."""
+    rows = x.call_model(table(spark, d, "orders").select("o_orderkey"), _purpose_model, "o_orderkey long, labels array<string>, scores array<string>", 64)
+    pairs = c.single_purpose(F.col("labels"), F.col("scores"))
+    return rows.select("o_orderkey", F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["label"], p["score"].cast("string"))), ";").alias("purposes"))
+
+
+@register(
+    "summary_steps",
+    """WITH s AS (SELECT unnest(['Background','Problem','Method','Experiment','Result','Conclusion']) AS step_type, unnest([0,1,2,3,4,5]) AS i)
+    SELECT item_id, step_type, CASE WHEN i % 2 = 0 THEN trim(substr(text, i * 10 + 1, 40)) ELSE '' END AS summary, CASE WHEN i = 2 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM benchmark, s""",
+)
+def summary_steps(spark, d):
+    """EXT-06: half of the steps come from a stand-in of a model, the others are filled."""
+    b = table(spark, d, "benchmark")
+    found = b.select("item_id", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("i"), "text")
+    found = found.select("item_id", F.array(*map(F.lit, x.SUMMARY_STEPS))[F.col("i")].alias("step_type"), F.substr("text", F.col("i") * 10 + 1, F.lit(40)).alias("summary"), F.when(F.col("i") == 2, 0.8).when(F.col("i") == 4, 0.0).alias("confidence"))
+    return x.summary_steps(b, found, "item_id")
+
+
+@register(
+    "keyed_claims",
+    r"""WITH c AS (SELECT '/runs/' || doc_id || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN ' 10.1/AB' || doc_id ELSE '' END AS doi, trim(string_split(text, chr(10))[1]) AS text FROM documents)
+    SELECT substr(sha256(path || chr(0) || text), 1, 24) AS claim_id, substr(sha256(lower(trim(doi)) || chr(0) || regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[.;。；\s]+$', '')), 1, 24) AS claim_key, text, 0.5::DOUBLE AS confidence FROM c WHERE text <> ''""",
+)
+def keyed_claims(spark, d):
+    """EXT-06: the first line of each document as its claim."""
+    doc = F.col("doc_id")
+    doi = F.when(doc % 2 == 0, F.concat(F.lit(" 10.1/AB"), "doc_id"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("/runs/"), "doc_id", F.lit(".md")).alias("path"), doi.alias("doi"), F.split("text", "\n")[0].alias("text"), F.lit(None).cast("double").alias("confidence"))
+    return x.keyed_claims(rows)
+
+
+@register(
+    "rename_triggers",
+    """WITH p AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN upper(replace(p_type, ' ', '_')) WHEN p_size % 3 = 1 THEN lower(replace(p_type || ' of ' || p_brand || ' in parts of many kinds', ' ', '_')) ELSE lower(replace(p_type, ' ', '_')) END AS pattern_id, p_size % 5 = 0 AS abstract FROM part)
+    SELECT pattern_id, CASE WHEN pattern_id = upper(pattern_id) THEN 'upper' ELSE 'long_stitched' END AS reason, length(pattern_id)::INT AS len FROM p
+    WHERE NOT abstract AND (pattern_id = upper(pattern_id) AND length(pattern_id) > 4 OR length(pattern_id) >= 45 AND len(string_split(pattern_id, '_')) > 2)""",
+)
+def rename_triggers(spark, d):
+    """EXT-14: patterns whose names have grown unwieldy."""
+    kind = F.replace("p_type", F.lit(" "), F.lit("_"))
+    long_ = F.replace(F.concat("p_type", F.lit(" of "), "p_brand", F.lit(" in parts of many kinds")), F.lit(" "), F.lit("_"))
+    name = F.when(F.col("p_size") % 3 == 0, F.upper(kind)).when(F.col("p_size") % 3 == 1, F.lower(long_)).otherwise(F.lower(kind))
+    return x.rename_triggers(table(spark, d, "part").select(name.alias("pattern_id"), (F.col("p_size") % 5 == 0).alias("abstract")).distinct(), ["defines", "measures"])
+
+
+@register(
+    "split_groups",
+    """WITH e AS (SELECT DISTINCT l_suppkey AS pattern, l_partkey AS edge FROM lineitem), g AS (SELECT l_suppkey AS pattern, l_linenumber AS grp, l_partkey AS edge FROM lineitem WHERE l_linenumber < 4 AND l_quantity > 25),
+    f AS (SELECT pattern, edge, min(grp) AS grp FROM g GROUP BY 1, 2), m AS (SELECT pattern, max(grp) + 1 AS rest FROM g GROUP BY 1),
+    p AS (SELECT pattern, edge, coalesce(f.grp, rest, 0)::INT AS grp FROM e LEFT JOIN f USING (pattern, edge) LEFT JOIN m USING (pattern)),
+    n AS (SELECT pattern, grp, count(*) AS n FROM p GROUP BY 1, 2), l AS (SELECT pattern, count(*) FILTER (n >= 3) >= 2 AS fires FROM n GROUP BY 1) SELECT pattern, edge, grp, fires FROM p JOIN l USING (pattern)""",
+)
+def split_groups(spark, d):
+    """EXT-14: edges of each pattern under the groups named for them."""
+    li = table(spark, d, "lineitem")
+    edges = li.select(F.col("l_suppkey").alias("pattern"), F.col("l_partkey").alias("edge"))
+    groups = li.where("l_linenumber < 4 and l_quantity > 25").select(F.col("l_suppkey").alias("pattern"), F.col("l_linenumber").alias("grp"), F.col("l_partkey").alias("edge"))
+    return x.split_groups(edges, groups.unionByName(groups.limit(1).withColumn("edge", F.lit(-1).cast("long"))))
+
+
+@register(
+    "layered_settings",
+    """SELECT c_custkey, least(64, greatest(1, CASE WHEN c_custkey % 3 = 0 THEN floor(c_acctbal / 100) WHEN c_custkey % 3 = 1 THEN c_nationkey ELSE 4 END))::DOUBLE AS workers,
+    least(1, greatest(0, CASE WHEN c_custkey % 3 = 1 THEN c_acctbal / 1000 ELSE 0.5 END))::DOUBLE AS least FROM customer""",
+)
+def layered_settings(spark, d):
+    """EXT-27: settings of a profile under those of a run, some of them no numbers."""
+    cust, form = table(spark, d, "customer"), F.col("c_custkey") % 3
+    row = lambda layer, key, value: F.struct(F.lit(layer).alias("layer"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+    rows = F.array(
+        row(0, "workers", F.when(form < 2, F.col("c_nationkey"))), row(1, "workers", F.when(form == 0, F.floor(F.col("c_acctbal") / 100).cast("string")).otherwise(F.lit("many"))),
+        row(1, "least", F.when(form == 1, F.col("c_acctbal") / 1000)), row(1, "color", F.lit("3")),
+    )
+    layers = cust.select("c_custkey", F.explode(rows).alias("r")).select("c_custkey", "r.*")
+    return x.layered_settings(layers, "c_custkey", {"workers": (4, 1, 64), "least": (0.5, 0, 1)})
+
+
+@register(
+    "paper_workers",
+    """SELECT c_custkey, greatest(1, least(32, greatest(1, floor(c_nationkey * 4 / 6.0)), CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 * 5 ELSE 7 END))::INT AS workers FROM customer""",
+)
+def paper_workers(spark, d):
+    """EXT-27: the worker count that follows from other settings."""
+    n, i = F.col("c_nationkey"), F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", x.paper_workers(n * 4, F.lit(6), i % 4 * 5, F.lit(7), 1, 32).alias("workers"))
+
+
+@register(
+    "schema_faults",
+    """WITH s AS (SELECT c_custkey, (['research','poem'])[c_custkey % 2 + 1] AS t, c_custkey % 3 AS f, c_nationkey % 9 AS e FROM customer)
+    SELECT c_custkey AS schema_id, array_to_string(list_filter([CASE WHEN t = 'poem' THEN 'paper_type' END, CASE WHEN f > 0 THEN 'steps' END, CASE WHEN e = 0 THEN 'claims_per_paper' END,
+      CASE WHEN e > 6 OR e < 2 THEN 'machine_evidence' END, CASE WHEN e > 3 THEN 'citation_context_sentence_window' END], lambda x: x IS NOT NULL), ';') AS faults FROM s""",
+)
+def schema_faults(spark, d):
+    """HG-15: schemas with repeated or malformed steps and rules out of bounds."""
+    i, e = F.col("c_custkey"), (F.col("c_nationkey") % 9).cast("int")
+    steps = F.when(i % 3 == 0, F.array(F.lit("setup"), F.lit("result"))).when(i % 3 == 1, F.array(F.lit("setup"), F.lit("setup"))).otherwise(F.array(F.lit("2nd step")))
+    pairs = {"claims_per_paper_min": F.lit(1), "claims_per_paper_max": e, "machine_evidence_min": F.lit(2), "machine_evidence_max": e, "logic_evidence_max": F.lit(8), "citation_context_sentence_window": e}
+    rules = F.create_map(*[y for k, v in pairs.items() for y in (F.lit(k), v)])
+    kind = F.array(F.lit("research"), F.lit("poem"))[(i % 2).cast("int")]
+    rows = table(spark, d, "customer").select(i.alias("schema_id"), kind.alias("paper_type"), steps.alias("steps"), F.array(F.lit("Gap"), F.lit("Result")).alias("claim_kinds"), rules.alias("rules"))
+    return x.schema_faults(rows).select("schema_id", F.array_join("faults", ";").alias("faults"))
+
+
+@register("store_rewrite", "SELECT vec_id, label, CASE WHEN label = 1 THEN 'new' ELSE 'old' END AS state, len(embedding)::INT AS width FROM embeddings")
+def store_rewrite(spark, d):
+    """SRC-12, SINK-19: a store of vectors by label, written, one label rewritten, and read again."""
+    rows, store = table(spark, d, "embeddings"), shared_folder(spark, "store")
+    x.write_partition(rows.withColumn("state", F.lit("old")), store, "label")
+    x.write_partition(rows.where("label = 1").withColumn("state", F.lit("new")), store, "label")
+    return spark.read.parquet(store).select("vec_id", F.col("label").cast("int").alias("label"), "state", F.size("embedding").alias("width"))

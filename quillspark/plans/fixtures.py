@@ -111,3 +111,13 @@ def sql(*names: str) -> str:
     for n in names:
         order += [x for x in needed.get(n, [n]) if x not in order]
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order)
+
+
+#: A layered graph over all parts: edges to the next parts, none out of a block of 32 keys, so that its paths stay short in any table.
+LAYERS = """e AS (SELECT DISTINCT p_partkey AS src, dst FROM (SELECT p_partkey, unnest([p_partkey + p_size % 7 + 1, p_partkey + 3]) AS dst FROM part) WHERE p_partkey // 32 = dst // 32)"""
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ends = table(spark, sf_dir, "part").select(k.alias("src"), F.explode(F.array(k + F.col("p_size") % 7 + 1, k + 3)).alias("dst"))
+    return ends.where("src div 32 = dst div 32").distinct()

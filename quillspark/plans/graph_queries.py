@@ -54,13 +54,12 @@ def subclass_closure(spark, d):
 
 @register(
     "topological_levels",
-    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 40 AS src, p_partkey % 40 + p_size % 7 + 1 AS dst FROM part), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+    f"""WITH RECURSIVE {fx.LAYERS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
     r(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON r.node = e.src) SELECT node, max(level)::INT AS level FROM r GROUP BY 1""",
 )
 def topological_levels(spark, d):
     """GRAPH-18"""
-    k = F.col("p_partkey") % 40
-    e = table(spark, d, "part").select(k.alias("src"), (k + F.col("p_size") % 7 + 1).alias("dst")).distinct()
+    e = fx.layers(spark, d)
     return g.topological_levels(e, e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
 
 

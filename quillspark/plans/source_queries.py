@@ -158,11 +158,11 @@ def incremental_counts(spark, d):
     return st.upsert_each_batch(st.event_stream(spark, d), update)
 
 
-@register("run_chunk_scan", fx.sql("chunk") + " SELECT chunk_id FROM chunk WHERE kind <> 'heading' AND paper_id IN (SELECT doc_id FROM labels) ORDER BY chunk_id LIMIT 200000")
+@register("run_chunk_scan", fx.sql("chunk") + " SELECT chunk_id FROM chunk WHERE kind <> 'heading' AND paper_id IN (SELECT doc_id FROM labels)")
 def run_chunk_scan(spark, d):
-    """SRC-11, SRC-16, SRC-17: chunks of known papers, in order."""
+    """SRC-11, SRC-16, SRC-17: chunks of known papers."""
     known = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"))
-    return fx.chunks(spark, d).where("kind != 'heading'").join(known, "paper_id", "left_semi").orderBy("chunk_id").limit(200000).select("chunk_id")
+    return fx.chunks(spark, d).where("kind != 'heading'").join(known, "paper_id", "left_semi").select("chunk_id")
 
 
 @register("priority_chunks", fx.sql("chunk") + ", p AS (SELECT chunk_id, pos, paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY (contains(text, 'the'))::INT DESC, pos)::INT AS rank FROM chunk) SELECT chunk_id, rank FROM p WHERE rank <= 40")
@@ -189,3 +189,31 @@ def chapter_numbers(spark, d):
     title = F.when(k % 4 == 0, F.concat(F.lit("Chapter "), arabic, F.lit(": flows"))).when(k % 4 == 1, F.concat(F.lit("第 $"), arabic, F.lit("$ 章")))
     title = title.when(k % 4 == 2, F.concat(F.lit("第"), chinese, F.lit("章 流"))).otherwise(F.lit("Appendix 3"))
     return table(spark, d, "part").select("p_partkey", (k % 4).alias("form"), s.chapter_number(title).alias("number"))
+
+
+@register("markdown_paths", "SELECT '/data/lib/p' || page_id || '/paper.md' AS path FROM pages")
+def markdown_paths(spark, d):
+    """SRC-01: the papers among the files of a project: those beside their images, outside of excluded directories."""
+    names = ["p%d/paper.md", "p%d/images/1.png", "p%d/README.md", "n%d/notes.md", "node_modules/n%d/images/1.png", "node_modules/n%d/x.md"]
+    files = F.array(*[F.format_string("file:/data/lib/" + n, "page_id") for n in names], F.lit("file:/data/lib/docs/a.md"), F.lit("file:/data/lib/root.md"), F.lit("file:/data/lib/images/r.png"))
+    found = s.markdown_paths(table(spark, d, "pages").select(F.explode(files).alias("path")), "/data/lib/")
+    return found.select(F.replace("path", F.lit("file:"), F.lit("")).alias("path"))
+
+
+#: A sentence, and how its bytes read under another code.
+_SENTENCE = "引言，摘要，方法。，"
+_MISREAD = _SENTENCE.encode().decode("gb18030")
+
+
+@register("mojibake_recovery", f"SELECT c_custkey, '{_SENTENCE}' || c_name AS text FROM customer")
+def mojibake_recovery(spark, d):
+    """STR-09: names after a sentence, read wrongly for two thirds of them."""
+    lead = F.when(F.col("c_custkey") % 3 > 0, _MISREAD).otherwise(F.lit(_SENTENCE))
+    return table(spark, d, "customer").select("c_custkey", k.recover_mojibake(F.concat(lead, "c_name")).alias("text"))
+
+
+@register("events_first", "SELECT DISTINCT user_id, event_type FROM events")
+def events_first(spark, d):
+    """Streaming: the first event of each user and type within a watermark longer than the table."""
+    first = st.distinct_first(st.event_stream(spark, d), ["user_id", "event_type"], "3650 days")
+    return st.run_to_end(first, "append").select("user_id", "event_type")

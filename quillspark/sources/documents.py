@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Directories that a Markdown scan leaves out.
-EXCLUDED_DIRS = [".git", ".venv", "__pycache__", "build", "cache", "dist", "node_modules", "tmp", "venv"]
+#: Directories that a Markdown scan leaves out, and those by which a root is taken for a project's.
+EXCLUDED_DIRS = [".git", ".venv", "__pycache__", "backend", "docs", "frontend", "node_modules", "dist", "runs"]
+PROJECT_DIRS = ["backend", "frontend", "docs", ".git"]
+
+
+def markdown_paths(files: DataFrame, root: str) -> DataFrame:
+    """SRC-01: the paths of Markdown files among files (path) below a root, each once.
+
+    READMEs, files below excluded directories and, in a project's root, files right under it go. Where any
+    other file lies beside a folder images that holds files, only such files stay.
+    """
+    place = r"^[a-z0-9]+:(//[^/]*)?"
+    base = re.sub(place, "", root).rstrip("/")
+    path = F.regexp_replace("path", place, "")
+    named = lambda dirs: "/(" + "|".join(d.replace(".", r"\.") for d in dirs) + ")/"
+    below = files.select("path", F.when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 1))).otherwise(path).alias("below")).distinct()
+    project = below.where(F.col("below").rlike("^" + named(PROJECT_DIRS))).limit(1).count() > 0
+    folder = F.regexp_replace("below", "/[^/]*$", "")
+    name = F.lower(F.element_at(F.split("below", "/"), -1))
+    papers = below.where(name.endswith(".md") & (name != "readme.md") & ~F.col("below").rlike(named(EXCLUDED_DIRS)))
+    papers = papers.withColumn("folder", folder).where(F.lit(not project) | (F.col("folder") != ""))
+    images = below.select(folder.alias("inner")).where("inner like '%/images'").select(F.regexp_replace("inner", "/images$", "").alias("folder")).distinct()
+    beside = papers.join(images, "folder", "left_semi")
+    return (beside if beside.limit(1).count() else papers).select("path")
 
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-01: (path, text) of Markdown files under a root, without READMEs and excluded directories below the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    bad = "/(" + "|".join(d.replace(".", r"\.") for d in EXCLUDED_DIRS) + ")/"
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    at = F.instr("path", root.rstrip("/"))
-    below = F.when(at > 0, F.substr("path", at + len(root.rstrip("/")))).otherwise(F.col("path"))
-    return files.where(~below.rlike(bad) & (name != "readme.md")).select("path", F.col("content").cast("string").alias("text")).dropDuplicates(["path"])
+    """SRC-01: (path, text) of the Markdown files that markdown_paths finds below a root; hidden files are not listed by Spark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = markdown_paths(files.load(root).select("path"), root)
+    texts = files.option("pathGlobFilter", "*.[mM][dD]").load(root).select("path", F.col("content").cast("string").alias("text"))
+    return texts.join(found, "path", "left_semi")
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

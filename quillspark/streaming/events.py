@@ -5,13 +5,12 @@ Every operator takes a streaming DataFrame and works on a batch one alike.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import ensure_checkpoint_dir
+from quillspark.session import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +46,7 @@ def distinct_first(events: DataFrame, keys: list[str], late: str) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there, in the shared folder, and return the rows of its last state."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
@@ -61,8 +59,7 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
 def upsert_each_batch(stream: DataFrame, update: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
     """VEC-04: an incremental table, rewritten by update(old, changed) for every batch into a new version."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/upsert-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "upsert")
     versions: list[str] = []
 
     def merge(batch: DataFrame, epoch: int) -> None:
