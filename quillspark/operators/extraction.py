@@ -168,25 +168,33 @@ def paper_workers(limit: Column, per_paper: Column, slots: Column, fallback: Col
 
 
 #: Paper types of a schema, and the rules with their least and greatest values; a pair is a rule's minimum and maximum.
-PAPER_TYPES = ["research", "theoretical", "review", "software", "case_study"]
+PAPER_TYPES = ["research", "review", "software", "theoretical", "case_study"]
 RULE_PAIRS = {"claims_per_paper": (1, None), "machine_evidence": (0, 6), "logic_evidence": (0, 8)}
-RULES = {"citation_context_sentence_window": (0, 3), "targets_per_claim_max": (0, 5), "phase1_claim_worker_count": (1, 16)}
+RULES = {
+    "citation_context_sentence_window": (0, 3), "targets_per_claim_max": (0, 5), "phase1_claim_worker_count": (1, 16), "phase1_logic_chunks_max": (8, 300),
+    "phase1_logic_chunk_chars_max": (120, 3000), "phase1_logic_lexical_topk_min": (1, 64), "phase1_logic_lexical_topk_multiplier": (1, 12), "phase1_claim_chunks_max": (1, 9999),
+    "phase1_claims_per_chunk_max": (1, 12), "phase1_claim_batch_size": (1, 12), "phase1_claim_batch_chars_max": (1000, 60000), "phase1_chunk_chars_max": (200, 20000), "phase1_doc_chars_max": (2000, 120000),
+}
+#: Rules in which 0 stands for the default, and the form of an id.
+ZERO_IS_DEFAULT = ["phase1_claim_worker_count", "phase1_logic_chunks_max", "phase1_logic_chunk_chars_max", "phase1_claim_chunks_max", "phase1_claims_per_chunk_max", "phase1_chunk_chars_max", "phase1_doc_chars_max"]
+SCHEMA_ID = "^[A-Za-z][A-Za-z0-9_-]{0,47}$"
 
 
 def schema_faults(schemas: DataFrame, types: list[str] = PAPER_TYPES) -> DataFrame:
     """HG-15: schemas (schema_id, paper_type, steps, claim_kinds, rules) with the names of what is wrong in each, in a fixed order.
 
     steps and claim_kinds are lists of ids, which must be there, well formed and distinct; rules maps names to whole numbers,
-    and a rule that is absent is not checked unless it is one of a pair, which counts as 0.
+    and a rule that is absent is not checked unless it is one of a pair, which counts as 0. Rules that are no whole numbers are not covered.
     """
-    ids = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9_]*$")) & (F.size(F.array_distinct(c)) == F.size(c)), F.lit(False))
+    ids = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: x.rlike(SCHEMA_ID)) & (F.size(F.array_distinct(c)) == F.size(c)), F.lit(False))
     rule = lambda name: F.try_element_at("rules", F.lit(name))
     checks = {"paper_type": F.coalesce(F.col("paper_type").isin(types), F.lit(False)), "steps": ids("steps"), "claim_kinds": ids("claim_kinds")}
     for name, (low, high) in RULE_PAIRS.items():
         least, most = (F.coalesce(rule(f"{name}_{end}"), F.lit(0)) for end in ("min", "max"))
         checks[name] = (least >= low) & (most >= least) & ((most <= high) if high is not None else F.lit(True))
     for name, (low, high) in RULES.items():
-        checks[name] = F.coalesce(rule(name).between(low, high), F.lit(True))
+        given = F.nullif(rule(name), F.lit(0)) if name in ZERO_IS_DEFAULT else rule(name)
+        checks[name] = F.coalesce(given.between(low, high), F.lit(True))
     return schemas.select("schema_id", F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()])).alias("faults"))
 
 

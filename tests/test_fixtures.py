@@ -237,10 +237,10 @@ def test_settings_and_schemas(spark):
     got = {r.by: (r.n, r.x) for r in x.layered_settings(layers, "by", {"n": (4, 1, 64), "x": (0.5, 0, 1)}).collect()}
     assert got == {"p": (7.0, 1.0), "q": (64.0, 0.5), "r": (4.0, 0.5)}
     good = {"claims_per_paper_min": 1, "claims_per_paper_max": 2}
-    rows = [(1, "review", ["a"], ["b"], good), (2, None, [], None, None), (3, "review", ["a", "a"], ["1"], good | {"targets_per_claim_max": 6, "machine_evidence_min": 3, "machine_evidence_max": 2})]
+    rows = [(1, "review", ["a"], ["b"], good), (2, None, [], None, None), (3, "review", ["a", "a"], ["1"], good | {"targets_per_claim_max": 6, "machine_evidence_min": 3, "machine_evidence_max": 2}), (4, "review", ["a-1"], ["b" * 48], good | {"phase1_claim_worker_count": 0}), (5, "review", ["b" * 49], ["b"], good | {"phase1_claim_batch_size": 0})]
     df = spark.createDataFrame(rows, "schema_id int, paper_type string, steps array<string>, claim_kinds array<string>, rules map<string,int>")
     faults = {r.schema_id: r.faults for r in x.schema_faults(df).collect()}
-    assert faults == {1: [], 2: ["paper_type", "steps", "claim_kinds", "claims_per_paper"], 3: ["steps", "claim_kinds", "machine_evidence", "targets_per_claim_max"]}
+    assert faults == {1: [], 2: ["paper_type", "steps", "claim_kinds", "claims_per_paper"], 3: ["steps", "claim_kinds", "machine_evidence", "targets_per_claim_max"], 4: [], 5: ["steps", "phase1_claim_batch_size"]}
 
 
 def test_groups_of_a_split_are_a_partition(spark):
