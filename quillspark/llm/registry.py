@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import bpe, knn, lm_score, near_dup, packing, pii, quality, simhash, token_counts, url_filter
+from quillspark.llm import bpe, importance, knn, lm_score, near_dup, packing, pii, quality, simhash, spelling, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_importance": importance.op11_importance,
+        "op12_spelling": spelling.op12_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_near_dedup": near_dup.ORACLE_SQL,
         "op8_lm_score": lm_score.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
+        "op11_importance": importance.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
     }
