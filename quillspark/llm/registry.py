@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import bpe, importance, knn, lm_score, near_dup, packing, pii, quality, simhash, spelling, token_counts, url_filter
+from quillspark.llm import bpe, html_extract, importance, knn, lm_score, near_dup, packing, pii, quality, simhash, spelling, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_importance": importance.op11_importance,
         "op12_spelling": spelling.op12_spelling,
+        "op13_html": html_extract.op13_html,
         "pipeline": corpus_pipeline.run,
     }
 
