@@ -84,7 +84,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             if len(held) > HELD:
                 yield rows()
                 held.clear()
-        yield rows()
+        if held:
+            yield rows()
 
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
@@ -220,7 +221,8 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, round_shards: i
             tries = [pickle.loads(x) for x in sent.value]
             for b in batches:
                 rows = [(w, n, t.spelt(i), t.counts[i]) for w, n in zip(b["word"], b["n"], strict=True) for t in tries for i in t.within_one(w)]
-                yield pd.DataFrame(rows, columns=["word", "n", "near", "near_n"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["word", "n", "near", "near_n"])
 
         asked.mapInPandas(meet, schema).write.parquet(f"{folder}/{r}")
         sent.destroy()
