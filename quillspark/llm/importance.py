@@ -64,10 +64,13 @@ def scanned(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [features(t or "", order) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "n_words": [n for n, _ in found], "n_features": [len(x) for _, x in found], "buckets": [_packed(x) for _, x in found],
-            })
+            rows = []
+            for text in b["text"]:
+                n, found = features(text or "", order)
+                rows.append((n, len(found), _packed(found)))
+            out = pd.DataFrame(rows, columns=["n_words", "n_features", "buckets"])
+            out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
+            yield out
 
     folder = shared_folder(texts.sparkSession, "buckets")
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_words long, n_features long, buckets binary")
