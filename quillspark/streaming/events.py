@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.session import shared_folder
+from quillspark.streaming.sinks import EpochTable, VersionedTable
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,31 +45,40 @@ def distinct_first(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+def sliding_counts(events: DataFrame, width: str, slide: str, late: str) -> DataFrame:
+    """Events by type in windows of `width` that begin every `slide`; a row that arrives behind the watermark counts in
+    those of its windows that are still open, and in none of the closed ones."""
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    counted = events.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def start_epochs(stream: DataFrame, folder: str, mode: str = "append") -> StreamingQuery:
+    """Append what each batch gives to a table under folder; the same folder goes on where the query stopped."""
+    table = EpochTable(stream.sparkSession, f"{folder}/out")
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(table.put).start()
+
+
+def epoch_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return EpochTable(spark, f"{folder}/out").read()
+
+
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there, in the shared folder, and return the rows of its last state."""
+    """Run a stream over all that is there, in the shared folder, and return the rows of its last state (complete) or of all its batches."""
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    if mode == "complete":
+        table = VersionedTable(spark, f"{folder}/out")
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(table.put).start().awaitTermination()
+        return table.read()
+    start_epochs(stream, folder, mode).awaitTermination()
+    return epoch_rows(spark, folder)
 
 
 def upsert_each_batch(stream: DataFrame, update: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """VEC-04: an incremental table, rewritten by update(old, changed) for every batch into a new version."""
-    spark = stream.sparkSession
-    folder = shared_folder(spark, "upsert")
-    versions: list[str] = []
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.parquet(versions[-1]) if versions else None
-        path = f"{folder}/v{epoch}"
-        update(old, batch).write.mode("overwrite").parquet(path)
-        versions.append(path)
-
-    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-    return spark.read.parquet(versions[-1])
+    """VEC-04: an incremental table; every batch makes a new version of the last one on disk by update(old, changed)."""
+    folder = shared_folder(stream.sparkSession, "upsert")
+    table = VersionedTable(stream.sparkSession, f"{folder}/table")
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(table.merge(update)).start().awaitTermination()
+    return table.read()
