@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.url_filter import url_parts
 
 RANGE_PAGES = 2_000
+#: Ends of ranges go to every task, 2 keys of about 100 bytes each; beyond so many ranges it is the ranges that grow, whose rows are only streamed.
+MOST_RANGES = 20_000
 KEY_CHARACTERS = 256
 CHROME, UNSAID, MAIN = 0, 1, 2
 
@@ -286,9 +288,9 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def range_ends(pages: DataFrame, range_pages: int = RANGE_PAGES) -> tuple[list[str], list[str]]:
-    """(first keys, last keys) of the ranges, in order: two keys of bounded length for every RANGE_PAGES pages."""
+    """(first keys, last keys) of the ranges, in order: two keys of bounded length for each of at most MOST_RANGES ranges."""
     keys = _keyed(pages.select("page_id", "url")).select("key")
-    ranges = max(pages.sparkSession.sparkContext.defaultParallelism * 2, -(-keys.count() // range_pages))
+    ranges = min(MOST_RANGES, max(pages.sparkSession.sparkContext.defaultParallelism * 2, -(-keys.count() // range_pages)))
     ends = keys.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first"), F.max("key").alias("last"))
     found = sorted((r.first, r.last) for r in ends.select("first", "last").collect())
     return [f for f, _ in found], [x for _, x in found]
