@@ -140,12 +140,53 @@ def outgoing_enrichment(cites: DataFrame, human: DataFrame, mentions: DataFrame)
     return joined.select("src", "dst", labels.alias("labels"), source.alias("source"), pending.alias("pending"), F.coalesce(F.size("mentions"), F.lit(0)).alias("n_mentions"))
 
 
-def plan_payload(raw: Column) -> Column:
-    """COL-06, COL-08: the plan of a JSON answer, fenced or embedded; unknown plans become community_first."""
-    body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    plan = F.coalesce(F.get_json_object(body, "$.retrieval_plan"), F.get_json_object(body, "$.plan"))
-    known = ["textbook_first_then_paper", "claim_first", "community_first", "hybrid"]
-    return F.when(plan.isin(known), plan).otherwise("community_first")
+#: The intents and plans of a question, and the queries that a plan may bring.
+INTENTS = ["paper_detail", "foundational", "hybrid_explanation", "comparison"]
+PLANS = ["paper_first_then_textbook", "textbook_first_then_paper", "hybrid_parallel", "claim_first", "community_first"]
+PLAN_QUERIES = ["main_query", "paper_query", "textbook_query", "community_query"]
+
+
+def json_object(answer: Column) -> Column:
+    """COL-06: the JSON object of an answer as text: the answer itself, or what stands between its first and last brace; null for anything else."""
+    text = F.trim(F.regexp_replace(answer, r"^\s+|\s+$", ""))
+    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    is_object = lambda x: F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT")
+    return F.when(F.try_parse_json(text).isNotNull(), F.when(is_object(text), text)).when(F.coalesce(is_object(inner), F.lit(False)), inner)
+
+
+def query_plan(question: Column, answer: Column) -> Column:
+    """COL-08: the plan of a planner's JSON answer, or the fallback plan where it is no valid one.
+
+    A query under an old name (ending in _query) becomes the community query where that is blank; a plan that is not supported becomes
+    community_first only with a community query. An answer is valid with a known intent, a known plan, a main query
+    that is not empty, text or nothing as the other queries and the reason, and a confidence within 0 to 1 or none.
+    """
+    body = json_object(answer)
+    v = F.try_parse_json(body)
+    fields = F.from_json(body, "map<string,string>")
+    kind = {c: F.schema_of_variant(F.try_variant_get(v, f"$.{c}", "variant")) for c in ["intent", "retrieval_plan", *PLAN_QUERIES, "confidence", "reason"]}
+    raw = {c: F.try_variant_get(v, f"$.{c}", "string") for c in kind}
+    strip = lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    # a null under an old name is the text None
+    old = F.filter(F.map_entries(fields), lambda e: e.key.endswith("_query") & ~e.key.isin(PLAN_QUERIES) & (strip(F.coalesce(e.value, F.lit("None"))) != ""))
+    promoted = strip(F.coalesce(F.get(old, F.lit(0)).value, F.when(F.size(old) > 0, "None")))
+    blank = strip(F.coalesce(raw["community_query"], F.lit(""))) == ""
+    community = F.when(blank & promoted.isNotNull(), promoted).otherwise(raw["community_query"])
+    asked = strip(F.coalesce(raw["retrieval_plan"], F.lit("")))
+    plan = F.when((asked != "") & ~asked.isin(PLANS) & (F.coalesce(community, F.lit("")) != ""), "community_first").otherwise(raw["retrieval_plan"])
+    none_or_text = [kind[c].isNull() | kind[c].isin("VOID", "STRING") for c in ("paper_query", "textbook_query", "reason")]
+    none_or_text.append(kind["community_query"].isNull() | kind["community_query"].isin("VOID", "STRING") | (blank & promoted.isNotNull()))
+    confidence = F.try_variant_get(v, "$.confidence", "double")
+    sure = kind["confidence"].isNull() | (kind["confidence"] == "VOID") | confidence.between(0.0, 1.0)
+    valid = (kind["intent"] == "STRING") & raw["intent"].isin(INTENTS) & plan.isin(PLANS) & (kind["main_query"] == "STRING") & (raw["main_query"] != "") & sure
+    for ok in none_or_text:
+        valid = valid & ok
+    valid = F.coalesce(valid, F.lit(False))
+    asked_for = strip(F.coalesce(question, F.lit("")))
+    fallback = {"intent": F.lit("paper_detail"), "retrieval_plan": F.lit("paper_first_then_textbook"), "main_query": F.when(asked_for == "", "question").otherwise(asked_for)}
+    found = raw | {"retrieval_plan": plan, "community_query": community, "confidence": confidence}
+    out = {c: F.when(valid, x).otherwise(fallback.get(c, F.lit(None))) for c, x in found.items()}
+    return F.struct(*[x.alias(c) for c, x in out.items()], (~valid).alias("fallback"))
 
 
 def norm_string_list(values: Column) -> Column:

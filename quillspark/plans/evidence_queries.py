@@ -172,12 +172,36 @@ def outgoing_enrichment(spark, d):
     return e.outgoing_enrichment(cites, human, m).withColumns({"labels": F.array_join("labels", ";"), "pending": F.array_join("pending", ";")})
 
 
-@register("query_plans", """WITH r AS (SELECT o_orderkey, '```json {"plan": "' || (['claim_first','hybrid','bogus'])[o_custkey % 3 + 1] || '"} ```' AS raw FROM orders) SELECT o_orderkey, CASE WHEN contains(raw, 'bogus') THEN 'community_first' ELSE regexp_extract(raw, '"plan": "([a-z_]+)"', 1) END AS plan FROM r""")
+#: Answers of a planner by order key: five plans, an unsupported one with and without a community query or an old name for it, and invalid ones.
+_ANSWERS = [
+    '{"intent": "comparison", "retrieval_plan": "hybrid_parallel", "main_query": "m", "confidence": 0.5}',
+    '```json {"intent": "foundational", "retrieval_plan": "claim_first", "main_query": "m"} ```',
+    '{"intent": "paper_detail", "retrieval_plan": "textbook_first_then_paper", "main_query": "m", "paper_query": "p"}',
+    '{"intent": "foundational", "retrieval_plan": "proposition_first", "main_query": "m", "proposition_query": " old "}',
+    '{"intent": "foundational", "retrieval_plan": "proposition_first", "main_query": "m", "community_query": "c"}',
+    '{"intent": "foundational", "retrieval_plan": "proposition_first", "main_query": "m"}',
+    '{"intent": "unknown", "retrieval_plan": "claim_first", "main_query": "m"}',
+    '{"intent": "foundational", "retrieval_plan": "paper_first_then_textbook", "paper_query": "p"}',
+    '{"intent": "foundational", "retrieval_plan": "community_first", "main_query": "m", "confidence": 1.5}',
+    'no plan at all',
+    '{"intent": "foundational", "retrieval_plan": "paper_first_then_textbook", "main_query": "m", "community_query": null}',
+    '{"intent": "hybrid_explanation", "retrieval_plan": "community_first", "main_query": 7}',
+]
+
+
+@register(
+    "query_plans",
+    """WITH c(k, intent, plan, community, confidence) AS (VALUES (0, 'comparison', 'hybrid_parallel', NULL, 0.5), (1, 'foundational', 'claim_first', NULL, NULL), (2, 'paper_detail', 'textbook_first_then_paper', NULL, NULL),
+      (3, 'foundational', 'community_first', 'old', NULL), (4, 'foundational', 'community_first', 'c', NULL), (10, 'foundational', 'paper_first_then_textbook', NULL, NULL))
+    SELECT o_orderkey, coalesce(intent, 'paper_detail') AS intent, coalesce(plan, 'paper_first_then_textbook') AS plan, CASE WHEN intent IS NOT NULL THEN 'm' WHEN o_orderpriority = '5-LOW' THEN 'question' ELSE o_orderpriority END AS main_query,
+      community AS community_query, confidence::DOUBLE AS confidence, intent IS NULL AS fallback FROM orders LEFT JOIN c ON k = o_orderkey % 12""",
+)
 def query_plans(spark, d):
     """COL-06, COL-08"""
-    name = F.array(F.lit("claim_first"), F.lit("hybrid"), F.lit("bogus"))[(F.col("o_custkey") % 3).cast("int")]
-    raw = F.concat(F.lit('```json {"plan": "'), name, F.lit('"} ```'))
-    return table(spark, d, "orders").select("o_orderkey", e.plan_payload(raw).alias("plan"))
+    orders = table(spark, d, "orders")
+    question = F.when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority"))
+    answer = F.array(*[F.lit(x) for x in _ANSWERS])[(F.col("o_orderkey") % len(_ANSWERS)).cast("int")]
+    return orders.select("o_orderkey", e.query_plan(question, answer).alias("p")).select("o_orderkey", "p.intent", F.col("p.retrieval_plan").alias("plan"), "p.main_query", "p.community_query", "p.confidence", "p.fallback")
 
 
 @register("string_lists", "SELECT doc_id, array_to_string(CASE WHEN lang = source THEN [lang] ELSE [lang, source] END, ';') AS names FROM documents")

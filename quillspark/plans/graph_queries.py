@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph as g
+from quillspark.operators import sampling
 from quillspark.plans import fixtures as fx
 from quillspark.registry import register
 from quillspark.session import table
@@ -181,3 +182,66 @@ def logic_trace(spark, d):
     c = fx.claims(spark, d).groupBy("paper_id", "step_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "claim_id"))).alias("xs"))
     out = fx.logic_steps(spark, d).join(c, ["paper_id", "step_type"])
     return out.select("paper_id", "logic_step_id", "step_order", "n", F.array_join(F.transform("xs", lambda x: x.claim_id), ";").alias("claims"))
+
+
+def _book(spark, d):
+    """A textbook's graph: suppliers and parts, with a relation for each line item, of the line's flag."""
+    sup = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_name").alias("name"), F.lit("suppliers").alias("chapter"))
+    part = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_brand").alias("chapter"))
+    rel = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_returnflag").alias("rel_type"))
+    return sup.unionByName(part), rel
+
+
+_BOOK = """n AS (SELECT 's' || s_suppkey AS node, s_name AS name, 'suppliers' AS chapter FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, p_brand FROM part),
+    r AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_returnflag AS rel_type FROM lineitem),
+    v AS (SELECT r.* FROM r JOIN n a ON a.node = source JOIN n b ON b.node = target)"""
+
+
+@register(
+    "textbook_sample",
+    f"""WITH {_BOOK}, d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM v UNION ALL SELECT target FROM v) GROUP BY 1),
+    e AS (SELECT source, target, rel_type, row_number() OVER (ORDER BY -(a.degree + b.degree), rel_type, source, target) AS pos FROM (SELECT DISTINCT * FROM v) JOIN d a ON a.node = source JOIN d b ON b.node = target),
+    met AS (SELECT node, min(pos) AS pos FROM (SELECT source AS node, pos FROM e UNION ALL SELECT target, pos FROM e) GROUP BY 1),
+    cum AS (SELECT e.pos, (SELECT count(*) FROM met WHERE met.pos <= e.pos) AS k FROM e WHERE e.pos <= 1000),
+    pa AS (SELECT max(pos) AS pos, max(k) AS k FROM cum WHERE k <= 260), sa AS (SELECT node FROM met, pa WHERE met.pos <= pa.pos),
+    nx AS (SELECT min(e.pos) AS pos FROM e, pa WHERE e.pos > pa.pos AND pa.k = 259 AND (source IN (FROM sa)) <> (target IN (FROM sa))),
+    sb AS (SELECT node FROM sa UNION SELECT unnest([source, target]) FROM e JOIN nx USING (pos)),
+    g AS (SELECT e.* FROM e, pa, nx WHERE e.pos <= pa.pos OR e.pos = nx.pos OR (source IN (FROM sa) AND target IN (FROM sa)) OR (e.pos > nx.pos AND source IN (FROM sb) AND target IN (FROM sb)) ORDER BY e.pos LIMIT 520),
+    s0 AS (SELECT DISTINCT unnest([source, target]) AS node FROM g),
+    f AS (SELECT n.node, chapter, row_number() OVER (PARTITION BY chapter ORDER BY coalesce(degree, 0) DESC, name, n.node) AS place FROM n LEFT JOIN d USING (node) WHERE n.node NOT IN (FROM s0)),
+    s1 AS (FROM s0 UNION ALL (SELECT node FROM f ORDER BY place, chapter LIMIT greatest(0, 260 - (SELECT count(*) FROM s0)))),
+    more AS (SELECT source, target, rel_type FROM e WHERE pos NOT IN (SELECT pos FROM g) AND source IN (FROM s1) AND target IN (FROM s1) ORDER BY pos LIMIT greatest(0, 520 - (SELECT count(*) FROM g)))
+    SELECT 'node' AS kind, node AS source, NULL AS target, NULL AS rel_type, name, chapter, (SELECT count(*) FROM n) AS total_nodes, (SELECT count(*) FROM r) AS total_edges FROM n WHERE node IN (FROM s1)
+    UNION ALL SELECT 'edge', source, target, rel_type, NULL, NULL, (SELECT count(*) FROM n), (SELECT count(*) FROM r) FROM (SELECT source, target, rel_type FROM g UNION ALL FROM more)""",
+)
+def textbook_sample(spark, d):
+    """WIN-09, GRAPH-13: 260 nodes and 520 edges of a textbook's graph, with the totals."""
+    nodes, edges = _book(spark, d)
+    kept, taken = sampling.connected_sample(nodes, edges)
+    nothing = F.lit(None).cast("string")
+    rows = kept.select(F.lit("node").alias("kind"), F.col("node").alias("source"), nothing.alias("target"), nothing.alias("rel_type"), "name", "chapter")
+    rows = rows.unionByName(taken.select(F.lit("edge").alias("kind"), "source", "target", "rel_type", nothing.alias("name"), nothing.alias("chapter")))
+    return rows.withColumns({"total_nodes": F.lit(nodes.count()).cast("long"), "total_edges": F.lit(edges.count()).cast("long")})
+
+
+@register(
+    "fusion_graph",
+    """WITH n AS (SELECT 2 * o_orderkey AS no, 'o' || o_orderkey AS id, 'LogicStep' AS label FROM orders UNION ALL SELECT 2 * c_custkey + 1, 'c' || c_custkey, 'KnowledgeEntity' FROM customer),
+    e0 AS (SELECT o_orderkey AS no, 'o' || o_orderkey AS source, 'c' || o_custkey AS target, CASE o_orderstatus WHEN 'F' THEN 'EXPLAINS' WHEN 'O' THEN 'HAS_CLAIM' ELSE 'OTHER' END AS type, (floor(o_totalprice)::BIGINT % 100) / 100.0::DOUBLE AS weight FROM orders),
+    e AS (SELECT e0.* FROM e0 JOIN customer ON target = 'c' || c_custkey), d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
+    k AS (SELECT e.*, row_number() OVER (ORDER BY CASE type WHEN 'EXPLAINS' THEN 5 WHEN 'HAS_CLAIM' THEN 3 ELSE 0 END + weight DESC, degree DESC, no) AS pos FROM e JOIN d ON d.id = target),
+    met AS (SELECT id, min(pos) AS pos FROM (SELECT source AS id, pos FROM k UNION ALL SELECT target, pos FROM k) GROUP BY 1),
+    cum AS (SELECT pos, (SELECT count(*) FROM met WHERE met.pos <= k.pos) AS c FROM k WHERE pos <= 3000), pa AS (SELECT max(pos) AS pos, max(c) AS c FROM cum WHERE c <= 1000), sa AS (SELECT id FROM met, pa WHERE met.pos <= pa.pos),
+    nx AS (SELECT min(k.pos) AS pos FROM k, pa WHERE k.pos > pa.pos AND pa.c = 999 AND (source IN (FROM sa)) <> (target IN (FROM sa))), sb AS (SELECT id FROM sa UNION SELECT unnest([source, target]) FROM k JOIN nx USING (pos)),
+    s1 AS (FROM sb UNION ALL (SELECT id FROM n WHERE id NOT IN (FROM sb) ORDER BY no LIMIT greatest(0, 1000 - (SELECT count(*) FROM sb))))
+    SELECT source, target, type, weight FROM k WHERE source IN (FROM s1) AND target IN (FROM s1) ORDER BY pos LIMIT 3000""",
+)
+def fusion_graph(spark, d):
+    """WIN-09, GRAPH-14: the best 3000 edges between 1000 nodes of several labels."""
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    step = orders.select((2 * F.col("o_orderkey")).alias("no"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit("LogicStep").alias("label"), F.col("o_orderpriority").alias("text"))
+    entity = customers.select((2 * F.col("c_custkey") + 1).alias("no"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("KnowledgeEntity").alias("label"), F.col("c_name").alias("text"))
+    kind = F.when(F.col("o_orderstatus") == "F", "EXPLAINS").when(F.col("o_orderstatus") == "O", "HAS_CLAIM").otherwise("OTHER")
+    weight = F.floor("o_totalprice") % 100 / 100
+    edges = orders.select(F.col("o_orderkey").alias("no"), F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"), kind.alias("type"), weight.alias("weight"))
+    return sampling.fusion_sample(step.unionByName(entity), edges)[1]
