@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from quillspark.plans import aggregate_queries, evidence_queries, extraction_queries, graph_queries, knowledge_queries, pipeline_queries, relational_queries, retrieval_queries, source_queries, stream_queries  # noqa: F401
+    from quillspark.plans import aggregate_queries, evidence_queries, extraction_queries, graph_queries, index_queries, knowledge_queries, pipeline_queries, relational_queries, retrieval_queries, source_queries, stream_queries  # noqa: F401
 
 
 load()
