@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import chained
 from quillspark.operators import citations as c
 from quillspark.operators import extraction as x
 from quillspark.operators import graph as g
@@ -313,3 +314,56 @@ def store_rewrite(spark, d):
     x.write_partition(rows.withColumn("state", F.lit("old")), store, "label")
     x.write_partition(rows.where("label = 1").withColumn("state", F.lit("new")), store, "label")
     return spark.read.parquet(store).select("vec_id", F.col("label").cast("int").alias("label"), "state", F.size("embedding").alias("width"))
+
+
+#: The schema that a run begins with, and how many levels a paper of eight sections can have.
+_TYPES = [f"T{i}" for i in range(4)]
+_LEVELS = 8
+_SECTIONS = """e AS (SELECT DISTINCT p_partkey AS src, dst FROM (SELECT p_partkey, unnest([p_partkey + p_size % 3 + 1, p_partkey + 3]) AS dst FROM part) WHERE p_partkey // 8 = dst // 8)"""
+
+
+def _part_model(rows):
+    """A model that reads what it is given: the sum of the numbers in its context, and whether its schema knows the type."""
+    import json
+    import re
+
+    import pandas as pd
+
+    out = []
+    for r in rows.itertuples():
+        kind, span = r.text.split("|")
+        total = (int(r.node) + sum(int(x) for x in re.findall(r"\] (\d+)", r.context))) % 1000
+        known = kind in r.schema.split(": ")[1].split(", ")
+        atom = {"layer": "L1", "entity_type": kind.lower(), "evidence_span": span, "confidence": 0.9 if known else 0.5}
+        out.append((r.paper_id, r.node, json.dumps([atom]), str(total)))
+    return pd.DataFrame(out, columns=["paper_id", "node", "atoms", "summary"])
+
+
+@register(
+    "chained_extraction",
+    f"""WITH RECURSIVE {_SECTIONS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON r.node = e.src),
+    l AS (SELECT node, node // 8 AS paper, max(level)::INT AS level, 'T' || (node % 9) AS kind, node % 5 <> 0 AS proof FROM r GROUP BY 1),
+    g AS (SELECT *, min(level) FILTER (proof) OVER (PARTITION BY paper, kind) AS first FROM l),
+    s0 AS MATERIALIZED (SELECT node, node % 1000 AS v FROM l WHERE level = 0)"""
+    + "".join(
+        f""", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT l.node, ((l.node + sum(p.v)) % 1000)::BIGINT FROM l JOIN e ON e.dst = l.node JOIN s{k - 1} p ON p.node = e.src WHERE level = {k} GROUP BY l.node)"""
+        for k in range(1, _LEVELS)
+    )
+    + f""" SELECT paper::VARCHAR AS paper_id, node::VARCHAR AS node, level, v::VARCHAR AS summary, CASE WHEN kind IN ('T0', 'T1', 'T2', 'T3') OR first < level THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence,
+    kind NOT IN ('T0', 'T1', 'T2', 'T3') AND coalesce(first >= level, true) AS gap FROM g JOIN s{_LEVELS - 1} USING (node)""",
+)
+def chained_extraction(spark, d):
+    """EXT-10: an injected model called level by level, with the summaries before it and a schema that grows in the run."""
+    k = F.col("p_partkey")
+    e = table(spark, d, "part").select(k.alias("src"), F.explode(F.array(k + F.col("p_size") % 3 + 1, k + 3)).alias("dst")).where("src div 8 = dst div 8").distinct()
+    paper = lambda c: (F.col(c) / 8).cast("long").cast("string")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
+    text = F.concat(F.lit("T"), F.col("n") % 9, F.lit("|"), F.when(F.col("n") % 5 != 0, "shown").otherwise(""))
+    sections = nodes.select(paper("n").alias("paper_id"), F.col("n").cast("string").alias("node"), F.lit("definition").alias("role"), text.alias("text"))
+    deps = e.select(paper("dst").alias("paper_id"), F.col("dst").cast("string").alias("node"), F.col("src").cast("string").alias("dep"), F.col("src").alias("pos"))
+    base = spark.createDataFrame([("entity_type", t) for t in _TYPES], "kind string, value string")
+    run = chained.extract_chained(sections, deps, base, _part_model)
+    atoms = run.atoms.select("paper_id", "node", F.get_json_object("atom", "$.confidence").cast("double").alias("confidence"))
+    gaps = run.gaps.select("paper_id", "node", F.lit(True).alias("gap"))
+    out = run.calls.select("paper_id", "node", "level").join(run.summaries, ["paper_id", "node"]).join(atoms, ["paper_id", "node"]).join(gaps, ["paper_id", "node"], "left")
+    return out.select("paper_id", "node", "level", "summary", "confidence", F.coalesce("gap", F.lit(False)).alias("gap"))

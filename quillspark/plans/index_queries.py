@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import corpus_index as ci
+from quillspark.operators import lexical_index as li
 from quillspark.plans import fixtures as fx
 from quillspark.registry import register
 from quillspark.session import shared_folder, table
@@ -80,3 +81,46 @@ def corpus_search(spark, d):
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     found = [ci.search_corpus(questions, folder, c, rows[c], 8, letter_shares).withColumn("corpus", F.lit(c)) for c in ("claims", "logic_steps", "communities")]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z]+|[0-9]+'), lambda x: x NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'an'))"
+
+
+def _evidence(units: str) -> str:
+    """(unit_id, chunk_id, score, place) of units (unit_id, paper_id, query) over the blocks of their papers."""
+    return f"""units AS ({units}), tk AS (SELECT unit_id, paper_id, t, count(*) AS times FROM (SELECT unit_id, paper_id, unnest(CASE WHEN len({_TOKENS.format("query")}) > 0 THEN {_TOKENS.format("query")} ELSE [lower(trim(query))] END) AS t FROM units) WHERE t <> '' GROUP BY ALL),
+    b AS (SELECT chunk_id, paper_id, pos, lower(text) AS text FROM chunk WHERE kind = 'block' AND trim(text) <> ''),
+    met AS (SELECT paper_id, t, chunk_id, pos, (length(text) - length(replace(text, t, ''))) // length(t) AS n FROM (SELECT DISTINCT paper_id, t FROM tk) JOIN b USING (paper_id) WHERE contains(text, t)),
+    s AS (SELECT unit_id, chunk_id, any_value(pos) AS pos, round(sum(times * (1 + 0.3::DOUBLE * least(5, n))), 6) AS score FROM tk JOIN met USING (paper_id, t) GROUP BY 1, 2),
+    best AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY score DESC, pos, chunk_id) AS place FROM s QUALIFY place <= 2)"""
+
+
+@register(
+    "step_evidence_index",
+    fx.sql("step") + ", " + _evidence("SELECT logic_step_id AS unit_id, paper_id, summary AS query FROM step")
+    + """ SELECT u.unit_id, coalesce(string_agg(chunk_id, ';' ORDER BY place), '') AS chunk_ids, max(score) AS score, coalesce(max(score), 0) < 2.0 AND any_value(trim(query)) <> '' AS weak FROM units u LEFT JOIN best USING (unit_id) GROUP BY 1""",
+)
+def step_evidence_index(spark, d):
+    """EXT-05, STR-17: each step's two best blocks by its own tokens, through an inverted index."""
+    units = fx.logic_steps(spark, d).select(F.col("logic_step_id").alias("unit_id"), "paper_id", F.col("summary").alias("query"))
+    found = li.lexical_evidence(units, _blocks(spark, d), "paper_id")
+    return found.select("unit_id", F.array_join("chunk_ids", ";").alias("chunk_ids"), "score", "weak")
+
+
+def _blocks(spark, d):
+    return fx.chunks(spark, d).where("kind = 'block' and trim(text) != ''").select("chunk_id", "paper_id", "pos", "text")
+
+
+@register(
+    "claim_evidence",
+    fx.sql("claim") + ", " + _evidence("SELECT claim_id AS unit_id, paper_id, text AS query FROM claim WHERE pos % 3 <> 0")
+    + """, all_ids AS (SELECT unit_id, string_agg(chunk_id, ';' ORDER BY place) AS ids FROM best GROUP BY 1)
+    SELECT claim_id, CASE WHEN pos % 3 = 0 THEN chunk_id ELSE coalesce(ids, '') END AS chunk_ids, pos % 3 <> 0 AND ids IS NOT NULL AS weak FROM claim LEFT JOIN all_ids ON unit_id = claim_id""",
+)
+def claim_evidence(spark, d):
+    """EXT-05: a third of the claims with a model's pick, the others by their own tokens."""
+    claims = fx.claims(spark, d)
+    units = claims.select(F.col("claim_id").alias("unit_id"), "paper_id", F.col("text").alias("query"))
+    picked = claims.where("pos % 3 = 0").select(F.col("claim_id").alias("unit_id"), F.array("chunk_id").alias("chunk_ids"), F.lit(False).alias("weak"))
+    found = li.claim_evidence(units, _blocks(spark, d), picked, "paper_id")
+    return found.select(F.col("unit_id").alias("claim_id"), F.array_join("chunk_ids", ";").alias("chunk_ids"), "weak")
