@@ -1,14 +1,12 @@
-"""Words and word n-grams of whole batches of texts as 64-bit hashes, in numpy over the bytes."""
+"""Words and word n-grams of whole batches of texts as 64-bit hashes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x5851F42D4C957F2D)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -20,48 +18,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    if n:
-        out[0] = 1
-        done = 1
-        while done < n:  # doubling, so that no loop runs over bytes
-            step = np.uint64(pow(base, done, 1 << 64))
-            m = min(done, n - done)
-            out[done : done + m] = out[:m] * step
-            done += m
-    return out
-
-
-class Powers:
-    """Powers of the base and of its inverse, kept as long as texts do not outgrow them."""
+class WordHashes(dict):
+    """xxh64 of words as bytes; those seen lately are remembered, as most words of a text are common ones."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.empty(0, np.uint64)
+    MOST, LONGEST = 1 << 18, 64
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, n - 1).bit_length() if n > 1 << 16 else 1 << 16
-            self.up, self.down = _powers(size, int(_BASE)), _powers(size, pow(int(_BASE), -1, 1 << 64))
-        return self.up[:n], self.down[:n]
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
 
 
-def word_hashes(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, index of the first word of each text, and of the end).
 
     A-Z are lower-cased; words are the runs between the bytes 9 to 13 and 32.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    word = ~_SPACE[data]
-    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers.upto(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
-    firsts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    firsts = np.concatenate([[0], np.cumsum([len(w) for w in split], dtype=np.int64)])
+    hashes = np.fromiter((known[w] for words in split for w in words), np.uint64, int(firsts[-1]))
     return hashes, firsts
 
 
@@ -86,10 +64,10 @@ def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
-def shingle_sets(texts: list[str | None], n: int, powers: Powers) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, known: WordHashes) -> Iterator[np.ndarray]:
     """The sorted distinct n-word shingles of each text; all its words as one where it has fewer; empty without words."""
     for a, b in slices(texts):
-        hashes, firsts = word_hashes(texts[a:b], powers)
+        hashes, firsts = word_hashes(texts[a:b], known)
         grams = gram_hashes(hashes, n)
         for i in range(b - a):
             lo, hi = firsts[i], firsts[i + 1]

@@ -248,3 +248,25 @@ def test_clashing_names_are_of_no_account(spark):
     assert "key" in CLASH  # docs of the other tests bring them
     rows = table(spark, [(1, "http://a.org/", plain("x")), (1, "http://a.org/", plain("x")), (1, "http://a.org/", plain("y"))])
     assert sorted(x.text for x in html_extract.extract_text(rows).collect()) == ["x", "x", "y"]
+
+
+# 5, 8
+
+
+def thue_morse(k):
+    w = "a"
+    for _ in range(k):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+def test_words_that_collide_in_a_polynomial_hash_differ(spark):
+    from quillspark.llm import near_dup
+    from quillspark.llm._shingles import WordHashes, word_hashes
+
+    word = thue_morse(11)
+    other = word.translate(str.maketrans("ab", "ba"))
+    h, firsts = word_hashes([f"{word} x", None, f"{other} X"], WordHashes())
+    assert firsts.tolist() == [0, 2, 2, 4] and h[0] != h[2] and h[1] == h[3]
+    got = near_dup.near_duplicates(spark.createDataFrame([(1, f"x y z {word}"), (2, f"x y z {other}"), (3, f"X y  z {word}")], "doc_id long, text string"), 4)
+    assert {x.doc_id: (x.component_id, x.kept) for x in got.collect()} == {1: (1, True), 2: (2, True), 3: (1, False)}
