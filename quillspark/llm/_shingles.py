@@ -7,7 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+LONG = 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: The first 0 to 8 bytes of a lane.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -18,28 +23,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """xxh64 of words as bytes; those seen lately are remembered, as most words of a text are common ones."""
-
-    MOST, LONGEST = 1 << 18, 64
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def word_hashes(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, index of the first word of each text, and of the end).
 
-    A-Z are lower-cased; words are the runs between the bytes 9 to 13 and 32.
+    A-Z are lower-cased; words are the runs between the bytes 9 to 13 and 32. Words are mixed eight bytes at a time, all words
+    of a batch together; the few longer than LONG bytes go through xxh64.
     """
-    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    firsts = np.concatenate([[0], np.cumsum([len(w) for w in split], dtype=np.int64)])
-    hashes = np.fromiter((known[w] for words in split for w in words), np.uint64, int(firsts[-1]))
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
+    whole = b"\n".join(raw) + b"\n" + bytes(8)
+    data = np.frombuffer(whole, np.uint8)[:-8]
+    edge = np.diff((~_SPACE[data]).view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = ends - starts
+    lanes = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))  # the eight bytes from each place on
+    hashes = mix(size.astype(np.uint64) * _STEPS[0])
+    for k in range(LONG // 8):
+        at = np.flatnonzero(size > 8 * k)
+        if not len(at):
+            break
+        lane = lanes[starts[at] + 8 * k] & _MASKS[np.minimum(size[at] - 8 * k, 8)]
+        hashes[at] = mix(hashes[at] * _STEPS[0] + lane * _STEPS[1] + np.uint64(k))
+    for i in np.flatnonzero(size > LONG):
+        hashes[i] = xxhash.xxh64_intdigest(whole[starts[i] : ends[i]])
+    firsts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
     return hashes, firsts
 
 
@@ -64,10 +71,10 @@ def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
-def shingle_sets(texts: list[str | None], n: int, known: WordHashes) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-word shingles of each text; all its words as one where it has fewer; empty without words."""
     for a, b in slices(texts):
-        hashes, firsts = word_hashes(texts[a:b], known)
+        hashes, firsts = word_hashes(texts[a:b])
         grams = gram_hashes(hashes, n)
         for i in range(b - a):
             lo, hi = firsts[i], firsts[i + 1]

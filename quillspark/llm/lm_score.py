@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._shingles import WordHashes, gram_hashes, slices, word_hashes
+from quillspark.llm._shingles import gram_hashes, slices, word_hashes
 from quillspark.session import materialize
 
 ORDER = 2
@@ -59,9 +59,9 @@ class _Words:
     """The words of texts, as hashes in one array, and the n-grams of these."""
 
     def __init__(self, texts: list[str]) -> None:
-        known, found, sizes = WordHashes(), [], []
+        found, sizes = [], []
         for i, j in slices(texts):
-            hashes, firsts = word_hashes(texts[i:j], known)
+            hashes, firsts = word_hashes(texts[i:j])
             found.append(hashes)
             sizes.append(np.diff(firsts))
         self.hashes = np.concatenate(found) if found else np.empty(0, np.uint64)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._shingles import WordHashes, mix, shingle_sets
+from quillspark.llm._shingles import mix, shingle_sets
 from quillspark.operators.components import connected_components
 from quillspark.session import materialize
 
@@ -52,9 +52,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text_hash, n, key, sketch array<long>) of each row; equal sets have equal n and key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for b in batches:
-            sets = shingle_sets(b["text"].tolist(), words, known)
+            sets = shingle_sets(b["text"].tolist(), words)
             rows = [(len(s), _set_key(s), s[:SKETCH].view(np.int64)) for s in sets]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": [r[0] for r in rows], "key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
@@ -116,9 +115,8 @@ def full_sets(docs: DataFrame, ends: DataFrame, words: int) -> DataFrame:
     wanted = texts.join(F.broadcast(ends) if few else ends, "doc_id")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for b in batches:
-            found = list(shingle_sets(b["text"].tolist(), words, known))
+            found = list(shingle_sets(b["text"].tolist(), words))
             same = [_set_key(s) == k for s, k in zip(found, b["rep"], strict=True)]
             if any(same):
                 yield pd.DataFrame({"rep": b["rep"][same], "full": [s.tobytes() for s, x in zip(found, same, strict=True) if x]})

@@ -262,11 +262,14 @@ def thue_morse(k):
 
 def test_words_that_collide_in_a_polynomial_hash_differ(spark):
     from quillspark.llm import near_dup
-    from quillspark.llm._shingles import WordHashes, word_hashes
+    from quillspark.llm._shingles import word_hashes
 
     word = thue_morse(11)
     other = word.translate(str.maketrans("ab", "ba"))
-    h, firsts = word_hashes([f"{word} x", None, f"{other} X"], WordHashes())
+    h, firsts = word_hashes([f"{word} x", None, f"{other} X"])
+    words = [thue_morse(5)[:k] + c for k in range(1, 32) for c in "abé"] + ["z" * k for k in range(1, 200)]
+    assert len(set(words)) == len(set(word_hashes([w])[0].item() for w in words)) == len(set(word_hashes([" ".join(words)])[0].tolist()))
+    assert [word_hashes([f"q {w}\tq"])[0][1] for w in words] == word_hashes([" ".join(words)])[0].tolist()
     assert firsts.tolist() == [0, 2, 2, 4] and h[0] != h[2] and h[1] == h[3]
     got = near_dup.near_duplicates(spark.createDataFrame([(1, f"x y z {word}"), (2, f"x y z {other}"), (3, f"X y  z {word}")], "doc_id long, text string"), 4)
     assert {x.doc_id: (x.component_id, x.kept) for x in got.collect()} == {1: (1, True), 2: (2, True), 3: (1, False)}
