@@ -8,9 +8,10 @@
    leaders: for each band of set sizes LEADERS different classes with common values.
 3. The sketch of the union estimates the similarity; pairs far below the threshold go.
 4. The remaining pairs are confirmed on the full sets, and components of the links are taken.
-5. Members of long lists that the leaders left in different components meet all the others, block
-   by block, on the full sets; this finds every further link. Its work grows with the number of
-   members outside the large components times the members of their lists.
+5. Members of long lists meet once more through the rarest values of their full sets, which finds every
+   further link: a pair at the threshold shares one of them, and what many have in common, such as a
+   template, is not among them. Members of different components that still share a
+   long list there meet block by block, on the full sets; this alone is more than linear.
 
 A class is known by its key, the hash of its set, and its component by the least key in it.
 
@@ -66,20 +67,21 @@ def _band(percent: int) -> Column:
     return F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
 
 
-def prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
+def prefix_lists(classes: DataFrame, percent: int, size: int | None = SKETCH) -> DataFrame:
     """(value, rep, n, df, common, band): the rarest sketch values of each class (rep, n, sketch), where another class has them too.
 
     A pair at the threshold shares `need` values of either sketch at least, so of each sketch sorted by
-    rarity all but need - 1 values are enough for the two to meet.
+    rarity all but need - 1 values are enough for the two to meet. Without a size sketches are whole sets.
     """
+    held_of = F.col("n") if size is None else F.least("n", F.lit(size))
     lists = classes.select("rep", "n", F.explode("sketch").alias("value"))
     held = lists.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
     shared = lists.join(held, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("values"))
     # up to this size a set and all that are near it are whole in their sketches
     whole = F.ceil(F.col("n") * percent / 100)
-    need = F.when(F.col("n") * 100 <= percent * SKETCH, whole).otherwise(F.ceil(F.least("n", F.lit(SKETCH)) * (percent / 100 - MARGIN)))
+    need = whole if size is None else F.when(F.col("n") * 100 <= percent * size, whole).otherwise(F.ceil(held_of * (percent / 100 - MARGIN)))
     # values of one class come first in the order and can meet nothing
-    places = (F.greatest(F.lit(1), F.least("n", F.lit(SKETCH)) - need + 1) - (F.least("n", F.lit(SKETCH)) - F.size("values"))).cast("int")
+    places = (F.greatest(F.lit(1), held_of - need + 1) - (held_of - F.size("values"))).cast("int")
     first = shared.withColumns({"places": places, "common": F.round(F.expr("aggregate(values, 0D, (s, x) -> s + ln(x.held))"), 3)}).where("places > 0")
     first = first.select("rep", "n", "common", _band(percent).alias("band"), F.explode(F.slice("values", F.lit(1), F.col("places"))).alias("v"))
     first = materialize(first.select("v.value", "rep", "n", "common", "band"))
@@ -134,6 +136,11 @@ def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, words: int, per
     near = materialize(pairs.join(own["a"], "a").join(own["b"], "b").where(share >= percent / 100 - MARGIN).select("a", "b", "first_a", "first_b"))
     ends = near.select(F.explode(F.expr("array(struct(first_a as doc_id, a as rep), struct(first_b as doc_id, b as rep))")).alias("e")).select("e.*").distinct()
     full = full_sets(docs, ends, words)
+    return confirmed(near, full, percent)
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): those of pairs whose full sets (rep, full) reach the similarity."""
     full_a, full_b = (full.select(F.col("rep").alias(x), F.col("full").alias(f"full_{x}")) for x in "ab")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,21 +152,53 @@ def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, words: int, per
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield p.loc[ok, ["a", "b"]]
 
-    return near.select("a", "b").join(full_a, "a").join(full_b, "b").mapInPandas(confirm, "a long, b long")
+    return pairs.select("a", "b").join(full_a, "a").join(full_b, "b").mapInPandas(confirm, "a long, b long")
+
+
+def _whole_sets(full: DataFrame) -> DataFrame:
+    """(rep, n, sketch): the sets (rep, full) as arrays, for prefix_lists."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b["full"]]
+            yield pd.DataFrame({"rep": b["rep"], "n": [len(s) for s in sets], "sketch": sets})
+
+    return full.mapInPandas(run, "rep long, n long, sketch array<long>")
 
 
 def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): components of found (node, component) with a link between members of long lists; a class in none is its own.
 
-    Long lists that share members are one cluster. Its members meet in blocks of about BLOCK, each pair of
+    Members meet anew through the rarest values of their full sets, which is exact: what many share, such as a template, is
+    not among those. Pairs of short lists are confirmed one by one, pairs inside a component left out.
+    """
+    hot = lists.where(F.col("df") > COLD).select("rep").distinct().join(classes.select("rep", "n", "first"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    hot = materialize(hot.select("rep", "n", "first", F.coalesce("component", "rep").alias("component")))
+    full = materialize(full_sets(docs, hot.select(F.col("first").alias("doc_id"), "rep"), words))
+    exact = prefix_lists(_whole_sets(full), percent, None).join(hot.select("rep", "component"), "rep")
+    # a list whose members are linked already has nothing to add
+    mixed = exact.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("value")
+    exact = materialize(exact.join(mixed, "value"))
+    few = exact.where(F.col("df") <= COLD)
+    a, b = (few.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    near = a.join(b, "value").where("a < b and c_a != c_b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "c_a", "c_b").distinct()
+    ok = confirmed(near, full, percent).join(near, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    if not exact.where(F.col("df") > COLD).limit(1).count():
+        return ok
+    return ok.unionByName(block_links(exact.where(F.col("df") > COLD), hot, full, percent))
+
+
+def block_links(many: DataFrame, hot: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): linked components of the members of long lists many (value, rep) of the rarest values of full sets.
+
+    Such lists that share members are one cluster. Its members meet in blocks of about BLOCK, each pair of
     blocks in a task; members of one component, and bands of sizes too far apart, do not meet.
     """
-    many = lists.where(F.col("df") > COLD).select("value", "rep")
+    many = many.select("value", "rep")
     least = many.groupBy("rep").agg(F.min("value").alias("least"), F.first("value").alias("value"))
     united = connected_components(many.join(least.select("rep", "least"), "rep").select(F.col("value").alias("a"), F.col("least").alias("b")))
-    cluster = least.join(united, least["value"] == united["node"], "left").select(F.col("rep").alias("node"), F.coalesce("component", "value").alias("cluster"))
-    hot = cluster.join(classes.select(F.col("rep").alias("node"), "n", "first", _band(percent).alias("band")), "node")
-    hot = materialize(hot.join(found, "node", "left").select("cluster", F.col("node").alias("rep"), "first", "band", F.coalesce("component", "node").alias("component")))
+    cluster = least.join(united, least["value"] == united["node"], "left").select("rep", F.coalesce("component", "value").alias("cluster"))
+    hot = materialize(cluster.join(hot, "rep").select("cluster", "rep", _band(percent).alias("band"), "component"))
     # a component that fills blocks gets its own, and those need not meet one another
     large = hot.groupBy("cluster", "component").agg(F.count("*").alias("members")).where(F.col("members") >= BLOCK).select("cluster", "component", F.col("component").alias("own"))
     hot = hot.join(large, ["cluster", "component"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
@@ -172,8 +211,7 @@ def rest_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, found: Dat
     meet = materialize(meet.select("cluster", "i", "j"))
     places = meet.select("cluster", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side"))
     places = places.unionByName(meet.where("i != j").select("cluster", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
-    wanted = materialize(hot.select("cluster", F.struct("own", "band", "salt").alias("at"), "rep", "first", "component").join(places.select("cluster", "at").distinct(), ["cluster", "at"]))
-    full = full_sets(docs, wanted.select(F.col("first").alias("doc_id"), "rep").distinct(), words)
+    wanted = hot.select("cluster", F.struct("own", "band", "salt").alias("at"), "rep", "component").join(places.select("cluster", "at").distinct(), ["cluster", "at"])
     rows = wanted.join(full, "rep").join(places, ["cluster", "at"]).select("cluster", "i", "j", "side", "component", "full")
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
