@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.aggregates import keyword_top, materialize_communities
 from quillspark.operators.components import connected_components
-from quillspark.session import materialize
+from quillspark.session import materialize, stored
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     """GRAPH-17: (child, ancestor, depth) from (child, parent); paths double each round; cycles end at known pairs."""
     known = materialize(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     n = known.count()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds):  # 20 doublings reach paths of a million edges
         a, b = known.alias("a"), known.alias("b")
         longer = a.join(b, F.col("a.ancestor") == F.col("b.child")).select(
             F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth")
@@ -38,9 +38,9 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
         known = materialize(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         m = known.count()
         if m == n:
-            break
+            return known
         n = m
-    return known
+    raise RuntimeError(f"paths still grew after {max_rounds} rounds")
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -121,42 +121,103 @@ def communities(nodes: DataFrame, edges: DataFrame, least_weight: float = 0.5) -
     )
 
 
-def local_moving(edges: DataFrame, by: str, rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
-    """GRAPH-05: one level of modularity moves in rounds of joins, each graph (by) on its own; (by, node, community), largest community first.
-
-    In each round half of the nodes, chosen anew by a hash, may move to the neighbouring community that
-    gains most: the weight to it less what its degrees let expect. It ends when both halves rest, or
-    after `rounds`. Nodes that move together see the communities as they were before, so results may
-    differ from those of moves one by one; groups of any size are spread over the tasks.
-    """
+def _both_ways(edges: DataFrame, by: str) -> DataFrame:
+    """(by, u, v, weight): edges (by, source, target, weight) in both directions, equal ones summed; loops and weights of 0 or less go."""
     both = edges.where("source != target and weight > 0")
     both = both.select(by, F.col("source").alias("u"), F.col("target").alias("v"), "weight").unionByName(both.select(by, F.col("target").alias("u"), F.col("source").alias("v"), "weight"))
-    both = materialize(both.groupBy(by, "u", "v").agg(F.sum("weight").alias("weight")))
+    return materialize(both.groupBy(by, "u", "v").agg(F.sum("weight").alias("weight")))
+
+
+def _moved(both: DataFrame, by: str, rounds: int, tolerance: float) -> DataFrame:
+    """(by, u, community) after moves over both (by, u, v, weight); a row from a node to itself counts for its degree alone."""
+    around_of = both.where("u != v")
     home = both.groupBy(by, "u").agg(F.sum("weight").alias("degree")).withColumn("community", F.col("u"))
     whole = both.groupBy(by).agg(F.sum("weight").alias("whole"))
     home, still = materialize(home.withColumn("moved", F.lit(False))), 0
     for r in range(rounds):
-        around = both.join(home.select(by, F.col("u").alias("v"), "community"), [by, "v"]).groupBy(by, "u", "community").agg(F.sum("weight").alias("pull"))
+        around = around_of.join(home.select(by, F.col("u").alias("v"), "community"), [by, "v"]).groupBy(by, "u", "community").agg(F.sum("weight").alias("pull"))
         held = home.groupBy(by, "community").agg(F.sum("degree").alias("held"))
         seen = around.join(held, [by, "community"]).join(home.select(by, "u", "degree", F.col("community").alias("own")), [by, "u"]).join(whole, by)
         others = F.col("held") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
         seen = seen.withColumn("gain", F.col("pull") - others * F.col("degree") / F.col("whole"))
         best = seen.groupBy(by, "u").agg(
-            F.max_by("community", F.struct(F.round("gain", 9), -F.col("community"))).alias("to"), F.max("gain").alias("gain"),
+            F.min_by("community", F.struct(-F.round("gain", 9), F.col("community"))).alias("to"), F.max("gain").alias("gain"),
             F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))), F.lit(0.0)).alias("stay"),
         )
         turn = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
-        goes = turn & (F.col("gain") > F.greatest("stay", F.lit(0.0)) + tolerance)
-        home = home.drop("moved").join(best, [by, "u"]).select(by, "u", "degree", F.when(goes, F.col("to")).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
-        home = materialize(home)
+        goes = F.coalesce(turn & (F.col("gain") > F.greatest("stay", F.lit(0.0)) + tolerance), F.lit(False))
+        home = home.drop("moved").join(best, [by, "u"], "left").select(by, "u", "degree", F.when(goes, F.col("to")).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
+        home = stored(home)
         still = 0 if home.where("moved").limit(1).count() else still + 1
         if still == 2:
             break
+    return home.select(by, "u", "community")
+
+
+def local_moving(edges: DataFrame, by: str, rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
+    """GRAPH-05: one level of modularity moves in rounds of joins, each graph (by) on its own; (by, node, community), largest community first.
+
+    In each round half of the nodes, chosen anew by a hash, may move to the neighbouring community that
+    gains most: the weight to it less what its degrees let expect. It ends when both halves rest, or
+    after `rounds`. Nodes that move together see the communities as they were before, so results may
+    differ from those of moves one by one; groups of any size are spread over the tasks.
+    """
+    home = _moved(_both_ways(edges, by), by, rounds, tolerance)
     sizes = home.groupBy(by, "community").agg(F.count("*").alias("size"), F.min("u").alias("least"))
     order = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("size"), "least")) - 1
     return home.join(sizes.select(by, "community", order.alias("no")), [by, "community"]).select(by, F.col("u").alias("node"), F.col("no").alias("community"))
 
 
+def community_tree(edges: DataFrame, by: str, levels: int = 10, rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
+    """GRAPH-11: (by, node, level, community) of a hierarchy: moves, then the communities as nodes of a smaller graph, and again.
+
+    Edges inside a community stay with it as its own weight. It ends where a level unites nothing more, which is left
+    out, or after `levels`. A community is named by one of its nodes; nodes without edges are in none.
+    """
+    both = _both_ways(edges, by)
+    place = None
+    found = []
+    for level in range(levels):
+        home = stored(_moved(both, by, rounds, tolerance))
+        if not home.where("u != community").limit(1).count():
+            break
+        step = home.select(by, F.col("u").alias("was"), "community")
+        place = home.select(by, F.col("u").alias("node"), "community") if place is None else place.withColumnRenamed("community", "was").join(step, [by, "was"]).select(by, "node", "community")
+        place = stored(place)
+        found.append(place.withColumn("level", F.lit(level)))
+        ends = both.join(step.select(by, F.col("was").alias("u"), F.col("community").alias("cu")), [by, "u"]).join(step.select(by, F.col("was").alias("v"), F.col("community").alias("cv")), [by, "v"])
+        both = stored(ends.groupBy(by, F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("weight").alias("weight")))
+    if not found:
+        return both.select(by, F.col("u").alias("node"), F.lit(0).alias("level"), F.col("u").alias("community")).distinct()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(by, "node", "level", "community")
+
+
+def typed_projection(entities: DataFrame, relations: DataFrame, steps: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GRAPH-11: nodes (node, label, text) and edges (source, target, relation) of one multigraph.
+
+    entities (entity_id, name, description), relations (start_id, end_id, rel_type), steps (logic_step_id, paper_id, step_type, summary),
+    claims (claim_id, paper_id, step_type, text). Rows without an id or text go; relations need both entities and are
+    RELATES_TO where they have no type; a claim hangs on the steps of its paper and type. Parallel edges stay.
+    """
+    strip = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    ids = {"KnowledgeEntity": ("entity_id", F.coalesce(F.nullif(strip("name"), F.lit("")), strip("description")), entities), "LogicStep": ("logic_step_id", strip("summary"), steps), "Claim": ("claim_id", strip("text"), claims)}
+    nodes = {label: rows.select(strip(i).alias("node"), F.lit(label).alias("label"), text.alias("text"), *[c for c in ("paper_id", "step_type") if c in rows.columns]).where("node != '' and text != ''") for label, (i, text, rows) in ids.items()}
+    known = nodes["KnowledgeEntity"].select("node").distinct()
+    edges = relations.select(strip("start_id").alias("source"), strip("end_id").alias("target"), F.coalesce(F.nullif(strip("rel_type"), F.lit("")), F.lit("RELATES_TO")).alias("relation"))
+    for end in ("source", "target"):
+        edges = edges.join(known.withColumnRenamed("node", end), end, "left_semi")
+    at = {label: nodes[label].select(F.col("node").alias(label), strip("paper_id").alias("paper_id"), strip("step_type").alias("step_type")) for label in ("LogicStep", "Claim")}
+    hung = at["LogicStep"].where("paper_id != '' and step_type != ''").join(at["Claim"], ["paper_id", "step_type"])
+    edges = edges.select("source", "target", "relation").unionByName(hung.select(F.col("LogicStep").alias("source"), F.col("Claim").alias("target"), F.lit("HAS_CLAIM").alias("relation")))
+    out = nodes["KnowledgeEntity"].select("node", "label", "text")
+    for label in ("LogicStep", "Claim"):
+        out = out.unionByName(nodes[label].select("node", "label", "text"))
+    return out, edges
+
+
 def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """GRAPH-11: (node, label) after synchronous rounds; each node takes the heaviest label around it, ties to the least.
 

@@ -245,3 +245,35 @@ def fusion_graph(spark, d):
     weight = F.floor("o_totalprice") % 100 / 100
     edges = orders.select(F.col("o_orderkey").alias("no"), F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"), kind.alias("type"), weight.alias("weight"))
     return sampling.fusion_sample(step.unionByName(entity), edges)[1]
+
+
+_PROJECTED = """ent AS (SELECT 'e' || p_partkey AS id, p_name AS text FROM part WHERE p_partkey % 13 <> 0),
+    rel AS (SELECT 'e' || p_partkey AS source, 'e' || dst AS target, CASE WHEN p_size % 4 = 0 THEN 'RELATES_TO' ELSE p_type END AS relation FROM (SELECT *, unnest([p_partkey + p_size % 7 + 1, p_partkey + 3]) AS dst FROM part) WHERE p_partkey // 32 = dst // 32)"""
+
+
+def _projection(spark, d):
+    """Parts as entities, a thirteenth of them without a name; their layers as relations; steps and claims of the papers."""
+    k = F.col("p_partkey")
+    part = table(spark, d, "part")
+    entities = part.select(F.concat(F.lit("e"), k).alias("entity_id"), F.when(k % 13 != 0, F.col("p_name")).alias("name"), F.lit(None).cast("string").alias("description"))
+    pairs = part.select(k, "p_size", "p_type", F.explode(F.array(k + F.col("p_size") % 7 + 1, k + 3)).alias("dst")).where("p_partkey div 32 = dst div 32")
+    relations = pairs.select(F.concat(F.lit("e"), k).alias("start_id"), F.concat(F.lit("e"), "dst").alias("end_id"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("rel_type"))
+    return g.typed_projection(entities, relations, fx.logic_steps(spark, d), fx.claims(spark, d))
+
+
+@register(
+    "typed_projection",
+    fx.sql("step") + f""", {_PROJECTED} SELECT source, target, relation, count(*) AS n FROM (
+      SELECT rel.* FROM rel JOIN ent a ON a.id = source JOIN ent b ON b.id = target
+      UNION ALL SELECT logic_step_id, claim_id, 'HAS_CLAIM' FROM step s JOIN claim c ON c.paper_id = s.paper_id AND c.step_type = s.step_type WHERE trim(summary) <> '') GROUP BY 1, 2, 3""",
+)
+def typed_projection(spark, d):
+    """GRAPH-11: the typed multigraph of entities, steps and claims, parallel edges counted."""
+    return _projection(spark, d)[1].groupBy("source", "target", "relation").agg(F.count("*").alias("n"))
+
+
+@register("community_tree")
+def community_tree(spark, d):
+    """GRAPH-11: a hierarchy of communities over the typed multigraph; an edge weighs as often as it stands there."""
+    edges = _projection(spark, d)[1].groupBy("source", "target").agg(F.count("*").cast("double").alias("weight")).withColumn("graph", F.lit(0))
+    return g.community_tree(edges, "graph").drop("graph")

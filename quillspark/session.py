@@ -46,3 +46,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like materialize, through files: what the optimizer derived for the rows before stays behind, which in long iterations doubles with each round."""
+    folder = shared_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
