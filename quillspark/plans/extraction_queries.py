@@ -10,9 +10,11 @@ from quillspark.operators import chained
 from quillspark.operators import citations as c
 from quillspark.operators import extraction as x
 from quillspark.operators import graph as g
+from quillspark.operators import routing
 from quillspark.plans import fixtures as fx
 from quillspark.registry import register
 from quillspark.session import shared_folder, table
+from quillspark.sources import payloads
 
 
 def _length_model(rows: pd.DataFrame) -> pd.DataFrame:
@@ -367,3 +369,63 @@ def chained_extraction(spark, d):
     gaps = run.gaps.select("paper_id", "node", F.lit(True).alias("gap"))
     out = run.calls.select("paper_id", "node", "level").join(run.summaries, ["paper_id", "node"]).join(atoms, ["paper_id", "node"]).join(gaps, ["paper_id", "node"], "left")
     return out.select("paper_id", "node", "level", "summary", "confidence", F.coalesce("gap", F.lit(False)).alias("gap"))
+
+
+def _atom_file(spark, d):
+    """A line for each order with an atom for each of its items; some lines are cut short, blank, or lack the paper."""
+    li = table(spark, d, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 3 != 0, "CONTRIBUTION_RELATION").otherwise("CONTRIBUTION")
+    relation = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "N", "conflicts").otherwise("extends")
+    name = F.when(F.col("l_suppkey") % 5 == 0, "").otherwise(F.concat(F.lit("claim "), F.col("l_suppkey") % 3))
+    atom = F.struct(
+        F.lit("L3").alias("layer"), kind.alias("type"), name.alias("from"), relation.alias("relation"), F.concat(F.lit("t"), "l_partkey").alias("to"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("q"), "l_linenumber")).alias("qualifier"),
+    )
+    # items of equal number are told apart by all that they hold
+    atoms = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.to_json(atom).alias("atom")))).alias("xs"))
+    body = F.concat(F.lit('"atoms": ["not an object", '), F.array_join(F.transform("xs", lambda x: x.atom), ", "), F.lit("]}"))
+    k = F.col("l_orderkey")
+    line = F.when(k % 17 == 0, F.concat(F.lit('{"paper_id": "cut", '), F.substring(body, 1, 40))).when(k % 19 == 0, "  ").when(k % 23 == 0, F.concat(F.lit("{"), body))
+    return atoms.select(k.alias("line_no"), line.otherwise(F.concat(F.lit('{"paper_id": "p'), k, F.lit('", '), body)).alias("line"))
+
+
+@register(
+    "claim_relations",
+    """WITH a AS (SELECT l_orderkey, l_linenumber, 'claim ' || (l_suppkey % 3) AS claim, CASE l_returnflag WHEN 'A' THEN 'supports' WHEN 'N' THEN 'conflicts' ELSE 'extends' END || '>t' || l_partkey || '>' || CASE WHEN l_linenumber % 2 = 1 THEN 'q' || l_linenumber ELSE '' END AS r
+      FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_suppkey % 5 <> 0 AND l_orderkey % 17 <> 0 AND l_orderkey % 19 <> 0 AND l_orderkey % 23 <> 0)
+    SELECT 'p' || l_orderkey AS paper_id, claim, count(*) AS n, array_to_string(list_sort(list(r)), ';') AS relations FROM a GROUP BY l_orderkey, claim""",
+)
+def claim_relations(spark, d):
+    """SRC-13, COL-07: atoms read by their schema, and the relations of each claim gathered."""
+    found = payloads.claim_relations(_atom_file(spark, d))
+    flat = F.transform("relations", lambda x: F.concat_ws(">", x.relation, x.to, F.coalesce(x.qualifier, F.lit(""))))
+    return found.select("paper_id", "claim", F.size("relations").cast("long").alias("n"), F.array_join(F.array_sort(flat), ";").alias("relations"))
+
+
+@register(
+    "payload_faults",
+    """SELECT CASE WHEN l_orderkey % 17 = 0 THEN 'malformed' WHEN l_orderkey % 19 = 0 THEN 'blank' WHEN l_orderkey % 23 = 0 THEN 'missing paper_id' ELSE 'none' END AS fault, count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem) GROUP BY 1""",
+)
+def payload_faults(spark, d):
+    """COL-07: how many payloads their schema refuses, and why."""
+    return payloads.atom_lines(_atom_file(spark, d)).groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+def _answers(rows):
+    return rows[["o_orderkey"]].assign(answer=rows["o_orderpriority"].str.lower())
+
+
+def _refuses(rows):
+    raise OSError("busy")
+
+
+@register(
+    "routed_calls",
+    """WITH f AS (SELECT *, (['a', 'b', 'c', 'a', 'c', 'a'])[o_orderkey % 6 + 1] AS w FROM orders)
+    SELECT o_orderkey, lower(o_orderpriority) AS answer, CASE WHEN w = 'b' THEN (['a', 'c', 'a', 'c', 'a'])[o_orderkey % 5 + 1] ELSE w END AS worker, CASE WHEN w = 'b' THEN 2 ELSE 1 END AS attempt FROM f""",
+)
+def routed_calls(spark, d):
+    """§2.14: calls dealt over the slots of four workers, one of them off, another one down."""
+    workers = [routing.Worker("a", _answers, 3), routing.Worker("off", _answers, 9, False), routing.Worker("b", _refuses), routing.Worker("c", _answers, 2)]
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return routing.routed_calls(rows, "o_orderkey", workers, "o_orderkey long, answer string", place=F.col("o_orderkey"))[0]
