@@ -16,6 +16,13 @@ COPULA = r"(?i)\b(?:is|are|was|were)\b"
 DENSITY = 0.08
 
 
+def has_term(text: Column, terms: list[str]) -> Column:
+    """Whether one of the terms stands in a text as a word of its own, in any case; blank terms count for nothing."""
+    able = sorted({t.strip() for t in terms if t.strip()}, key=len, reverse=True)
+    pattern = rf"(?iuU)(?<!\w)(?:{'|'.join(re.escape(t) for t in able)})(?!\w)"
+    return F.coalesce(text.rlike(pattern), F.lit(False)) if able else F.lit(False)
+
+
 def is_pure_definition(text: Column, following: Column | None = None, exempt: list[str] | None = None) -> Column:
     """FIL-09: neither exempt by a domain term nor a comparison; a strong marker, or two shapes of
     definitions, or one and copulas over DENSITY of the words, unless the next claim compares.
@@ -26,8 +33,7 @@ def is_pure_definition(text: Column, following: Column | None = None, exempt: li
     dense = F.regexp_count(text, F.lit(COPULA)) / F.regexp_count(text, F.lit(r"\S+")) > DENSITY
     rescued = F.coalesce(following.rlike(COMPARATIVE), F.lit(False)) if following is not None else F.lit(False)
     free = text.isNull() | (F.trim(text) == "") | text.rlike(COMPARATIVE)
-    for term in exempt or []:
-        free = free | text.rlike(rf"(?i)(?<!\w){re.escape(term)}(?!\w)")
+    free = free | has_term(text, exempt or [])
     return F.when(free, False).when(text.rlike(STRONG), True).otherwise(((shapes >= 2) | ((shapes >= 1) & dense)) & ~rescued)
 
 
@@ -42,6 +48,32 @@ def filter_claims(claims: DataFrame, caption: Column, by: str, order: str) -> tu
     return kept, stats.withColumn("rate", F.when(F.col("seen") > 0, 1 - F.col("kept") / F.col("seen")).otherwise(0.0))
 
 
+def noise_filter(
+    claims: DataFrame, caption: Column, by: str, order: str, exempt: list[str] | None = None, captions: bool = True, definitions: bool = True, context: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """FIL-10 with all rules: (kept claims, one row of counters) of claims (by, order, text).
+
+    A caption stays if it holds an exempt term; so does a definition, or, with context, one whose next claim of the same document compares.
+    Counted are, besides what went, the claims that a term kept (once each) and those that the next claim kept.
+    """
+    text = F.col("text")
+    following = F.lead("text").over(Window.partitionBy(by).orderBy(order)) if context else F.lit(None).cast("string")
+    rows = claims.withColumns({"_next": following, "_term": has_term(text, exempt or []), "_caption": F.coalesce(caption, F.lit(False)) & F.lit(captions)})
+    pure = lambda nxt, terms: is_pure_definition(text, nxt, terms) & F.lit(definitions)
+    rows = rows.withColumns({"_pure": pure(F.col("_next"), exempt), "_bare": pure(F.col("_next"), None), "_alone": pure(None, exempt)})
+    gone = F.when(F.col("_caption") & ~F.col("_term"), "caption").when(F.col("_pure"), "definition")
+    rows = rows.withColumn("_gone", gone)
+    by_term = F.col("_gone").isNull() & F.col("_term") & (F.col("_caption") | F.col("_bare"))
+    by_next = F.col("_gone").isNull() & (F.coalesce("_next", F.lit("")) != "") & F.col("_alone")
+    n = F.count("*")
+    stats = rows.agg(
+        n.alias("raw_count"), F.count_if(F.col("_gone").isNull()).alias("filtered_count"), F.count_if(F.col("_gone") == "caption").alias("caption_filtered"),
+        F.count_if(F.col("_gone") == "definition").alias("definition_filtered"), F.count_if(by_term).alias("whitelist_preserved"), F.count_if(by_next).alias("context_preserved"),
+        F.when(n > 0, F.count_if(F.col("_gone").isNotNull()) / n).otherwise(0.0).alias("filter_rate"),
+    )
+    return rows.where("_gone is null").select(*claims.columns), stats
+
+
 def scoped(hits: DataFrame, allowed: list[str]) -> DataFrame:
     """FIL-12: hits of allowed sources; a blank source only from a textbook."""
     blank = F.trim(F.coalesce("paper_source", F.lit(""))) == ""

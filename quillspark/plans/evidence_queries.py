@@ -35,6 +35,30 @@ def noise_filtered_claims(spark, d):
     return e.filter_claims(fx.claims(spark, d), is_caption(F.col("text")), "paper_id", "pos")[0].select("claim_id")
 
 
+#: Words of the tables that play domain terms.
+_TERMS = ["thing", "the", "der"]
+
+
+@register(
+    "noise_filter_rules",
+    fx.sql("claim")
+    + rf""", z AS (SELECT claim_id, paper_id, pos, CASE WHEN pos % 11 = 0 THEN 'Figure 2: ' ELSE '' END || regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') || CASE WHEN pos % 7 = 1 THEN ' increases' ELSE '' END AS text, pos % 11 = 0 AS caption FROM claim),
+    n AS (SELECT *, lead(text) OVER (PARTITION BY paper_id ORDER BY pos) AS nxt, {_SHAPES} AS shapes, regexp_matches(text, '(?i)\b(thing|the|der)\b') AS term,
+      len(regexp_extract_all(text, '(?i)\b(?:is|are|was|were)\b')) / len(regexp_extract_all(text, '\S+'))::DOUBLE > 0.08 AS dense FROM z),
+    f AS (SELECT *, NOT regexp_matches(text, '{_COMP}') AND regexp_matches(text, '(?i)\brefers?\s+to\s+|\bis\s+defined\s+as\s+') AS strong, NOT regexp_matches(text, '{_COMP}') AND (shapes >= 2 OR shapes >= 1 AND dense) AS plain,
+      coalesce(regexp_matches(nxt, '{_COMP}'), false) AS saved FROM n),
+    g AS (SELECT *, strong OR plain AS alone, strong OR plain AND NOT saved AS bare, CASE WHEN caption AND NOT term THEN 'caption' WHEN NOT term AND (strong OR plain AND NOT saved) THEN 'definition' END AS gone FROM f)
+    SELECT count(*) AS raw_count, count(*) FILTER (gone IS NULL) AS filtered_count, count(*) FILTER (gone = 'caption') AS caption_filtered, count(*) FILTER (gone = 'definition') AS definition_filtered,
+      count(*) FILTER (gone IS NULL AND term AND (caption OR bare)) AS whitelist_preserved, count(*) FILTER (gone IS NULL AND nxt IS NOT NULL AND NOT term AND alone) AS context_preserved,
+      count(*) FILTER (gone IS NOT NULL) / count(*)::DOUBLE AS filter_rate FROM g""",
+)
+def noise_filter_rules(spark, d):
+    """FIL-10: captions and definitions with domain terms and the next claim, every counter."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    text = F.concat(F.when(F.col("pos") % 11 == 0, "Figure 2: ").otherwise(""), plain, F.when(F.col("pos") % 7 == 1, " increases").otherwise(""))
+    return e.noise_filter(fx.claims(spark, d).withColumn("text", text), is_caption(F.col("text")), "paper_id", "pos", _TERMS)[1]
+
+
 @register("scoped_hits", "SELECT doc_id FROM documents WHERE CASE WHEN doc_id % 5 = 0 THEN lang = 'de' ELSE source IN ('src1','src2','src3') END")
 def scoped_hits(spark, d):
     """FIL-12"""

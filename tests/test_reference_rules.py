@@ -115,3 +115,17 @@ def test_fusion_sample_keeps_the_connected_backbone(spark):
     e = spark.createDataFrame([(0, "logic-1", "entity-1", "EXPLAINS", 0.96), (1, "ghost", "entity-1", "EXPLAINS", 0.8)], "no long, source string, target string, type string, weight double")
     kept, taken = sampling.fusion_sample(n, e, 2, 10)
     assert {x.id for x in kept.collect()} == {"logic-1", "entity-1"} and taken.count() == 1
+
+
+def test_noise_filter_rules(spark):
+    texts = [
+        "Figure 1: a flow", "Fig. 2. Entropy of flow", "Viscosity is a measure", "Entropy is defined as disorder", "Stress is the force is a load", "Speed increases", "Stress refers to force", "It grew", "C++ is a language is the tool",
+    ]
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc string, pos int, text string")
+    kept, stats = evidence.noise_filter(df, F.col("text").rlike("^Fig"), "doc", "pos", ["entropy", " ", "c++"])
+    assert [r.pos for r in kept.orderBy("pos").collect()] == [1, 3, 4, 5, 7, 8]
+    assert stats.first().asDict() == {
+        "raw_count": 9, "filtered_count": 6, "caption_filtered": 1, "definition_filtered": 2, "whitelist_preserved": 3, "context_preserved": 1, "filter_rate": 3 / 9,
+    }
+    none, stats = evidence.noise_filter(df, F.col("text").rlike("^Fig"), "doc", "pos", None, False, False)
+    assert none.count() == 9 and stats.first().filter_rate == 0.0
