@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.session import materialize
 
 
 def first_references(refs: DataFrame) -> DataFrame:
@@ -129,17 +130,23 @@ def keyword_top(tokens: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def ngram_label(texts: DataFrame, group: str, generic: list[str]) -> DataFrame:
-    """AGG-13: the label of each group: its most frequent 3- or 2-gram of words not all generic; ties by length, then text."""
+    """AGG-13: the label of each group: its most frequent 3- or 2-gram of words not all generic; ties by length, then text.
+
+    N-grams are counted as 64-bit hashes, and only those of the winners are spelt, in a second pass over the texts.
+    """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
     rows = texts.select(group, words.alias("w")).where(F.size("w") >= 2)
-
-    def phrases(n: int) -> Column:
-        phrase = lambda i: F.when(F.exists(F.slice("w", i, n), lambda t: ~t.isin(generic)), F.array_join(F.slice("w", i, n), " "))
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), phrase)).otherwise(F.array().cast("array<string>"))
-
-    both = rows.select(group, F.explode(F.concat(phrases(3), phrases(2))).alias("phrase")).where("phrase is not null")
-    counted = both.groupBy(group, "phrase").agg(F.count("*").alias("n"))
-    best = counted.groupBy(group).agg(F.max(F.struct("n", F.length("phrase").alias("l"), "phrase")).alias("b"))
+    runs = rows.select(group, F.inline(F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w")), F.slice("w", F.lit(3), F.size("w"))))).toDF(group, "a", "b", "c")
+    plain = F.col("a").isin(generic) & F.col("b").isin(generic)
+    three = F.when(F.col("c").isNotNull() & ~(plain & F.col("c").isin(generic)), F.xxhash64("a", "b", "c"))
+    two = F.when(F.col("b").isNotNull() & ~plain, F.xxhash64("a", "b"))
+    counted = runs.select(group, F.explode(F.array(three, two)).alias("h")).where("h is not null").groupBy(group, "h").agg(F.count("*").alias("n"))
+    most = counted.groupBy(group).agg(F.max("n").alias("n"))
+    winners = materialize(counted.join(most, [group, "n"]))
+    spelt = runs.select(group, "a", "b", "c", F.explode(F.array(F.struct(three.alias("h"), F.lit(3).alias("k")), F.struct(two.alias("h"), F.lit(2).alias("k")))).alias("g"))
+    named = spelt.select(group, "a", "b", "c", "g.h", "g.k").join(winners, [group, "h"])
+    phrase = F.concat_ws(" ", "a", "b", F.when(F.col("k") == 3, F.col("c")))
+    best = named.select(group, "n", phrase.alias("phrase")).groupBy(group).agg(F.max(F.struct("n", F.length("phrase").alias("l"), "phrase")).alias("b"))
     return best.select(group, F.col("b.phrase").alias("title"), F.col("b.n").alias("n"))
 
 

@@ -175,21 +175,20 @@ def token_blocked_links(steps: DataFrame, entities: DataFrame, least: float = 0.
     """
     if least <= 0.25:
         raise ValueError("pairs without a shared token could reach the least score")
-    s = steps.withColumn("st", tx.token_set(F.col("text")))
-    e = entities.withColumn("et", tx.token_set(F.col("name")))
-    met = (
-        s.select("step_id", F.explode("st").alias("token"))
-        .join(e.select("entity_id", F.explode("et").alias("token")), "token")
-        .select("step_id", "entity_id")
-        .distinct()
-    )
-    both = met.join(s, "step_id").join(e, "entity_id")
-    lexical = tx.jaccard(F.col("st"), F.col("et"))
-    covered = F.size(F.array_intersect("st", "et")) / F.size("et")
+    s = steps.select("step_id", tx.token_set(F.col("text")).alias("t"), F.lower("step_type").isin("method", "experiment").alias("active"))
+    e = entities.select("entity_id", tx.token_set(F.col("name")).alias("t"), F.lower("entity_type").contains("steel").alias("steel"))
+    lists = [x.select(*[c for c in x.columns if c != "t"], F.size("t").alias(n), F.explode("t").alias("token")) for x, n in ((s, "ns"), (e, "ne"))]
+    # what the sets share is the number of lists in which the two meet, so that no set travels with the pair
+    met = lists[0].join(lists[1], "token").groupBy("step_id", "entity_id", "ns", "ne", "active", "steel").agg(F.count("*").alias("both"))
+    lexical, covered = F.col("both") / (F.col("ns") + F.col("ne") - F.col("both")), F.col("both") / F.col("ne")
     semantic = F.least(F.lit(1.0), 0.6 * lexical + 0.4 * covered)
+    kind = F.when(F.coalesce(F.col("active") & F.col("steel"), F.lit(False)), 1.0).otherwise(0.35)
+    met = met.select("step_id", "entity_id", (0.25 * lexical + 0.30 * covered + 0.20 * semantic).alias("by_words"), (0.15 * kind).alias("by_kind"))
+    # the texts are looked at only where the name in the text could still lift the pair over the least score
+    able = met.where(F.col("by_words") + F.col("by_kind") + 0.10 >= least - 1e-6)
+    both = able.join(steps.select("step_id", "text"), "step_id").join(entities.select("entity_id", "name"), "entity_id")
     name_hit = ((F.length("name") >= 4) & F.lower("text").contains(F.lower("name"))).cast("int")
-    kind = F.when(F.lower("step_type").isin("method", "experiment") & F.lower("entity_type").contains("steel"), 1.0).otherwise(0.35)
-    score = F.round(0.25 * lexical + 0.30 * covered + 0.20 * semantic + 0.10 * name_hit + 0.15 * kind, 6)
+    score = F.round(F.col("by_words") + 0.10 * name_hit + F.col("by_kind"), 6)
     w = Window.partitionBy("step_id").orderBy(F.desc("score"), "entity_id")
     scored = both.select("step_id", "entity_id", score.alias("score")).where(F.col("score") >= least)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
