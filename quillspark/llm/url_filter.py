@@ -129,10 +129,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: Column, u
     if cascade:
         held = (F.col("host") != "") & cascade.holds(F.col("host"))
     else:  # a hot host's pages can be split between tasks
-        keys = materialize(universe.where("listed").select(F.col("key").alias("__key")))
-        parsed = parsed.join(keys, F.col("host") == F.col("__key"), "left")
-        held = F.col("__key").isNotNull()
-    return parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(held, "block").otherwise("allow"))}).drop("__key")
+        own = max(parsed.columns, key=len) + "_key"  # no column of the input has a name as long
+        keys = materialize(universe.where("listed").select(F.col("key").alias(own)))
+        parsed = parsed.join(keys, F.col("host") == F.col(own), "left")
+        held = F.col(own).isNotNull()
+    out = parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(held, "block").otherwise("allow"))})
+    return out if cascade else out.drop(own)
 
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]

@@ -273,3 +273,18 @@ def test_words_that_collide_in_a_polynomial_hash_differ(spark):
     assert firsts.tolist() == [0, 2, 2, 4] and h[0] != h[2] and h[1] == h[3]
     got = near_dup.near_duplicates(spark.createDataFrame([(1, f"x y z {word}"), (2, f"x y z {other}"), (3, f"X y  z {word}")], "doc_id long, text string"), 4)
     assert {x.doc_id: (x.component_id, x.kept) for x in got.collect()} == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
+# 10
+
+
+def test_lists_beyond_the_cascade_keep_clashing_columns(spark):
+    from quillspark.llm import url_filter
+
+    urls = ["http://a.org/x", "http://b.org/y?utm_source=z", "http://b.org/", None]
+    df = spark.createDataFrame([(i, u, f"k{i}", "l") for i, u in enumerate(urls)], "page_id long, url string, __key string, url_key string")
+    listed = F.bool_or(F.col("url").contains("utm_source="))
+    for most in (url_filter.MAX_BITS, 1):
+        got = url_filter.judge_urls(df, [], listed, max_bits=most)
+        assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
+        assert sorted((x.page_id, x["__key"], x.url_key, x.verdict) for x in got.collect()) == [(0, "k0", "l", "allow"), (1, "k1", "l", "block"), (2, "k2", "l", "block"), (3, "k3", "l", "allow")]
