@@ -115,12 +115,6 @@ def merge_triggers(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     return near.join(down.unionByName(up), ["a", "b"], "left_anti")
 
 
-def rename_triggers(patterns: DataFrame) -> DataFrame:
-    """HG-09: names of 45 characters or more with two underscores or upper case."""
-    p = F.col("pattern")
-    return patterns.where((F.length(p) >= 45) & ((F.regexp_count(p, F.lit("_")) >= 2) | (p == F.upper(p))))
-
-
 def retire_triggers(patterns: DataFrame, edges: DataFrame) -> DataFrame:
     """HG-09: patterns without an edge."""
     return patterns.join(edges.select("pattern").distinct(), "pattern", "left_anti")

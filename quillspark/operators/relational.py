@@ -157,6 +157,29 @@ def pairs_in_group(claims: DataFrame, group: list[str], least_shared: int, token
     return met.groupBy(*group, "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
 
 
+def jaccard_join(sets: DataFrame, key: str, least: float) -> DataFrame:
+    """STR-16: (a, b, score), a < b: rows (key, s array<string> of distinct tokens) whose sets reach the similarity, above 0.
+
+    Two such sets share one of the rarest tokens of either: of n tokens, rarest first, all but the last that `least` could do without.
+    So frequent tokens bring nobody together, and sets of sizes too far apart do not meet. A pair is scored once, on its whole sets.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a similarity of 0 would pair everything")
+    # a hair less, so that rounding loses no pair at the threshold
+    bound = least - 1e-9
+    words = sets.select(key, F.explode("s").alias("token"))
+    held = words.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = words.join(held, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("xs"))
+    first = F.slice("xs", F.lit(1), (F.size("xs") - F.ceil(F.size("xs") * F.lit(bound)) + 1).cast("int"))
+    lists = ranked.select(F.col(key).alias("id"), F.size("xs").alias("n"), F.explode(first).alias("x")).select("id", "n", "x.token")
+    a, b = (lists.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, "token").where("a < b").where(F.least("na", "nb") >= bound * F.greatest("na", "nb")).select("a", "b").distinct()
+    own = {x: sets.select(F.col(key).alias(x), F.col("s").alias(f"s{x}")) for x in "ab"}
+    both = F.size(F.array_intersect("sa", "sb"))
+    score = both / (F.size("sa") + F.size("sb") - both)
+    return met.join(own["a"], "a").join(own["b"], "b").select("a", "b", score.alias("score")).where(F.col("score") >= least)
+
+
 def ordered_union(parts: list[DataFrame], key: str, order: str) -> DataFrame:
     """SET-02: rows of the parts, the first part's before the second's; of equal keys the first stays."""
     ranked = reduce(lambda a, b: a.unionByName(b), [p.withColumn("source_rank", F.lit(i)) for i, p in enumerate(parts)])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import relational as r
 from quillspark.operators import vectors as v
 from quillspark.operators import windows as w
 from quillspark.plans import fixtures as fx
@@ -104,13 +105,9 @@ def query_coverage(spark, d):
     WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE >= 0.15""",
 )
 def jaccard_pairs(spark, d):
-    """STR-16: pairs found through their shared tokens."""
-    t = table(spark, d, "benchmark").select("item_id", tx.token_set(F.col("text")).alias("s")).select("item_id", F.size("s").alias("n"), F.explode("s").alias("token"))
-    a = t.select("token", F.col("item_id").alias("a"), F.col("n").alias("na"))
-    b = t.select("token", F.col("item_id").alias("b"), F.col("n").alias("nb"))
-    both = a.join(b, "token").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    score = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return both.where(score >= 0.15).select("a", "b", F.round(score, 6).alias("score"))
+    """STR-16: pairs found through the rarest of their shared tokens."""
+    sets = table(spark, d, "benchmark").select("item_id", tx.token_set(F.col("text")).alias("s"))
+    return r.jaccard_join(sets, "item_id", 0.15).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @register("next_context", "SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations")

@@ -129,3 +129,18 @@ def test_noise_filter_rules(spark):
     }
     none, stats = evidence.noise_filter(df, F.col("text").rlike("^Fig"), "doc", "pos", None, False, False)
     assert none.count() == 9 and stats.first().filter_rate == 0.0
+
+
+@pytest.mark.parametrize("least", [0.05, 0.5, 0.8, 1.0])
+def test_jaccard_join_matches_all_pairs(spark, least):
+    from quillspark.operators.relational import jaccard_join
+
+    r = random.Random(2)
+    sets = [(i, r.sample("the of and aa bb cc dd ee ff gg hh".split(), r.randrange(0, 9))) for i in range(60)]
+    got = {(x.a, x.b): round(x.score, 9) for x in jaccard_join(spark.createDataFrame(sets, "k long, s array<string>"), "k", least).collect()}
+    want = {}
+    for i, x in sets:
+        for j, y in sets:
+            if i < j and (union := len({*x, *y})) and (both := len({*x} & {*y})) and both / union >= least:
+                want[(i, j)] = round(both / union, 9)
+    assert got == want
