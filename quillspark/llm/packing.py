@@ -64,30 +64,55 @@ class Plan:
     sequences: int
 
 
-def _pair(have: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
-    """Two available lengths with this sum, the longer at most `most`, as unequal as possible."""
-    hi = min(most, total - 1)
-    lo = -(-total // 2)
-    if hi < lo:
+class Complements:
+    """Combinations of one, two or three lengths by their sum, consumed under the lengths' counts.
+
+    Pairs lie in one array by sum, the most unequal of a sum last, and each sum has a cursor. Counts only fall, so a pair that lacks a
+    length is passed for good. A triple of a sum is a length and a pair of the rest: its sum has a cursor over the lengths, which
+    passes a length for good, too, once no pair completes it.
+    """
+
+    def __init__(self, have: np.ndarray) -> None:
+        self.have, size = have, len(have) - 1
+        held = np.flatnonzero(have[1:]) + 1
+        shorter = [held[: np.searchsorted(held, min(x, size - x), "right")] for x in held]
+        x = np.repeat(held, [len(y) for y in shorter])
+        y = np.concatenate([*shorter, np.empty(0, np.int64)]).astype(np.int64)
+        by = np.lexsort((x, x + y))
+        self.longer, sums = x[by], (x + y)[by]
+        ends = np.searchsorted(sums, np.arange(size + 2))
+        self.first, self.next = ends[:-1].tolist(), ends[1:].tolist()  # the pairs of a sum; next is behind its best one
+        self.triple = [size] * (size + 1)
+
+    def pair(self, total: int, without: int = 0) -> tuple[int, int] | None:
+        """The most unequal available pair of this sum, with one piece of length `without` set aside."""
+        if total < 2:
+            return None
+        at, have = self.next[total] - 1, self.have
+        while at >= self.first[total]:
+            x = int(self.longer[at])
+            y = total - x
+            if have[x] < 1 + (x == y) or not have[y]:
+                if at == self.next[total] - 1:
+                    self.next[total] = at
+            elif have[x] - (x == without) >= 1 + (x == y) and have[y] - (y == without) >= 1:
+                return x, y
+            at -= 1
         return None
-    x = np.arange(lo, hi + 1)
-    ok = (have[x] > 0) & (have[total - x] > 0) & ((x != total - x) | (have[x] > 1))
-    hit = np.flatnonzero(ok)
-    return (int(x[hit[-1]]), int(total - x[hit[-1]])) if len(hit) else None
-
-
-def _complement(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
-    if gap <= most and have[gap]:
-        return (gap,)
-    if found := _pair(have, gap, most):
-        return found
-    for x in np.flatnonzero(have[: min(most, gap - 2) + 1])[::-1]:
-        have[x] -= 1
-        found = _pair(have, gap - int(x), int(x))
-        have[x] += 1
-        if found:
-            return (int(x), *found)
-    return None
+
+    def of(self, gap: int) -> tuple[int, ...] | None:
+        """Lengths that fill a gap exactly: one, else two, else three."""
+        if self.have[gap]:
+            return (gap,)
+        if found := self.pair(gap):
+            return found
+        x = min(self.triple[gap], gap - 2)
+        while x > 0:
+            if self.have[x] and (found := self.pair(gap - x, x)):
+                break
+            x -= 1
+        self.triple[gap] = x
+        return (x, *found) if x > 0 else None
 
 
 def make_plan(counts: np.ndarray, size: int = SIZE) -> Plan:
@@ -101,10 +126,11 @@ def make_plan(counts: np.ndarray, size: int = SIZE) -> Plan:
         have[values] -= n * times
         patterns.append((parts, n))
 
+    index = Complements(have)
     for a in range(size, 0, -1):
         while have[a]:
             have[a] -= 1
-            rest = () if a == size else _complement(have, size - a, a)
+            rest = () if a == size else index.of(size - a)
             have[a] += 1
             if rest is None:
                 break

@@ -288,3 +288,70 @@ def test_lists_beyond_the_cascade_keep_clashing_columns(spark):
         got = url_filter.judge_urls(df, [], listed, max_bits=most)
         assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
         assert sorted((x.page_id, x["__key"], x.url_key, x.verdict) for x in got.collect()) == [(0, "k0", "l", "allow"), (1, "k1", "l", "block"), (2, "k2", "l", "block"), (3, "k3", "l", "allow")]
+
+
+# 4
+
+
+def exact_fills(have, gap):
+    """All multisets of one to three available lengths with this sum."""
+    import itertools
+
+    held = [x for x in range(1, gap + 1) if have[x]]
+    return [c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(held, k) if sum(c) == gap and all(c.count(x) <= have[x] for x in c)]
+
+
+def test_complements_are_found_wherever_there_are_any():
+    import numpy as np
+
+    from quillspark.llm.packing import Complements
+
+    r = random.Random(8)
+    for _ in range(60):
+        size = r.randrange(4, 26)
+        have = np.array([0, *[r.choice([0, 0, 1, 2, 5]) for _ in range(size)]], np.int64)
+        index = Complements(have)
+        for a in range(size, 0, -1):  # in the order of the plan, which uses up what it finds
+            while have[a]:
+                have[a] -= 1
+                found, all_fills = index.of(size - a) if a < size else (), exact_fills(have, size - a) if a < size else [()]
+                assert (found is None) == (not all_fills) and (found is None or tuple(sorted(found)) in all_fills), (size, a)
+                if found is None:
+                    have[a] = 0
+                    break
+                for x in found:
+                    have[x] -= 1
+
+
+def fewest_sequences(lengths, size):
+    best = len(lengths)
+
+    def place(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for j in range(len(room)):
+            if room[j] >= lengths[i] and room[j] not in room[:j]:
+                place(i + 1, [*room[:j], room[j] - lengths[i], *room[j + 1 :]])
+        place(i + 1, [*room, size - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_of_few_pieces_come_within_one_of_the_optimum():
+    import numpy as np
+
+    from quillspark.llm.packing import make_plan
+
+    r = random.Random(9)
+    exact = 0
+    for _ in range(150):
+        lengths = sorted((r.randrange(1, 13) for _ in range(r.randrange(1, 10))), reverse=True)
+        plan, best = make_plan(np.bincount(lengths, minlength=13), 12).sequences, fewest_sequences(lengths, 12)
+        assert best <= plan <= best + 1
+        exact += plan == best
+    assert exact >= 140
