@@ -10,6 +10,7 @@ from quillspark.operators import chained
 from quillspark.operators import citations as c
 from quillspark.operators import extraction as x
 from quillspark.operators import graph as g
+from quillspark.operators import ingest
 from quillspark.operators import routing
 from quillspark.plans import fixtures as fx
 from quillspark.registry import register
@@ -429,3 +430,25 @@ def routed_calls(spark, d):
     workers = [routing.Worker("a", _answers, 3), routing.Worker("off", _answers, 9, False), routing.Worker("b", _refuses), routing.Worker("c", _answers, 2)]
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return routing.routed_calls(rows, "o_orderkey", workers, "o_orderkey long, answer string", place=F.col("o_orderkey"))[0]
+
+
+def _long_lines(rows):
+    """A model of the query: the lines of over 100 characters are claims; it fails on papers whose id ends in 3."""
+    if int(rows["paper_id"].iloc[0]) % 10 == 3:
+        raise ValueError("no answer")
+    return rows[rows["text"].str.len() > 100].assign(confidence=0.5)
+
+
+@register(
+    "batch_ingest",
+    """WITH d AS (SELECT doc_id, text, coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') = '' AS blank, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
+    s AS (SELECT *, CASE WHEN blank THEN 'empty' WHEN first <> doc_id THEN 'duplicate' WHEN doc_id % 10 = 3 THEN 'failed' ELSE 'ingested' END AS status FROM d),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM s WHERE status IN ('failed', 'ingested')),
+    n AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (length(line) > 100 AND doc_id % 10 <> 3) AS n_claims FROM l WHERE trim(line) <> '' GROUP BY 1)
+    SELECT doc_id AS paper_id, status, CASE WHEN status = 'failed' THEN 'no answer' END AS error, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_claims, 0) AS n_claims FROM s LEFT JOIN n USING (doc_id)""",
+)
+def batch_ingest(spark, d):
+    """EXT-18: the documents ingested as one batch, with what became of each."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    chunks = spark.createDataFrame([], "paper_id long, chunk_id string, pos int, text string")
+    return ingest.ingest_documents(docs, chunks, spark.createDataFrame([], ingest.CLAIM), _long_lines).report

@@ -59,3 +59,24 @@ def test_permutation_and_sample_by_their_definition(spark):
     held = {r.id: r for r in rows.collect()}
     right = sum(held[a].label == held[b].predicted for a, b in zip(order, [*order[1:], order[0]], strict=True))
     assert abs(got.permuted - right / 200) < 1e-12
+
+
+def test_batch_ingest(spark):
+    from quillspark.operators import ingest
+
+    docs = spark.createDataFrame([(1, "a\n \nlong line"), (2, "a\n \nlong line"), (3, "fails"), (4, " \n"), (5, None), (6, "b")], "paper_id long, text string")
+    chunks = spark.createDataFrame([(1, "1:9", 9, "old"), (3, "3:9", 9, "old"), (7, "7:0", 0, "kept")], "paper_id long, chunk_id string, pos int, text string")
+    claims = spark.createDataFrame([(1, "1:9", "old", 0.1), (3, "3:9", "old", 0.1), (7, "7:0", "kept", 0.1)], ingest.CLAIM)
+
+    def model(rows):
+        if rows["text"].iloc[0] == "fails":
+            raise OSError("down")
+        assert rows["pos"].is_monotonic_increasing
+        return rows[rows["text"].str.contains("long")].assign(confidence=0.7)
+
+    out = ingest.ingest_documents(docs, chunks, claims, model)
+    assert {r.paper_id: (r.status, r.error, r.n_chunks, r.n_claims) for r in out.report.collect()} == {
+        1: ("ingested", None, 2, 1), 2: ("duplicate", None, 0, 0), 3: ("failed", "down", 1, 0), 4: ("empty", None, 0, 0), 5: ("empty", None, 0, 0), 6: ("ingested", None, 1, 0),
+    }
+    assert sorted(r.chunk_id for r in out.chunks.collect()) == ["1:0", "1:2", "3:0", "6:0", "7:0"]
+    assert sorted((r.paper_id, r.text) for r in out.claims.collect()) == [(1, "long line"), (3, "old"), (7, "kept")]
