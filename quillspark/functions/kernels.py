@@ -18,23 +18,22 @@ _MARKS = ["\n\n", "\n", "</tr>", "</p>", ". ", "; ", " ", "><"]
 
 @F.pandas_udf(T.StringType())
 def norm_surface(texts: pd.Series) -> pd.Series:
-    """STR-10: NFKC, lower case, separators collapsed, punctuation stripped."""
+    """STR-10: lower case, NFKC, white space, hyphens and underscores collapsed, blanks and marks at either end stripped."""
 
     def one(t: str | None) -> str:
-        t = unicodedata.normalize("NFKC", t or "").lower()
-        t = re.sub(r"[\s_\-/]+", " ", t)
-        return re.sub(r"[^\w\s]", "", t).strip()
+        folded = unicodedata.normalize("NFKC", (t or "").lower())
+        return re.sub(r"[\s\-_]+", " ", folded).strip(" .,;:()")
 
     return texts.map(one)
 
 
 @F.pandas_udf(T.StringType())
 def norm_for_match(texts: pd.Series) -> pd.Series:
-    """STR-11: NFKC, combining marks dropped, white space collapsed."""
+    """STR-11: NFKC, marks that take no space dropped, white space collapsed."""
 
     def one(t: str | None) -> str:
-        t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t or ""))
-        return re.sub(r"\s+", " ", "".join(c for c in t if not unicodedata.combining(c))).strip()
+        apart = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t or ""))
+        return " ".join("".join(c for c in apart if unicodedata.category(c) != "Mn").split())
 
     return texts.map(one)
 

@@ -116,7 +116,10 @@ def text_segments(spark, d):
     return k.segmented(table(spark, d, "documents").select("doc_id", "text"), most=3000, overlap=150)
 
 
-@register("surface_norms")
+@register(
+    "surface_norms",
+    r"""SELECT item_id, trim(regexp_replace(lower(text), '[\s\-_]+', ' ', 'g'), ' .,;:()') AS surface, trim(regexp_replace(strip_accents(text), '\s+', ' ', 'g')) AS matchable FROM benchmark""",
+)
 def surface_norms(spark, d):
     """STR-10, STR-11"""
     return table(spark, d, "benchmark").select("item_id", k.norm_surface("text").alias("surface"), k.norm_for_match("text").alias("matchable"))

@@ -144,3 +144,24 @@ def test_jaccard_join_matches_all_pairs(spark, least):
             if i < j and (union := len({*x, *y})) and (both := len({*x} & {*y})) and both / union >= least:
                 want[(i, j)] = round(both / union, 9)
     assert got == want
+
+
+def test_surface_norms(spark):
+    from quillspark.functions import kernels
+
+    texts = [" Granular  Materials. ", "granular_materials", "(μ(I)-rheology)", "ﬁne/grained", "①:", "İx", "", None, "é ǘ", "a⃝ b", "x \ty"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", kernels.norm_surface("t").alias("s"), kernels.norm_for_match("t").alias("m")).orderBy("i").collect()
+    assert [r.s for r in got][:5] == ["granular materials", "granular materials", "μ(i) rheology", "fine/grained", "1"]
+    assert got[6].s == got[7].s == got[6].m == got[7].m == ""
+    # a mark that encloses takes space and stays
+    assert [r.m for r in got][8:] == ["e u", "a⃝ b", "x y"] and got[5].m == "Ix"
+
+
+def test_seeded_sample(spark):
+    from quillspark.sources.documents import seeded_sample
+
+    rows = spark.range(300).withColumnRenamed("id", "k")
+    hashes = {r.k: r.h for r in rows.select("k", F.xxhash64(F.col("k").cast("string"), F.lit(7)).alias("h")).collect()}
+    assert [r.k for r in seeded_sample(rows, "k", 7, 20).collect()] == sorted(hashes, key=lambda k: (hashes[k], k))[:20]
+    assert {r.k for r in seeded_sample(rows.repartition(7), "k", 7, 20).collect()} == {r.k for r in seeded_sample(rows, "k", 7, 20).collect()}
+    assert seeded_sample(rows, "k", 8, 20).collect() != seeded_sample(rows, "k", 7, 20).collect() and seeded_sample(rows, "k", 7, 999).count() == 300
