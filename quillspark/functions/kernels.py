@@ -27,6 +27,13 @@ def norm_surface(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def surface_key(x: Column) -> Column:
+    """STR-10 inside the JVM for plain ASCII; only other surfaces go through norm_surface."""
+    other = x.rlike(r"[^\x00-\x7F]")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[\s_-]+", " "), r"^[ .,;:()]+|[ .,;:()]+$", "")
+    return F.when(F.coalesce(other, F.lit(False)), norm_surface(F.when(other, x))).otherwise(plain)
+
+
 @F.pandas_udf(T.StringType())
 def norm_for_match(texts: pd.Series) -> pd.Series:
     """STR-11: NFKC, marks that take no space dropped, white space collapsed."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.kernels import surface_key
+
 #: Qualifier keys with their allowed values; None for free text.
 QUALIFIERS = {
     "method": ["experiment", "simulation", "theory", "review"],
@@ -47,7 +49,7 @@ def qualifiers_valid(q: Column) -> Column:
 
 def merge_surfaces(nodes: DataFrame) -> DataFrame:
     """HG-01, HG-03: nodes (paper_id, nid, surface, labels) merged by normalised surface; the first surface stays, labels unite."""
-    key = F.trim(F.regexp_replace(F.lower("surface"), r"[\s_-]+", " "))
+    key = surface_key(F.col("surface"))
     return nodes.groupBy(key.alias("key")).agg(
         F.min_by("surface", F.struct("paper_id", "nid")).alias("surface"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),

@@ -39,7 +39,7 @@ def qualifier_validation(spark, d):
     return _edges(spark, d).select("eid", h.qualifiers_valid(F.col("qualifiers")).alias("valid"))
 
 
-@register("surface_merge", f"WITH {_HG} SELECT lower(surface) AS key, arg_min(surface, nid) AS surface, array_to_string(list_sort(list_distinct(flatten(list(labels)))), ';') AS labels, count(DISTINCT nid % 7) AS papers FROM hn GROUP BY 1")
+@register("surface_merge", f"WITH {_HG} SELECT trim(regexp_replace(lower(surface), '[\\s_-]+', ' ', 'g'), ' .,;:()') AS key, arg_min(surface, nid) AS surface, array_to_string(list_sort(list_distinct(flatten(list(labels)))), ';') AS labels, count(DISTINCT nid % 7) AS papers FROM hn GROUP BY 1")
 def surface_merge(spark, d):
     """HG-01, HG-03"""
     rows = _nodes(spark, d).withColumn("paper_id", F.lit(0))

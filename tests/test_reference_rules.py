@@ -165,3 +165,11 @@ def test_seeded_sample(spark):
     assert [r.k for r in seeded_sample(rows, "k", 7, 20).collect()] == sorted(hashes, key=lambda k: (hashes[k], k))[:20]
     assert {r.k for r in seeded_sample(rows.repartition(7), "k", 7, 20).collect()} == {r.k for r in seeded_sample(rows, "k", 7, 20).collect()}
     assert seeded_sample(rows, "k", 8, 20).collect() != seeded_sample(rows, "k", 7, 20).collect() and seeded_sample(rows, "k", 7, 999).count() == 300
+
+
+def test_surfaces_merge_across_marks_and_widths(spark):
+    from quillspark.operators.hypergraph import merge_surfaces
+
+    rows = [(1, 1, "Granular Materials", ["A"]), (2, 2, " granular_materials.", ["B"]), (2, 3, "ｇranular  materials", ["A"]), (1, 4, "μ(I)", ["C"]), (1, 5, "(Μ(I))", ["C"]), (1, 6, None, ["D"]), (1, 7, "x/y", [])]
+    got = {r.key: (r.surface, r.labels, r.papers) for r in merge_surfaces(spark.createDataFrame(rows, "paper_id int, nid int, surface string, labels array<string>")).collect()}
+    assert got["granular materials"] == ("Granular Materials", ["A", "B"], 2) and got["x/y"] == ("x/y", [], 1) and set(got) == {"granular materials", "μ(i", "x/y", ""}
