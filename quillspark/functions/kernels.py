@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("mode", T.StringType())])
+#: Marks behind which a window may end, the strongest first.
 _MARKS = ["\n\n", "\n", "</tr>", "</p>", ". ", "; ", " ", "><"]
 
 
@@ -51,6 +52,8 @@ def quote_span(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
 
     def one(q: str | None, t: str | None) -> tuple[int, int, str]:
         q, t = (q or "").strip(), t or ""
+        if not q or not t:
+            return -1, -1, "none"
         if not 20 <= len(q) <= 220:
             return -1, -1, "invalid_len"
         at = t.find(q)
@@ -91,7 +94,8 @@ def recover_mojibake(texts: pd.Series) -> pd.Series:
 
 
 def segments(text: str, most: int, overlap: int) -> list[str]:
-    """Windows of at most `most` characters that end at the strongest mark in their second half."""
+    """STR-14: windows of at most `most` characters that end at the strongest mark in their second half, white space at the ends stripped; none for a blank text."""
+    text = text.strip()
     out, at = [], 0
     overlap = min(overlap, most // 2)
     while at < len(text):
@@ -102,11 +106,29 @@ def segments(text: str, most: int, overlap: int) -> list[str]:
                 if cut >= 0:
                     end = cut + len(m)
                     break
-        out.append(text[at:end])
+        if piece := text[at:end].strip():
+            out.append(piece)
         if end >= len(text):
             break
         at = max(at + 1, end - overlap)
-    return out or [""]
+    return out
+
+
+def sentence_chunks(text: str, most: int = 6000) -> list[str]:
+    """STR-15: pieces of about `most` characters, without overlap, that end behind the last full stop from their half up to twice that
+    length, else the last question or exclamation mark, else 200 characters further on; a short text stays as it is."""
+    if len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + most, len(text))
+        if end < len(text):
+            ends = (text.rfind(mark, at + most // 2, end + most) for mark in (". ", "? ", "! "))
+            cut = next((e for e in ends if e > 0), None)
+            end = cut + 1 if cut else min(end + 200, len(text))
+        out.append(text[at:end])
+        at = end
+    return [p for p in out if p.strip()]
 
 
 def segmented(rows: DataFrame, text: str = "text", most: int = 6000, overlap: int = 300) -> DataFrame:
@@ -116,6 +138,8 @@ def segmented(rows: DataFrame, text: str = "text", most: int = 6000, overlap: in
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: segments(t or "", most, overlap))
 
-    parts: Column = F.when(F.length(text) > most, cut(F.when(F.length(text) > most, F.col(text)))).otherwise(F.array(F.coalesce(text, F.lit(""))))
+    # short texts pass as they are, but for white space at their ends; blank ones have no segment
+    full = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    parts: Column = F.when(F.length(full) > most, cut(F.when(F.length(full) > most, full))).otherwise(F.filter(F.array(full), lambda x: x != ""))
     with_parts = rows.withColumn("_parts", parts)
     return with_parts.select("*", F.size("_parts").alias("segment_count"), F.posexplode("_parts").alias("segment_index", "segment")).drop("_parts", text)

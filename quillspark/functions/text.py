@@ -96,21 +96,43 @@ def year_of(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).cast("int")
 
 
+#: Marks that end a sentence, in the order in which a cut looks for them.
+TERMINATORS = [".", "!", "?", "。", "！", "？", ";", "；"]
+
+
 def truncate_to_sentence(x: Column, most: int) -> Column:
-    """Up to the last terminator in the second half of the budget, else cut hard with an ellipsis."""
-    half = most // 2
-    cut = F.regexp_extract(x, rf"(?s)^(.{{{half},{most - 1}}}[.!?。！？;；])", 1)
-    return F.when(F.length(x) <= most, x).when(cut != "", cut).otherwise(F.concat(F.rtrim(F.substring(x, 1, most)), F.lit("...")))
-
-
-def best_sentence(x: Column, anchor: Column) -> Column:
-    """The sentence that shares most tokens with the anchor; then the shorter, then the earlier."""
-    sentences = F.filter(F.split(x, r"(?<=[.!?。！？])\s+"), lambda s: F.trim(s) != "")
-    ranked = F.transform(
-        sentences,
-        lambda s, i: F.struct(F.size(F.array_intersect(token_set(s), token_set(anchor))).alias("n"), (-F.length(s)).alias("l"), (-i).alias("p"), s.alias("s")),
-    )
-    return F.array_max(ranked).getField("s")
+    """STR-12: white space collapsed; a longer text ends at the last full stop in its second half, else at the last of the next mark, else cut hard with an ellipsis."""
+    compact = compact_whitespace(F.coalesce(x, F.lit("")))
+    window = F.substring(compact, 1, most)
+    out = F.when(F.length(compact) <= most, compact)
+    for mark in TERMINATORS:
+        upto = F.regexp_extract(window, rf"(?s)^(.*\Q{mark}\E)", 1)
+        out = out.when(F.length(upto) > most // 2, F.trim(upto))
+    return out.otherwise(F.concat(F.regexp_replace(window, r"[ ,;:]+$", ""), F.lit("...")))
+
+
+def overlap_tokens(x: Column) -> Column:
+    """The CJK characters of a text that has any, else its words and numbers, lower-cased; each once."""
+    one = F.array_distinct(F.regexp_extract_all(x, F.lit(rf"[{CJK}]"), F.lit(0)))
+    words = F.regexp_extract_all(x, F.lit(r"[A-Za-z][A-Za-z0-9_:+./-]*|[0-9][0-9_./-]*"), F.lit(0))
+    return F.when(F.size(one) > 0, one).otherwise(F.array_distinct(F.transform(words, lambda w: F.lower(w))))
+
+
+def best_sentence(x: Column, anchor: Column, most: int = 220) -> Column:
+    """STR-13: of the sentences of a text the one that shares most tokens with the anchor, then the shorter, then the earlier, cut to a length.
+
+    Where one of the two has no tokens, a sentence counts the anchor's characters if it holds the anchor as it stands.
+    """
+    sentences = F.filter(F.split(compact_whitespace(F.coalesce(x, F.lit(""))), r"(?<=[.!?。！？;；])\s+"), lambda s: F.trim(s) != "")
+    wanted = compact_whitespace(F.coalesce(anchor, F.lit("")))
+
+    def score(s: Column) -> Column:
+        own, asked = overlap_tokens(s), overlap_tokens(wanted)
+        holds = (wanted != "") & F.contains(F.lower(s), F.lower(wanted))
+        return F.when((F.size(own) > 0) & (F.size(asked) > 0), F.size(F.array_intersect(own, asked))).when(holds, F.length(wanted)).otherwise(0)
+
+    ranked = F.transform(sentences, lambda s, i: F.struct(score(s).alias("n"), (-F.length(s)).alias("l"), (-i).alias("p"), s.alias("s")))
+    return F.coalesce(truncate_to_sentence(F.array_max(ranked).getField("s"), most), F.lit(""))
 
 
 def title_fingerprint(x: Column) -> Column:
@@ -118,10 +140,16 @@ def title_fingerprint(x: Column) -> Column:
     return F.substring(F.sha2(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")), 256), 1, 24)
 
 
+#: Verbs that lead a summary, and words before which its operation ends.
+LEADING_VERBS = "uses?|used|using|proposes?|proposed|presents?|presented|introduces?|introduced|applies?|applied|employs?|employed|leverages?|leveraged"
+ENDING_WORDS = "for|to|via|through|with|by"
+
+
 def operation_phrase(x: Column) -> Column:
-    """A leading verb stripped, cut at the first preposition, punctuation removed."""
-    bare = F.regexp_replace(compact_whitespace(x), r"(?i)^(?:we\s+)?(?:use|uses|used|apply|applies|propose|proposes|present|introduce|develop|perform)\s+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)\s(?:for|to|in|on|with|by|from|of|at|into|via)\s.*$", ""), r"[^\p{L}\p{N}\s-]+", ""))
+    """STR-20: lower case, without a leading verb, up to the first ending word, marks as blanks, blanks and hyphens stripped at the ends."""
+    bare = F.regexp_replace(F.lower(compact_whitespace(F.coalesce(x, F.lit("")))), rf"^(?:{LEADING_VERBS})\s+", "")
+    first = F.element_at(F.split(bare, rf"\b(?:{ENDING_WORDS})\b", 2), 1)
+    return F.regexp_replace(compact_whitespace(F.regexp_replace(first, r"[^a-z0-9\s-]+", " ")), r"^[- ]+|[- ]+$", "")
 
 
 def supports(values: Column, span: Column) -> Column:

@@ -47,7 +47,7 @@ _CORPORA = (
       SELECT *, 0::BIGINT, CASE WHEN length(text) <= 6000 THEN length(text) {_CUTS.replace("beg + ", "0 + ")} ELSE 6000 END, 0 FROM rows WHERE text <> ''
       UNION ALL SELECT corpus, id, kind, paper_source, text, beg, CASE WHEN beg + 6000 >= length(text) THEN length(text) {_CUTS} ELSE beg + 6000 END, no
         FROM (SELECT * REPLACE (greatest(beg + 1, til - 300) AS beg, no + 1 AS no) FROM seg WHERE til < length(text))),
-    segments AS (SELECT corpus, id, kind, paper_source, no, substr(text, beg + 1, til - beg) AS text FROM seg)"""
+    segments AS (SELECT corpus, id, kind, paper_source, no, regexp_replace(substr(text, beg + 1, til - beg), '^\\s+|\\s+$', '', 'g') AS text FROM seg)"""
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 

@@ -89,7 +89,14 @@ def latex_tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(tx.latex_tokens(x)).cast("long").alias("n"))
 
 
-@register("sentence_truncation", r"""WITH t AS (SELECT item_id, text, regexp_extract(text, '(?s)^(.{100,199}[.!?。！？;；])', 1) AS cut FROM benchmark) SELECT item_id, CASE WHEN length(text) <= 200 THEN text WHEN cut <> '' THEN cut ELSE rtrim(substr(text, 1, 200)) || '...' END AS short FROM t""")
+_CUTS = " ".join(f"WHEN contains(w, '{m}') AND length(w) - strpos(reverse(w), '{m}') >= 100 THEN trim(left(w, length(w) - strpos(reverse(w), '{m}') + 1))" for m in tx.TERMINATORS)
+
+
+@register(
+    "sentence_truncation",
+    rf"""WITH c AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark), t AS (SELECT *, left(text, 200) AS w FROM c)
+    SELECT item_id, CASE WHEN length(text) <= 200 THEN text {_CUTS} ELSE rtrim(w, ' ,;:') || '...' END AS short FROM t""",
+)
 def sentence_truncation(spark, d):
     """STR-12"""
     return table(spark, d, "benchmark").select("item_id", tx.truncate_to_sentence(F.col("text"), 200).alias("short"))

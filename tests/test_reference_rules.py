@@ -173,3 +173,65 @@ def test_surfaces_merge_across_marks_and_widths(spark):
     rows = [(1, 1, "Granular Materials", ["A"]), (2, 2, " granular_materials.", ["B"]), (2, 3, "ｇranular  materials", ["A"]), (1, 4, "μ(I)", ["C"]), (1, 5, "(Μ(I))", ["C"]), (1, 6, None, ["D"]), (1, 7, "x/y", [])]
     got = {r.key: (r.surface, r.labels, r.papers) for r in merge_surfaces(spark.createDataFrame(rows, "paper_id int, nid int, surface string, labels array<string>")).collect()}
     assert got["granular materials"] == ("Granular Materials", ["A", "B"], 2) and got["x/y"] == ("x/y", [], 1) and set(got) == {"granular materials", "μ(i", "x/y", ""}
+
+
+ANCHORED = [
+    ("Cats sleep. Dogs run far; they bark! Dogs run.", "dogs run"), ("One. Two? Three", "zzz"), ("Alpha beta gamma " * 20 + ". Short end.", "beta"), ("速度增加。压力 降低！ 温度不变", "压力"), ("x. ... !!", "!!"), ("", "a"), (None, None),
+    ("Only one sentence without an end " * 12, ""), ("a:b c-d. 12.5 kg; 3_4", "12.5"),
+]
+
+
+def python_best(text, anchor, most=220):
+    import re
+
+    compact = lambda s: re.sub(r"\s+", " ", s or "").strip()
+
+    def tokens(s):
+        return set(re.findall("[一-鿿]", s)) or {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9_:+./-]*|\d[\d_./-]*", s)}
+
+    def score(s):
+        a, b = tokens(s), tokens(compact(anchor))
+        if a and b:
+            return len(a & b)
+        return len(compact(anchor)) if compact(anchor) and compact(anchor).lower() in s.lower() else 0
+
+    parts = [p for p in re.split(r"(?<=[.!?。！？;；])\s+", compact(text)) if p]
+    if not parts:
+        return ""
+    best = max(enumerate(parts), key=lambda p: (score(p[1]), -len(p[1]), -p[0]))[1]
+    if len(best) <= most:
+        return best
+    window = best[:most]
+    for mark in ".!?。！？;；":
+        if (at := window.rfind(mark)) >= most // 2:
+            return window[: at + 1].strip()
+    return window.rstrip(" ,;:") + "..."
+
+
+def test_best_sentence_and_truncation(spark):
+    from quillspark.functions import text as tx
+
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(ANCHORED)], "i int, t string, a string")
+    got = [r.s for r in df.select("i", tx.best_sentence(F.col("t"), F.col("a"), 40).alias("s")).orderBy("i").collect()]
+    assert got == [python_best(t, a, 40) for t, a in ANCHORED]
+
+
+def test_operation_phrases(spark):
+    from quillspark.functions import text as tx
+
+    texts = ["Uses a finite-element solver for drag.", "We use X", "Proposed  graph (v2) model via tokens", "by hand", "- leveraging - it -", "Applies to", None, "toward forms"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.s for r in df.select("i", tx.operation_phrase(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == ["a finite-element solver", "we use x", "graph v2 model", "", "leveraging - it", "", "", "toward forms"]
+
+
+def test_sentence_chunks_and_segments():
+    from quillspark.functions.kernels import segments, sentence_chunks
+
+    text = "One two. Three four? Five six seven eight nine! " * 3
+    assert sentence_chunks("short. text", 20) == ["short. text"] and "".join(sentence_chunks(text, 20)) == text.rstrip()  # a blank rest goes
+    # from the half of the length up to twice that length, full stops first
+    assert sentence_chunks("aaaa bbbb cccc. dddd? eeee. ffff", 12)[0] == "aaaa bbbb cccc."
+    assert sentence_chunks("x" * 500, 100) == ["x" * 300, "x" * 200]
+    assert segments("  ab cd  ", 20, 5) == ["ab cd"] and segments(" \n", 20, 5) == []
+    assert segments("aaaa bbbb cccc dddd", 10, 2) == ["aaaa bbbb", "b cccc", "c dddd"]
