@@ -143,3 +143,15 @@ def segmented(rows: DataFrame, text: str = "text", most: int = 6000, overlap: in
     parts: Column = F.when(F.length(full) > most, cut(F.when(F.length(full) > most, full))).otherwise(F.filter(F.array(full), lambda x: x != ""))
     with_parts = rows.withColumn("_parts", parts)
     return with_parts.select("*", F.size("_parts").alias("segment_count"), F.posexplode("_parts").alias("segment_index", "segment")).drop("_parts", text)
+
+
+def sentence_chunked(rows: DataFrame, text: str = "text", most: int = 6000) -> DataFrame:
+    """STR-15: rows with long texts become several, by sentence_chunks; short ones pass through the JVM. Columns chunk_index and chunk replace the text."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sentence_chunks(t or "", most))
+
+    full = F.coalesce(text, F.lit(""))
+    parts = F.when(F.length(full) > most, cut(F.when(F.length(full) > most, full))).otherwise(F.array(full))
+    return rows.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("chunk_index", "chunk")).drop("_parts", text)

@@ -110,12 +110,44 @@ def evidence_support(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.supports(values, F.col("text")).alias("supported"))
 
 
-@register("text_segments")
+_WINDOW = "substr(substr(text, {b} + 1, 3000), 1501)"
+_SEGMENT = "CASE WHEN {b} + 3000 >= length(text) THEN length(text) " + " ".join(
+    f"WHEN contains({_WINDOW}, {m}) THEN {{b}} + 1500 + length({_WINDOW}) - strpos(reverse({_WINDOW}), reverse({m})) + 1"
+    for m in ("chr(10) || chr(10)", "chr(10)", "'</tr>'", "'</p>'", "'. '", "'; '", "' '", "'><'")
+) + " ELSE {b} + 3000 END"
+_NEXT = "greatest(beg + 1, til - 150)"
+
+
+@register(
+    "text_segments",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents), c(doc_id, text, beg, til, no) AS (SELECT doc_id, text, 0::BIGINT, {_SEGMENT.format(b="0")}, 0 FROM t WHERE text <> ''
+      UNION ALL SELECT doc_id, text, {_NEXT}, {_SEGMENT.format(b=_NEXT)}, no + 1 FROM c WHERE til < length(text)),
+    p AS (SELECT doc_id, no, regexp_replace(substr(text, beg + 1, til - beg), '^\\s+|\\s+$', '', 'g') AS segment FROM c)
+    SELECT doc_id, (count(*) OVER (PARTITION BY doc_id))::INT AS segment_count, (row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::INT AS segment_index, segment FROM p WHERE segment <> ''""",
+)
 def text_segments(spark, d):
     """STR-14, STR-15, SINK-18"""
     return k.segmented(table(spark, d, "documents").select("doc_id", "text"), most=3000, overlap=150)
 
 
+_TAIL = "substr(text, {b} + 1501, 4500)"
+_ENDS = "CASE WHEN {b} + 3000 >= length(text) THEN length(text) " + " ".join(
+    f"WHEN contains({_TAIL}, '{m}') THEN {{b}} + 1500 + length({_TAIL}) - strpos(reverse({_TAIL}), reverse('{m}'))" for m in (". ", "? ", "! ")
+) + " ELSE least({b} + 3200, length(text)) END"
+
+
+@register(
+    "sentence_chunks",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c(doc_id, text, beg, til, no) AS (SELECT doc_id, text, 0::BIGINT, {_ENDS.format(b="0")}, 0 FROM t
+      UNION ALL SELECT doc_id, text, til, {_ENDS.format(b="til")}, no + 1 FROM c WHERE til < length(text)),
+    p AS (SELECT doc_id, no, length(text) AS n, substr(text, beg + 1, til - beg) AS chunk FROM c)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::INT AS chunk_index, md5(chunk) AS chunk FROM p WHERE n <= 3000 OR regexp_replace(chunk, '\\s+', '', 'g') <> ''""",
+)
+def sentence_chunks(spark, d):
+    """STR-15: the documents in pieces that end with sentences."""
+    return k.sentence_chunked(table(spark, d, "documents").select("doc_id", "text"), most=3000).withColumn("chunk", F.md5("chunk"))
+
+
 @register(
     "surface_norms",
     r"""SELECT item_id, trim(regexp_replace(lower(text), '[\s\-_]+', ' ', 'g'), ' .,;:()') AS surface, trim(regexp_replace(strip_accents(text), '\s+', ' ', 'g')) AS matchable FROM benchmark""",
