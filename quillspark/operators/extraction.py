@@ -103,13 +103,14 @@ def path_identity(path: Column) -> tuple[Column, Column]:
 
 
 def source_metadata(blocks: DataFrame, key: str) -> DataFrame:
-    """EXT-17: title, DOI and year from the first blocks (key, idx, text) of each paper."""
+    """EXT-17: title, DOI and year from the first blocks (key, idx, text) of each paper; four digits of a phone number are no year."""
     from quillspark.functions.text import doi_of, year_of
 
     first = blocks.where("idx < 12")
+    without_phones = F.regexp_replace("text", r"\+[0-9][ ().0-9-]+[0-9]", " ")
     return first.groupBy(key).agg(
         F.min_by("text", F.when(F.length("text") >= 10, F.col("idx"))).alias("title"), F.min_by(doi_of(F.col("text")), F.when(doi_of(F.col("text")).isNotNull(), F.col("idx"))).alias("doi"),
-        F.max(year_of(F.col("text"))).alias("year"),
+        F.max(year_of(without_phones)).alias("year"),
     )
 
 
