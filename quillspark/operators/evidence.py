@@ -117,9 +117,14 @@ def grounding_rows(ids: DataFrame, claims: DataFrame, steps: DataFrame, chunks:
 
 
 def author_year(mentions: DataFrame, references: DataFrame) -> DataFrame:
-    """JOIN-19: mentions (mention_id, paper_id, year, token) that name exactly one reference (paper_id, ref_num, year, surname)."""
-    hit = mentions.join(references.withColumnRenamed("surname", "token"), ["paper_id", "year", "token"])
-    return hit.groupBy("mention_id").agg(F.count_distinct("ref_num").alias("n"), F.min("ref_num").alias("ref_num")).where("n = 1").select("mention_id", "ref_num")
+    """JOIN-19: mentions (mention_id, paper_id, year, token) that name exactly one reference (paper_id, ref_num, year, surname).
+
+    A mention meets one row for each name, with its least and its greatest reference, however many references share that name.
+    """
+    keys = ["paper_id", "year", "token"]
+    named = references.withColumnRenamed("surname", "token").groupBy(*keys).agg(F.min("ref_num").alias("least"), F.max("ref_num").alias("most"))
+    hit = mentions.join(named, keys).groupBy("mention_id").agg(F.min("least").alias("ref_num"), F.max("most").alias("most"))
+    return hit.where(F.col("ref_num") == F.col("most")).select("mention_id", "ref_num")
 
 
 def gap_scores(gaps: DataFrame, weights: dict[str, float]) -> DataFrame:
