@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.session import materialize
 
 
 def first_non_blank(*names: str) -> Column:
@@ -146,15 +150,86 @@ def fill_by_first(rows: DataFrame, lookup: DataFrame, key: str, value: str) -> D
     return rows.join(first, key, "left").withColumn(value, F.coalesce(value, "found")).drop("found")
 
 
+#: Sets compared at once of one large group, and of several small ones.
+BLOCK, BIN = 8192, 2048
+
+
+def _meetings(frame: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, shared): rows of a frame (block, lo, hi, words) whose sets share enough; those of block lo meet those of block hi."""
+    words, block = frame["words"].to_numpy(), frame["block"].to_numpy()
+    same = frame["lo"].iat[0] == frame["hi"].iat[0]
+    left, right = (np.arange(len(frame)),) * 2 if same else (np.flatnonzero(block == frame["lo"].iat[0]), np.flatnonzero(block == frame["hi"].iat[0]))
+    if not len(left) or not len(right):
+        return
+    sizes = np.array([len(words[j]) for j in right])
+    held, place = np.unique(np.concatenate(words[right]), return_inverse=True)
+    by = np.argsort(place, kind="stable")
+    rows, ends = np.repeat(np.arange(len(right)), sizes)[by], np.cumsum(np.bincount(place, minlength=len(held)))
+    begins = np.concatenate([[0], ends[:-1]])
+    step = max(1, 1_000_000 // len(right))
+    for c in range(0, len(left), step):
+        part = left[c : c + step]
+        asked, row = np.concatenate(words[part]), np.repeat(np.arange(len(part)), [len(words[i]) for i in part])
+        at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+        known = held[at] == asked
+        at, row = at[known], row[known]
+        n = ends[at] - begins[at]
+        # the lists of all words asked for, one behind the other
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        met = np.bincount(np.repeat(row, n) * len(right) + rows[np.repeat(begins[at], n) + inside], minlength=len(part) * len(right))
+        hit = np.flatnonzero(met >= least)
+        i, j, shared = part[hit // len(right)], right[hit % len(right)], met[hit]
+        keep = i < j if same else slice(None)
+        yield i[keep], j[keep], shared[keep]
+
+
+def token_classes(claims: DataFrame, group: list[str], least_shared: int, tokens: Column, *sums: Column) -> DataFrame:
+    """(group, words, cls, sums): the distinct token sets of each group that could share enough with another; tokens as 64-bit hashes with their group."""
+    hashed = F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: F.xxhash64(*group, t))
+    rows = claims.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group])).withColumn("words", F.array_sort(F.array_distinct(hashed)))
+    return rows.where(F.size("words") >= least_shared).groupBy(*group, "words").agg(*sums).withColumn("cls", F.xxhash64(*group, "words"))
+
+
+def class_meetings(classes: DataFrame, group: list[str], least: int, found: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, carried: list[str]) -> DataFrame:
+    """What found(frame, i, j, shared) makes of the classes (group, words, cls) of one group that share enough, each two met once.
+
+    A large group is cut into blocks, and a task compares two of them; small groups share a task. No pair is shuffled.
+    """
+    sizes = classes.groupBy(*group).agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / BLOCK))
+    total = sizes.agg(F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("small"), F.sum(F.when(F.col("k") > 1, F.col("k") * (F.col("k") + 1) / 2)).alias("large")).first()
+    bins = max(1, -(-(total["small"] or 0) // BIN))
+    block = F.pmod("cls", F.col("k"))
+    rows = classes.join(sizes, group).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rows = rows.withColumn("task", F.when(F.col("k") == 1, F.pmod(F.xxhash64(*group), F.lit(bins))).otherwise(F.xxhash64(*group, "lo", "hi")))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [found(frame, *met) for met in _meetings(frame, least)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    spread = rows.select("task", "block", "lo", "hi", "words", "cls", *carried).repartition(int(min(2000, bins + (total["large"] or 0))), "task")
+    return spread.groupBy("task").applyInPandas(compare, schema)
+
+
 def pairs_in_group(claims: DataFrame, group: list[str], least_shared: int, tokens: Column) -> DataFrame:
-    """JOIN-18: pairs of one group that share enough topic tokens.
+    """JOIN-18: pairs of one group that share enough topic tokens, at least one.
 
-    Pairs meet in the inverted lists of their tokens, which is lossless for least_shared >= 1.
+    Claims with equal token sets meet the others as one class, and classes meet block by block inside tasks; only found
+    classes are spread out to their claims, large ones over many tasks.
     """
-    words = claims.select(*group, "claim_id", F.explode(F.array_distinct(tokens)).alias("token"))
-    a, b = words.withColumnRenamed("claim_id", "a"), words.withColumnRenamed("claim_id", "b")
-    met = a.join(b, [*group, "token"]).where("a < b")
-    return met.groupBy(*group, "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    rows = claims.select(*group, "claim_id", tokens.alias("_tokens"))
+    classes = materialize(token_classes(rows, group, least_shared, F.col("_tokens"), F.collect_list("claim_id").alias("ids")))
+    met = class_meetings(
+        classes, group, least_shared, lambda f, i, j, n: pd.DataFrame({"x": f["cls"].to_numpy()[i], "y": f["cls"].to_numpy()[j], "shared": n}), "x long, y long, shared long", []
+    )
+    one = classes.select(F.col("cls").alias("x"), F.col("cls").alias("y"), F.size("words").cast("long").alias("shared")).where(F.size("ids") > 1)
+    # a class's claims in lists of a hundred, so that no task spreads out the square of a large class
+    lists = classes.select(*group, "cls", F.explode(F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(100)), lambda i: F.slice("ids", i, F.lit(100)))).alias("ids"))
+    a = lists.select(*group, F.col("cls").alias("x"), F.col("ids").alias("as"))
+    b = lists.select(F.col("cls").alias("y"), F.col("ids").alias("bs"))
+    both = met.unionByName(one).join(a, "x").join(b, "y")
+    out = both.select(*group, "x", "y", "shared", F.explode("as").alias("p"), "bs").select(*group, "x", "y", "shared", "p", F.explode("bs").alias("q"))
+    return out.where("x != y or p < q").select(*group, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared").where("a < b")
 
 
 def jaccard_join(sets: DataFrame, key: str, least: float) -> DataFrame:
