@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +88,29 @@ def conflict_stats(pairs: DataFrame, polarities: DataFrame, by: list[str] | None
     )
 
 
+def token_conflicts(claims: DataFrame, group: list[str], least_shared: int, tokens: Column, polarity: Column) -> DataFrame:
+    """AGG-04 over all pairs of one group (JOIN-18) that share enough tokens: comparable pairs, conflicts and rate, without a row for each pair.
+
+    Neutral claims compare with none. Claims with equal token sets are one class with its claims of either polarity, so that two
+    classes that meet add the products of their counts.
+    """
+    from quillspark.operators.relational import class_meetings, token_classes
+
+    rows = claims.select(*group, tokens.alias("_tokens"), polarity.alias("_polarity")).where("_polarity != 0")
+    counts = [F.count_if(F.col("_polarity") > 0).alias("up"), F.count_if(F.col("_polarity") < 0).alias("down")]
+    classes = materialize(token_classes(rows, group, least_shared, F.col("_tokens"), *counts))
+
+    def products(frame, i, j, shared):
+        up, down = frame["up"].to_numpy(), frame["down"].to_numpy()
+        return pd.DataFrame({"comparable": [int(((up + down)[i] * (up + down)[j]).sum())], "conflicts": [int((up[i] * down[j] + down[i] * up[j]).sum())]})
+
+    across = class_meetings(classes, group, least_shared, products, "comparable long, conflicts long", ["up", "down"])
+    n = F.col("up") + F.col("down")
+    inside = classes.select((n * (n - 1) / 2).cast("long").alias("comparable"), (F.col("up") * F.col("down")).alias("conflicts"))
+    total = across.unionByName(inside).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("comparable", "conflicts")])
+    return total.withColumn("rate", F.when(F.col("comparable") > 0, F.col("conflicts") / F.col("comparable")).otherwise(0.0))
+
+
 def judged_conflicts(pairs: DataFrame, judgments: DataFrame, least: float) -> DataFrame:
     """AGG-05: judgments (pair_id, label, score) of pairs: contradictions above the least score, coverage, missing and unknown ids."""
     joined = pairs.join(judgments, "pair_id", "left")

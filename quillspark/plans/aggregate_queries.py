@@ -79,12 +79,8 @@ def slot_completeness(spark, d):
 )
 def conflict_stats(spark, d):
     """AGG-04"""
-    from quillspark.operators.relational import pairs_in_group
-
-    steps = fx.logic_steps(spark, d).withColumnRenamed("logic_step_id", "claim_id")
-    pairs = pairs_in_group(steps, ["step_type"], 2, F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{7,}"), F.lit(0)))
-    words = steps.select("claim_id", a.polarity(F.col("summary"), r"\b(?:the|thing)\w*", r"\b(?:that|and)\w*").alias("polarity"))
-    return a.conflict_stats(pairs, words)
+    tokens = F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{7,}"), F.lit(0))
+    return a.token_conflicts(fx.logic_steps(spark, d), ["step_type"], 2, tokens, a.polarity(F.col("summary"), r"\b(?:the|thing)\w*", r"\b(?:that|and)\w*"))
 
 
 @register(
