@@ -1,37 +1,102 @@
-"""An inverted index of words with counts, so that many questions or steps are scored by joins.
+"""An inverted index of the words of a document with counts, in which many questions or steps are scored.
 
 A question's token counts wherever it stands in a text, inside longer words, too. A token is a run of letters, of digits
 or of CJK characters, so each of its places lies inside one run of the text: the index holds runs with their
-counts, and a token meets the runs of its documents that contain it through their grams of up to
-three characters. No question meets a text that shares no gram with it.
+counts, and a token is looked for in the distinct runs only. The index of a document is built where its units and texts
+meet, and only found chunks leave it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from quillspark.functions import text as tx
 
-GRAM = 3
-_RUN = rf"[a-z]+|[0-9]+|[{tx.CJK}]+"
-
-
-def _occurrences(text: Column, token: Column) -> Column:
-    """Non-overlapping places of a token that is not empty."""
-    return ((F.length(text) - F.length(F.replace(text, token, F.lit("")))) / F.length(token)).cast("long")
-
-
-def postings(chunks: DataFrame, by: str) -> DataFrame:
-    """(by, chunk_id, run, n): the runs of each chunk with their counts."""
-    return chunks.select(by, "chunk_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_RUN), F.lit(0))).alias("run")).groupBy(by, "chunk_id", "run").agg(F.count("*").alias("n"))
-
-
-def gram_lists(runs: DataFrame, by: str) -> DataFrame:
-    """(by, gram, run): the runs (by, run) of each document under every gram in them."""
-    at = F.sequence(F.lit(1), F.length("run"))
-    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substr(F.col("run"), i, F.lit(k)) for k in range(1, GRAM + 1)]))))
-    return runs.select(by, "run", F.explode(grams).alias("gram"))
+_RUN = re.compile(rf"[a-z]+|[0-9]+|[{tx.CJK}]+")
+
+
+def _tenths(texts: list[str], tokens: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each token the lower-cased texts that hold it, and what it adds there, in tenths; through the distinct runs of the texts."""
+    held: dict[str, dict[int, int]] = {}
+    for c, text in enumerate(texts):
+        for run in _RUN.findall(text):
+            at = held.setdefault(run, {})
+            at[c] = at.get(c, 0) + 1
+    lists, line, begins, n = list(held.values()), "\n".join(held), [], 0
+    for run in held:
+        begins.append(n)
+        n += len(run) + 1
+    out = {}
+    for token in tokens:
+        found: dict[int, int] = {}
+        at = line.find(token)
+        while at >= 0:
+            for c, times in lists[bisect_right(begins, at) - 1].items():
+                found[c] = found.get(c, 0) + times
+            at = line.find(token, at + len(token))
+        out[token] = (np.fromiter(found.keys(), np.int64, len(found)), 10 + 3 * np.minimum(5, np.fromiter(found.values(), np.int64, len(found))))
+    return out
+
+
+def _document_scores(units: list[dict], texts: list[str]) -> Iterator[tuple[dict, np.ndarray]]:
+    """Each unit (tokens, whole) of a document with its tenths of a score in all texts."""
+    adds = _tenths(texts, sorted({t for u in units for t in u["tokens"]}))
+    for unit in units:
+        tenths = np.zeros(len(texts), np.int64)
+        for token in unit["tokens"]:
+            at, more = adds[token]
+            tenths[at] += more
+        if not unit["tokens"] and unit["whole"]:
+            n = np.array([t.count(unit["whole"]) for t in texts], np.int64)
+            tenths += np.where(n > 0, 10 + 3 * np.minimum(5, n), 0)
+        yield unit, tenths
+
+
+def _per_document(units: DataFrame, chunks: DataFrame, by: str, best: int | None, schema: str) -> DataFrame:
+    """Chunks with scores of each unit, all or the best few, found document by document: units and texts are shuffled once, pairs of them never."""
+    key = F.col(by).cast("string").alias("by")
+    asked = units.select(key, "unit_id", tx.tokens(F.coalesce("query", F.lit(""))).alias("tokens"), F.lower(F.trim(F.coalesce("query", F.lit("")))).alias("whole"))
+    texts = chunks.where(F.col(by).isNotNull()).select(key, "chunk_id", *(["pos"] if best else []), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def document(rows: list[dict]) -> list[tuple]:
+        held = [r for r in rows if r["tokens"] is None]
+        if best:
+            held.sort(key=lambda r: (r["pos"], r["chunk_id"]))
+        ids, out = [r["chunk_id"] for r in held], []
+        for unit, tenths in _document_scores([r for r in rows if r["tokens"] is not None], [r["low"] for r in held]):
+            met = np.flatnonzero(tenths)
+            if best:
+                met = met[np.argsort(-tenths[met], kind="stable")[:best]]
+                out.append((unit["unit_id"], [ids[c] for c in met], int(tenths[met[0]]) / 10 if len(met) else None, not unit["whole"]))
+            else:
+                out += [(unit["unit_id"], ids[c], int(tenths[c]) / 10) for c in met]
+        return out
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        out: list[tuple] = []
+        for _, own in itertools.groupby(rows, key=lambda r: r["by"]):
+            out += document(list(own))
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema.replace(", ", ",")).fields]
+    both = asked.unionByName(texts, allowMissingColumns=True).repartition("by").sortWithinPartitions("by")
+    return both.mapInArrow(score, schema)
 
 
 def lexical_scores(units: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
@@ -40,19 +105,8 @@ def lexical_scores(units: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
     A token, each time the question has it, adds 1 + 0.3 min(5, its places in the text) where it has any. A question without
     tokens counts as a whole, lower-cased and trimmed. Scores of 0 are left out.
     """
-    words = units.select("unit_id", by, F.explode(tx.tokens(F.col("query"))).alias("token")).groupBy("unit_id", by, "token").agg(F.count("*").alias("times"))
-    words = words.withColumn("gram", F.left("token", F.lit(GRAM)))
-    held = postings(chunks, by)
-    # which runs a document's tokens stand in is found once, whatever the number of questions with the token
-    asked = words.select(by, "gram", "token").distinct()
-    runs = asked.join(gram_lists(held.select(by, "run").distinct(), by), [by, "gram"]).where(F.contains("run", "token"))
-    runs = runs.select(by, "token", "run", _occurrences(F.col("run"), F.col("token")).alias("inside"))
-    places = runs.join(held, [by, "run"]).groupBy(by, "token", "chunk_id").agg(F.sum(F.col("inside") * F.col("n")).alias("places"))
-    score = F.col("times") * (1 + 0.3 * F.least(F.lit(5), "places"))
-    scored = words.drop("gram").join(places, [by, "token"]).groupBy("unit_id", "chunk_id").agg(F.round(F.sum(score), 6).alias("score"))
-    whole = units.where(F.size(tx.tokens(F.coalesce("query", F.lit("")))) == 0).select("unit_id", by, F.lower(F.trim("query")).alias("token")).where("token != ''")
-    met = whole.join(chunks.select(by, "chunk_id", F.lower("text").alias("text")), by).withColumn("places", _occurrences(F.col("text"), F.col("token"))).where("places > 0")
-    return scored.unionByName(met.select("unit_id", "chunk_id", F.round(1 + 0.3 * F.least(F.lit(5), "places"), 6).alias("score")))
+    schema = f"unit_id {units.schema['unit_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    return _per_document(units, chunks, by, None, schema)
 
 
 def lexical_evidence(units: DataFrame, chunks: DataFrame, by: str, most: int = 2, least: float = 2.0) -> DataFrame:
@@ -61,14 +115,9 @@ def lexical_evidence(units: DataFrame, chunks: DataFrame, by: str, most: int = 2
     The best chunks of the unit's document, ties in their order there. Weak where none was found or the best score is under
     `least`; a blank question has no chunks and is not weak.
     """
-    scored = lexical_scores(units, chunks, by).join(chunks.select("chunk_id", "pos"), "chunk_id")
-    place = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("score"), "pos", "chunk_id"))
-    top = scored.withColumn("place", place).where(F.col("place") <= most)
-    picked = top.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("xs"), F.max("score").alias("score"))
-    blank = F.trim(F.coalesce("query", F.lit(""))) == ""
-    out = units.select("unit_id", blank.alias("blank")).join(picked, "unit_id", "left")
-    ids = F.coalesce(F.transform("xs", lambda x: x.chunk_id), F.array().cast("array<string>"))
-    return out.select("unit_id", ids.alias("chunk_ids"), "score", (~F.col("blank") & (F.coalesce("score", F.lit(0.0)) < least)).alias("weak"))
+    schema = f"unit_id {units.schema['unit_id'].dataType.simpleString()}, chunk_ids array<{chunks.schema['chunk_id'].dataType.simpleString()}>, score double, blank boolean"
+    found = _per_document(units, chunks, by, most, schema)
+    return found.select("unit_id", "chunk_ids", "score", (~F.col("blank") & (F.coalesce("score", F.lit(0.0)) < least)).alias("weak"))
 
 
 def claim_evidence(claims: DataFrame, chunks: DataFrame, picked: DataFrame, by: str, most: int = 2) -> DataFrame:
