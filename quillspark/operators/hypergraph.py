@@ -60,14 +60,22 @@ def merge_surfaces(nodes: DataFrame) -> DataFrame:
 def match_patterns(incidence: DataFrame, slots: DataFrame) -> DataFrame:
     """HG-02: (eid, pattern): the first pattern whose roles are exactly the edge's, once each where not repeatable.
 
-    slots: (pattern, ord, role, repeatable), a small table of the schema.
+    slots: (pattern, ord, role, repeatable), a small table of the schema, which goes into the plan: an edge is one row of
+    counts by role, from a single aggregation.
     """
-    have = incidence.groupBy("eid", "role").agg(F.count("*").alias("n"))
-    roles = have.groupBy("eid").agg(F.count("*").alias("roles"))
-    size = slots.groupBy("pattern").agg(F.count("*").alias("slots"))
-    fits = have.join(slots, "role").where((F.col("n") == 1) | F.col("repeatable")).groupBy("eid", "pattern", "ord").agg(F.count("*").alias("hit"))
-    whole = fits.join(roles, "eid").join(size, "pattern").where("hit = roles and hit = slots")
-    return whole.groupBy("eid").agg(F.min_by("pattern", "ord").alias("pattern"))
+    patterns: dict[tuple, dict] = {}
+    for s in slots.distinct().collect():
+        patterns.setdefault((s.ord, s.pattern), {})[s.role] = s.repeatable
+    roles = {role: f"_n{i}" for i, role in enumerate(sorted({role for p in patterns.values() for role in p}))}
+    other = F.coalesce(~F.col("role").isin(list(roles)), F.lit(True))
+    have = incidence.where("eid is not null").groupBy("eid").agg(F.count_if(other).alias("_other"), *[F.count_if(F.col("role") == role).alias(n) for role, n in roles.items()])
+    first = [F.lit(None).cast("string")]
+    for (_, pattern), own in sorted(patterns.items()):
+        fits = F.col("_other") == 0
+        for role, n in roles.items():
+            fits &= (F.col(n) == 0) if role not in own else (F.col(n) > 0) if own[role] else (F.col(n) == 1)
+        first.insert(-1, F.when(fits, F.lit(pattern)))
+    return have.select("eid", F.coalesce(*first).alias("pattern")).where("pattern is not null")
 
 
 def constraint_violations(nodes: DataFrame, incidence: DataFrame, edges: DataFrame) -> DataFrame:

@@ -24,3 +24,12 @@ def test_f10_edges_are_sent_twice_in_a_round_of_moves(spark, monkeypatch):
     rounds = [p for p in plans if "shiftright(turns" in p and "moved" in p]
     # only edges of the nodes whose turn it is, dealt anew by the node alone
     assert rounds and all("RepartitionByExpression [g" in p for p in rounds)
+
+
+def test_f12_patterns_need_one_aggregation(spark):
+    rows = [(1, "s"), (1, "t"), (2, "s"), (2, "s"), (2, "t"), (3, "s"), (4, "s"), (4, "x"), (5, None), (6, "s"), (6, None), (None, "s"), (7, "t"), (7, "t"), (7, "s")]
+    inc = spark.createDataFrame(rows, "eid int, role string")
+    slots = spark.createDataFrame([("fan", 2, "s", True), ("fan", 2, "t", True), ("pair", 1, "s", False), ("pair", 1, "t", False), ("one", 3, "s", False)], "pattern string, ord int, role string, repeatable boolean")
+    found = hypergraph.match_patterns(inc, slots)
+    assert {r.eid: r.pattern for r in found.collect()} == {1: "pair", 2: "fan", 3: "one", 7: "fan"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
