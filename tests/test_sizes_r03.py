@@ -33,3 +33,15 @@ def test_f12_patterns_need_one_aggregation(spark):
     found = hypergraph.match_patterns(inc, slots)
     assert {r.eid: r.pattern for r in found.collect()} == {1: "pair", 2: "fan", 3: "one", 7: "fan"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_f20_pairs_of_signature_and_node_are_the_state(spark, tmp_path):
+    from quillspark.streaming import recurrence
+
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), (None, "y")], "signature string, node string")
+    for i in range(2):
+        rows.write.parquet(str(tmp_path / f"in/{i}"))
+        recurrence.start_recurrence(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*")), str(tmp_path / "q")).awaitTermination()
+    assert {(r.signature, r.nodes, r.n) for r in recurrence.recurrence_table(spark, str(tmp_path / "q")).collect()} == {("a", 2, 6), (None, 1, 2)}
+    stream = recurrence.recurrence_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*")))
+    assert "Aggregate" in stream._jdf.queryExecution().analyzed().toString()
