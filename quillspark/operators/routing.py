@@ -30,6 +30,22 @@ def worker_slots(workers: list[Worker]) -> list[str]:
     return [name for level in range(max((c for _, c in able), default=0)) for name, capacity in able if capacity > level]
 
 
+def served(frames: Iterator[pd.DataFrame], calls: dict[str, Callable[[pd.DataFrame], pd.DataFrame]], batch: int) -> Iterator[pd.DataFrame]:
+    """The answers to frames (slot, worker, ..), called batch by batch; one frame for all calls of one, as a frame costs more than a small batch."""
+    for f in frames:
+        for name, part in f.groupby("worker"):
+            part, outs = part.drop(columns=["slot", "worker"]), []
+            for i in range(0, len(part), batch):
+                try:
+                    out = calls[name](part.iloc[i : i + batch])
+                except Exception:  # the next round takes the batch's rows
+                    continue
+                if len(out):
+                    outs.append(out)
+            if outs:
+                yield pd.concat(outs, ignore_index=True).assign(worker=name)
+
+
 def routed_calls(rows: DataFrame, key: str, workers: list[Worker], schema: str, batch: int = 16, place: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """§2.14: (answers with the columns worker and attempt, rows that no worker served).
 
@@ -41,18 +57,6 @@ def routed_calls(rows: DataFrame, key: str, workers: list[Worker], schema: str,
     slots = worker_slots(workers)
     place = F.xxhash64(key) if place is None else place
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, part in f.groupby("worker"):
-                part = part.drop(columns=["slot", "worker"])
-                for i in range(0, len(part), batch):
-                    try:
-                        out = calls[name](part.iloc[i : i + batch])
-                    except Exception:  # the next round takes the batch's rows
-                        continue
-                    if len(out):
-                        yield out.assign(worker=name)
-
     left = rows.withColumn("tried", F.array().cast("array<string>"))
     found = []
     for attempt in range(len(set(slots))):
@@ -60,7 +64,7 @@ def routed_calls(rows: DataFrame, key: str, workers: list[Worker], schema: str,
         open_ = F.filter(F.array(*free), lambda s: ~F.array_contains(F.col("tried"), s.worker))
         dealt = left.withColumn("open", open_).withColumn("s", F.element_at("open", (F.pmod(place, F.size("open")) + 1).cast("int"))).select(*rows.columns, "tried", "s.slot", "s.worker")
         dealt = materialize(dealt)
-        got = dealt.drop("tried").repartitionById(len(slots), F.col("slot")).mapInPandas(run, f"{schema}, worker string")
+        got = dealt.drop("tried").repartitionById(len(slots), F.col("slot")).mapInPandas(lambda frames: served(frames, calls, batch), f"{schema}, worker string")
         got = materialize(got.withColumn("attempt", F.lit(attempt + 1)))
         found.append(got)
         left = dealt.join(got.select(key).distinct(), key, "left_anti").select(*rows.columns, F.concat("tried", F.array("worker")).alias("tried"))

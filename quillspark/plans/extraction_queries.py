@@ -413,7 +413,9 @@ def payload_faults(spark, d):
 
 
 def _answers(rows):
-    return rows[["o_orderkey"]].assign(answer=rows["o_orderpriority"].str.lower())
+    import pandas as pd
+
+    return pd.DataFrame({"o_orderkey": rows["o_orderkey"].to_numpy(), "answer": [p and p.lower() for p in rows["o_orderpriority"]]})
 
 
 def _refuses(rows):

@@ -45,3 +45,17 @@ def test_f20_pairs_of_signature_and_node_are_the_state(spark, tmp_path):
     assert {(r.signature, r.nodes, r.n) for r in recurrence.recurrence_table(spark, str(tmp_path / "q")).collect()} == {("a", 2, 6), (None, 1, 2)}
     stream = recurrence.recurrence_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*")))
     assert "Aggregate" in stream._jdf.queryExecution().analyzed().toString()
+
+
+def test_f22_answers_of_many_calls_leave_a_task_in_one_frame():
+    import pandas as pd
+
+    def answers(rows):
+        if rows["k"].iloc[0] % 32 == 0:
+            raise OSError("busy")
+        return rows[["k"]].assign(answer=rows["k"] * 2)
+
+    frame = pd.DataFrame({"k": range(100), "slot": 0, "worker": ["a"] * 60 + ["b"] * 40})
+    out = list(routing.served(iter([frame]), {"a": answers, "b": answers}, 4))
+    assert [f["worker"].unique().tolist() for f in out] == [["a"], ["b"]]
+    assert [k for f in out for k in f["k"]] == [k for k in range(100) if k // 4 % 8] and all((f["answer"] == 2 * f["k"]).all() for f in out)
