@@ -59,3 +59,13 @@ def test_f22_answers_of_many_calls_leave_a_task_in_one_frame():
     out = list(routing.served(iter([frame]), {"a": answers, "b": answers}, 4))
     assert [f["worker"].unique().tolist() for f in out] == [["a"], ["b"]]
     assert [k for f in out for k in f["k"]] == [k for k in range(100) if k // 4 % 8] and all((f["answer"] == 2 * f["k"]).all() for f in out)
+
+
+def test_f19_f23_edges_are_derived_once(spark, monkeypatch):
+    plans = plans_of(monkeypatch, graph)
+    edges = spark.range(40).select((F.col("id") % 8).alias("u"), (100 + F.col("id") % 13).alias("v")).distinct()
+    reached = graph.k_hop(edges, spark.createDataFrame([(3,)], "node long"), 3)
+    got = {(r.node, r.hop) for r in reached.collect()}
+    assert len(got) == len({n for n, _ in got}) and min(h for _, h in got) == 1
+    graph.label_propagation(edges.withColumn("weight", F.lit(1.0)), 2).collect()
+    assert sum("Range (0, 40" in p for p in plans) == 2 and all(p.count("Range (0, 40") <= 1 for p in plans)
