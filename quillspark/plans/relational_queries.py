@@ -9,7 +9,7 @@ from quillspark.functions import text as tx
 from quillspark.operators import relational as r
 from quillspark.plans import fixtures as fx
 from quillspark.registry import register
-from quillspark.session import table
+from quillspark.session import spread, table
 
 def _lex(col: str, words: list[str]) -> str:
     one = "CASE WHEN {o} > 0 THEN 1 + 0.3::DOUBLE * least(5, {o}) ELSE 0 END"
@@ -300,9 +300,12 @@ def ordered_union(spark, d):
 )
 def coauthor_pairs(spark, d):
     """SINK-01: co-author weights in both directions."""
-    p = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    e = p.withColumnRenamed("l_suppkey", "a").join(p.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    li = table(spark, d, "lineitem")
+    n = li.count()
+    p = spread(li.select("l_orderkey", "l_suppkey"), n, "l_orderkey").distinct()
+    pairs = p.withColumnRenamed("l_suppkey", "a").join(p.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b").select("a", "b")
+    e = spread(pairs, 2 * n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    return e.select(F.inline(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))))
 
 
 @register(

@@ -69,3 +69,25 @@ def test_f19_f23_edges_are_derived_once(spark, monkeypatch):
     assert len(got) == len({n for n, _ in got}) and min(h for _, h in got) == 1
     graph.label_propagation(edges.withColumn("weight", F.lit(1.0)), 2).collect()
     assert sum("Range (0, 40" in p for p in plans) == 2 and all(p.count("Range (0, 40") <= 1 for p in plans)
+
+
+def test_f21_f24_f25_tasks_hold_bounded_rows(spark, monkeypatch):
+    from quillspark import registry, session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 1000)
+    for name, keys in (("pair_communities", {"node_id", "source"}), ("coauthor_pairs", {"a", "l_orderkey"})):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        dealt = re.findall(r"RepartitionByExpression \[(\w+)#.*\], (\d+)", plan)
+        assert {k for k, _ in dealt} == keys and all(int(n) >= 6 for _, n in dealt)
+    chain = spark.range(1, 200).select(F.col("id").alias("child"), F.floor(F.col("id") / 3).alias("parent"))
+    plans = plans_of(monkeypatch, graph)
+    closure = {(r.child, r.ancestor): r.depth for r in graph.transitive_closure(chain).collect()}
+    want = {}
+    for i in range(1, 200):
+        up, depth = i, 0
+        while up:
+            up, depth = up // 3, depth + 1
+            want[(i, up)] = depth
+    assert closure == want
+    # only pairs of the longest known depth are extended
+    assert sum("depth" in p and "= 2)" in p for p in plans) and sum("= 4)" in p for p in plans)
