@@ -153,10 +153,16 @@ def keyword_top(tokens: DataFrame, group: str, k: int) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Buckets of n-gram hashes, a power of 2, and how many of the fullest are counted first.
+NGRAM_BUCKETS, FULL_BUCKETS = 1 << 16, 16
+
+
 def ngram_label(texts: DataFrame, group: str, generic: list[str]) -> DataFrame:
     """AGG-13: the label of each group: its most frequent 3- or 2-gram of words not all generic; ties by length, then text.
 
-    N-grams are counted as 64-bit hashes, and only those of the winners are spelt, in a second pass over the texts.
+    N-grams are hashed to 64 bits, and only those of the winners are spelt. First the hashes are counted by bucket, a bounded
+    number of them; then one by one in the fullest buckets of each group, and last in every other bucket that holds as many hashes as the
+    best of those, if there is one. No other can hold a winner, so the result is exact.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
     rows = texts.select(group, words.alias("w")).where(F.size("w") >= 2)
@@ -164,11 +170,23 @@ def ngram_label(texts: DataFrame, group: str, generic: list[str]) -> DataFrame:
     plain = F.col("a").isin(generic) & F.col("b").isin(generic)
     three = F.when(F.col("c").isNotNull() & ~(plain & F.col("c").isin(generic)), F.xxhash64("a", "b", "c"))
     two = F.when(F.col("b").isNotNull() & ~plain, F.xxhash64("a", "b"))
-    counted = runs.select(group, F.explode(F.array(three, two)).alias("h")).where("h is not null").groupBy(group, "h").agg(F.count("*").alias("n"))
-    most = counted.groupBy(group).agg(F.max("n").alias("n"))
-    winners = materialize(counted.join(most, [group, "n"]))
+    grams = runs.select(group, F.explode(F.array(three, two)).alias("h")).where("h is not null").withColumn("bucket", F.col("h").bitwiseAND(F.lit(NGRAM_BUCKETS - 1)))
+    loads = materialize(grams.groupBy(group, "bucket").agg(F.count("*").alias("load")))
+    loads = loads.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("load"), "bucket")))
+
+    def counted(buckets: DataFrame) -> DataFrame:
+        return materialize(grams.join(F.broadcast(buckets.select(group, "bucket")), [group, "bucket"]).groupBy(group, "h").agg(F.count("*").alias("n")))
+
+    found = counted(loads.where(F.col("place") <= FULL_BUCKETS))
+    best = found.groupBy(group).agg(F.max("n").alias("n"))
+    rest = materialize(loads.where(F.col("place") > FULL_BUCKETS).join(best, group).where("load >= n"))
+    if rest.limit(1).count():
+        found = found.unionByName(counted(rest))
+    winners = materialize(found.join(found.groupBy(group).agg(F.max("n").alias("n")), [group, "n"]))
     spelt = runs.select(group, "a", "b", "c", F.explode(F.array(F.struct(three.alias("h"), F.lit(3).alias("k")), F.struct(two.alias("h"), F.lit(2).alias("k")))).alias("g"))
-    named = spelt.select(group, "a", "b", "c", "g.h", "g.k").join(winners, [group, "h"])
+    own = winners.select(group, F.col("h").bitwiseAND(F.lit(NGRAM_BUCKETS - 1)).alias("bucket")).distinct()
+    spelt = spelt.select(group, "a", "b", "c", "g.h", "g.k").withColumn("bucket", F.col("h").bitwiseAND(F.lit(NGRAM_BUCKETS - 1)))
+    named = spelt.join(F.broadcast(own), [group, "bucket"]).join(winners, [group, "h"])
     phrase = F.concat_ws(" ", "a", "b", F.when(F.col("k") == 3, F.col("c")))
     best = named.select(group, "n", phrase.alias("phrase")).groupBy(group).agg(F.max(F.struct("n", F.length("phrase").alias("l"), "phrase")).alias("b"))
     return best.select(group, F.col("b.phrase").alias("title"), F.col("b.n").alias("n"))
