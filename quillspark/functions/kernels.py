@@ -6,6 +6,7 @@ import codecs
 import contextlib
 import re
 import unicodedata
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,27 +132,64 @@ def sentence_chunks(text: str, most: int = 6000) -> list[str]:
     return [p for p in out if p.strip()]
 
 
-def segmented(rows: DataFrame, text: str = "text", most: int = 6000, overlap: int = 300) -> DataFrame:
-    """STR-14: rows with long texts become several, with segment index and count; short ones pass through the JVM."""
+#: What str.strip takes for white space.
+_BLANK = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def _stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(_BLANK))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pieces(text: Column, step: int, size: Callable[[Column], Column], back: int, most: int) -> Column:
+    """The pieces of a text from its start on, each of size(rest) characters, the next one `back` before its end; the last is a rest of at most `most`.
+
+    step: the least that a piece advances. Texts never leave the JVM, so no batch of long ones is held in Python.
+    """
+
+    def cut(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        last = F.struct(F.lit("").alias("rest"), F.concat(state["out"], F.array(rest)).alias("out"))
+        more = _bound(size(rest), lambda e: F.struct(F.substr(rest, F.greatest(F.lit(1), e - back) + 1).alias("rest"), F.concat(state["out"], F.array(F.substr(rest, F.lit(1), e))).alias("out")))
+        return F.when(rest == "", state).when(F.length(rest) <= most, last).otherwise(more)
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: segments(t or "", most, overlap))
+    begin = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(text) / step).cast("int")), begin, cut, lambda state: state["out"])
 
+
+def _last_mark(window: Column, before: int, marks: Iterable[str], inside: Callable[[str], int], none: Column) -> Column:
+    """The end behind the last occurrence of the first mark that a window has, which begins behind `before` characters; inside(mark): how many of the mark's characters are left out."""
+
+    def of(w: Column) -> Column:
+        ends = none
+        for m in reversed(list(marks)):
+            ends = F.when(F.contains(w, F.lit(m)), before + F.length(w) - F.length(F.substring_index(w, m, -1)) - inside(m)).otherwise(ends)
+        return ends
+
+    return _bound(window, of)
+
+
+def segmented(rows: DataFrame, text: str = "text", most: int = 6000, overlap: int = 300) -> DataFrame:
+    """STR-14: rows with long texts become several, as by segments, with segment index and count."""
+    half, overlap = most // 2, min(overlap, most // 2)
     # short texts pass as they are, but for white space at their ends; blank ones have no segment
     full = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    parts: Column = F.when(F.length(full) > most, cut(F.when(F.length(full) > most, full))).otherwise(F.filter(F.array(full), lambda x: x != ""))
+    size = lambda rest: _last_mark(F.substr(rest, F.lit(half + 1), F.lit(most - half)), half, _MARKS, lambda m: 0, F.lit(most))
+    long = F.filter(F.transform(_pieces(_stripped(full), max(1, half + 1 - overlap), size, overlap, most), _stripped), lambda x: x != "")
+    parts: Column = F.when(F.length(full) > most, long).otherwise(F.filter(F.array(full), lambda x: x != ""))
     with_parts = rows.withColumn("_parts", parts)
     return with_parts.select("*", F.size("_parts").alias("segment_count"), F.posexplode("_parts").alias("segment_index", "segment")).drop("_parts", text)
 
 
 def sentence_chunked(rows: DataFrame, text: str = "text", most: int = 6000) -> DataFrame:
-    """STR-15: rows with long texts become several, by sentence_chunks; short ones pass through the JVM. Columns chunk_index and chunk replace the text."""
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sentence_chunks(t or "", most))
-
+    """STR-15: rows with long texts become several, as by sentence_chunks. Columns chunk_index and chunk replace the text."""
+    half = most // 2
     full = F.coalesce(text, F.lit(""))
-    parts = F.when(F.length(full) > most, cut(F.when(F.length(full) > most, full))).otherwise(F.array(full))
+    size = lambda rest: _last_mark(F.substr(rest, F.lit(half + 1), F.lit(2 * most - half)), half, (". ", "? ", "! "), lambda m: len(m) - 1, F.least(F.lit(most + 200), F.length(rest)))
+    long = F.filter(_pieces(full, half + 1, size, 0, most), lambda x: _stripped(x) != "")
+    parts = F.when(F.length(full) > most, long).otherwise(F.array(full))
     return rows.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("chunk_index", "chunk")).drop("_parts", text)

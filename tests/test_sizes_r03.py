@@ -121,3 +121,28 @@ def test_f11_labels_come_from_the_fullest_buckets(spark, monkeypatch):
     # no phrase of one occurrence is a row of a shuffle, but for those of a few buckets
     monkeypatch.setattr(aggregates, "FULL_BUCKETS", 2)
     assert shuffled(spark, lambda: aggregates.ngram_label(often, "lang", [])) < 6000
+
+
+def test_f27_f28_long_texts_stay_in_the_jvm(spark):
+    import random
+
+    from quillspark.functions import kernels
+
+    r = random.Random(11)
+    bits = ["a", "b", "é", "漢", "𝄞", " ", " ", "\n", "\n\n", ". ", "? ", "! ", "; ", "</p>", "</tr>", "><", "\xa0", "　", ".", "x" * 9]
+    texts = ["", None, " ", "\n" * 50, "x" * 95, " " * 70 + "end", "\xa0" * 60 + "y" + " " * 50] + ["".join(r.choices(bits, k=r.randrange(1, 200))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most, overlap in ((20, 4), (21, 30), (7, 0)):
+        found = kernels.segmented(rows, most=most, overlap=overlap)
+        got = {}
+        for x in found.orderBy("doc_id", "segment_index").collect():
+            got.setdefault(x.doc_id, []).append(x.segment)
+        for i, t in enumerate(texts):
+            if len((t or "").strip("\t\n\x0b\f\r ")) > most:
+                assert got.get(i, []) == kernels.segments((t or "").strip("\t\n\x0b\f\r "), most, overlap)
+        chunked = kernels.sentence_chunked(rows, most=most)
+        got = {}
+        for x in chunked.orderBy("doc_id", "chunk_index").collect():
+            got.setdefault(x.doc_id, []).append(x.chunk)
+        assert all(got.get(i, []) == kernels.sentence_chunks(t or "", most) for i, t in enumerate(texts))
+    assert all("Python" not in df._jdf.queryExecution().executedPlan().toString() for df in (found, chunked))
