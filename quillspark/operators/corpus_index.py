@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions.kernels import segmented
-from quillspark.session import materialize
+from quillspark.session import materialize, stored
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -64,13 +64,19 @@ def corpus_segments(rows: DataFrame) -> DataFrame:
 
 
 def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the nearest centroid, distance to it) of each vector, a few rows at a time."""
-    cell, far = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+    """(place of the nearest centroid, distance to it) of each vector, a few rows at a time.
+
+    The nearest is found by products, whose rounding may take another one that is as near; the distance is that to the one taken.
+    """
+    cell, half = np.empty(len(vectors), np.int64), (centroids**2).sum(1) / 2
     for i in range(0, len(vectors), 256):
-        d = ((vectors[i : i + 256, None, :] - centroids[None, :, :]) ** 2).sum(2)
-        cell[i : i + 256] = d.argmin(1)
-        far[i : i + 256] = np.sqrt(d.min(1))
-    return cell, far
+        cell[i : i + 256] = (half - vectors[i : i + 256] @ centroids.T).argmin(1)
+    return cell, np.sqrt(((vectors - centroids[cell]) ** 2).sum(1))
+
+
+def embed_tasks(n: int) -> int:
+    """Tasks that embed n segments: of 2,000 each up to 400 tasks, then of up to 20,000, as a task has a cost of its own."""
+    return max(1, min(-(-n // 2000), 400), -(-n // 20000))
 
 
 def build_index(corpora: dict[str, DataFrame], embed: Embed, folder: str, attempts: int = ATTEMPTS, delay: float = DELAY) -> DataFrame:
@@ -82,25 +88,24 @@ def build_index(corpora: dict[str, DataFrame], embed: Embed, folder: str, attemp
     spark.createDataFrame([], f"corpus string, cell int, vec array<double>, {KEPT}").write.mode("overwrite").partitionBy("corpus").parquet(f"{folder}/vectors")
     spark.createDataFrame([], "corpus string, cell int, centroid array<double>, radius double, n long").write.mode("overwrite").parquet(f"{folder}/cells")
     for corpus, rows in corpora.items():
-        parts = materialize(corpus_segments(rows))
+        parts = stored(corpus_segments(rows))
         n = parts.count()
         if not n:
             continue
         sample = parts.orderBy(F.xxhash64("id", "segment_index"), "id").limit(min(MOST_CELLS, int(n**0.5) + 1)).select("text")
         centroids = np.unique(np.array(call_embedder(embed, [r.text for r in sample.collect()], attempts, delay), float), axis=0)
 
-        def assign(batches: Iterator[pd.DataFrame], centroids=centroids) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                vectors = np.array(call_embedder(embed, b["text"].tolist(), attempts, delay), float)
-                b["cell"], b["far"] = _nearest(vectors, centroids)
-                b["vec"] = list(vectors)
-                yield b
+        # only texts go to the workers, and no text comes back
+        @F.pandas_udf("cell int, far double, vec array<double>")
+        def assign(texts: pd.Series) -> pd.DataFrame:
+            vectors = np.array(call_embedder(embed, texts.tolist(), attempts, delay), float)
+            cell, far = _nearest(vectors, centroids)
+            return pd.DataFrame({"cell": cell, "far": far, "vec": list(vectors)})
 
-        spread = parts.repartition(max(1, -(-n // 2000)))
-        placed = materialize(spread.mapInPandas(assign, f"{KEPT}, cell int, far double, vec array<double>"))
+        placed = stored(parts.repartition(embed_tasks(n)).withColumn("placed", assign("text"))).select(*parts.columns, "placed.*")
         # segments of a cell side by side, so that the filter on it skips row groups
-        stored = placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").drop("far").withColumn("corpus", F.lit(corpus))
-        stored.write.mode("append").partitionBy("corpus").parquet(f"{folder}/vectors")
+        ordered = placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").drop("far").withColumn("corpus", F.lit(corpus))
+        ordered.write.mode("append").partitionBy("corpus").parquet(f"{folder}/vectors")
         cells = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
         middle = spark.createDataFrame([(i, c) for i, c in enumerate(centroids.tolist())], "cell int, centroid array<double>")
         cells.join(middle, "cell").select(F.lit(corpus).alias("corpus"), "cell", "centroid", "radius", "n").write.mode("append").parquet(f"{folder}/cells")
@@ -129,7 +134,7 @@ def search_index(questions: DataFrame, folder: str, corpus: str, k: int, embed:
     if not cells:
         raise IndexMissing(corpus)
     centroids, radius, n = np.array([c.centroid for c in cells]), np.array([c.radius for c in cells]), np.array([c.n for c in cells])
-    stored = spark.read.parquet(f"{folder}/vectors").where(F.col("corpus") == corpus)
+    kept = spark.read.parquet(f"{folder}/vectors").where(F.col("corpus") == corpus)
     found = []
     asked = questions.select(F.col("qid").cast("long").alias("qid"), "question")
     rounds = max(1, -(-asked.count() // QUESTIONS))
@@ -145,7 +150,7 @@ def search_index(questions: DataFrame, folder: str, corpus: str, k: int, embed:
 
         def nearest(batches: Iterator[pd.DataFrame], vectors=vectors, ids=ids, needed=needed, at=at) -> Iterator[pd.DataFrame]:
             for b in batches:
-                data = np.stack(b["vec"].to_numpy())
+                data, names, index = np.stack(b["vec"].to_numpy()), b["id"].to_numpy(), b["segment_index"].to_numpy()
                 ask = needed[:, [at[c] for c in b["cell"]]]
                 out = []
                 for i, q in enumerate(vectors):
@@ -154,17 +159,17 @@ def search_index(questions: DataFrame, folder: str, corpus: str, k: int, embed:
                         d = np.round(((data[own] - q) ** 2).sum(1), 9)
                         # all rows up to the k-th distance, ties included
                         most = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                        out += [(ids[i], b["id"].iat[j], b["segment_index"].iat[j], x) for j, x in zip(own[d <= most], d[d <= most], strict=True)]
+                        out += [(ids[i], names[j], index[j], x) for j, x in zip(own[d <= most], d[d <= most], strict=True)]
                 if out:
                     yield pd.DataFrame(out, columns=["qid", "id", "segment_index", "score"])
 
-        near = stored.where(F.col("cell").isin(numbers)).select("id", "segment_index", "cell", "vec").mapInPandas(nearest, "qid long, id string, segment_index int, score double")
+        near = kept.where(F.col("cell").isin(numbers)).select("id", "segment_index", "cell", "vec").mapInPandas(nearest, "qid long, id string, segment_index int, score double")
         place = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id", "segment_index"))
         found.append(materialize(near.withColumn("place", place).where(F.col("place") <= k).drop("place")))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    return hits.join(stored.select("id", "segment_index", "kind", "paper_source", "text"), ["id", "segment_index"]).select("qid", "kind", "id", "paper_source", "text", "score")
+    return hits.join(kept.select("id", "segment_index", "kind", "paper_source", "text"), ["id", "segment_index"]).select("qid", "kind", "id", "paper_source", "text", "score")
 
 
 def lexical_hits(questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:

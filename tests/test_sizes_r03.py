@@ -146,3 +146,20 @@ def test_f27_f28_long_texts_stay_in_the_jvm(spark):
             got.setdefault(x.doc_id, []).append(x.chunk)
         assert all(got.get(i, []) == kernels.sentence_chunks(t or "", most) for i, t in enumerate(texts))
     assert all("Python" not in df._jdf.queryExecution().executedPlan().toString() for df in (found, chunked))
+
+
+def test_f14_f17_embedding_takes_few_tasks_and_sends_texts_once(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from quillspark.operators import corpus_index
+
+    assert [corpus_index.embed_tasks(n) for n in (0, 1, 4001, 800_000, 2_000_000, 50_000_000)] == [1, 1, 3, 400, 400, 2500]
+    r = np.random.default_rng(3)
+    vectors, centroids = r.random((700, 8)), r.random((90, 8))
+    cell, far = corpus_index._nearest(vectors, centroids)
+    exact = np.sqrt(((vectors[:, None] - centroids[None]) ** 2).sum(2))
+    assert np.allclose(far, exact.min(1)) and np.array_equal(far, np.sqrt(((vectors - centroids[cell]) ** 2).sum(1)))
+    plans = plans_of(monkeypatch, corpus_index)
+    rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("k").alias("kind"), F.lit("s").alias("paper_source"), F.lit(None).cast("string").alias("meta"), F.concat(F.lit("text "), "id").alias("text"))
+    corpus_index.build_index({"c": rows}, lambda texts: [[float(len(t)), float(t[-1])] for t in texts], str(tmp_path))
+    assert any("ArrowEvalPython" in p or "assign(text" in p for p in plans) and not any("MapInPandas" in p for p in plans)
