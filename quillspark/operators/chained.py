@@ -2,7 +2,8 @@
 
 All papers go through a level together. A call sees the summaries of its section's predecessors and the schema of its paper as
 the levels before left it: a value that the schema lacks, found with evidence and confirmed, extends the schema for all
-later levels of that paper. Each round is written before the next begins, so that no call is made twice.
+later levels of that paper. Each round is written before the next begins, so that no call is made twice. Joins of what grows with
+the sections merge, as broadcasts would send the rows of every round through the driver.
 """
 
 from __future__ import annotations
@@ -76,49 +77,60 @@ def extract_chained(
     """
     spark = sections.sparkSession
     key = lambda n: F.concat_ws("\x01", "paper_id", n)
-    levels = topological_levels(deps.select(key("dep").alias("src"), key("node").alias("dst")), sections.select(key("node").alias("node")))
-    placed = materialize(sections.withColumn("k", key("node")).join(levels.select(F.col("node").alias("k"), "level"), "k").drop("k"))
+    deps = materialize(deps.select("paper_id", "node", "dep", "pos"))
+    levels = topological_levels(deps.select(key("dep").alias("src"), key("node").alias("dst")), sections.select(key("node").alias("node"))).withColumnRenamed("node", "k")
+    placed = materialize(sections.withColumn("k", key("node")).join(levels.hint("merge"), "k").drop("k"))
+    # level: that of the node which waits for the summary
+    waits = materialize(deps.withColumn("k", key("node")).join(levels.distinct().hint("merge"), "k").drop("k"))
     last = placed.agg(F.max("level")).first()[0]
     base: dict[str, list[str]] = {}
     for r in schema.select("kind", "value").distinct().collect():
         base.setdefault(r.kind, []).append(r.value)
-    given = F.broadcast(schema.select(F.col("kind").alias("gap_type"), "value").distinct())
+    given = F.lit(False)
+    for kind, values in base.items():
+        given = given | ((F.col("gap_type") == kind) & F.col("value").isin(values))
+    foreign = ~F.coalesce(given, F.lit(False))
     calls = spark.createDataFrame([], "paper_id string, node string, level int, context string, schema string")
     atoms = spark.createDataFrame([], "paper_id string, node string, atom string")
     summaries = spark.createDataFrame([], "paper_id string, node string, summary string")
     gaps = spark.createDataFrame([], _GAP)
     extensions = spark.createDataFrame([], "paper_id string, kind string, value string, level int")
+    lines = waits.where(F.lit(False)).select("paper_id", "node", "level", "pos", F.lit("").alias("line"))
+    section = ["paper_id", "node"]
     for level in range(-1 if last is None else last + 1):
         now = placed.where((F.col("level") == level) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-        before = deps.join(summaries.withColumnRenamed("node", "dep"), ["paper_id", "dep"]).groupBy("paper_id", "node")
-        line = before.agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("["), "dep", F.lit("] "), "summary").alias("line")))).alias("xs"))
-        context = line.select("paper_id", "node", F.concat(F.lit("Predecessor extracts:\n"), F.array_join(F.transform("xs", lambda x: x.line), "\n")).alias("context"))
+        before = lines.where(F.col("level") == level).groupBy("paper_id", "node").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("xs"))
+        context = before.select("paper_id", "node", F.concat(F.lit("Predecessor extracts:\n"), F.array_join(F.transform("xs", lambda x: x.line), "\n")).alias("context"))
         own, plain = schema_prompts(extensions, base)
-        asked = now.join(context, ["paper_id", "node"], "left").join(own, "paper_id", "left").na.fill("", ["context"])
+        asked = now.join(own.hint("merge"), "paper_id", "left").join(context.hint("merge"), section, "left").na.fill("", ["context"])
         asked = materialize(asked.select("paper_id", "node", "role", "text", "context", F.coalesce("schema", F.lit(plain)).alias("schema")))
         got = materialize(call_model(asked, call, "paper_id string, node string, atoms string, summary string", batch))
         calls = calls.unionByName(asked.select("paper_id", "node", F.lit(level).alias("level"), "context", "schema"))
         new = got.select("paper_id", "node", F.explode(F.from_json("atoms", "array<string>")).alias("atom"))
         atoms = atoms.unionByName(new)
-        summaries = summaries.unionByName(got.select("paper_id", "node", F.coalesce("summary", F.lit("")).alias("summary")))
         # every section of the level counts, with or without an answer
-        silent = placed.where(F.col("level") == level).select("paper_id", "node").join(got.select("paper_id", "node"), ["paper_id", "node"], "left_anti")
-        summaries = summaries.unionByName(silent.withColumn("summary", F.lit("")))
+        silent = placed.where(F.col("level") == level).select("paper_id", "node").join(got.select("paper_id", "node").hint("merge"), section, "left_anti")
+        told = materialize(got.select("paper_id", "node", F.coalesce("summary", F.lit("")).alias("summary")).unionByName(silent.withColumn("summary", F.lit(""))))
+        summaries = summaries.unionByName(told)
+        if level < last:
+            line = F.concat(F.lit("["), "dep", F.lit("] "), "summary").alias("line")
+            heard = waits.where(F.col("level") > level).join(told.withColumnRenamed("node", "dep").hint("merge"), ["paper_id", "dep"])
+            lines = lines.unionByName(materialize(heard.select("paper_id", "node", "level", "pos", line)))
         if not evolve:
             continue
         grown = extensions.select("paper_id", F.col("kind").alias("gap_type"), "value")
-        lacking = atom_gaps(new).join(given, ["gap_type", "value"], "left_anti").join(grown, ["paper_id", "gap_type", "value"], "left_anti")
+        lacking = atom_gaps(new).where(foreign).join(grown.hint("merge"), ["paper_id", "gap_type", "value"], "left_anti")
         met = gaps.select("paper_id", "gap_type", "value", "node").unionByName(lacking.select("paper_id", "gap_type", "value", "node"))
         cross = met.groupBy("paper_id", "gap_type", "value").agg(F.count_distinct("node").alias("cross_node"))
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in DISCOURSE_WEIGHT.items() for x in kv])[F.col("role")], F.lit(1.0))
-        scored = lacking.join(cross, ["paper_id", "gap_type", "value"]).join(now.select("paper_id", "node", "role"), ["paper_id", "node"])
+        scored = lacking.join(cross.hint("merge"), ["paper_id", "gap_type", "value"]).join(now.select("paper_id", "node", "role").hint("merge"), section)
         scored = materialize(scored.select("paper_id", "node", F.lit(level).alias("level"), "gap_type", "value", "evidence", "cross_node", F.round(F.col("cross_node") * weight, 2).alias("score")))
         gaps = gaps.unionByName(scored)
-        held = scored.where("evidence != ''").groupBy("paper_id", "gap_type", "value").agg(F.min("evidence").alias("evidence"))
+        fresh = scored.where("evidence != ''").groupBy("paper_id", "gap_type", "value").agg(F.min("evidence").alias("evidence"))
         if confirm:
-            held = call_model(held, confirm, "paper_id string, gap_type string, value string, evidence string", batch)
-        # a corrected kind can name a value that the schema has
-        fresh = held.select("paper_id", "gap_type", "value").distinct().join(given, ["gap_type", "value"], "left_anti").join(grown, ["paper_id", "gap_type", "value"], "left_anti")
+            held = call_model(fresh, confirm, "paper_id string, gap_type string, value string, evidence string", batch)
+            # a corrected kind can name a value that the schema has
+            fresh = held.select("paper_id", "gap_type", "value").distinct().where(foreign).join(grown.hint("merge"), ["paper_id", "gap_type", "value"], "left_anti")
         extensions = extensions.unionByName(materialize(fresh.select("paper_id", F.col("gap_type").alias("kind"), "value", F.lit(level).alias("level"))))
     return Chained(calls, atoms, summaries, gaps, extensions)
 

@@ -368,7 +368,8 @@ def chained_extraction(spark, d):
     run = chained.extract_chained(sections, deps, base, _part_model)
     atoms = run.atoms.select("paper_id", "node", F.get_json_object("atom", "$.confidence").cast("double").alias("confidence"))
     gaps = run.gaps.select("paper_id", "node", F.lit(True).alias("gap"))
-    out = run.calls.select("paper_id", "node", "level").join(run.summaries, ["paper_id", "node"]).join(atoms, ["paper_id", "node"]).join(gaps, ["paper_id", "node"], "left")
+    section = ["paper_id", "node"]
+    out = run.calls.select("paper_id", "node", "level").join(run.summaries.hint("merge"), section).join(atoms.hint("merge"), section).join(gaps.hint("merge"), section, "left")
     return out.select("paper_id", "node", "level", "summary", "confidence", F.coalesce("gap", F.lit(False)).alias("gap"))
 
 

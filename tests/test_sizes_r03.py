@@ -163,3 +163,41 @@ def test_f14_f17_embedding_takes_few_tasks_and_sends_texts_once(spark, tmp_path,
     rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("k").alias("kind"), F.lit("s").alias("paper_source"), F.lit(None).cast("string").alias("meta"), F.concat(F.lit("text "), "id").alias("text"))
     corpus_index.build_index({"c": rows}, lambda texts: [[float(len(t)), float(t[-1])] for t in texts], str(tmp_path))
     assert any("ArrowEvalPython" in p or "assign(text" in p for p in plans) and not any("MapInPandas" in p for p in plans)
+
+
+def test_f18_no_round_of_extraction_is_broadcast(spark, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from quillspark import registry
+    from quillspark.operators import chained
+
+    r = random.Random(5)
+    plans = plans_of(monkeypatch, chained, ["materialize"])
+    deps = [(p, f"s{i}", f"s{j}", i - j) for p in "pq" for i in range(1, 5) for j in sorted({r.randrange(i), r.randrange(i)})]
+    sections = [(p, f"s{i}", "claim", "" if (p, i) == ("p", 2) else "fails" if (p, i) == ("q", 3) else f"K{i % 3}") for p in "pq" for i in range(5)]
+
+    def model(rows):
+        if "fails" in set(rows["text"]):
+            raise OSError("model")
+        atoms = [f'[{{"layer": "L1", "entity_type": "{t}", "evidence_span": "{n}"}}]' for n, t in zip(rows["node"], rows["text"])]
+        # the call of the first section speaks for a later one, too
+        own = pd.DataFrame({"paper_id": rows["paper_id"], "node": rows["node"], "atoms": atoms, "summary": [f"{n}({c[22:]})" for n, c in zip(rows["node"], rows["context"])]})
+        more = own[(rows["node"] == "s0").to_numpy()].assign(node="s3", atoms="[]", summary="early")
+        return pd.concat([own, more])
+
+    base = spark.createDataFrame([("entity_type", "K0")], "kind string, value string")
+    run = chained.extract_chained(spark.createDataFrame(sections, "paper_id string, node string, role string, text string"), spark.createDataFrame(deps, "paper_id string, node string, dep string, pos long"), base, model, batch=1)
+    told, want = {}, {}
+    for p, n, _, t in sections:
+        before = sorted((pos, f"[{d}] {s}") for q, m, d, pos in deps if (q, m) == (p, n) for s in told[(p, d)])
+        context = "Predecessor extracts:\n" + "\n".join(x for _, x in before) if before else ""
+        if t:
+            want[(p, n)] = context
+        told[(p, n)] = [f"{n}({context[22:]})" if t not in ("", "fails") else ""] + ["early"] * (n == "s3")
+    assert {(c.paper_id, c.node): c.context for c in run.calls.collect()} == want
+    assert {(g.node, g.value) for g in run.gaps.collect()} >= {("s1", "K1")} and {x.value for x in run.extensions.collect()} == {"K1", "K2"}
+    query = registry.QUERIES["chained_extraction"](spark, "/root/testdata/sf0.001")
+    joins = [line for p in [*plans, query._jdf.queryExecution().optimizedPlan().toString()] for line in p.splitlines() if "Join " in line]
+    assert len(joins) > 20 and all("strategy=merge" in j for j in joins)
