@@ -23,10 +23,8 @@ def norm_text(x: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """Letters, digits or CJK runs in order; CJK runs over two characters fall apart; stop words go."""
-    found = F.regexp_extract_all(F.lower(x), F.lit(rf"[a-z]+|[0-9]+|[{CJK}]+"), F.lit(0))
-    parts = F.flatten(
-        F.transform(found, lambda t: F.when(t.rlike(rf"^[{CJK}]{{3,}}"), F.filter(F.split(t, ""), lambda c: c != "")).otherwise(F.array(t)))
-    )
+    # at the beginning of a CJK run one or two characters up to its end, elsewhere in it one
+    parts = F.regexp_extract_all(F.lower(x), F.lit(rf"[a-z]+|[0-9]+|(?<![{CJK}])[{CJK}]{{1,2}}(?![{CJK}])|[{CJK}]"), F.lit(0))
     return F.filter(parts, lambda t: ~t.isin(STOP_WORDS))
 
 

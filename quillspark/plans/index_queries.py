@@ -120,7 +120,8 @@ def _blocks(spark, d):
 def claim_evidence(spark, d):
     """EXT-05: a third of the claims with a model's pick, the others by their own tokens."""
     claims = fx.claims(spark, d)
-    units = claims.select(F.col("claim_id").alias("unit_id"), "paper_id", F.col("text").alias("query"))
+    # a claim with a pick asks nothing
+    units = claims.select(F.col("claim_id").alias("unit_id"), "paper_id", F.when(F.col("pos") % 3 != 0, F.col("text")).alias("query"))
     picked = claims.where("pos % 3 = 0").select(F.col("claim_id").alias("unit_id"), F.array("chunk_id").alias("chunk_ids"), F.lit(False).alias("weak"))
     found = li.claim_evidence(units, _blocks(spark, d), picked, "paper_id")
     return found.select(F.col("unit_id").alias("claim_id"), F.array_join("chunk_ids", ";").alias("chunk_ids"), "weak")
