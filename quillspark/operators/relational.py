@@ -192,8 +192,11 @@ def fill_by_first(rows: DataFrame, lookup: DataFrame, key: str, value: str) -> D
     return rows.join(first, key, "left").withColumn(value, F.coalesce(value, "found")).drop("found")
 
 
-#: Sets compared at once of one large group, and of several small ones.
+#: Sets compared at once of one large group, and of several small ones; blocks of a group that its sets are sent to, until one of them holds the most sets.
 BLOCK, BIN = 8192, 2048
+SHARES, MOST_SETS = 6, 1 << 17
+#: Common words of sets that are counted at once.
+COMMON = 2_000_000
 
 
 def _meetings(frame: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -208,19 +211,29 @@ def _meetings(frame: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.
     by = np.argsort(place, kind="stable")
     rows, ends = np.repeat(np.arange(len(right)), sizes)[by], np.cumsum(np.bincount(place, minlength=len(held)))
     begins = np.concatenate([[0], ends[:-1]])
-    step = max(1, 1_000_000 // len(right))
-    for c in range(0, len(left), step):
-        part = left[c : c + step]
-        asked, row = np.concatenate(words[part]), np.repeat(np.arange(len(part)), [len(words[i]) for i in part])
-        at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
-        known = held[at] == asked
-        at, row = at[known], row[known]
-        n = ends[at] - begins[at]
+    asked, row = np.concatenate(words[left]), np.repeat(np.arange(len(left)), [len(words[i]) for i in left])
+    at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+    known = held[at] == asked
+    at, row = at[known], row[known]
+    n = ends[at] - begins[at]
+    common = np.cumsum(np.bincount(row, n, len(left)).astype(np.int64))
+    first, c = np.searchsorted(row, np.arange(len(left) + 1)), 0
+    while c < len(left):
+        d = max(c + 1, int(np.searchsorted(common, (common[c - 1] if c else 0) + COMMON, "right")))
+        part, own = left[c:d], slice(first[c], first[d])
         # the lists of all words asked for, one behind the other
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        met = np.bincount(np.repeat(row, n) * len(right) + rows[np.repeat(begins[at], n) + inside], minlength=len(part) * len(right))
-        hit = np.flatnonzero(met >= least)
-        i, j, shared = part[hit // len(right)], right[hit % len(right)], met[hit]
+        inside = np.arange(n[own].sum()) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+        met = np.repeat(row[own] - c, n[own]) * len(right) + rows[np.repeat(begins[at[own]], n[own]) + inside]
+        if len(met) * 4 > len(part) * len(right):
+            met = np.bincount(met, minlength=len(part) * len(right))
+            hit = np.flatnonzero(met >= least)
+            shared = met[hit]
+        else:  # few of them meet
+            met.sort()
+            new = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]])) if len(met) else np.zeros(0, np.int64)
+            shared = np.diff(np.append(new, len(met)))
+            hit, shared = met[new[shared >= least]], shared[shared >= least]
+        i, j, c = part[hit // len(right)], right[hit % len(right)], d
         keep = i < j if same else slice(None)
         yield i[keep], j[keep], shared[keep]
 
@@ -235,9 +248,11 @@ def token_classes(claims: DataFrame, group: list[str], least_shared: int, tokens
 def class_meetings(classes: DataFrame, group: list[str], least: int, found: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, carried: list[str]) -> DataFrame:
     """What found(frame, i, j, shared) makes of the classes (group, words, cls) of one group that share enough, each two met once.
 
-    A large group is cut into blocks, and a task compares two of them; small groups share a task. No pair is shuffled.
+    A large group is cut into blocks, and a task compares two of them; small groups share a task. No pair is shuffled. A set is
+    sent once for each block of its group, so blocks grow with the group up to what a task can hold.
     """
-    sizes = classes.groupBy(*group).agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / BLOCK))
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SHARES)), F.ceil(F.col("n") / MOST_SETS))
+    sizes = classes.groupBy(*group).agg(F.count("*").alias("n")).withColumn("k", blocks)
     total = sizes.agg(F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("small"), F.sum(F.when(F.col("k") > 1, F.col("k") * (F.col("k") + 1) / 2)).alias("large")).first()
     bins = max(1, -(-(total["small"] or 0) // BIN))
     block = F.pmod("cls", F.col("k"))
