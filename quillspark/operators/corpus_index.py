@@ -28,6 +28,8 @@ Embed = Callable[[list[str]], list[list[float]]]
 EMBED_BATCH, ATTEMPTS, DELAY = 64, 5, 5.0
 #: Most centroids of a corpus; they travel to every task (8 MB at 1024 dimensions).
 MOST_CELLS = 1024
+#: Segments of a page of the files.
+PAGE = 256
 #: Questions searched in one pass over a corpus.
 QUESTIONS = 1024
 KEPT = "id string, kind string, paper_source string, meta string, segment_index int, segment_count int, text string"
@@ -85,15 +87,22 @@ def build_index(corpora: dict[str, DataFrame], embed: Embed, folder: str, attemp
     What folder held before goes, other corpora included; a corpus without rows is left out.
     """
     spark = next(iter(corpora.values())).sparkSession
-    spark.createDataFrame([], f"corpus string, cell int, vec array<double>, {KEPT}").write.mode("overwrite").partitionBy("corpus").parquet(f"{folder}/vectors")
+    spark.createDataFrame([], f"corpus string, cell int, far double, vec array<double>, {KEPT}").write.mode("overwrite").partitionBy("corpus").parquet(f"{folder}/vectors")
     spark.createDataFrame([], "corpus string, cell int, centroid array<double>, radius double, n long").write.mode("overwrite").parquet(f"{folder}/cells")
+
+    @F.pandas_udf("array<double>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        return pd.Series(call_embedder(embed, texts.tolist(), attempts, delay))
+
     for corpus, rows in corpora.items():
         parts = stored(corpus_segments(rows))
         n = parts.count()
         if not n:
             continue
-        sample = parts.orderBy(F.xxhash64("id", "segment_index"), "id").limit(min(MOST_CELLS, int(n**0.5) + 1)).select("text")
-        centroids = np.unique(np.array(call_embedder(embed, [r.text for r in sample.collect()], attempts, delay), float), axis=0)
+        # cut off before it is embedded, as only then each task sends its first rows and not all
+        sample = stored(parts.orderBy(F.xxhash64("id", "segment_index"), "id").limit(min(MOST_CELLS, int(n**0.5) + 1)).select("text"))
+        sample = stored(sample.select(embedded("text").alias("vec")))
+        centroids = np.unique(np.array([r.vec for r in sample.collect()], float), axis=0)
 
         # only texts go to the workers, and no text comes back
         @F.pandas_udf("cell int, far double, vec array<double>")
@@ -102,11 +111,11 @@ def build_index(corpora: dict[str, DataFrame], embed: Embed, folder: str, attemp
             cell, far = _nearest(vectors, centroids)
             return pd.DataFrame({"cell": cell, "far": far, "vec": list(vectors)})
 
-        placed = stored(parts.repartition(embed_tasks(n)).withColumn("placed", assign("text"))).select(*parts.columns, "placed.*")
-        # segments of a cell side by side, so that the filter on it skips row groups
-        ordered = placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").drop("far").withColumn("corpus", F.lit(corpus))
-        ordered.write.mode("append").partitionBy("corpus").parquet(f"{folder}/vectors")
-        cells = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
+        placed = parts.repartition(embed_tasks(n)).withColumn("placed", assign("text")).select(*parts.columns, "placed.*").withColumn("corpus", F.lit(corpus))
+        # texts are shuffled once; segments of a cell are side by side in each file, in small pages, so that the filter on it skips pages
+        paged = placed.sortWithinPartitions("cell", "id").write.mode("append").option("compression", "zstd").option("parquet.page.row.count.limit", PAGE)
+        paged.partitionBy("corpus").parquet(f"{folder}/vectors")
+        cells = spark.read.parquet(f"{folder}/vectors").where(F.col("corpus") == corpus).groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
         middle = spark.createDataFrame([(i, c) for i, c in enumerate(centroids.tolist())], "cell int, centroid array<double>")
         cells.join(middle, "cell").select(F.lit(corpus).alias("corpus"), "cell", "centroid", "radius", "n").write.mode("append").parquet(f"{folder}/cells")
     return spark.read.parquet(f"{folder}/vectors").groupBy("corpus").agg(F.count_distinct("id").alias("rows_indexed"), F.count("*").alias("segments_indexed"))
